@@ -46,22 +46,27 @@ def canonical(raw: Column) -> Column:
 
 
 def windows(rows: DataFrame, key: str, words: int) -> DataFrame:
-    """(key, raw, template, hashes): hashes[i] is that of the window that starts at token i."""
+    """(key, raw, template, hashes): hashes[i] is that of the window that starts at token i; null if there is none.
+
+    Explode these with the outer form: a filter that Catalyst infers for the inner one, or any filter here, would be
+    pushed below the projections and work out the tokens again inside every step of the lambdas.
+    """
     rows = rows.select(F.col(key).cast("long").alias(key), F.regexp_extract_all(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(TOKEN), F.lit(0)).alias("raw"))
-    rows = rows.where(F.size("raw") >= words).withColumn("template", canonical(F.col("raw")))
-    starts = F.sequence(F.lit(1), F.size("template") - words + 1)
-    return rows.withColumn("hashes", F.transform(starts, lambda i: F.xxhash64(F.slice("template", i, words))))
+    rows = rows.withColumn("template", canonical(F.col("raw")))
+    last = F.size("template") - words + 1
+    return rows.withColumn("hashes", F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice("template", i, words)))))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, slots: int = SLOTS, coverage: float = COVERAGE, most: int = MOST) -> DataFrame:
     """(doc_id, item_id, matched, windows, coverage, reworded): each item leaked into each document."""
     item = windows(benchmark, "item_id", words)
-    item = item.select("item_id", "raw", "template", F.posexplode("hashes").alias("at", "hash"))
+    item = item.select("item_id", "raw", "template", F.posexplode_outer("hashes").alias("at", "hash"))
     item = item.select("item_id", "at", "hash", F.slice("template", F.col("at") + 1, words).alias("window"), F.slice("raw", F.col("at") + 1, words).alias("said"))
+    item = common.cut(item).where("hash IS NOT NULL")
     item = common.cut(item.where(F.size(F.filter("window", lambda x: x.startswith("<"))) <= slots).distinct())
     totals = item.groupBy("item_id").agg(F.countDistinct("at").alias("windows"))
     doc = windows(docs, "doc_id", words)
-    doc = doc.select("doc_id", "raw", "template", F.posexplode("hashes").alias("pos", "hash"))
+    doc = doc.select("doc_id", "raw", "template", F.posexplode_outer("hashes").alias("pos", "hash"))
     met = doc.join(F.broadcast(item) if item.count() <= most else item, "hash")
     met = met.where(F.slice("template", F.col("pos") + 1, words) == F.col("window"))
     pairs = F.arrays_zip("window", F.col("said").alias("said"), F.slice("raw", F.col("pos") + 1, words).alias("seen"))
@@ -101,12 +106,12 @@ def _side(table: str, key: str) -> str:
 SQL = f"""
 WITH {_side("documents", "doc_id")}, {_side("benchmark", "item_id")},
 item AS (SELECT DISTINCT * FROM item_id_win WHERE len([x FOR x IN tpl IF x[1] = '<']) <= {SLOTS}),
-met AS (SELECT DISTINCT d.doc_id, i.item_id, i.pos AS at, d.pos - i.pos AS shift, i.tpl, i.said, d.said AS seen
+met AS (SELECT DISTINCT d.doc_id, i.item_id, i.pos AS place, d.pos - i.pos AS shift, i.tpl, i.said, d.said AS seen
         FROM doc_id_win d JOIN item i ON d.tpl = i.tpl),
 slot AS (SELECT doc_id, item_id, shift, said[k] AS said, min(seen[k]) AS low, max(seen[k]) AS high
          FROM (SELECT *, unnest(range(1, {WORDS} + 1)) AS k FROM met) WHERE tpl[k][1] = '<' GROUP BY ALL),
 torn AS (SELECT doc_id, item_id, shift, bool_or(low <> high) AS torn, bool_or(low <> said) AS reworded FROM slot GROUP BY ALL),
-found AS (SELECT m.doc_id, m.item_id, count(DISTINCT at) AS matched, bool_or(coalesce(reworded, false)) AS reworded
+found AS (SELECT m.doc_id, m.item_id, count(DISTINCT place) AS matched, bool_or(coalesce(reworded, false)) AS reworded
           FROM met m LEFT JOIN torn t ON m.doc_id IS NOT DISTINCT FROM t.doc_id AND m.item_id IS NOT DISTINCT FROM t.item_id AND m.shift = t.shift
           WHERE NOT coalesce(torn, false) GROUP BY ALL),
 totals AS (SELECT item_id, count(DISTINCT pos) AS windows FROM item GROUP BY item_id)
