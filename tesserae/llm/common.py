@@ -31,13 +31,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, by: str | None = None) -> DataFrame:
     """df written to, and reread from, a Parquet table of its own in the shared folder.
 
-    The table has to outlive the lazy result that reads it, so it stays until the folder is cleared.
+    Bucketed by a column, it is joined on that column without being shuffled again. The table has to outlive the
+    lazy result that reads it, so it stays until the folder is cleared.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tesserae/{uuid.uuid4().hex}"
+    spark, name = df.sparkSession, uuid.uuid4().hex
+    path = f"{shared_dir(spark).rstrip('/')}/tesserae/{name}"
+    if by is not None:
+        df.write.format("parquet").option("path", path).bucketBy(partitions(spark), by).saveAsTable(f"tesserae_{name}")
+        return spark.table(f"tesserae_{name}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -131,7 +131,7 @@ def pack(docs: DataFrame, size: int = PACK_BYTES) -> DataFrame:
             yield row(ids, rows)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "ids array<long>, sizes binary, text binary")
-    return common.stored(rows.select(F.monotonically_increasing_id().alias("pack"), "*"))
+    return common.stored(rows.select(F.monotonically_increasing_id().alias("pack"), "*"), by="pack")
 
 
 def each(packs: DataFrame, work: Callable[[int, Pack, list[tuple[int, bytes]]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -164,20 +164,47 @@ def entries(pack: int, keys: np.ndarray, bits: int, buckets: int, extra: Callabl
     )
 
 
-def ask(asked: DataFrame, buckets: int, answer: Callable[[list[int], list[np.ndarray], list[bytes]], list[bytes]]) -> DataFrame:
+def join(blobs: list[bytes]) -> bytes:
+    return b"".join(len(x).to_bytes(4, "little") + x for x in blobs)
+
+
+def unjoin(raw: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(raw):
+        end = at + 4 + int.from_bytes(raw[at : at + 4], "little")
+        out.append(raw[at + 4 : end])
+        at = end
+    return out
+
+
+def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, bytes, bytes, int]]]:
+    """The rows (pack, keys, extra, bucket) of one bucket after the other, in order of packs."""
+    held: dict[int, list[tuple[int, bytes, bytes, int]]] = {}
+    for batch in batches:
+        for p, b, k, x in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+            held.setdefault(b, []).append((p, k, x, b))
+    for b in sorted(held):
+        yield sorted(held.pop(b))
+
+
+def dealt(asked: DataFrame, buckets: int) -> DataFrame:
+    """The entries, each bucket's in one partition."""
+    return asked.repartition(buckets, "bucket")
+
+
+def answer_dealt(rows: DataFrame, answer: Callable[[list[int], list[np.ndarray], list[bytes]], list[bytes]]) -> DataFrame:
     """(pack, bucket, answer): answer(packs, keys, extras) gets all blobs of one bucket and answers each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[int, bytes, bytes]]] = {}
-        for batch in batches:
-            for p, b, k, x in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-                held.setdefault(b, []).append((p, k, x))
-        for b in sorted(held):
-            rows = sorted(held.pop(b))
-            got = answer([r[0] for r in rows], [unpack_keys(r[1]) for r in rows], [r[2] for r in rows])
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([b] * len(rows), pa.int32()), pa.array(got, pa.binary())], ["pack", "bucket", "answer"])
-
-    return asked.repartition(buckets, "bucket").mapInArrow(run, "pack long, bucket int, answer binary")
+        for held in by_bucket(batches):
+            got = answer([r[0] for r in held], [unpack_keys(r[1]) for r in held], [r[2] for r in held])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in held], pa.int64()), pa.array([r[3] for r in held], pa.int32()), pa.array(got, pa.binary())], ["pack", "bucket", "answer"])
+
+    return rows.mapInArrow(run, "pack long, bucket int, answer binary")
+
+
+def ask(asked: DataFrame, buckets: int, answer: Callable[[list[int], list[np.ndarray], list[bytes]], list[bytes]]) -> DataFrame:
+    return answer_dealt(dealt(asked, buckets), answer)
 
 
 def answered(packs: DataFrame, answers: DataFrame) -> DataFrame:

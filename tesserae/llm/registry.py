@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, search, sharding, simhash, substrings, suffixes, toxicity
+from . import decontam, katz, langid, mixing, search, sharding, simhash, substrings, suffixes, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(table(spark, sf_dir, "documents"))
 
@@ -59,5 +63,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "held_out", "v.lang_pred", "v.score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op3_substrings, op4_toxicity, op5_shards, op6_suffixes, op7_top_k, op8_decontaminate, op9_mix, op10_language)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_katz, op3_substrings, op4_toxicity, op5_shards, op6_suffixes, op7_top_k, op8_decontaminate, op9_mix, op10_language)}
 ORACLES: dict[str, str] = {"op7_top_k": search.SQL, "op8_decontaminate": decontam.SQL, "op9_mix": mixing.SQL}
