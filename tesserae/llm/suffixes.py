@@ -29,8 +29,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from . import packs
+from . import common, packs
 from .packs import Pack
 
 LENGTH, GRAM, STEP, PACK_BYTES = 400, 32, 32, 2 << 20
@@ -71,7 +72,7 @@ def roots(p: Pack, length: int, gram: int) -> tuple[np.ndarray, Nodes]:
     sums = packs.prefix(p.bytes.astype(np.uint64) + np.uint64(1))
     n, width = len(p.bytes), length - gram + 1
     empty = np.empty(0, np.int64)
-    if n < length:
+    if not (p.ends - p.starts >= length).any():
         return sums, Nodes(empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64), empty.astype(bool))
     grams = np.arange(n - gram + 1)
     g = (packs.span(sums, grams, grams + gram) >> np.uint64(32) << np.uint64(32)) | grams.astype(np.uint64)
@@ -197,10 +198,6 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, step: int = S
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    from pyspark.sql import functions as F
-
-    from . import common
-
     told, at = None, stored
     for level in range(3):
         got = packs.ask(packs.each(at, ask(level), packs.ENTRIES), n, refine).withColumn("bucket", (F.col("bucket") + level * n).cast("int"))
