@@ -46,6 +46,14 @@ def stored(df: DataFrame, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def prefix_for(df: DataFrame) -> str:
+    """A prefix that no column of df starts with."""
+    out = "_"
+    while any(c.startswith(out) for c in df.columns):
+        out += "_"
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -87,8 +87,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, slots: int
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs into which no item is leaked."""
-    found = leaks(docs, benchmark, **options).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    name = common.prefix_for(docs) + "leaked"
+    found = leaks(docs, benchmark, **options).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_anti")
 
 
 def _side(table: str, key: str) -> str:

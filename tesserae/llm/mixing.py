@@ -102,12 +102,13 @@ def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, slo
     The passes over a document that is taken more than once follow each other as epochs of its source.
     """
     got = mix(docs, "documents", weights, cap, slopes).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies"), F.min("position").alias("position"))
-    got = got.select(*(F.col(c).alias(f"_{c}") for c in got.columns))
+    x = common.prefix_for(docs)
+    got = got.select(*(F.col(c).alias(x + c) for c in got.columns))
     size = F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("long")
-    rows = docs.join(got, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (size == F.col("_size")))
-    rows = rows.withColumn("_pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)))
-    rows = rows.withColumn("_at", (F.col("_pass") + F.col("_position")) / F.col("_copies"))
-    return rows.repartitionByRange("_at", "doc_id").sortWithinPartitions("_at", "doc_id").select(*docs.columns)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(x + "doc_id")) & F.col("source").cast("string").eqNullSafe(F.col(x + "source")) & (size == F.col(x + "size"))
+    rows = docs.join(got, same).withColumn(x + "pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col(x + "copies") - 1)))
+    rows = rows.withColumn(x + "at", (F.col(x + "pass") + F.col(x + "position")) / F.col(x + "copies"))
+    return rows.repartitionByRange(x + "at", "doc_id").sortWithinPartitions(x + "at", "doc_id").select(*docs.columns)
 
 
 SQL = f"""
