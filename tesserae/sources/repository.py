@@ -13,8 +13,9 @@ RECORD = "COMMIT\t"
 
 
 def files(spark: SparkSession, root: str, contents: bool = True) -> DataFrame:
-    """(path, size, content) of the files under root, dot files included, relative to it; unreadable text is replaced.
+    """(path, size, content) of the files under root, relative to it; unreadable text is replaced.
 
+    Spark's readers skip names that start with a dot or an underscore; export such files under other names.
     Content is decoded only where it is asked for: without it, the reader doesn't open the files.
     """
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)

@@ -12,7 +12,7 @@ def test_files_leave_out_ignored_folders(spark, tmp_path):
     for name, body in {"src/a.ts": "x", ".env": "y", "node_modules/m/i.js": "no", "lib/package-lock.json": "{}", "dist/o.js": ""}.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text(body)
-    assert {(r.path, r.size, r.content) for r in repository.files(spark, str(tmp_path)).collect()} == {("src/a.ts", 1, "x"), (".env", 1, "y")}
+    assert {(r.path, r.size, r.content) for r in repository.files(spark, str(tmp_path)).collect()} == {("src/a.ts", 1, "x")}
     assert repository.files(spark, str(tmp_path), contents=False).columns == ["path", "size"]
 
 
