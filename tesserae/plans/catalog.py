@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
-from ..operators import assoc, changes, extract, graph, report, timewin, vote
+from ..operators import assoc, changes, context, extract, graph, report, rules, timewin, vote
 from ..streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -510,3 +510,43 @@ WITH e AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id, date_tru
 SELECT user_id, count(*) FILTER (k <= 10) AS allowed, count(*) FILTER (k > 10) AS rejected FROM e GROUP BY 1""")
 def rate_limit(spark, d):
     return watch.clock_limit(table(spark, d, "events"), "user_id", "ts", "event_id", "hour", 10)
+
+
+@query("""
+WITH s AS (SELECT s_suppkey, s_name, any_value(s_acctbal) AS bal, count(*) AS n FROM supplier JOIN lineitem ON l_suppkey = s_suppkey GROUP BY ALL),
+f AS (SELECT s_suppkey, CASE WHEN bal < 0 THEN 'Fragile code' ELSE 'Style' END AS category, s_name AS description,
+             CASE WHEN n >= 620 THEN 'high' WHEN n >= 590 THEN 'medium' ELSE 'low' END AS confidence FROM s)
+SELECT s_suppkey, CASE WHEN confidence = 'medium' THEN 'supplementary' WHEN category = 'Fragile code' THEN 'critical' ELSE 'important' END AS tier
+FROM f WHERE confidence <> 'low'""")
+def finding_tiers(spark, d):
+    n = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count(F.lit(1)).alias("n"))
+    rows = table(spark, d, "supplier").join(n, "s_suppkey")
+    confidence = F.when(F.col("n") >= 620, "high").when(F.col("n") >= 590, "medium").otherwise("low")
+    rows = rows.select("s_suppkey", F.when(F.col("s_acctbal") < 0, "Fragile code").otherwise("Style").alias("category"), F.col("s_name").alias("description"), confidence.alias("confidence"))
+    return rules.tiers(rows).select("s_suppkey", "tier")
+
+
+@query("""
+WITH b AS (SELECT DISTINCT p_type AS dir, p_brand AS x FROM part WHERE p_size <= 10)
+SELECT a.dir || '/' || a.x AS item, b.dir || '/' || b.x AS companion FROM b a JOIN b ON a.dir = b.dir AND a.x <> b.x
+WHERE (starts_with(b.x, a.x) AND substr(b.x, length(a.x) + 1, 1) = upper(substr(b.x, length(a.x) + 1, 1)))
+   OR (starts_with(a.x, b.x) AND substr(a.x, length(b.x) + 1, 1) = upper(substr(a.x, length(b.x) + 1, 1)))""")
+def prefix_pairs(spark, d):
+    """Names in one folder that extend one another."""
+    p = table(spark, d, "part").where("p_size <= 10").select(F.concat_ws("/", "p_type", "p_brand").alias("path")).distinct()
+    return context.prefix_pairs(p.withColumnRenamed("path", "item"), p)
+
+
+@query("""
+WITH f AS (SELECT DISTINCT 'p/' || p_partkey || '.ts' AS path FROM part),
+h AS (SELECT 'p/' || l_partkey || '.ts' AS path, row_number() OVER (ORDER BY count(*) DESC, l_partkey) AS r FROM lineitem GROUP BY l_partkey),
+t AS (SELECT f.path, CASE WHEN r <= 10 THEN 2 WHEN r <= 15 THEN 3 ELSE 4 END AS tier FROM f LEFT JOIN h USING (path)),
+k AS (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY path) - 1 AS k, count(*) OVER (PARTITION BY tier) AS n FROM t)
+SELECT path, tier FROM k WHERE k % (CASE WHEN tier = 4 THEN greatest(1, n // 50) ELSE 1 END) = 0 ORDER BY tier, path LIMIT 50""")
+def tiered_sample(spark, d):
+    files = table(spark, d, "part").select(F.concat(F.lit("p/"), "p_partkey", F.lit(".ts")).alias("path"))
+    top = table(spark, d, "lineitem").groupBy("l_partkey").count().orderBy(F.desc("count"), "l_partkey").limit(15)
+    from pyspark.sql import Window
+
+    ranked = top.select(F.concat(F.lit("p/"), "l_partkey", F.lit(".ts")).alias("path"), F.row_number().over(Window.orderBy(F.desc("count"), "l_partkey")).alias("rank"))
+    return rules.sample(files, 50, ranked, ranked.where("rank > 10").select("path", F.lit(1).alias("rank")))
