@@ -173,8 +173,8 @@ WITH RECURSIVE e AS MATERIALIZED ({TRADE}), o AS (SELECT src, count(*) AS deg FR
 w AS MATERIALIZED (SELECT e.src, dst, count(*) / any_value(deg)::DOUBLE AS w FROM e JOIN o ON e.src = o.src GROUP BY e.src, dst),
 r AS (SELECT 0 AS k, n_nationkey AS node, 1.0::DOUBLE / (SELECT count(*) FROM nation) AS score FROM nation
       UNION ALL
-      SELECT any_value(r.k) + 1, n.n_nationkey, 0.15::DOUBLE / (SELECT count(*) FROM nation) + 0.85::DOUBLE * coalesce(sum(w.w * r.score), 0)
-      FROM nation n LEFT JOIN w ON w.dst = n.n_nationkey LEFT JOIN r ON r.node = w.src WHERE r.k < 20 GROUP BY n.n_nationkey)
+      SELECT r.k + 1, n.n_nationkey, 0.15::DOUBLE / (SELECT count(*) FROM nation) + 0.85::DOUBLE * coalesce(sum(w.w * r.score), 0)
+      FROM r CROSS JOIN nation n LEFT JOIN w ON w.src = r.node AND w.dst = n.n_nationkey WHERE r.k < 20 GROUP BY r.k, n.n_nationkey)
 SELECT node, round(score, 6) AS score FROM r WHERE k = 20""")
 def pagerank(spark, d):
     nodes = table(spark, d, "nation").select(F.col("n_nationkey").alias("node"))
