@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import common, packs
 from .packs import Pack
 
-FOLDS, FOLD, K, PACK_BYTES = 7, 2, 5, 8 << 20
+FOLDS, FOLD, K, PACK_BYTES, BUCKET_BYTES = 7, 2, 5, 8 << 20, 8 << 20
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 END, BEGIN = np.uint64(1), np.uint64(2)  # no word hashes to less than 16, see tokens()
@@ -85,7 +85,7 @@ def discounted(count: np.ndarray, d: np.ndarray) -> np.ndarray:
 def tokens(p: Pack) -> tuple[np.ndarray, np.ndarray]:
     """The hash of every token in order, and the document of each; a document's last is its end."""
     starts, ends, doc = p.words()
-    sums = packs.prefix(LOWER[p.bytes].astype(np.uint64) + np.uint64(1))
+    sums = packs.prefix(LOWER[p.bytes], 1)
     h = packs.span(sums, starts, ends)
     h = np.where(h < 16, h + np.uint64(16), h)
     n = len(p.ids)
@@ -128,7 +128,7 @@ def deal(history: np.ndarray, word: np.ndarray, hot: np.ndarray, buckets: int) -
 def score(docs: DataFrame, folds: int = FOLDS, fold: int = FOLD, k: int = K, size: int = PACK_BYTES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of docs."""
     stored = packs.pack(docs, size)
-    n = packs.buckets(stored)
+    n = packs.buckets(stored, BUCKET_BYTES)
 
     def training(p: Pack, doc: np.ndarray) -> np.ndarray:
         return ~np.array([held_out(i, folds, fold) for i in p.ids], bool)[doc]

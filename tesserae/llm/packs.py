@@ -23,6 +23,7 @@ from . import common
 PACK_BYTES = 4 << 20
 ENTRIES = "pack long, bucket int, keys binary, extra binary"
 R, R_INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+CHUNK = 1 << 16
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -55,12 +56,15 @@ def unpack_keys(raw: bytes) -> np.ndarray:
 
 
 @cache
-def _powers(base: int, size: int) -> np.ndarray:
-    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, base, np.uint64)]), dtype=np.uint64)
+def powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, base, np.uint64)]), dtype=np.uint64)
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    return _powers(base, 1 << max(16, n.bit_length()))[:n]
+def power(base: int, at: np.ndarray) -> np.ndarray:
+    """base to the power of each number, by two small tables."""
+    top = int(at.max()) >> 16 if len(at) else 0
+    high = powers(pow(base, CHUNK, 1 << 64), 1 << (top + 1).bit_length())
+    return powers(base, CHUNK)[at & (CHUNK - 1)] * high[at >> 16]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -70,17 +74,21 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def prefix(values: np.ndarray) -> np.ndarray:
-    """Polynomial prefix sums, from which span() hashes any stretch."""
+def prefix(values: np.ndarray, plus: int = 0) -> np.ndarray:
+    """Polynomial prefix sums of values + plus, from which span() hashes any stretch; a chunk at a time."""
     out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values.astype(np.uint64, copy=False) * powers(R, len(values)), out=out[1:])
+    shift = np.uint64(1)
+    for k in range(0, len(values), CHUNK):
+        part = (values[k : k + CHUNK].astype(np.uint64) + np.uint64(plus)) * powers(R, CHUNK)[: len(values) - k] * shift
+        np.cumsum(part, out=out[k + 1 : k + 1 + len(part)])
+        out[k + 1 : k + 1 + len(part)] += out[k]
+        shift = np.uint64(int(shift) * pow(R, CHUNK, 1 << 64) & ((1 << 64) - 1))
     return out
 
 
 def span(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each stretch of values, of equal stretches wherever they stand."""
-    at = powers(R_INVERSE, len(sums))
-    return mix((sums[ends] - sums[starts]) * at[starts] + (ends - starts).astype(np.uint64))
+    return mix((sums[ends] - sums[starts]) * power(R_INVERSE, starts) + (ends - starts).astype(np.uint64))
 
 
 class Pack:

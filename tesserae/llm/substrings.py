@@ -30,7 +30,7 @@ SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 def word_sums(p: Pack) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words (start, end, document) and the prefix sums of their hashes."""
     starts, ends, doc = p.words()
-    return starts, ends, doc, packs.prefix(packs.span(packs.prefix(p.bytes.astype(np.uint64) + np.uint64(1)), starts, ends))
+    return starts, ends, doc, packs.prefix(packs.span(packs.prefix(p.bytes, 1), starts, ends))
 
 
 def windows(sums: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,3 +138,17 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     hit = packs.ask(packs.each(stored, probe, packs.ENTRIES), n, hits)
     seen = packs.ask(packs.each(packs.answered(stored, hit), extend, packs.ENTRIES), n, earlier)
     return packs.each(packs.answered(stored, seen), remove, SCHEMA)
+
+
+SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, unnest([array_to_string(w[i : i + {WINDOW - 1}], ' ') FOR i IN range(1, len(w) - {WINDOW - 2})]) AS s,
+             unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM d WHERE len(w) >= {WINDOW}),
+r AS (SELECT doc_id, i FROM p QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + {WINDOW})) AS k FROM r),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM d),
+kept AS (SELECT words.doc_id, count(gone.k) AS n, string_agg(word, ' ' ORDER BY words.k) FILTER (gone.k IS NULL) AS s
+         FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id AND words.k = gone.k GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""

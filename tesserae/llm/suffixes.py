@@ -69,7 +69,7 @@ def salted(h: np.ndarray, *numbers: np.ndarray) -> np.ndarray:
 
 def roots(p: Pack, length: int, gram: int) -> tuple[np.ndarray, Nodes]:
     """Prefix sums of the bytes, and the runs of all anchors."""
-    sums = packs.prefix(p.bytes.astype(np.uint64) + np.uint64(1))
+    sums = packs.prefix(p.bytes, 1)
     n, width = len(p.bytes), length - gram + 1
     empty = np.empty(0, np.int64)
     if not (p.ends - p.starts >= length).any():
