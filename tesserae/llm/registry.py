@@ -64,4 +64,4 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_katz, op3_substrings, op4_toxicity, op5_shards, op6_suffixes, op7_top_k, op8_decontaminate, op9_mix, op10_language)}
-ORACLES: dict[str, str] = {"op7_top_k": search.SQL, "op8_decontaminate": decontam.SQL, "op9_mix": mixing.SQL}
+ORACLES: dict[str, str] = {"op3_substrings": substrings.SQL, "op7_top_k": search.SQL, "op8_decontaminate": decontam.SQL, "op9_mix": mixing.SQL}
