@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
-from ..operators import assoc, changes, context, extract, graph, report, rules, timewin, vote
+from ..operators import assoc, briefing, changes, context, extract, graph, report, rules, timewin, vote
 from ..streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -550,3 +550,20 @@ def tiered_sample(spark, d):
 
     ranked = top.select(F.concat(F.lit("p/"), "l_partkey", F.lit(".ts")).alias("path"), F.row_number().over(Window.orderBy(F.desc("count"), "l_partkey")).alias("rank"))
     return rules.sample(files, 50, ranked, ranked.where("rank > 10").select("path", F.lit(1).alias("rank")))
+
+
+def _ask(priority: int, question: str, source: str, example: str, order: str) -> str:
+    return f"SELECT {priority} AS priority, '{question}' AS question, count(*) AS n, first({example} ORDER BY {order}) AS example FROM ({ORACLES[source]}) HAVING count(*) > 0"
+
+
+@query(" UNION ALL ".join([
+    _ask(1, "which imports form cycles", "cycles", "path", "length, path"),
+    _ask(2, "what do most files depend on", "hubs", "node", "edges DESC, node"),
+    _ask(3, "what is edited again and again", "rapid_edits", "CAST(user_id AS VARCHAR)", "n DESC, CAST(user_id AS VARCHAR)"),
+    _ask(4, "what changes together unseen", "cooccur_type", "a || ' + ' || b", "strength DESC, a, b"),
+    _ask(5, "what does nobody use", "orphans", "CAST(node AS VARCHAR)", "CAST(node AS VARCHAR)"),
+]))
+def pressing_questions(spark, d):
+    fragile = QUERIES["rapid_edits"](spark, d).select(F.col("user_id").cast("string").alias("node"), "n")
+    lost = QUERIES["orphans"](spark, d).select(F.col("node").cast("string").alias("node"))
+    return briefing.pressing(QUERIES["cycles"](spark, d), QUERIES["hubs"](spark, d), fragile, QUERIES["cooccur_type"](spark, d), lost)
