@@ -67,21 +67,24 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = CATEGORI
     """The chain fitted on docs (doc_id, text) and labels (doc_id, one 0/1 column for each category)."""
     said = F.arrow_udf(lambda array: pa.array([list(features(x or "")) for x in array.to_pylist()], pa.list_(pa.string())), "array<string>")
     labels = labels.select(F.col("doc_id").alias("_id"), *categories).dropna()
-    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(labels, F.col("doc_id") == F.col("_id"))
-    first = rows.groupBy(F.xxhash64("text").alias("h")).agg(F.min(F.struct("doc_id", *categories)).alias("r")).select("h", "r.*")
+    # Texts are hashed before the join, so that only hashes are shuffled.
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h")).where("text IS NOT NULL").join(labels, F.col("doc_id") == F.col("_id"))
+    first = rows.groupBy("h").agg(F.min(F.struct("doc_id", *categories)).alias("r")).select("h", "r.*")
     first = first.orderBy("h").limit(sample)
     texts = docs.select(F.col("doc_id").alias("_d"), "text").join(F.broadcast(first), F.col("_d") == F.col("doc_id")).where(F.xxhash64("text") == F.col("h"))
-    texts = texts.dropDuplicates(["h"]).select("h", *categories, said(F.col("text")).alias("words"))
+    texts = texts.select("h", *categories, said(F.col("text")).alias("words"))
+    # Near copies share the least hashes of their words: one of them speaks for all.
+    alike = F.slice(F.array_sort(F.transform("words", lambda w: F.xxhash64(w))), 1, 4)
+    texts = texts.withColumn("alike", alike).groupBy("alike").agg(F.min_by(F.struct("h", *categories, "words"), "h").alias("r")).select("r.*")
     texts = texts.persist()
     totals = texts.agg(F.count(F.lit(1)), *(F.sum(c) for c in categories)).first()
     n, positive = totals[0], [x or 0 for x in totals[1:]]
     counts = texts.select(F.explode("words").alias("word"), *categories).where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(c) for c in categories)).where(F.col("n") >= LEAST)
     chosen: list[str] = []
     for c, pos in zip(categories, positive, strict=True):
-        a, b = F.col(c) + 0.5, F.lit(pos) - F.col(c) + 0.5
-        d, e = F.col("n") - F.col(c) + 0.5, F.lit(n - pos) - F.col("n") + F.col(c) + 0.5
-        z = F.abs(F.log(a * e / (b * d)) / F.sqrt(1 / a + 1 / b + 1 / d + 1 / e))
-        chosen += [w for (w,) in counts.orderBy(F.desc(z), "word").select("word").limit(terms).collect()]
+        table = [(F.col(c), pos, F.col("n")), (pos - F.col(c), pos, n - F.col("n")), (F.col("n") - F.col(c), n - pos, F.col("n")), (n - pos - F.col("n") + F.col(c), n - pos, n - F.col("n"))]
+        g2 = sum((F.when((seen > 0) & (side > 0), seen * F.log(seen * F.lit(float(n)) / (F.lit(float(whole)) * side))).otherwise(0.0) for seen, whole, side in table), F.lit(0.0))
+        chosen += [w for (w,) in counts.orderBy(F.desc(g2), "word").select("word").limit(terms).collect()]
     index = {w: k for k, w in enumerate(dict.fromkeys(chosen))}
     known = F.array(*map(F.lit, index)) if index else F.array().cast("array<string>")
     held = texts.select("h", F.array_intersect("words", known).alias("words"), *categories).orderBy("h").collect()
