@@ -1,10 +1,11 @@
 """Language ID by compression: the language whose raw-content zstandard dictionary shrinks a text most.
 
 Training keeps, for each language, the first `per_lang` labelled texts in hash order of their ids (a bounded,
-documented sample that does not depend on partitioning) and concatenates at most `dict_bytes` of them into a
-dictionary. Of a whole text, the distinct lower-cased words (in order of appearance, letters only) are compressed
-with each dictionary, so repetition doesn't drown the evidence; the score is the relative margin between the best
-and the second-best size, and a text is rejected where that is below `margin`.
+documented sample that does not depend on partitioning), of each an eighth of `dict_bytes` at most so that one long
+text doesn't fill it, and concatenates their words to `dict_bytes` at most. These bounds are on fitting alone.
+Of a whole text, the distinct lower-cased words (in order of appearance, letters only) are compressed with each
+dictionary, so repetition doesn't drown the evidence; the score is the relative margin between the best and the
+second-best size, and a text is rejected where that is below `margin`.
 
 Defined cases: a null text, or one without letters, is `und` with score 0; an empty training set makes every text
 `und`; with a single language the score of every text with letters is 1; ties go to the smaller language name;
