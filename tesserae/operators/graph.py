@@ -41,9 +41,11 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 20, damping:
     weights = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m")).join(degrees, "src").select("src", "dst", (F.col("m") / F.col("degree")).alias("w"))
     weights = weights.join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").join(nodes.select(F.col("node").alias("src")), "src", "left_semi").checkpoint()
     ranks = nodes.select("node", F.lit(1.0 / n).alias("score"))
+    base = nodes.select("node", F.lit((1 - damping) / n).alias("score"))
     for k in range(iterations):
-        given = weights.join(ranks, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("to")).agg(F.sum(F.col("w") * F.col("score")).alias("got"))
-        ranks = nodes.join(given, F.col("node") == F.col("to"), "left").select("node", (F.lit((1 - damping) / n) + F.lit(damping) * F.coalesce("got", F.lit(0.0))).alias("score"))
+        # What every node gets anyway is a summand too: one join and one aggregation a round.
+        given = weights.join(ranks, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), (F.lit(damping) * F.col("w") * F.col("score")).alias("score"))
+        ranks = given.unionByName(base).groupBy("node").agg(F.sum("score").alias("score"))
         if k % 5 == 4:
             ranks = ranks.checkpoint()
     return ranks
