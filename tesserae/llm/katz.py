@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import common, packs
 from .packs import Pack
 
-FOLDS, FOLD, K, PACK_BYTES, BUCKET_BYTES = 7, 2, 5, 8 << 20, 8 << 20
+FOLDS, FOLD, K, PACK_BYTES, BUCKET_BYTES = 7, 2, 5, 5 << 20, 8 << 20
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 END, BEGIN = np.uint64(1), np.uint64(2)  # no word hashes to less than 16, see tokens()
