@@ -7,6 +7,10 @@ on both sides: along one alignment of an item with a document, each item value h
 throughout (consistent slots), so a question asked again with other numbers or names is caught and a chance meeting
 of templates is not. An item is leaked into a document where aligned windows cover `coverage` of its windows.
 
+With `verbatim` (the pipeline), windows are also joined by their lower-case words, slot-heavy ones included: these
+count wherever they meet, so a copy in capitals, or of an item in capitals, is found. An item is then leaked as well
+where windows of either kind cover `coverage` of all its windows. Without it the result is that of SQL.
+
 The document side is streamed through the join without a shuffle while the benchmark's windows are fewer than
 `most` (checked by a count); beyond that both sides are shuffled by hash. Only matched windows are grouped.
 
@@ -45,44 +49,61 @@ def canonical(raw: Column) -> Column:
     return F.transform(raw, form)
 
 
-def windows(rows: DataFrame, key: str, words: int) -> DataFrame:
+def windows(rows: DataFrame, key: str, words: int, verbatim: bool = False) -> DataFrame:
     """(key, raw, template, hashes): hashes[i] is that of the window that starts at token i; null if there is none.
 
+    With verbatim, the hashes of the windows of lower-case tokens follow (and template goes on with those tokens).
     Explode these with the outer form: a filter that Catalyst infers for the inner one, or any filter here, would be
     pushed below the projections and work out the tokens again inside every step of the lambdas.
     """
     rows = rows.select(F.col(key).cast("long").alias(key), F.regexp_extract_all(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(TOKEN), F.lit(0)).alias("raw"))
     rows = rows.withColumn("template", canonical(F.col("raw")))
-    last = F.size("template") - words + 1
-    return rows.withColumn("hashes", F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice("template", i, words)))))
+    last = F.size("raw") - words + 1
+    starts = F.sequence(F.lit(1), last)
+    if verbatim:
+        rows = rows.withColumn("template", F.concat("template", F.transform("raw", F.lower)))
+        starts = F.concat(starts, F.transform(starts, lambda i: i + F.size("raw")))
+    return rows.withColumn("hashes", F.when(last > 0, F.transform(starts, lambda i: F.xxhash64(F.slice("template", i, words)))))
+
+
+def place(at: str, words: int) -> tuple[Column, Column, Column]:
+    """Of the hash numbered at: whether it is of lower-case tokens, its window's token, and that token's place in template."""
+    last = F.size("raw") - words + 1
+    equal = F.col(at) >= last
+    return equal, F.when(equal, F.col(at) - last).otherwise(F.col(at)), F.when(equal, F.col(at) + words - 1).otherwise(F.col(at))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, slots: int = SLOTS, coverage: float = COVERAGE, most: int = MOST) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, slots: int = SLOTS, coverage: float = COVERAGE, most: int = MOST, verbatim: bool = False) -> DataFrame:
     """(doc_id, item_id, matched, windows, coverage, reworded): each item leaked into each document."""
-    item = windows(benchmark, "item_id", words)
-    item = item.select("item_id", "raw", "template", F.posexplode_outer("hashes").alias("at", "hash"))
-    item = item.select("item_id", "at", "hash", F.slice("template", F.col("at") + 1, words).alias("window"), F.slice("raw", F.col("at") + 1, words).alias("said"))
+    item = windows(benchmark, "item_id", words, verbatim)
+    item = item.select("item_id", "raw", "template", F.posexplode_outer("hashes").alias("n", "hash"))
+    equal, at, start = place("n", words)
+    item = item.select("item_id", equal.alias("equal"), at.alias("at"), "hash", F.slice("template", start + 1, words).alias("window"), F.slice("raw", at + 1, words).alias("said"))
     item = common.cut(item).where("hash IS NOT NULL")
     item = common.cut(item.where(F.size(F.filter("window", lambda x: x.startswith("<"))) <= slots).distinct())
-    totals = item.groupBy("item_id").agg(F.countDistinct("at").alias("windows"))
-    doc = windows(docs, "doc_id", words)
-    doc = doc.select("doc_id", "raw", "template", F.posexplode_outer("hashes").alias("pos", "hash"))
+    totals = item.groupBy("item_id", "at").agg(F.min("equal").alias("equal")).groupBy("item_id").agg(F.count_if(~F.col("equal")).alias("windows"), F.count(F.lit(1)).alias("all_windows"))
+    doc = windows(docs, "doc_id", words, verbatim)
+    doc = doc.select("doc_id", "raw", "template", F.posexplode_outer("hashes").alias("n", "hash"))
     met = doc.join(F.broadcast(item) if item.count() <= most else item, "hash")
-    met = met.where(F.slice("template", F.col("pos") + 1, words) == F.col("window"))
-    pairs = F.arrays_zip("window", F.col("said").alias("said"), F.slice("raw", F.col("pos") + 1, words).alias("seen"))
+    _, pos, start = place("n", words)
+    met = met.where(F.slice("template", start + 1, words) == F.col("window"))
+    pairs = F.arrays_zip("window", F.col("said").alias("said"), F.slice("raw", pos + 1, words).alias("seen"))
     pairs = F.filter(pairs, lambda x: x["window"].startswith("<"))
-    met = common.cut(met.select("doc_id", "item_id", "at", (F.col("pos") - F.col("at")).alias("shift"), F.transform(pairs, lambda x: F.struct(x["said"].alias("said"), x["seen"].alias("seen"))).alias("slots")))
+    met = common.cut(met.select("doc_id", "item_id", "equal", "at", (pos - F.col("at")).alias("shift"), F.transform(pairs, lambda x: F.struct(x["said"].alias("said"), x["seen"].alias("seen"))).alias("slots")))
     along = ["doc_id", "item_id", "shift"]
     filled = met.select(*along, F.explode("slots").alias("slot")).groupBy(*along, "slot.said").agg(F.min("slot.seen").alias("low"), F.max("slot.seen").alias("high"))
     torn = filled.groupBy(*along).agg(F.max(F.col("low") != F.col("high")).alias("torn"), F.max(F.col("low") != F.col("said")).alias("reworded")).select(*(F.col(c).alias(f"_{c}") for c in along), "torn", "reworded")
     match = F.lit(True)
     for c in along:
         match = match & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    met = met.join(torn, match, "left").where(~F.coalesce("torn", F.lit(False)))
-    found = met.groupBy("doc_id", F.col("item_id").alias("_item")).agg(F.countDistinct("at").alias("matched"), F.max(F.coalesce("reworded", F.lit(False))).alias("reworded"))
+    met = met.join(torn, match, "left").where(F.col("equal") | ~F.coalesce("torn", F.lit(False)))
+    found = met.groupBy("doc_id", F.col("item_id").alias("_item"), "at").agg(F.min("equal").alias("equal"), F.max(F.coalesce("reworded", F.lit(False)) & ~F.col("equal")).alias("reworded"))
+    found = found.groupBy("doc_id", "_item").agg(F.count_if(~F.col("equal")).alias("matched"), F.count(F.lit(1)).alias("all_matched"), F.max("reworded").alias("reworded"))
     found = found.join(totals, F.col("_item").eqNullSafe(F.col("item_id")))
-    share = F.col("matched") / F.col("windows")
-    return found.where(share >= coverage).select("doc_id", "item_id", "matched", "windows", F.round(share, 6).alias("coverage"), "reworded")
+    # The better covered of the two: the windows that may match by template, and all.
+    sides = [F.struct(F.try_divide(m, w).alias("share"), F.col(m).alias("matched"), F.col(w).alias("windows")) for m, w in (("matched", "windows"), ("all_matched", "all_windows"))]
+    found = found.select("doc_id", "item_id", F.greatest(*sides).alias("best"), "reworded").where(F.col("best.share") >= coverage)
+    return found.select("doc_id", "item_id", "best.matched", "best.windows", F.round("best.share", 6).alias("coverage"), "reworded")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -53,6 +53,21 @@ def test_clean_documents_are_kept(leaky, none, odd):
     assert decontam.keep_clean(odd, bench).count() == odd.count()
 
 
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_verbatim_copies_are_leaks_in_any_case(leaky, spark, most):
+    docs, bench = leaky
+    got = {(r.doc_id, r.item_id): r.reworded for r in decontam.leaks(docs, bench, most=most, verbatim=True).collect()}
+    assert got == {(2, 0): False, (3, 0): True, (None, 0): False, (8, 0): False}
+    shouted = spark.createDataFrame([(0, ITEM.upper()), (1, "10 20 30 40 50 60 70 80 90")], "item_id long, text string")
+    more = docs.union(spark.createDataFrame([(9, "so 10 20 30 40 50 60 70 80 90"), (10, "10 20 30 41 50 60 71 80 90")], docs.schema))
+    assert {(r.doc_id, r.item_id, r.coverage) for r in decontam.leaks(more, shouted, most=most, verbatim=True).collect()} == {(2, 0, 1.0), (None, 0, 1.0), (8, 0, 1.0), (9, 1, 1.0)}
+
+
+def test_pipeline_drops_shouted_copies(leaky, spark, tmp_path):
+    leaky[1].write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert Counter(r.doc_id for r in corpus_pipeline.decontaminate(spark, leaky[0], str(tmp_path)).collect()) == Counter([1, 4, 5, 6, 7])
+
+
 def test_mix_matches_sql(odd):
     got = Counter((r.doc_id, r["size"], r.source, r.source_size, round(r.target, 6), r.taken, r.copies, round(r.position, 6)) for r in mixing.mix(odd).collect())
     want = Counter((r[0], r[1], r[2], r[3], round(r[4], 6), r[5], r[6], round(r[7], 6)) for r in duck(mixing.SQL, documents=odd.select("doc_id", "text", "source")).elements())
