@@ -4,8 +4,10 @@ P(w | h) = d(c) * c / c(h), with c = c(h w), where the training texts have h w,
 discounts for counts up to K and 1 above. P(w) is the discounted unigram share, and what the discounts free goes to
 the one class of unknown words. alpha(h) hands the mass freed after h to the words not seen after it, exactly:
 (1 - sum of seen P(w | h)) / (1 - sum of seen P(w)). A history whose counts free nothing gives 1 / (c(h) + 1).
-Where Good-Turing gives no discount between 0 and 1 (count-of-counts too ragged), all of an order's discounts up to K
-are absolute ones: (c - b) / c with b = n1 / (n1 + 2 n2), a half if that is 0 or 1.
+Where Good-Turing on the raw count-of-counts gives a discount that isn't between 0 and 1 (ragged, as by groups of
+copies), an order's discounts are Good-Turing on smoothed ones: the log-linear fit of n1 to n(K + 1), with gaps
+averaged in. A slope under -1 always gives discounts between 0 and 1. Only where there is no such slope, or no n1, are
+they absolute ones: (c - b) / c with b = n1 / (n1 + 2 n2), a half if that is 0 or 1.
 
 Texts are packs and n-gram counts are tables partitioned by key range (packs.py): word counts first; then each pack
 sends its distinct bigrams, with the word's count, to the history's partition, which holds all that follows it and
@@ -45,19 +47,35 @@ def held_out(doc_id: int | None, folds: int = FOLDS, fold: int = FOLD) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % folds == fold
 
 
+def good_turing(n: np.ndarray, k: int) -> np.ndarray:
+    """The Good-Turing discounts d[1] to d[k] from the count-of-counts n[1] to n[k + 1]; nan if there are none."""
+    c = np.arange(1, k + 1)
+    if not n[1 : k + 1].all() or (k + 1) * n[k + 1] >= n[1]:
+        return np.full(k, np.nan)
+    common_part = (k + 1) * n[k + 1] / n[1]
+    return ((c + 1) * n[c + 1] / (c * n[c]) - common_part) / (1 - common_part)
+
+
+def smoothed(n: np.ndarray) -> np.ndarray:
+    """The log-linear fit of n[1] and on, each that isn't 0 shared out over half the way to its neighbours."""
+    r = np.flatnonzero(n)
+    if len(r) < 2:
+        return np.zeros(len(n))
+    before, after = np.concatenate([[0], r[:-1]]), np.concatenate([r[1:], [2 * r[-1] - r[-2]]])
+    slope, at = np.polyfit(np.log(r), np.log(2 * n[r] / (after - before)), 1)
+    return np.concatenate([[0], np.exp(at + slope * np.log(np.arange(1, len(n))))])
+
+
 def discounts(n: list[int], k: int = K) -> np.ndarray:
     """d[c] for counts 0 to k (d[0] is unused), from the count-of-counts n[1] to n[k + 1]."""
-    d = np.ones(k + 1)
-    if n[1]:
-        common_part = (k + 1) * n[k + 1] / n[1]
-        if all(n[1 : k + 1]) and common_part < 1:
-            for c in range(1, k + 1):
-                d[c] = ((c + 1) * n[c + 1] / (c * n[c]) - common_part) / (1 - common_part)
-    if not n[1] or not ((d[1:] > 0) & (d[1:] < 1)).all():
-        b = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
-        b = b if 0 < b < 1 else 0.5
-        d[1:] = [(c - b) / c for c in range(1, k + 1)]
-    return d
+    raw = np.array([0, *n[1 : k + 2]], float)
+    for estimate in (raw, smoothed(raw)) if n[1] else ():
+        d = good_turing(estimate, k)
+        if ((d > 0) & (d < 1)).all():
+            return np.concatenate([[1.0], d])
+    b = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
+    b = b if 0 < b < 1 else 0.5
+    return np.array([1.0, *((c - b) / c for c in range(1, k + 1))])
 
 
 @dataclass

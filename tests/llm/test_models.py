@@ -73,6 +73,14 @@ def test_discounts_fall_back():
     assert katz.discounts([0, 100, 40, 20, 12, 8, 5])[1] == pytest.approx((2 * 40 / 100 - 0.3) / 0.7)
 
 
+@pytest.mark.parametrize("n", [[0, 207344, 59772, 25017, 14274, 13493, 7080], [0, 1579638, 246704, 51653, 21705, 18939, 7580], [0, 500, 90, 0, 20, 40, 3]])
+def test_ragged_discounts_stay_good_turing(n):
+    d, m = katz.discounts(n)[1:], katz.smoothed(np.array(n, float))
+    assert ((d > 0) & (d < 1)).all() and (np.diff(d) > 0).all()
+    cut = 6 * m[6] / m[1]
+    assert d == pytest.approx([((c + 1) * m[c + 1] / (c * m[c]) - cut) / (1 - cut) for c in range(1, 6)])
+
+
 def sentences(lang, n, r):
     parts = {"en": ["the", "ing", "tion", "and", "er"], "de": ["ung", "sch", "ein", "keit", "der"], "fr": ["eux", "ier", "que", "ment", "ou"]}[lang]
     return " ".join("".join(r.choice(parts) for _ in range(r.randint(1, 4))) for _ in range(n))
