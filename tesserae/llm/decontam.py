@@ -9,7 +9,9 @@ of templates is not. An item is leaked into a document where aligned windows cov
 
 With `verbatim` (the pipeline), windows are also joined by their lower-case words, slot-heavy ones included: these
 count wherever they meet, so a copy in capitals, or of an item in capitals, is found. An item is then leaked as well
-where windows of either kind cover `coverage` of all its windows. Without it the result is that of SQL.
+where windows of either kind cover `coverage` of all its windows. Consistency is then looked at in the windows that
+differ only, whatever the case, and an item value that stands for several document values takes away those of them
+that hold it, not the alignment. Without it the result is that of SQL.
 
 The document side is streamed through the join without a shuffle while the benchmark's windows are fewer than
 `most` (checked by a count); beyond that both sides are shuffled by hash. Only matched windows are grouped.
@@ -89,14 +91,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, slots: int
     met = met.where(F.slice("template", start + 1, words) == F.col("window"))
     pairs = F.arrays_zip("window", F.col("said").alias("said"), F.slice("raw", pos + 1, words).alias("seen"))
     pairs = F.filter(pairs, lambda x: x["window"].startswith("<"))
-    met = common.cut(met.select("doc_id", "item_id", "equal", "at", (pos - F.col("at")).alias("shift"), F.transform(pairs, lambda x: F.struct(x["said"].alias("said"), x["seen"].alias("seen"))).alias("slots")))
+    form = F.lower if verbatim else lambda x: x
+    met = common.cut(met.select("doc_id", "item_id", "equal", "at", (pos - F.col("at")).alias("shift"), F.transform(pairs, lambda x: F.struct(form(x["said"]).alias("said"), form(x["seen"]).alias("seen"))).alias("slots")))
     along = ["doc_id", "item_id", "shift"]
-    filled = met.select(*along, F.explode("slots").alias("slot")).groupBy(*along, "slot.said").agg(F.min("slot.seen").alias("low"), F.max("slot.seen").alias("high"))
-    torn = filled.groupBy(*along).agg(F.max(F.col("low") != F.col("high")).alias("torn"), F.max(F.col("low") != F.col("said")).alias("reworded")).select(*(F.col(c).alias(f"_{c}") for c in along), "torn", "reworded")
+    differs = F.exists("slots", lambda x: x["said"] != x["seen"]) if verbatim else F.lit(True)
+    filled = met.where(differs).select(*along, F.explode("slots").alias("slot")).groupBy(*along, "slot.said").agg(F.min("slot.seen").alias("low"), F.max("slot.seen").alias("high"))
+    torn = filled.groupBy(*along).agg(F.collect_set(F.when(F.col("low") != F.col("high"), F.col("said"))).alias("torn"), F.max(F.col("low") != F.col("said")).alias("reworded")).select(*(F.col(c).alias(f"_{c}") for c in along), "torn", "reworded")
     match = F.lit(True)
     for c in along:
         match = match & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    met = met.join(torn, match, "left").where(F.col("equal") | ~F.coalesce("torn", F.lit(False)))
+    gone = differs & F.arrays_overlap(F.col("slots")["said"], "torn") if verbatim else F.size("torn") > 0
+    met = met.join(torn, match, "left").where(~F.coalesce(gone, F.lit(False)))
     found = met.groupBy("doc_id", F.col("item_id").alias("_item"), "at").agg(F.min("equal").alias("equal"), F.max(F.coalesce("reworded", F.lit(False)) & ~F.col("equal")).alias("reworded"))
     found = found.groupBy("doc_id", "_item").agg(F.count_if(~F.col("equal")).alias("matched"), F.count(F.lit(1)).alias("all_matched"), F.max("reworded").alias("reworded"))
     found = found.join(totals, F.col("_item").eqNullSafe(F.col("item_id")))

@@ -68,6 +68,17 @@ def test_pipeline_drops_shouted_copies(leaky, spark, tmp_path):
     assert Counter(r.doc_id for r in corpus_pipeline.decontaminate(spark, leaky[0], str(tmp_path)).collect()) == Counter([1, 4, 5, 6, 7])
 
 
+def test_an_inconsistent_slot_takes_its_windows_only(spark, tmp_path):
+    item = "The old ferry left its pier at dawn and slowly crossed the wide grey bay before it met the fog. The crew rang a bell for an hour while the gulls kept circling above their small deck and begging for any bread"
+    docs = [(1, item.replace("fog. The", "fog. A")), (2, item.replace("fog. The", "fog. One").replace("The old", "An old")), (3, " ".join(item.split()[:20]) + " One crew slept")]
+    docs, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(0, item)], "item_id long, text string")
+    n = len(item.split()) - 4
+    got = {r.doc_id: (r.matched, r.windows) for r in decontam.leaks(docs, bench, verbatim=True).collect()}
+    assert got == {1: (n, n), 2: (n - 6, n)}
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [r.doc_id for r in corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()] == [3]
+
+
 def test_mix_matches_sql(odd):
     got = Counter((r.doc_id, r["size"], r.source, r.source_size, round(r.target, 6), r.taken, r.copies, round(r.position, 6)) for r in mixing.mix(odd).collect())
     want = Counter((r[0], r[1], r[2], r[3], round(r[4], 6), r[5], r[6], round(r[7], 6)) for r in duck(mixing.SQL, documents=odd.select("doc_id", "text", "source")).elements())
