@@ -14,12 +14,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, or a new local one where the session names none (as in tests)."""
+    """The folder of spark.checkpoint.dir, or the context's checkpoint folder; in local mode (as in tests) a new one if neither is set."""
     name = spark.conf.get("spark.checkpoint.dir", None)
     if name is None:
         name = spark.sparkContext.getCheckpointDir()
-    if name is None:
+    if name is None and spark.sparkContext.master.split("[")[0] == "local":
         name = "file://" + tempfile.mkdtemp(prefix="tesserae-")
+    if name is None:
+        raise ValueError("set spark.checkpoint.dir (or the context's checkpoint folder) to a folder that driver and executors share")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(name)
     return name
@@ -31,21 +33,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame, by: str | None = None) -> DataFrame:
+def stored(df: DataFrame, by: str | None = None, buckets: int | None = None) -> DataFrame:
     """df written to, and reread from, a Parquet table of its own in the shared folder.
 
-    Bucketed by a column, it is joined on that column without being shuffled again. The table has to outlive the
-    lazy result that reads it, so it stays until the folder is cleared.
+    Bucketed by a column, it is joined on that column without being shuffled again; such a table has a name in the
+    catalog, which finished() drops once the results that read it are cut. The files stay until the folder is cleared.
     """
     spark, name = df.sparkSession, uuid.uuid4().hex
     path = f"{shared_dir(spark).rstrip('/')}/tesserae/{name}"
     if by is not None:
-        df.write.format("parquet").option("path", path).bucketBy(partitions(spark), by).saveAsTable(f"tesserae_{name}")
-        return spark.table(f"tesserae_{name}")
+        df.write.format("parquet").option("path", path).bucketBy(buckets or partitions(spark), by).saveAsTable(f"tesserae_{name}")
+        out = spark.table(f"tesserae_{name}")
+        out.stored_as = f"tesserae_{name}"
+        return out
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def finished(result: DataFrame, *tables: DataFrame) -> DataFrame:
+    """The result, cut, with the catalog's names of the tables it was made from dropped."""
+    result = cut(result)
+    for table in tables:
+        result.sparkSession.sql(f"DROP TABLE {table.stored_as}")
+    return result
+
+
 def prefix_for(df: DataFrame) -> str:
     """A prefix that no column of df starts with."""
     out = "_"

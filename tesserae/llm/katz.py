@@ -154,18 +154,18 @@ def score(docs: DataFrame, folds: int = FOLDS, fold: int = FOLD, k: int = K, siz
     def ask_words(pack: int, p: Pack, _) -> Iterator[pa.RecordBatch]:
         h, doc = tokens(p)
         keys, of = np.unique(h, return_inverse=True)
-        count = np.bincount(of, training(p, doc), len(keys)).astype(np.uint32)
+        count = np.bincount(of, training(p, doc), len(keys)).astype(np.int64)
         yield packs.entries(pack, keys, 64, n, lambda s: packs.planes(count[s]))
 
     def count_words(names: list[int], keys: list[np.ndarray], extras: list[bytes]) -> list[bytes]:
         every, of = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(of, np.concatenate([packs.unplanes(x, np.uint32) for x in extras]), len(every)).astype(np.int64)
+        total = np.bincount(of, np.concatenate([packs.unplanes(x, np.int64) for x in extras]), len(every)).astype(np.int64)
         return [packs.planes(x) for x in np.split(total[of], np.cumsum([len(x) for x in keys])[:-1])]
 
     def word_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in packs.by_bucket(batches):
             every, of = np.unique(np.concatenate([packs.unpack_keys(r[1]) for r in held]), return_inverse=True)
-            total = np.bincount(of, np.concatenate([packs.unplanes(r[2], np.uint32) for r in held]), len(every)).astype(np.int64)
+            total = np.bincount(of, np.concatenate([packs.unplanes(r[2], np.int64) for r in held]), len(every)).astype(np.int64)
             row = [int(total.sum()), int((total > 0).sum()), *(int((total == c).sum()) for c in range(1, k + 2))]
             yield pa.RecordBatch.from_arrays([pa.array([row], pa.list_(pa.int64()))], ["stats"])
 
@@ -182,7 +182,7 @@ def score(docs: DataFrame, folds: int = FOLDS, fold: int = FOLD, k: int = K, siz
     def hot_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in packs.by_bucket(batches):
             every, of = np.unique(np.concatenate([packs.unpack_keys(r[1]) for r in held]), return_inverse=True)
-            total = np.bincount(of, np.concatenate([packs.unplanes(r[2], np.uint32) for r in held]), len(every))
+            total = np.bincount(of, np.concatenate([packs.unplanes(r[2], np.int64) for r in held]), len(every))
             yield pa.RecordBatch.from_arrays([pa.array((packs.mix(every[total > limit]) >> np.uint64(64 - H_BITS)).astype(np.int64), pa.int64())], ["h"])
 
     # A word is hot if it has more than a partition's share of the tokens: there are fewer such words than partitions.
@@ -199,12 +199,12 @@ def score(docs: DataFrame, folds: int = FOLDS, fold: int = FOLD, k: int = K, siz
         c = counts(h, answers)
         history, word = bigrams(h, doc), follow(h)
         at, of = pairs(history, word)
-        seen = np.bincount(of, training(p, doc), len(at)).astype(np.uint32)
+        seen = np.bincount(of, training(p, doc), len(at)).astype(np.int64)
         own = deal(history[at], word[at], hot, n)
         for b in np.unique(own).tolist():
             on = np.flatnonzero(own == b)
             low = np.ascontiguousarray(word[at[on]].view(np.uint8).reshape(-1, 8)[:, :5])
-            extra = [packs.squeeze(np.ascontiguousarray(low.T).tobytes()), packs.planes(seen[on]), packs.planes(np.minimum(c[at[on]], 0xFFFFFFFF).astype(np.uint32))]
+            extra = [packs.squeeze(np.ascontiguousarray(low.T).tobytes()), packs.planes(seen[on]), packs.planes(c[at[on]])]
             yield pa.RecordBatch.from_arrays([pa.array([pack], pa.int64()), pa.array([b], pa.int32()), pa.array([packs.pack_keys(history[at[on]])], pa.binary()), pa.array([packs.join(extra)], pa.binary())], ["pack", "bucket", "keys", "extra"])
 
     def table(keys: list[np.ndarray], extras: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -212,15 +212,15 @@ def score(docs: DataFrame, folds: int = FOLDS, fold: int = FOLD, k: int = K, siz
         history, words_, seen, c = np.concatenate(keys), [], [], []
         for x in extras:
             w, s, u = packs.unjoin(x)
-            s = packs.unplanes(s, np.uint32)
+            s = packs.unplanes(s, np.int64)
             wide = np.zeros((len(s), 8), np.uint8)
             wide[:, :5] = np.frombuffer(packs.unsqueeze(w), np.uint8).reshape(5, -1).T
             words_.append(wide.view(np.uint64).ravel())
             seen.append(s)
-            c.append(packs.unplanes(u, np.uint32))
+            c.append(packs.unplanes(u, np.int64))
         at, of = pairs(history, np.concatenate(words_))
         count = np.bincount(of, np.concatenate(seen), len(at)).astype(np.int64)
-        return of, history[at], count, uni.p(np.concatenate(c)[at].astype(np.int64))
+        return of, history[at], count, uni.p(np.concatenate(c)[at])
 
     def history_sums(history: np.ndarray, count: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct histories, and for each: sum of seen P(word), n1 to nk of what follows, and the counts above k."""
@@ -263,7 +263,7 @@ def score(docs: DataFrame, folds: int = FOLDS, fold: int = FOLD, k: int = K, siz
         out, at = [], 0
         for k_ in keys:
             own = np.searchsorted(every, np.unique(k_))
-            out.append(packs.join([packs.planes(count[of[at : at + len(k_)]].astype(np.uint32)), packs.planes(total[own].astype(np.int64)), packs.planes(scale[own]), packs.planes(alpha[own])]))
+            out.append(packs.join([packs.planes(count[of[at : at + len(k_)]]), packs.planes(total[own].astype(np.int64)), packs.planes(scale[own]), packs.planes(alpha[own])]))
             at += len(k_)
         return out
 
@@ -279,7 +279,7 @@ def score(docs: DataFrame, folds: int = FOLDS, fold: int = FOLD, k: int = K, siz
                 on = np.flatnonzero(own == b - n)
                 s, t, sc, al = packs.unjoin(raw)
                 _, which = np.unique(history[at[on]], return_inverse=True)
-                seen[on] = packs.unplanes(s, np.uint32)
+                seen[on] = packs.unplanes(s, np.int64)
                 total[on], scale[on], alpha[on] = packs.unplanes(t, np.int64)[which], packs.unplanes(sc, np.float64)[which], packs.unplanes(al, np.float64)[which]
         direct = discounted(seen.astype(np.int64), d2) * scale / np.maximum(total, 1)
         with np.errstate(divide="ignore"):
@@ -291,7 +291,7 @@ def score(docs: DataFrame, folds: int = FOLDS, fold: int = FOLD, k: int = K, siz
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in SCHEMA.split(", ")])
 
     paired = packs.answer_dealt(dealt, count_pairs).withColumn("bucket", F.col("bucket") + n)
-    out = common.cut(packs.each(packs.answered(stored, counted.unionByName(paired)), evaluate, SCHEMA))
+    out = common.finished(packs.each(packs.answered(stored, counted.unionByName(paired)), evaluate, SCHEMA), stored)
     dealt.unpersist()
     words.unpersist()
     return out

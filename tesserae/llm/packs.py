@@ -5,6 +5,10 @@ Some operators have to know, for every window of every text, whether it occurs e
 compressed), a task handles a pack at a time with numpy, and asks in blobs: for each hash bucket, the sorted
 distinct keys of the pack, delta-coded. A bucket's task sees all packs' blobs of its key range, each key once a
 pack however hot it is, and answers each blob. Spark moves packs, blobs and answers; nothing passes the driver.
+
+Tables of packs are cut into buckets of about BUCKET bytes of text, and keys into as many ranges as their bytes ask
+for, so that a task's share stays the same while the input grows. A pack sends one blob to each key range: from some
+TB on, let packs grow with the input (`size`), or blobs get down to a few keys each.
 """
 
 from __future__ import annotations
@@ -20,9 +24,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-PACK_BYTES = 4 << 20
+PACK_BYTES, BUCKET, MOST_BUCKETS = 4 << 20, 16 << 20, 200_000
 ENTRIES = "pack long, bucket int, keys binary, extra binary"
 R, R_INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+PRIME, S = (1 << 31) - 1, 0x5DEECE66
+S_INVERSE = pow(S, -1, PRIME)
 CHUNK = 1 << 16
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -74,21 +80,56 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def prefix(values: np.ndarray, plus: int = 0) -> np.ndarray:
-    """Polynomial prefix sums of values + plus, from which span() hashes any stretch; a chunk at a time."""
-    out = np.zeros(len(values) + 1, np.uint64)
-    shift = np.uint64(1)
+@cache
+def prime_powers(base: int, n: int) -> np.ndarray:
+    """base to the powers below n, modulo PRIME, by doubling."""
+    out = np.ones(n, np.uint64)
+    k = 1
+    while k < n:
+        out[k : 2 * k] = out[: min(k, n - k)] * np.uint64(pow(base, k, PRIME)) % np.uint64(PRIME)
+        k *= 2
+    return out
+
+
+Sums = tuple[np.ndarray, np.ndarray]
+
+
+def prefix(values: np.ndarray, plus: int = 0) -> Sums:
+    """Polynomial prefix sums of values + plus, modulo 2^64 and modulo a prime; a chunk at a time.
+
+    The power of two is quick but has strings that collide for every base (Thue-Morse words); the prime has not.
+    """
+    out, rest = np.zeros(len(values) + 1, np.uint64), np.zeros(len(values) + 1, np.uint32)
+    shift, turn, p = np.uint64(1), np.uint64(1), np.uint64(PRIME)
     for k in range(0, len(values), CHUNK):
-        part = (values[k : k + CHUNK].astype(np.uint64) + np.uint64(plus)) * powers(R, CHUNK)[: len(values) - k] * shift
-        np.cumsum(part, out=out[k + 1 : k + 1 + len(part)])
-        out[k + 1 : k + 1 + len(part)] += out[k]
+        v = values[k : k + CHUNK].astype(np.uint64) + np.uint64(plus)
+        np.cumsum(v * powers(R, CHUNK)[: len(v)] * shift, out=out[k + 1 : k + 1 + len(v)])
+        out[k + 1 : k + 1 + len(v)] += out[k]
+        if values.itemsize > 2:
+            v %= p
+        low = v * (prime_powers(S, CHUNK)[: len(v)] * turn % p)
+        if values.itemsize > 2:
+            low %= p
+        rest[k + 1 : k + 1 + len(v)] = (np.cumsum(low) + np.uint64(rest[k])) % p
         shift = np.uint64(int(shift) * pow(R, CHUNK, 1 << 64) & ((1 << 64) - 1))
-    return out
+        turn = np.uint64(int(turn) * pow(S, CHUNK, PRIME) % PRIME)
+    return out, rest
+
+
+def rough(sums: Sums, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A quick hash of each stretch, equal for equal ones: to pick places by, not to compare stretches."""
+    return mix((sums[0][ends] - sums[0][starts]) * power(R_INVERSE, starts) + (ends - starts).astype(np.uint64))
 
 
-def span(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span(sums: Sums, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each stretch of values, of equal stretches wherever they stand."""
-    return mix((sums[ends] - sums[starts]) * power(R_INVERSE, starts) + (ends - starts).astype(np.uint64))
+    p = np.uint64(PRIME)
+    top = int(starts.max()) >> 16 if len(starts) else 0
+    back = prime_powers(S_INVERSE, CHUNK)[starts & (CHUNK - 1)]
+    if top:
+        back = back * prime_powers(pow(S_INVERSE, CHUNK, PRIME), 1 << (top + 1).bit_length())[starts >> 16] % p
+    own = (sums[1][ends] + p - sums[1][starts]) % p * back % p
+    return mix(rough(sums, starts, ends) + own * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 class Pack:
@@ -138,8 +179,11 @@ def pack(docs: DataFrame, size: int = PACK_BYTES) -> DataFrame:
         if ids:
             yield row(ids, rows)
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "ids array<long>, sizes binary, text binary")
-    return common.stored(rows.select(F.monotonically_increasing_id().alias("pack"), "*"), by="pack")
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    held = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = min(max(-(-held // BUCKET), min(common.partitions(docs.sparkSession), -(-held // size)), 1), MOST_BUCKETS)
+    rows = docs.mapInArrow(run, "ids array<long>, sizes binary, text binary")
+    return common.stored(rows.select(F.monotonically_increasing_id().alias("pack"), "*"), by="pack", buckets=n)
 
 
 def each(packs: DataFrame, work: Callable[[int, Pack, list[tuple[int, bytes]]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -186,18 +230,21 @@ def unjoin(raw: bytes) -> list[bytes]:
 
 
 def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, bytes, bytes, int]]]:
-    """The rows (pack, keys, extra, bucket) of one bucket after the other, in order of packs."""
-    held: dict[int, list[tuple[int, bytes, bytes, int]]] = {}
+    """The rows (pack, keys, extra, bucket) of one bucket after the other, each released before the next."""
+    held: list[tuple[int, bytes, bytes, int]] = []
     for batch in batches:
         for p, b, k, x in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-            held.setdefault(b, []).append((p, k, x, b))
-    for b in sorted(held):
-        yield sorted(held.pop(b))
+            if held and held[0][3] != b:
+                yield held
+                held = []
+            held.append((p, k, x, b))
+    if held:
+        yield held
 
 
 def dealt(asked: DataFrame, buckets: int) -> DataFrame:
-    """The entries, each bucket's in one partition."""
-    return asked.repartition(buckets, "bucket")
+    """The entries, each bucket's in one partition, in order of buckets and packs."""
+    return asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "pack")
 
 
 def answer_dealt(rows: DataFrame, answer: Callable[[list[int], list[np.ndarray], list[bytes]], list[bytes]]) -> DataFrame:
@@ -222,6 +269,6 @@ def answered(packs: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 def buckets(packs: DataFrame, per: int = 64 << 20) -> int:
-    """As many as the session's shuffle partitions, or more where a bucket would get over `per` bytes of text."""
-    size = packs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(common.partitions(packs.sparkSession), -(-3 * size // per))
+    """So many that a bucket gets at most about `per` bytes of text; the session's partitions, if there are packs for them."""
+    size, n = packs.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
+    return max(min(common.partitions(packs.sparkSession), n), -(-3 * (size or 0) // per), 1)

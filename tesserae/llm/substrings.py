@@ -20,20 +20,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from . import packs
+from . import common, packs
 from .packs import Pack
 
 WINDOW, BITS = 20, 40
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def word_sums(p: Pack) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_sums(p: Pack) -> tuple[np.ndarray, np.ndarray, np.ndarray, packs.Sums]:
     """Words (start, end, document) and the prefix sums of their hashes."""
     starts, ends, doc = p.words()
     return starts, ends, doc, packs.prefix(packs.span(packs.prefix(p.bytes, 1), starts, ends))
 
 
-def windows(sums: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def windows(sums: packs.Sums, doc: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(first word, hash) of each window of so many words within a document."""
     at = np.arange(max(0, len(doc) - size + 1))
     at = at[doc[at] == doc[at + size - 1]] if len(at) else at
@@ -48,7 +48,7 @@ def unbit(raw: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool)
 
 
-def block_keys(p: Pack, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def block_keys(p: Pack, block: int) -> tuple[np.ndarray, packs.Sums, np.ndarray, np.ndarray, np.ndarray]:
     _, _, doc, sums = word_sums(p)
     at, h = windows(sums, doc, block)
     first = np.searchsorted(doc, doc[at]) if len(at) else at  # the document's first word
@@ -137,7 +137,7 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     hit = packs.ask(packs.each(stored, probe, packs.ENTRIES), n, hits)
     seen = packs.ask(packs.each(packs.answered(stored, hit), extend, packs.ENTRIES), n, earlier)
-    return packs.each(packs.answered(stored, seen), remove, SCHEMA)
+    return common.finished(packs.each(packs.answered(stored, seen), remove, SCHEMA), stored)
 
 
 SQL = f"""

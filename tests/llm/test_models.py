@@ -156,3 +156,31 @@ def test_spans_hash_equal_stretches_alike():
     sums = packs.prefix(raw.astype(np.uint64))
     h = packs.span(sums, np.array([0, 3, 6]), np.array([3, 6, 9]))
     assert h[0] == h[1] != h[2]
+
+
+def test_thue_morse_words_hash_apart():
+    """Of these, a polynomial modulo 2^64 can't tell one from its complement, whatever its odd base."""
+    bits = np.array([bin(k).count("1") % 2 for k in range(2048)], np.uint8)
+    raw = np.concatenate([bits, 1 - bits]) + np.uint8(97)
+    sums = packs.prefix(raw)
+    at = np.array([0, 2048])
+    assert packs.rough(sums, at, at + 2048)[0] == packs.rough(sums, at, at + 2048)[1]
+    assert packs.span(sums, at, at + 2048)[0] != packs.span(sums, at, at + 2048)[1]
+    wide = np.random.default_rng(0).integers(0, 2**64, 200_000, np.uint64)
+    wide[150_000:150_100] = wide[10:110]
+    h = packs.span(packs.prefix(wide), np.array([10, 150_000, 150_001]), np.array([110, 150_100, 150_101]))
+    assert h[0] == h[1] != h[2]
+
+
+def test_short_words_hash_apart():
+    raw = np.arange(256, dtype=np.uint8)
+    at = np.arange(255)
+    h = np.concatenate([packs.span(packs.prefix(raw, 1), at, at + 1), packs.span(packs.prefix(raw, 1), at[:-1], at[:-1] + 2)])
+    assert len(np.unique(h)) == len(h)
+
+
+def test_counts_over_32_bits_survive():
+    many = np.array([3, 2**32 + 5, 2**40], np.int64)
+    assert (packs.unplanes(packs.planes(many), np.int64) == many).all()
+    uni = katz.Unigrams(2**41, 3, katz.discounts([0] * 7), 1.0, 1e-9)
+    assert uni.p(many)[2] == pytest.approx(0.5) and uni.p(many)[1] > uni.p(many)[0]
