@@ -13,8 +13,12 @@ level 2: single strings.
 A bucket of one is settled (nothing repeats); members with a common identifier are settled (all repeats); only the
 others are refined further, together with one member of each settled identifier of their bucket, which is reused for
 comparison. So exact copies are settled at level 0 whatever their number, and work remains only where repeats begin
-and end. Buckets are exchanged as hashed blobs (packs.py): each identifier once a pack, answers by bucket.
-Equality of strings is that of 64-bit hashes.
+and end. Equality of strings is that of 64-bit hashes.
+
+Members meet by (bucket, identifier), each once a pack, as hashed blobs (packs.py): a very common q-gram in unlike
+surroundings is one bucket, but is dealt out over all tasks. What a member has to know of its whole bucket, whether
+there are others and whether some open one is alone, are sums: each task adds up its own part of every bucket, and a
+second exchange by bucket adds up those parts, one a task at most.
 
 Defined cases: a null text is empty; texts shorter than `length` keep all; every row is kept and gets a result, also
 for null or repeated ids; an empty table gives no rows; other columns are ignored.
@@ -50,15 +54,9 @@ class Nodes:
     name: np.ndarray
     open: np.ndarray
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of distinct (bucket, name) in order, and the number of each node's pair."""
-        order = np.lexsort((self.name, self.bucket))
-        b, n = self.bucket[order], self.name[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (b[1:] != b[:-1]) | (n[1:] != n[:-1])
-        of = np.empty(len(order), np.int64)
-        of[order] = np.cumsum(new) - 1
-        return order[new], of
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of distinct (bucket, name) in order, a place of each, and the number of each node's pair."""
+        return np.unique(salted(self.bucket, self.name), return_index=True, return_inverse=True)
 
 
 def salted(h: np.ndarray, *numbers: np.ndarray) -> np.ndarray:
@@ -67,7 +65,7 @@ def salted(h: np.ndarray, *numbers: np.ndarray) -> np.ndarray:
     return h
 
 
-def roots(p: Pack, length: int, gram: int) -> tuple[np.ndarray, Nodes]:
+def roots(p: Pack, length: int, gram: int) -> tuple[packs.Sums, Nodes]:
     """Prefix sums of the bytes, and the runs of all anchors."""
     sums = packs.prefix(p.bytes, 1)
     n, width = len(p.bytes), length - gram + 1
@@ -75,7 +73,7 @@ def roots(p: Pack, length: int, gram: int) -> tuple[np.ndarray, Nodes]:
     if not (p.ends - p.starts >= length).any():
         return sums, Nodes(empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64), empty.astype(bool))
     grams = np.arange(n - gram + 1)
-    g = (packs.span(sums, grams, grams + gram) >> np.uint64(32) << np.uint64(32)) | grams.astype(np.uint64)
+    g = (packs.rough(sums, grams, grams + gram) >> np.uint64(32) << np.uint64(32)) | grams.astype(np.uint64)
     rows = np.full(-(-len(g) // width) * width, np.iinfo(np.uint64).max, np.uint64)
     rows[: len(g)] = g
     ahead = np.minimum.accumulate(rows.reshape(-1, width), axis=1).ravel()
@@ -97,7 +95,7 @@ def roots(p: Pack, length: int, gram: int) -> tuple[np.ndarray, Nodes]:
     return sums, Nodes(a, low, high, packs.span(sums, a, a + gram), salted(packs.span(sums, low, high + length), a - low, high - low), np.ones(len(a), bool))
 
 
-def steps(sums: np.ndarray, up: Nodes, length: int, step: int) -> Nodes:
+def steps(sums: packs.Sums, up: Nodes, length: int, step: int) -> Nodes:
     """The runs in steps of offsets from the anchor."""
     near, far = (up.anchor - up.high) // step, (up.anchor - up.low) // step
     of = np.repeat(np.arange(len(near)), far - near + 1)
@@ -108,7 +106,7 @@ def steps(sums: np.ndarray, up: Nodes, length: int, step: int) -> Nodes:
     return Nodes(a, low, high, bucket, salted(packs.span(sums, low, high + length), a - low, high - low), up.open[of])
 
 
-def strings(sums: np.ndarray, up: Nodes, length: int) -> Nodes:
+def strings(sums: packs.Sums, up: Nodes, length: int) -> Nodes:
     """The single strings."""
     n = up.high - up.low + 1
     of = np.repeat(np.arange(len(n)), n)
@@ -124,29 +122,71 @@ def select(nodes: Nodes, code: np.ndarray) -> Nodes:
     return Nodes(nodes.anchor[on], nodes.low[on], nodes.high[on], nodes.bucket[on], nodes.name[on], still)
 
 
-def refine(_, keys: list[np.ndarray], extras: list[bytes]) -> list[bytes]:
-    """A code for each (bucket, name) of each blob."""
-    parts = [packs.unplanes(x, np.dtype("u1")).reshape(-1, 9) for x in extras]
-    bucket, whole = np.concatenate(keys), np.concatenate(parts)
-    name = np.ascontiguousarray(whole[:, :8]).view(np.uint64).ravel()
-    many, opened = (whole[:, 8] & 1) > 0, (whole[:, 8] & 2) > 0
-    order = np.lexsort((name, bucket))
-    b, n = bucket[order], name[order]
-    new_b, new = np.ones(len(b), bool), np.ones(len(b), bool)
-    new_b[1:] = b[1:] != b[:-1]
-    new[1:] = new_b[1:] | (n[1:] != n[:-1])
-    of_b, of = np.cumsum(new_b) - 1, np.cumsum(new) - 1
-    weight = 1 + many[order]
-    in_b, in_pair = np.bincount(of_b, weight)[of_b], np.bincount(of, weight)[of]
-    lone = (in_b >= 2) & (in_pair < 2)
-    going = np.bincount(of_b, lone & opened[order])[of_b] > 0  # some open member of the bucket isn't settled
-    code = np.where((in_b >= 2) & (in_pair >= 2), REPEATED, 0) | np.where(lone & opened[order], OPEN, 0)
-    code |= np.where(going & ((new & (in_pair >= 2)) | (lone & ~opened[order])), SUPPLY, 0)
-    out = np.empty(len(code), np.uint8)
-    out[order] = code
+MEETING = "pack int, packs binary, sizes binary, flags binary, place binary, buckets binary, sums binary"
+PAIRED, OPENED, FIRST = 1, 2, 4  # of an entry: its identifier is there twice, it is open, it speaks for its identifier
+SHARED, GOING = 1, 2  # of a bucket: it has two members or more, and an open one among them is alone
+
+
+def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All entries of a range of (bucket, identifier): what each knows by itself, and the task's part of each bucket."""
+    for held in packs.by_bucket(batches):
+        keys = [packs.unpack_keys(r[1]) for r in held]
+        rows = np.concatenate([packs.unplanes(r[2], np.uint8).reshape(-1, 9) for r in held])
+        bucket = np.ascontiguousarray(rows[:, :8]).view(np.uint64).ravel()
+        many, opened = rows[:, 8] & 1, (rows[:, 8] & 2) > 0
+        _, first, of = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        paired = (np.bincount(of, 1 + many) >= 2)[of]
+        speaks = np.zeros(len(of), bool)
+        speaks[first] = True
+        flags = (paired * PAIRED + opened * OPENED + speaks * FIRST).astype(np.uint8)
+        own, place = np.unique(bucket, return_inverse=True)
+        members = np.minimum(np.bincount(place, 1 + many), 2)
+        alone = np.bincount(place, ~paired & opened) > 0
+        sums = (members + 4 * alone).astype(np.uint8)
+        sizes = np.array([len(k) for k in keys], np.int64)
+        columns = [packs.planes(np.array([r[0] for r in held], np.int64)), packs.planes(sizes), packs.planes(flags), packs.planes(place.astype(np.int64)), packs.pack_keys(own), packs.planes(sums)]
+        yield pa.RecordBatch.from_arrays([pa.array([held[0][3]], pa.int32()), *(pa.array([x], pa.binary()) for x in columns)], [x.split()[0] for x in MEETING.split(", ")])
+
+
+def add_up(_, keys: list[np.ndarray], extras: list[bytes]) -> list[bytes]:
+    """For each bucket of each task's part: what the parts say together."""
+    parts = np.concatenate([packs.unplanes(x, np.uint8) for x in extras])
+    _, of = np.unique(np.concatenate(keys), return_inverse=True)
+    shared = np.bincount(of, parts & 3) >= 2
+    going = shared & (np.bincount(of, (parts & 4) > 0) > 0)
+    out = (shared * SHARED + going * GOING).astype(np.uint8)[of]
     return [packs.planes(x) for x in np.split(out, np.cumsum([len(k) for k in keys])[:-1])]
 
 
+def verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pack, bucket, answer): a code for each entry that a pack sent to a task."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            flags, place = packs.unplanes(r["flags"], np.uint8), packs.unplanes(r["place"], np.int64)
+            known = np.concatenate([packs.unplanes(a["answer"], np.uint8) for a in r["answers"]])[place]
+            paired, opened, speaks = ((flags & x) > 0 for x in (PAIRED, OPENED, FIRST))
+            lone = ((known & SHARED) > 0) & ~paired
+            code = paired * REPEATED | (lone & opened) * OPEN | (((known & GOING) > 0) & ((paired & speaks) | (lone & ~opened))) * SUPPLY
+            names, sizes = packs.unplanes(r["packs"], np.int64), packs.unplanes(r["sizes"], np.int64)
+            answers = [packs.planes(x) for x in np.split(code.astype(np.uint8), np.cumsum(sizes)[:-1])]
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([r["pack"]] * len(names), pa.int32()), pa.array(answers, pa.binary())], ["pack", "bucket", "answer"])
+
+
+def refine(asked: DataFrame, n: int) -> DataFrame:
+    """(pack, bucket, answer) to what the packs asked."""
+    met = common.stored(packs.dealt(asked, n).mapInArrow(meet, MEETING))
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for task, buckets, sums in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                sums = packs.unplanes(sums, np.uint8)
+                yield packs.entries(task, packs.unpack_keys(buckets), 64, n, lambda s: packs.planes(sums[s]))  # noqa: B023
+
+    told = packs.ask(met.select("pack", "buckets", "sums").mapInArrow(parts, packs.ENTRIES), n, add_up)
+    rows = packs.answered(met, told).select("pack", "packs", "sizes", "flags", "place", "answers")
+    return rows.mapInArrow(verdicts, "pack long, bucket int, answer binary")
+
+
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, step: int = STEP, size: int = PACK_BYTES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row of docs."""
     stored = packs.pack(docs, size)
@@ -158,7 +198,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, step: int = S
         for level in range(upto + 1):
             code = None
             if level < upto:
-                at, of = nodes.pairs()
+                _, _, of = nodes.pairs()
                 own = [raw for b, raw in answers if b // n == level]
                 code = np.concatenate([packs.unplanes(x, np.uint8) for x in own])[of] if own else np.empty(0, np.uint8)
             yield nodes, code
@@ -171,11 +211,10 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, step: int = S
             *_, (nodes, _) = levels(p, answers, level)
             if not len(nodes.bucket):
                 return
-            at, of = nodes.pairs()
+            keys, at, of = nodes.pairs()
             flags = (np.bincount(of) > 1).astype(np.uint8) | ((np.bincount(of, nodes.open) > 0).astype(np.uint8) << 1)
-            rows = np.hstack([nodes.name[at].view(np.uint8).reshape(-1, 8), flags[:, None]])
-            batch = packs.entries(pack, nodes.bucket[at], 64, n, lambda s: packs.planes(np.ascontiguousarray(rows[s]).ravel()))
-            yield batch
+            rows = np.hstack([nodes.bucket[at].view(np.uint8).reshape(-1, 8), flags[:, None]])
+            yield packs.entries(pack, keys, 64, n, lambda s: packs.planes(np.ascontiguousarray(rows[s]).ravel()))
 
         return work
 
@@ -200,8 +239,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, step: int = S
 
     told, at = None, stored
     for level in range(3):
-        got = packs.ask(packs.each(at, ask(level), packs.ENTRIES), n, refine).withColumn("bucket", (F.col("bucket") + level * n).cast("int"))
+        got = refine(packs.each(at, ask(level), packs.ENTRIES), n).withColumn("bucket", (F.col("bucket") + level * n).cast("int"))
         got = common.stored(got)
         told = got if told is None else told.unionByName(got)
         at = packs.answered(stored, told)
-    return packs.each(at, remove, SCHEMA)
+    return common.finished(packs.each(at, remove, SCHEMA), stored)
