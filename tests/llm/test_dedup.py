@@ -55,9 +55,44 @@ def test_simhash_of_nothing(none):
     assert simhash.near_dedup(none).collect() == [] and simhash.keep_one(none).collect() == []
 
 
-def test_keep_one_keeps_the_first_of_each_component(odd, odd_rows):
-    kept = Counter(r.doc_id for r in simhash.keep_one(odd).collect())
-    assert kept == Counter(i for (i, _, c), n in components(odd_rows).items() for _ in range(n) if i is None or i == c)
+def alike(a, b):
+    """The Jaccard coefficient of two texts' sets of five-word shingles."""
+    sets = []
+    for t in (a, b):
+        w = (t or "").encode().lower().split()
+        sets.append({b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    return 1.0 if sets[0] == sets[1] else len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+@pytest.mark.parametrize("tile", [3, 1000])
+def test_keep_one_keeps_one_of_each_group(odd, odd_rows, spark, tile):
+    kept = simhash.keep_one(odd, tile=tile)
+    assert kept.columns == odd.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    for k, (i, t) in enumerate(got):
+        assert not any(alike(t, u) >= 0.9 for _, u in got[:k])
+        assert i is None or all(j is None or j >= i or alike(t, u) < 0.9 for j, u, *_ in odd_rows)
+    assert all(any(alike(t, u) > 0.7 for _, u in got) for _, t, *_ in odd_rows)
+    many = spark.createDataFrame([(None, "one two three four five six")] * 3 + [(7, "one two three four five six")] * 2 + [(None, "a b")] * 2, "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text) for r in simhash.keep_one(many, tile=tile).collect()) == [(0, "a b"), (7, "one two three four five six")]
+
+
+def test_near_copies_are_found_at_their_similarity(spark):
+    """Recall at 0.85 and above, and precision at 0.75 and below, against exact Jaccard."""
+    import random
+
+    r = random.Random(11)
+    rows, vocabulary = [], [f"w{k}" for k in range(500)]
+    for i in range(150):
+        w = [r.choice(vocabulary) for _ in range(r.randint(40, 400))]
+        rows.append((2 * i, " ".join(w)))
+        for k in r.sample(range(len(w)), max(1, int(len(w) * r.choice([0.005, 0.01, 0.02, 0.05, 0.1])))):
+            w[k] = "x" + w[k]
+        rows.append((2 * i + 1, " ".join(w)))
+    kept = {x.doc_id for x in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = [(alike(rows[2 * i][1], rows[2 * i + 1][1]), 2 * i + 1 not in kept) for i in range(150)]
+    near, far = [x for j, x in got if j >= 0.85], [x for j, x in got if j < 0.7]
+    assert len(near) > 30 and np.mean(near) >= 0.9 and len(far) > 20 and np.mean(far) <= 0.02
 
 
 def test_components_of_long_paths_and_stars(spark):
