@@ -5,11 +5,12 @@ documented sample that does not depend on partitioning), of each an eighth of `d
 text doesn't fill it, and concatenates their words to `dict_bytes` at most. These bounds are on fitting alone.
 Of a whole text, the distinct lower-cased words (in order of appearance, letters only) are compressed with each
 dictionary, so repetition doesn't drown the evidence; the score is the relative margin between the best and the
-second-best size, and a text is rejected where that is below `margin`.
+second-best size, and a text is rejected where that is below `margin`. Of every text, whatever its length, the words
+are said TIMES over: zstandard stores what it can't shrink and would hide the size of a few words said once.
 
 Defined cases: a null text, or one without letters, is `und` with score 0; an empty training set makes every text
 `und`; with a single language the score of every text with letters is 1; ties go to the smaller language name;
-rows of a null lang are not learned from; repeated rows and null ids are kept; other columns are ignored.
+rows of a null lang, or without letters, are not learned from; repeated rows and null ids are kept; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DICT_BYTES, PER_LANG, LEVEL, MARGIN = 16 * 1024, 96, 5, 0.004
-UNKNOWN, SHORT = "und", 256
+UNKNOWN, TIMES = "und", 8
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -32,9 +33,8 @@ def words(text: str) -> bytes:
 
 
 def probe(text: str) -> bytes:
-    """What is compressed: a few words are said again, as zstandard stores what it can't shrink and hides its size."""
-    raw = words(text)
-    return raw * 8 if len(raw) < SHORT else raw
+    """What is compressed."""
+    return words(text) * TIMES
 
 
 def packers(content: dict[str, bytes], level: int = LEVEL) -> list[zstandard.ZstdCompressor]:
@@ -50,7 +50,7 @@ def packers(content: dict[str, bytes], level: int = LEVEL) -> list[zstandard.Zst
 
 def dictionaries(docs: DataFrame, train: Column, dict_bytes: int = DICT_BYTES, per_lang: int = PER_LANG) -> dict[str, bytes]:
     """Language -> dictionary content, from the rows where train holds; per_lang texts of dict_bytes at most each."""
-    rows = docs.where(train & F.col("lang").isNotNull() & (F.length("text") >= 20)).select("doc_id", "lang", "text")
+    rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text")
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
     # Only the cut texts of the sample leave the scan: row_number() <= k keeps k rows a language in each task.
     rows = rows.select("doc_id", "lang", F.substring("text", 1, dict_bytes // 8).alias("text"))
@@ -86,7 +86,7 @@ def detector(content: dict[str, bytes], level: int = LEVEL):
 
 
 def identify(docs: DataFrame, content: dict[str, bytes], level: int = LEVEL, margin: float = MARGIN) -> DataFrame:
-    """(doc_id, lang_pred, score, rejected) for each row of docs."""
+    """(doc_id, lang_pred, score, rejected) for each row of docs; rejected where the margin is too narrow."""
     rows = docs.select("doc_id", detector(content, level)(F.col("text")).alias("v"))
     return rows.select("doc_id", "v.lang_pred", "v.score", ((F.col("v.lang_pred") == UNKNOWN) | (F.col("v.score") < margin)).alias("rejected"))
 

@@ -56,11 +56,8 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    out = langid.held_out(docs)
-    content = langid.dictionaries(docs, ~out)
-    v = langid.detector(content)(F.col("text"))
-    rows = docs.select("doc_id", out.alias("held_out"), v.alias("v"))
-    return rows.select("doc_id", "held_out", "v.lang_pred", "v.score")
+    found = langid.identify(docs, langid.dictionaries(docs, ~langid.held_out(docs)))
+    return found.select("doc_id", langid.held_out(found).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_katz, op3_substrings, op4_toxicity, op5_shards, op6_suffixes, op7_top_k, op8_decontaminate, op9_mix, op10_language)}
