@@ -139,6 +139,26 @@ def test_shards_of_nothing(none, odd):
     assert len({r.shard for r in sharding.shard(odd, capacity=40_000).collect()}) == 2
 
 
+@pytest.mark.parametrize("cell", [500, 4])
+def test_no_shard_is_over_its_capacity(spark, cell, monkeypatch):
+    monkeypatch.setattr(sharding, "CELL_GROUPS", cell)
+    monkeypatch.setattr(sharding, "GRAIN", 2)
+    r = random.Random(2)
+    rows = [(i, "x" * (r.choice([30, 55, 62, 91]) - len(str(i)) - 1) + str(i)) for i in range(60)] + [(99, "y" * 250)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), capacity=100).collect()
+    size = Counter()
+    for x in got:
+        size[x.shard] += x["size"]
+    assert len(got) == 61 and all(v <= 100 or (v == 251 and k == next(x.shard for x in got if x.doc_id == 99)) for k, v in size.items())
+    assert sorted(size) == list(range(len(size))) or len(size) <= 61
+
+
+def test_best_fit_opens_bins():
+    room = [10]
+    assert sharding.best_fit([8, 7, 3, 2], room, strict=True, capacity=10) == [0, 1, 1, 0] and room == [0, 0]
+    assert sharding.best_fit([8, 7, 2], [10], strict=True) == [0, -1, 0]
+
+
 def test_best_fit_against_a_plain_search():
     r = random.Random(0)
     for _ in range(200):
