@@ -5,20 +5,23 @@ word <name>, any other word its lower-case form; punctuation is dropped. Windows
 `words - slots` literal ones are hashed and joined with the item's windows. A match also says what each slot holds
 on both sides: along one alignment of an item with a document, each item value has to stand for one document value
 throughout (consistent slots), so a question asked again with other numbers or names is caught and a chance meeting
-of templates is not. An item is leaked into a document where aligned windows cover `coverage` of its windows.
-
-With `verbatim` (the pipeline), windows are also joined by their lower-case words, slot-heavy ones included: these
-count wherever they meet, so a copy in capitals, or of an item in capitals, is found. An item is then leaked as well
-where windows of either kind cover `coverage` of all its windows. Consistency is then looked at in the windows that
-differ only, whatever the case, and an item value that stands for several document values takes away those of them
-that hold it, not the alignment. Without it the result is that of SQL.
-
-The document side is streamed through the join without a shuffle while the benchmark's windows are fewer than
-`most` (checked by a count); beyond that both sides are shuffled by hash. Only matched windows are grouped.
-
-Defined cases: null or empty texts have no windows; items with fewer tokens than a window can't be matched; rows
-that share a doc_id, null ids included, are judged as one document; repeated items count once for each item_id; an
-empty table on either side gives no rows; other columns are ignored.
+of templates is not. An item value that stands for several document values takes away those windows that hold it and
+differ from the item; case never makes a difference.
+
+Windows are also joined by their lower-case words, slot-heavy ones included: these count wherever they meet, so a copy
+in capitals, in lower case, or of an item of numbers or in capitals, is found. An item of fewer tokens than a window is
+one window of all its tokens. An item is leaked into a document where matched windows cover `coverage` of those that
+may match by template, or windows of either kind `coverage` of all. (So an item of slots only is found verbatim, in any
+case, but not under other numbers: such a template says nothing.)
+
+Each token is hashed once and a window's hash is combined from its tokens'; templates and words are compared only where
+hashes meet. The document side is streamed through the join without a shuffle while the benchmark's windows are fewer
+than `most` and their bytes under `most_bytes` (both counted); beyond that both sides are shuffled by hash, where AQE
+splits a hot one. Only matched windows are grouped.
+
+Defined cases: null or empty texts have no windows; rows that share a doc_id, null ids included, are judged as one
+document; repeated items count once for each item_id; an empty table on either side gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -28,79 +31,108 @@ from pyspark.sql import functions as F
 
 from . import common
 
-WORDS, SLOTS, COVERAGE, MOST = 5, 2, 0.8, 500_000
+WORDS, SLOTS, COVERAGE, MOST, MOST_BYTES = 5, 2, 0.8, 500_000, 128 << 20
 TOKEN = r"\p{N}+(?:[.,]\p{N}+)*|\p{L}[\p{L}\p{M}]*|[%$€£°]"
 # The units that are recognised after a number.
 UNITS = "mm cm m km g kg mg t lb lbs oz in ft yd mi mph kmh s sec min h hr hrs ms l ml gal % $ € £ ° c f k usd eur gbp dollars euros cents percent inches feet yards miles meters metres kilometers kilometres grams kilograms pounds ounces liters litres seconds minutes hours days weeks months years degrees".split()
 
 
-def canonical(raw: Column) -> Column:
-    """The template of an array of tokens."""
+SLOT = ("<num>", "<unit>", "<name>")
+
 
-    def form(token: Column, at: Column) -> Column:
+def kinds(raw: Column) -> Column:
+    """The slot that each of an array of tokens is (1 to 3, as in SLOT), or null for a literal one."""
+
+    def kind(token: Column, at: Column) -> Column:
         first = F.substring(token, 1, 1)
         previous = F.substring(F.get(raw, at - 1), 1, 1)
-        low = F.lower(token)
         return (
-            F.when(first.between("0", "9"), "<num>")
-            .when((at > 0) & previous.between("0", "9") & low.isin(UNITS), "<unit>")
-            .when(first != F.lower(first), "<name>")
-            .otherwise(low)
+            F.when(first.between("0", "9"), 1)
+            .when((at > 0) & previous.between("0", "9") & F.lower(token).isin(UNITS), 2)
+            .when(first != F.lower(first), 3)
         )
 
-    return F.transform(raw, form)
+    return F.transform(raw, kind)
+
+
+def template(low: Column, kind: Column) -> Column:
+    return F.zip_with(low, kind, lambda x, k: F.when(k == 1, SLOT[0]).when(k == 2, SLOT[1]).when(k == 3, SLOT[2]).otherwise(x))
 
 
-def windows(rows: DataFrame, key: str, words: int, verbatim: bool = False) -> DataFrame:
-    """(key, raw, template, hashes): hashes[i] is that of the window that starts at token i; null if there is none.
+def rolled(hashes: Column, n: int) -> Column:
+    """The combined hash of each run of n hashes; what starts too late for a whole run has to be cut off."""
+    if n == 1:
+        return hashes
+    half = rolled(hashes, n // 2)
+    pairs = F.zip_with(half, F.slice(half, n // 2 + 1, 2_000_000_000), lambda x, y: F.xxhash64(x, y))
+    return pairs if n % 2 == 0 else F.zip_with(pairs, F.slice(hashes, n, 2_000_000_000), lambda x, y: F.xxhash64(x, y))
+
+
+def tokens(rows: DataFrame, key: str) -> DataFrame:
+    """(key, raw, kind, low, said): tokens, their slots, and the hashes of their lower-case forms."""
+    raw = F.regexp_extract_all(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(TOKEN), F.lit(0))
+    rows = rows.select(F.col(key).cast("long").alias(key), raw.alias("raw"))
+    rows = rows.withColumn("kind", kinds(F.col("raw")))
+    return rows.withColumn("said", F.transform("raw", lambda x: F.xxhash64(F.lower(x))))
+
+
+def hashes(rows: DataFrame, words: int, short: list[int]) -> DataFrame:
+    """rows of tokens() with an array of the hashes of all windows: by template, by words, then of each short length.
 
-    With verbatim, the hashes of the windows of lower-case tokens follow (and template goes on with those tokens).
     Explode these with the outer form: a filter that Catalyst infers for the inner one, or any filter here, would be
     pushed below the projections and work out the tokens again inside every step of the lambdas.
     """
-    rows = rows.select(F.col(key).cast("long").alias(key), F.regexp_extract_all(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(TOKEN), F.lit(0)).alias("raw"))
-    rows = rows.withColumn("template", canonical(F.col("raw")))
-    last = F.size("raw") - words + 1
-    starts = F.sequence(F.lit(1), last)
-    if verbatim:
-        rows = rows.withColumn("template", F.concat("template", F.transform("raw", F.lower)))
-        starts = F.concat(starts, F.transform(starts, lambda i: i + F.size("raw")))
-    return rows.withColumn("hashes", F.when(last > 0, F.transform(starts, lambda i: F.xxhash64(F.slice("template", i, words)))))
+    formed = F.zip_with("said", "kind", lambda h, k: F.coalesce(k.cast("long"), h))
+    parts = [F.slice(rolled(x, n), 1, F.greatest(F.size("raw") - n + 1, F.lit(0))) for x, n in ((formed, words), (F.col("said"), words), *((F.col("said"), n) for n in short))]
+
+    def salted(part: Column, k: int) -> Column:
+        return F.transform(part, lambda h: F.xxhash64(h, F.lit(k)))
+
+    return rows.withColumn("hashes", F.concat(parts[0], *(salted(x, k + 1) for k, x in enumerate(parts[1:]))))
 
 
-def place(at: str, words: int) -> tuple[Column, Column, Column]:
-    """Of the hash numbered at: whether it is of lower-case tokens, its window's token, and that token's place in template."""
-    last = F.size("raw") - words + 1
-    equal = F.col(at) >= last
-    return equal, F.when(equal, F.col(at) - last).otherwise(F.col(at)), F.when(equal, F.col(at) + words - 1).otherwise(F.col(at))
+def place(at: Column, words: int, short: list[int]) -> tuple[Column, Column]:
+    """Of the hash numbered at: the part it is in, and its window's first token."""
+    part, first, begin = F.lit(0), at, F.lit(0)
+    for k, n in enumerate([words, words, *short]):
+        part, first = F.when(at >= begin, k).otherwise(part), F.when(at >= begin, at - begin).otherwise(first)
+        begin = begin + F.greatest(F.size("raw") - n + 1, F.lit(0))
+    return part, first
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, slots: int = SLOTS, coverage: float = COVERAGE, most: int = MOST, verbatim: bool = False) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, slots: int = SLOTS, coverage: float = COVERAGE, most: int = MOST, most_bytes: int = MOST_BYTES) -> DataFrame:
     """(doc_id, item_id, matched, windows, coverage, reworded): each item leaked into each document."""
-    item = windows(benchmark, "item_id", words, verbatim)
-    item = item.select("item_id", "raw", "template", F.posexplode_outer("hashes").alias("n", "hash"))
-    equal, at, start = place("n", words)
-    item = item.select("item_id", equal.alias("equal"), at.alias("at"), "hash", F.slice("template", start + 1, words).alias("window"), F.slice("raw", at + 1, words).alias("said"))
-    item = common.cut(item).where("hash IS NOT NULL")
+    item = common.cut(tokens(benchmark, "item_id"))
+    short = sorted(r[0] for r in item.select(F.size("raw").alias("n")).where(F.col("n").between(1, words - 1)).distinct().collect())
+    low = F.transform("raw", F.lower)
+    item = hashes(item, words, short).select("item_id", "raw", low.alias("low"), template(low, F.col("kind")).alias("template"), F.posexplode_outer("hashes").alias("n", "hash"))
+    part, at = place(F.col("n"), words, short)
+    size = F.element_at(F.array(*map(F.lit, [words, words, *short])), F.col("part") + 1)
+    item = item.select("item_id", "raw", "low", "template", part.alias("part"), at.alias("at"), "hash").withColumn("size", size)
+    window = F.when(F.col("part") == 0, F.slice("template", F.col("at") + 1, F.col("size"))).otherwise(F.slice("low", F.col("at") + 1, F.col("size")))
+    item = item.select("item_id", "part", "at", "size", "hash", F.size("raw").alias("whole"), window.alias("window"), F.slice("low", F.col("at") + 1, F.col("size")).alias("said"))
+    item = common.cut(item).where("hash IS NOT NULL AND (part < 2 OR whole = size)").drop("whole")
     item = common.cut(item.where(F.size(F.filter("window", lambda x: x.startswith("<"))) <= slots).distinct())
-    totals = item.groupBy("item_id", "at").agg(F.min("equal").alias("equal")).groupBy("item_id").agg(F.count_if(~F.col("equal")).alias("windows"), F.count(F.lit(1)).alias("all_windows"))
-    doc = windows(docs, "doc_id", words, verbatim)
-    doc = doc.select("doc_id", "raw", "template", F.posexplode_outer("hashes").alias("n", "hash"))
-    met = doc.join(F.broadcast(item) if item.count() <= most else item, "hash")
-    _, pos, start = place("n", words)
-    met = met.where(F.slice("template", start + 1, words) == F.col("window"))
-    pairs = F.arrays_zip("window", F.col("said").alias("said"), F.slice("raw", pos + 1, words).alias("seen"))
-    pairs = F.filter(pairs, lambda x: x["window"].startswith("<"))
-    form = F.lower if verbatim else lambda x: x
-    met = common.cut(met.select("doc_id", "item_id", "equal", "at", (pos - F.col("at")).alias("shift"), F.transform(pairs, lambda x: F.struct(form(x["said"]).alias("said"), form(x["seen"]).alias("seen"))).alias("slots")))
+    equal = F.col("part") > 0
+    totals = item.groupBy("item_id", "at").agg(F.min(equal).alias("equal")).groupBy("item_id").agg(F.count_if(~F.col("equal")).alias("windows"), F.count(F.lit(1)).alias("all_windows"))
+    n, held = item.agg(F.count(F.lit(1)), F.sum(64 + 2 * F.octet_length(F.array_join("said", "")) + 32 * F.col("size"))).first()
+    doc = hashes(tokens(docs, "doc_id"), words, short).select("doc_id", "raw", "kind", F.posexplode_outer("hashes").alias("n", "hash"))
+    met = doc.join(F.broadcast(item) if n <= most and (held or 0) <= most_bytes else item, "hash")
+    own_part, pos = place(F.col("n"), words, short)
+    seen = F.transform(F.slice("raw", pos + 1, F.col("size")), F.lower)
+    form = F.when(equal, seen).otherwise(template(seen, F.slice("kind", pos + 1, F.col("size"))))
+    met = met.where((own_part == F.col("part")) & (form == F.col("window")))
+    pairs = F.filter(F.arrays_zip("window", F.col("said").alias("said"), seen.alias("seen")), lambda x: x["window"].startswith("<"))
+    pairs = F.transform(pairs, lambda x: F.struct(x["said"].alias("said"), x["seen"].alias("seen")))
+    met = common.cut(met.select("doc_id", "item_id", equal.alias("equal"), "at", (pos - F.col("at")).alias("shift"), pairs.alias("slots")))
     along = ["doc_id", "item_id", "shift"]
-    differs = F.exists("slots", lambda x: x["said"] != x["seen"]) if verbatim else F.lit(True)
+    differs = F.exists("slots", lambda x: x["said"] != x["seen"])
     filled = met.where(differs).select(*along, F.explode("slots").alias("slot")).groupBy(*along, "slot.said").agg(F.min("slot.seen").alias("low"), F.max("slot.seen").alias("high"))
     torn = filled.groupBy(*along).agg(F.collect_set(F.when(F.col("low") != F.col("high"), F.col("said"))).alias("torn"), F.max(F.col("low") != F.col("said")).alias("reworded")).select(*(F.col(c).alias(f"_{c}") for c in along), "torn", "reworded")
     match = F.lit(True)
     for c in along:
         match = match & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    gone = differs & F.arrays_overlap(F.col("slots")["said"], "torn") if verbatim else F.size("torn") > 0
+    gone = differs & F.arrays_overlap(F.col("slots")["said"], "torn")
     met = met.join(torn, match, "left").where(~F.coalesce(gone, F.lit(False)))
     found = met.groupBy("doc_id", F.col("item_id").alias("_item"), "at").agg(F.min("equal").alias("equal"), F.max(F.coalesce("reworded", F.lit(False)) & ~F.col("equal")).alias("reworded"))
     found = found.groupBy("doc_id", "_item").agg(F.count_if(~F.col("equal")).alias("matched"), F.count(F.lit(1)).alias("all_matched"), F.max("reworded").alias("reworded"))
@@ -122,26 +154,38 @@ def _side(table: str, key: str) -> str:
     units = ", ".join(f"'{u}'" for u in UNITS)
     return f"""
 {key}_raw AS (SELECT CAST({key} AS BIGINT) AS {key}, regexp_extract_all(coalesce(text, ''), '{TOKEN}') AS raw FROM {table}),
-{key}_tok AS (SELECT {key}, raw, [CASE WHEN raw[i][1] BETWEEN '0' AND '9' THEN '<num>'
+{key}_tok AS MATERIALIZED (SELECT {key}, [lower(x) FOR x IN raw] AS low, [CASE WHEN raw[i][1] BETWEEN '0' AND '9' THEN '<num>'
     WHEN i > 1 AND raw[i - 1][1] BETWEEN '0' AND '9' AND lower(raw[i]) IN ({units}) THEN '<unit>'
-    WHEN raw[i][1] <> lower(raw[i][1]) THEN '<name>' ELSE lower(raw[i]) END FOR i IN range(1, len(raw) + 1)] AS template
-    FROM {key}_raw WHERE len(raw) >= {WORDS}),
-{key}_pos AS (SELECT *, unnest(range(0, len(raw) - {WORDS} + 1)) AS pos FROM {key}_tok),
-{key}_win AS (SELECT {key}, pos, template[pos + 1 : pos + {WORDS}] AS tpl, raw[pos + 1 : pos + {WORDS}] AS said FROM {key}_pos)"""
+    WHEN raw[i][1] <> lower(raw[i][1]) THEN '<name>' ELSE lower(raw[i]) END FOR i IN range(1, len(raw) + 1)] AS template FROM {key}_raw),
+{key}_pos AS (SELECT *, unnest(range(0, len(low) - {WORDS} + 1)) AS pos FROM {key}_tok WHERE len(low) >= {WORDS})"""
 
 
 SQL = f"""
 WITH {_side("documents", "doc_id")}, {_side("benchmark", "item_id")},
-item AS (SELECT DISTINCT * FROM item_id_win WHERE len([x FOR x IN tpl IF x[1] = '<']) <= {SLOTS}),
-met AS (SELECT DISTINCT d.doc_id, i.item_id, i.pos AS place, d.pos - i.pos AS shift, i.tpl, i.said, d.said AS seen
-        FROM doc_id_win d JOIN item i ON d.tpl = i.tpl),
+short AS (SELECT DISTINCT len(low) AS n FROM item_id_tok WHERE len(low) BETWEEN 1 AND {WORDS - 1}),
+item AS (SELECT DISTINCT item_id, pos AS place, false AS equal, template[pos + 1 : pos + {WORDS}] AS win, low[pos + 1 : pos + {WORDS}] AS said FROM item_id_pos
+         WHERE len([x FOR x IN template[pos + 1 : pos + {WORDS}] IF x[1] = '<']) <= {SLOTS}
+         UNION SELECT item_id, pos, true, low[pos + 1 : pos + {WORDS}], low[pos + 1 : pos + {WORDS}] FROM item_id_pos
+         UNION SELECT item_id, 0, true, low, low FROM item_id_tok WHERE len(low) BETWEEN 1 AND {WORDS - 1}),
+win AS (SELECT doc_id, pos, false AS equal, template[pos + 1 : pos + {WORDS}] AS win, low[pos + 1 : pos + {WORDS}] AS seen FROM doc_id_pos
+        UNION ALL SELECT doc_id, pos, true, low[pos + 1 : pos + {WORDS}], low[pos + 1 : pos + {WORDS}] FROM doc_id_pos
+        UNION ALL SELECT doc_id, pos, true, low[pos + 1 : pos + n], low[pos + 1 : pos + n] FROM (SELECT *, unnest(range(0, len(low) - n + 1)) AS pos FROM doc_id_tok, short WHERE len(low) >= n)),
+met AS MATERIALIZED (SELECT DISTINCT d.doc_id, i.item_id, i.place, d.pos - i.place AS shift, i.equal, i.win, i.said, d.seen,
+        NOT i.equal AND i.said <> d.seen AS differs FROM win d JOIN item i ON d.equal = i.equal AND d.win = i.win),
 slot AS (SELECT doc_id, item_id, shift, said[k] AS said, min(seen[k]) AS low, max(seen[k]) AS high
-         FROM (SELECT *, unnest(range(1, {WORDS} + 1)) AS k FROM met) WHERE tpl[k][1] = '<' GROUP BY ALL),
-torn AS (SELECT doc_id, item_id, shift, bool_or(low <> high) AS torn, bool_or(low <> said) AS reworded FROM slot GROUP BY ALL),
-found AS (SELECT m.doc_id, m.item_id, count(DISTINCT place) AS matched, bool_or(coalesce(reworded, false)) AS reworded
-          FROM met m LEFT JOIN torn t ON m.doc_id IS NOT DISTINCT FROM t.doc_id AND m.item_id IS NOT DISTINCT FROM t.item_id AND m.shift = t.shift
-          WHERE NOT coalesce(torn, false) GROUP BY ALL),
-totals AS (SELECT item_id, count(DISTINCT pos) AS windows FROM item GROUP BY item_id)
-SELECT doc_id, f.item_id, matched, windows, round(matched / windows::DOUBLE, 6) AS coverage, reworded
-FROM found f JOIN totals t ON f.item_id IS NOT DISTINCT FROM t.item_id WHERE matched / windows::DOUBLE >= {COVERAGE}
+         FROM (SELECT *, unnest(range(1, len(win) + 1)) AS k FROM met WHERE differs) WHERE win[k][1] = '<' GROUP BY ALL),
+torn AS (SELECT doc_id, item_id, shift, list(said) FILTER (low <> high) AS torn, bool_or(low <> said) AS reworded FROM slot GROUP BY ALL),
+kept AS (SELECT m.*, coalesce(reworded, false) AS reworded
+         FROM met m LEFT JOIN torn t ON m.doc_id IS NOT DISTINCT FROM t.doc_id AND m.item_id IS NOT DISTINCT FROM t.item_id AND m.shift = t.shift
+         WHERE NOT (differs AND list_has_any([m.said[k] FOR k IN range(1, len(m.said) + 1) IF m.win[k][1] = '<'], coalesce(torn, [])))),
+found AS (SELECT doc_id, item_id, place, bool_and(equal) AS equal, bool_or(reworded AND NOT equal) AS reworded FROM kept GROUP BY ALL),
+sums AS (SELECT doc_id, item_id, count(*) FILTER (NOT equal) AS matched, count(*) AS all_matched, bool_or(reworded) AS reworded FROM found GROUP BY ALL),
+totals AS (SELECT item_id, count(*) FILTER (NOT equal) AS windows, count(*) AS all_windows
+           FROM (SELECT item_id, place, bool_and(equal) AS equal FROM item GROUP BY ALL) GROUP BY item_id),
+best AS (SELECT doc_id, s.item_id, reworded, CASE WHEN windows > 0 AND matched / windows::DOUBLE >= all_matched / all_windows::DOUBLE AND
+           (matched / windows::DOUBLE > all_matched / all_windows::DOUBLE OR matched > all_matched) THEN matched ELSE all_matched END AS matched,
+         CASE WHEN windows > 0 AND matched / windows::DOUBLE >= all_matched / all_windows::DOUBLE AND
+           (matched / windows::DOUBLE > all_matched / all_windows::DOUBLE OR matched > all_matched) THEN windows ELSE all_windows END AS windows
+         FROM sums s JOIN totals t ON s.item_id IS NOT DISTINCT FROM t.item_id)
+SELECT doc_id, item_id, matched, windows, round(matched / windows::DOUBLE, 6) AS coverage, reworded FROM best WHERE matched / windows::DOUBLE >= {COVERAGE}
 """

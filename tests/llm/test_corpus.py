@@ -35,20 +35,19 @@ def leaky(spark):
     return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(0, ITEM), (1, "too short"), (2, None), (3, noise())], "item_id long, text string")
 
 
-@pytest.mark.parametrize("most", [500_000, 0])
-def test_leaks_are_found_by_template(leaky, most):
-    got = {(r.doc_id, r.item_id): r.reworded for r in decontam.leaks(*leaky, most=most).collect()}
-    assert got == {(2, 0): False, (3, 0): True, (None, 0): False}
-
-
 def test_leaks_match_sql(leaky):
     docs, bench = leaky
     assert rows_of(decontam.leaks(docs, bench)) == duck(decontam.SQL, documents=docs, benchmark=bench)
+    more = docs.union(docs.sparkSession.createDataFrame([(20, "so 10 20 30 40 50 60 70 80 90 it is Too short"), (21, ITEM.lower()), (22, ITEM.replace("30", "31").replace("Alice", "Eve"))], docs.schema))
+    hard = bench.union(docs.sparkSession.createDataFrame([(10, "10 20 30 40 50 60 70 80 90"), (11, ITEM.upper()), (12, "a"), (0, ITEM)], bench.schema))
+    got = rows_of(decontam.leaks(more, hard))
+    assert got == duck(decontam.SQL, documents=more, benchmark=hard)
+    assert {(20, 10), (20, 1), (21, 0), (21, 11), (22, 0)} <= {r[:2] for r in got}
 
 
 def test_clean_documents_are_kept(leaky, none, odd):
     docs, bench = leaky
-    assert Counter(r.doc_id for r in decontam.keep_clean(docs, bench).collect()) == Counter([1, 4, 5, 6, 7, 8])
+    assert Counter(r.doc_id for r in decontam.keep_clean(docs, bench).collect()) == Counter([1, 4, 5, 6, 7])
     assert decontam.leaks(none, bench).collect() == [] and decontam.leaks(docs, bench.limit(0)).collect() == []
     assert decontam.keep_clean(odd, bench).count() == odd.count()
 
@@ -56,11 +55,11 @@ def test_clean_documents_are_kept(leaky, none, odd):
 @pytest.mark.parametrize("most", [500_000, 0])
 def test_verbatim_copies_are_leaks_in_any_case(leaky, spark, most):
     docs, bench = leaky
-    got = {(r.doc_id, r.item_id): r.reworded for r in decontam.leaks(docs, bench, most=most, verbatim=True).collect()}
+    got = {(r.doc_id, r.item_id): r.reworded for r in decontam.leaks(docs, bench, most=most).collect()}
     assert got == {(2, 0): False, (3, 0): True, (None, 0): False, (8, 0): False}
     shouted = spark.createDataFrame([(0, ITEM.upper()), (1, "10 20 30 40 50 60 70 80 90")], "item_id long, text string")
     more = docs.union(spark.createDataFrame([(9, "so 10 20 30 40 50 60 70 80 90"), (10, "10 20 30 41 50 60 71 80 90")], docs.schema))
-    assert {(r.doc_id, r.item_id, r.coverage) for r in decontam.leaks(more, shouted, most=most, verbatim=True).collect()} == {(2, 0, 1.0), (None, 0, 1.0), (8, 0, 1.0), (9, 1, 1.0)}
+    assert {(r.doc_id, r.item_id, r.coverage) for r in decontam.leaks(more, shouted, most=most).collect()} == {(2, 0, 1.0), (None, 0, 1.0), (8, 0, 1.0), (9, 1, 1.0)}
 
 
 def test_pipeline_drops_shouted_copies(leaky, spark, tmp_path):
@@ -73,7 +72,7 @@ def test_an_inconsistent_slot_takes_its_windows_only(spark, tmp_path):
     docs = [(1, item.replace("fog. The", "fog. A")), (2, item.replace("fog. The", "fog. One").replace("The old", "An old")), (3, " ".join(item.split()[:20]) + " One crew slept")]
     docs, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(0, item)], "item_id long, text string")
     n = len(item.split()) - 4
-    got = {r.doc_id: (r.matched, r.windows) for r in decontam.leaks(docs, bench, verbatim=True).collect()}
+    got = {r.doc_id: (r.matched, r.windows) for r in decontam.leaks(docs, bench).collect()}
     assert got == {1: (n, n), 2: (n - 6, n)}
     bench.write.parquet(f"{tmp_path}/benchmark.parquet")
     assert [r.doc_id for r in corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()] == [3]
