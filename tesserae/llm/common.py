@@ -42,9 +42,10 @@ def stored(df: DataFrame, by: str | None = None, buckets: int | None = None) ->
     spark, name = df.sparkSession, uuid.uuid4().hex
     path = f"{shared_dir(spark).rstrip('/')}/tesserae/{name}"
     if by is not None:
-        df.write.format("parquet").option("path", path).bucketBy(buckets or partitions(spark), by).saveAsTable(f"tesserae_{name}")
+        buckets = buckets or partitions(spark)
+        df.write.format("parquet").option("path", path).bucketBy(buckets, by).saveAsTable(f"tesserae_{name}")
         out = spark.table(f"tesserae_{name}")
-        out.stored_as = f"tesserae_{name}"
+        out.stored_as, out.stored_in = f"tesserae_{name}", buckets
         return out
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -103,8 +103,7 @@ def discounted(count: np.ndarray, d: np.ndarray) -> np.ndarray:
 def tokens(p: Pack) -> tuple[np.ndarray, np.ndarray]:
     """The hash of every token in order, and the document of each; a document's last is its end."""
     starts, ends, doc = p.words()
-    sums = packs.prefix(LOWER[p.bytes], 1)
-    h = packs.span(sums, starts, ends)
+    h = packs.word_hashes(LOWER[p.bytes], starts, ends)
     h = np.where(h < 16, h + np.uint64(16), h)
     n = len(p.ids)
     doc = np.concatenate([doc, np.arange(n)])

@@ -18,6 +18,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ ENTRIES = "pack long, bucket int, keys binary, extra binary"
 R, R_INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 PRIME, S = (1 << 31) - 1, 0x5DEECE66
 S_INVERSE = pow(S, -1, PRIME)
-CHUNK = 1 << 16
+CHUNK, LONG = 1 << 16, 512
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -91,29 +92,32 @@ def prime_powers(base: int, n: int) -> np.ndarray:
     return out
 
 
-Sums = tuple[np.ndarray, np.ndarray]
+Sums = tuple[np.ndarray, np.ndarray | None]
 
 
-def prefix(values: np.ndarray, plus: int = 0) -> Sums:
-    """Polynomial prefix sums of values + plus, modulo 2^64 and modulo a prime; a chunk at a time.
+def prefix(values: np.ndarray, plus: int = 0, strong: bool = True) -> Sums:
+    """Polynomial prefix sums of values + plus, modulo 2^64 and (strong) modulo a prime; a chunk at a time.
 
-    The power of two is quick but has strings that collide for every base (Thue-Morse words); the prime has not.
+    The power of two is quick but has strings of LONG and more symbols that collide for every base (Thue-Morse words);
+    the prime has not.
     """
-    out, rest = np.zeros(len(values) + 1, np.uint64), np.zeros(len(values) + 1, np.uint32)
+    out, rest = np.zeros(len(values) + 1, np.uint64), np.zeros(len(values) + 1 if strong else 0, np.uint32)
     shift, turn, p = np.uint64(1), np.uint64(1), np.uint64(PRIME)
     for k in range(0, len(values), CHUNK):
         v = values[k : k + CHUNK].astype(np.uint64) + np.uint64(plus)
         np.cumsum(v * powers(R, CHUNK)[: len(v)] * shift, out=out[k + 1 : k + 1 + len(v)])
         out[k + 1 : k + 1 + len(v)] += out[k]
+        shift = np.uint64(int(shift) * pow(R, CHUNK, 1 << 64) & ((1 << 64) - 1))
+        if not strong:
+            continue
         if values.itemsize > 2:
             v %= p
         low = v * (prime_powers(S, CHUNK)[: len(v)] * turn % p)
         if values.itemsize > 2:
             low %= p
         rest[k + 1 : k + 1 + len(v)] = (np.cumsum(low) + np.uint64(rest[k])) % p
-        shift = np.uint64(int(shift) * pow(R, CHUNK, 1 << 64) & ((1 << 64) - 1))
         turn = np.uint64(int(turn) * pow(S, CHUNK, PRIME) % PRIME)
-    return out, rest
+    return out, rest if strong else None
 
 
 def rough(sums: Sums, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -122,7 +126,9 @@ def rough(sums: Sums, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def span(sums: Sums, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each stretch of values, of equal stretches wherever they stand."""
+    """A 64-bit hash of each stretch of values, of equal stretches wherever they stand; without the prime if sums aren't strong."""
+    if sums[1] is None:
+        return rough(sums, starts, ends)
     p = np.uint64(PRIME)
     top = int(starts.max()) >> 16 if len(starts) else 0
     back = prime_powers(S_INVERSE, CHUNK)[starts & (CHUNK - 1)]
@@ -132,6 +138,14 @@ def span(sums: Sums, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return mix(rough(sums, starts, ends) + own * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
+def word_hashes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word of a buffer; the few of LONG bytes and more by XXH64."""
+    h = rough(prefix(text, 1, strong=False), starts, ends)
+    for k in np.flatnonzero(ends - starts >= LONG).tolist():
+        h[k] = xxhash.xxh64_intdigest(text[starts[k] : ends[k]].tobytes())
+    return h
+
+
 class Pack:
     """The documents of a stored pack: ids, whether each text is null, and the texts in one buffer."""
 
@@ -264,7 +278,10 @@ def ask(asked: DataFrame, buckets: int, answer: Callable[[list[int], list[np.nda
 
 def answered(packs: DataFrame, answers: DataFrame) -> DataFrame:
     """The packs with the array of their answers by bucket; null where nothing was asked."""
-    held = answers.groupBy(F.col("pack").alias("p")).agg(F.sort_array(F.collect_list(F.struct("bucket", "answer"))).alias("answers"))
+    answers = answers.withColumnRenamed("pack", "p")
+    if getattr(packs, "stored_in", None):  # as many partitions as the table has buckets: texts stay where they are
+        answers = answers.repartition(packs.stored_in, "p")
+    held = answers.groupBy("p").agg(F.sort_array(F.collect_list(F.struct("bucket", "answer"))).alias("answers"))
     return packs.join(held, F.col("pack") == F.col("p"), "left").drop("p")
 
 

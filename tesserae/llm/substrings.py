@@ -27,10 +27,10 @@ WINDOW, BITS = 20, 40
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def word_sums(p: Pack) -> tuple[np.ndarray, np.ndarray, np.ndarray, packs.Sums]:
+def word_sums(p: Pack, strong: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, packs.Sums]:
     """Words (start, end, document) and the prefix sums of their hashes."""
     starts, ends, doc = p.words()
-    return starts, ends, doc, packs.prefix(packs.span(packs.prefix(p.bytes, 1), starts, ends))
+    return starts, ends, doc, packs.prefix(packs.word_hashes(p.bytes, starts, ends), 0, strong)
 
 
 def windows(sums: packs.Sums, doc: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -49,7 +49,7 @@ def unbit(raw: bytes, n: int) -> np.ndarray:
 
 
 def block_keys(p: Pack, block: int) -> tuple[np.ndarray, packs.Sums, np.ndarray, np.ndarray, np.ndarray]:
-    _, _, doc, sums = word_sums(p)
+    _, _, doc, sums = word_sums(p, 2 * block >= packs.LONG)
     at, h = windows(sums, doc, block)
     first = np.searchsorted(doc, doc[at]) if len(at) else at  # the document's first word
     return doc, sums, at, h >> np.uint64(64 - BITS), (at - first) % block == 0
@@ -113,7 +113,7 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         return [packs.pack_keys(k[m]) for k, m in zip(keys, np.split(later, np.cumsum([len(k) for k in keys])[:-1]), strict=True)]
 
     def remove(pack: int, p: Pack, answers: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-        starts, ends, doc, sums = word_sums(p)
+        starts, ends, doc, sums = word_sums(p, window >= packs.LONG)
         at, h = windows(sums, doc, window)
         again = np.ones(len(at), bool)
         again[np.unique(h, return_index=True)[1]] = False
