@@ -218,3 +218,33 @@ def test_counts_over_32_bits_survive():
     assert (packs.unplanes(packs.planes(many), np.int64) == many).all()
     uni = katz.Unigrams(2**41, 3, katz.discounts([0] * 7), 1.0, 1e-9)
     assert uni.p(many)[2] == pytest.approx(0.5) and uni.p(many)[1] > uni.p(many)[0]
+
+
+def test_chain_against_a_plain_restatement():
+    """Of given terms: each fold's logits come from a model that saw neither its rows nor its terms."""
+    g = np.random.default_rng(3)
+    x = (g.random((200, 6)) < 0.3).astype(float)
+    y = np.stack([(x[:, 0] + x[:, 1] + g.random(200) > 1).astype(float), (x[:, 2] + g.random(200) > 0.9).astype(float)], axis=1)
+    part, index = np.arange(200) % 5, {f"t{k}": k for k in range(6)}
+    inside = np.ones((6, 6), bool)
+    inside[0, 5] = inside[2, 0] = False
+    terms, weights = toxicity.chain(x, y, part, inside, index)
+    assert terms == {f"t{k}": k for k in range(5)} and [len(w) for w in weights] == [6, 7]
+    assert weights[0] == pytest.approx(toxicity.logistic(x[:, :5], y[:, 0]))
+    unseen = np.zeros(200)
+    for f in range(5):
+        own = x[:, inside[f + 1]]
+        w = toxicity.logistic(own[part != f], y[part != f, 0])
+        unseen[part == f] = own[part == f] @ w[:-1] + w[-1]
+    assert weights[1] == pytest.approx(toxicity.logistic(np.hstack([x[:, :5], unseen[:, None]]), y[:, 1]))
+
+
+def test_toxicity_scores_against_a_plain_restatement(spark):
+    chain = toxicity.Chain(("low_quality", "toxic"), {"bad": 0, "spam": 1, "idio*": 2}, [np.array([0.5, 2.0, 0.1, -1.0]), np.array([3.0, 0.2, 2.5, 0.7, -2.0])])
+    rows = [(1, "Bad spam"), (2, "idiotic"), (3, None), (None, "good"), (5, "bad " * 9000)]
+    got = {r.doc_id: (r.p_low_quality, r.p_toxic) for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), chain).collect()}
+    for i, t in rows:
+        f = [float("bad" in (t or "").lower()), float("spam" in (t or "").lower()), float("idiotic" in (t or ""))]
+        a = 0.5 * f[0] + 2.0 * f[1] + 0.1 * f[2] - 1
+        b = 3.0 * f[0] + 0.2 * f[1] + 2.5 * f[2] + 0.7 * a - 2
+        assert got[i] == pytest.approx((1 / (1 + math.exp(-a)), 1 / (1 + math.exp(-b))))
