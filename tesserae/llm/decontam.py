@@ -14,8 +14,9 @@ one window of all its tokens. An item is leaked into a document where matched wi
 may match by template, or windows of either kind `coverage` of all. (So an item of slots only is found verbatim, in any
 case, but not under other numbers: such a template says nothing.)
 
-Each token is hashed once and a window's hash is combined from its tokens'; templates and words are compared only where
-hashes meet. The document side is streamed through the join without a shuffle while the benchmark's windows are fewer
+A text's tokens are cut into pieces that overlap by a window less one token, so that what is held at a time doesn't grow
+with the text. Each token is hashed once and a window's hash is combined from its tokens'; templates and words are
+compared only where hashes meet. The document side is streamed through the join without a shuffle while the benchmark's windows are fewer
 than `most` and their bytes under `most_bytes` (both counted); beyond that both sides are shuffled by hash, where AQE
 splits a hot one. Only matched windows are grouped.
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-WORDS, SLOTS, COVERAGE, MOST, MOST_BYTES = 5, 2, 0.8, 500_000, 128 << 20
+WORDS, SLOTS, COVERAGE, MOST, MOST_BYTES, PIECE = 5, 2, 0.8, 500_000, 128 << 20, 4096
 TOKEN = r"\p{N}+(?:[.,]\p{N}+)*|\p{L}[\p{L}\p{M}]*|[%$€£°]"
 # The units that are recognised after a number.
 UNITS = "mm cm m km g kg mg t lb lbs oz in ft yd mi mph kmh s sec min h hr hrs ms l ml gal % $ € £ ° c f k usd eur gbp dollars euros cents percent inches feet yards miles meters metres kilometers kilometres grams kilograms pounds ounces liters litres seconds minutes hours days weeks months years degrees".split()
@@ -59,21 +60,36 @@ def template(low: Column, kind: Column) -> Column:
     return F.zip_with(low, kind, lambda x, k: F.when(k == 1, SLOT[0]).when(k == 2, SLOT[1]).when(k == 3, SLOT[2]).otherwise(x))
 
 
-def rolled(hashes: Column, n: int) -> Column:
-    """The combined hash of each run of n hashes; what starts too late for a whole run has to be cut off."""
-    if n == 1:
-        return hashes
-    half = rolled(hashes, n // 2)
-    pairs = F.zip_with(half, F.slice(half, n // 2 + 1, 2_000_000_000), lambda x, y: F.xxhash64(x, y))
-    return pairs if n % 2 == 0 else F.zip_with(pairs, F.slice(hashes, n, 2_000_000_000), lambda x, y: F.xxhash64(x, y))
-
+def rolled(rows: DataFrame, hashes: str, n: int) -> tuple[DataFrame, str]:
+    """rows with a column of the combined hashes of each run of n hashes (what starts too late has to be cut off), and its name.
 
-def tokens(rows: DataFrame, key: str) -> DataFrame:
-    """(key, raw, kind, low, said): tokens, their slots, and the hashes of their lower-case forms."""
+    Each doubling is a column of its own: as one expression, it would be worked out again wherever it is used.
+    """
+    if n == 1:
+        return rows, hashes
+    rows, half = rolled(rows, hashes, n // 2)
+    name = f"{hashes}_{n}"
+    out = F.zip_with(half, F.slice(half, n // 2 + 1, 2_000_000_000), lambda x, y: F.xxhash64(x, y))
+    rows = rows.withColumn(f"{name}_even" if n % 2 else name, out)
+    if n % 2:
+        rows = rows.withColumn(name, F.zip_with(f"{name}_even", F.slice(hashes, n, 2_000_000_000), lambda x, y: F.xxhash64(x, y)))
+    return rows, name
+
+
+def tokens(rows: DataFrame, key: str, words: int, piece: int = PIECE) -> DataFrame:
+    """(key, start, raw, kind, said): pieces of the tokens from the one numbered start, their slots, and their words' hashes."""
     raw = F.regexp_extract_all(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(TOKEN), F.lit(0))
     rows = rows.select(F.col(key).cast("long").alias(key), raw.alias("raw"))
+    last = F.greatest(F.lit(0), F.floor((F.size("raw") - words) / piece)).cast("int")
+
+    def cut(k: Column) -> Column:
+        before = F.when(k > 0, 1).otherwise(0)  # the token before tells a unit
+        return F.struct((k * piece).alias("start"), before.alias("before"), F.slice("raw", k * piece + 1 - before, before + piece + words - 1).alias("raw"))
+
+    rows = rows.select(key, F.explode_outer(F.transform(F.sequence(F.lit(0), last), cut)).alias("p")).select(key, "p.*")
     rows = rows.withColumn("kind", kinds(F.col("raw")))
-    return rows.withColumn("said", F.transform("raw", lambda x: F.xxhash64(F.lower(x))))
+    rest = lambda c: F.slice(c, F.col("before") + 1, 2_000_000_000).alias(c)
+    return rows.select(key, "start", rest("raw"), rest("kind")).withColumn("said", F.transform("raw", lambda x: F.xxhash64(F.lower(x))))
 
 
 def hashes(rows: DataFrame, words: int, short: list[int]) -> DataFrame:
@@ -82,13 +98,15 @@ def hashes(rows: DataFrame, words: int, short: list[int]) -> DataFrame:
     Explode these with the outer form: a filter that Catalyst infers for the inner one, or any filter here, would be
     pushed below the projections and work out the tokens again inside every step of the lambdas.
     """
-    formed = F.zip_with("said", "kind", lambda h, k: F.coalesce(k.cast("long"), h))
-    parts = [F.slice(rolled(x, n), 1, F.greatest(F.size("raw") - n + 1, F.lit(0))) for x, n in ((formed, words), (F.col("said"), words), *((F.col("said"), n) for n in short))]
+    rows, names = rows.withColumn("formed", F.zip_with("said", "kind", lambda h, k: F.coalesce(k.cast("long"), h))), []
+    for column, n in (("formed", words), ("said", words), *(("said", n) for n in short)):
+        rows, name = rolled(rows, column, n)
+        names.append((F.slice(name, 1, F.greatest(F.size("raw") - n + 1, F.lit(0)))))
 
     def salted(part: Column, k: int) -> Column:
         return F.transform(part, lambda h: F.xxhash64(h, F.lit(k)))
 
-    return rows.withColumn("hashes", F.concat(parts[0], *(salted(x, k + 1) for k, x in enumerate(parts[1:]))))
+    return rows.withColumn("hashes", F.concat(names[0], *(salted(x, k + 1) for k, x in enumerate(names[1:]))))
 
 
 def place(at: Column, words: int, short: list[int]) -> tuple[Column, Column]:
@@ -102,21 +120,21 @@ def place(at: Column, words: int, short: list[int]) -> tuple[Column, Column]:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, slots: int = SLOTS, coverage: float = COVERAGE, most: int = MOST, most_bytes: int = MOST_BYTES) -> DataFrame:
     """(doc_id, item_id, matched, windows, coverage, reworded): each item leaked into each document."""
-    item = common.cut(tokens(benchmark, "item_id"))
-    short = sorted(r[0] for r in item.select(F.size("raw").alias("n")).where(F.col("n").between(1, words - 1)).distinct().collect())
+    item = common.cut(tokens(benchmark, "item_id", words))
+    short = sorted(r[0] for r in item.select(F.size("raw").alias("n")).where(F.col("n").between(1, words - 1)).distinct().collect())  # words - 1 lengths at most
     low = F.transform("raw", F.lower)
-    item = hashes(item, words, short).select("item_id", "raw", low.alias("low"), template(low, F.col("kind")).alias("template"), F.posexplode_outer("hashes").alias("n", "hash"))
+    item = hashes(item, words, short).select("item_id", "start", "raw", low.alias("low"), template(low, F.col("kind")).alias("template"), F.posexplode_outer("hashes").alias("n", "hash"))
     part, at = place(F.col("n"), words, short)
     size = F.element_at(F.array(*map(F.lit, [words, words, *short])), F.col("part") + 1)
-    item = item.select("item_id", "raw", "low", "template", part.alias("part"), at.alias("at"), "hash").withColumn("size", size)
+    item = item.select("item_id", "start", "raw", "low", "template", part.alias("part"), at.alias("at"), "hash").withColumn("size", size)
     window = F.when(F.col("part") == 0, F.slice("template", F.col("at") + 1, F.col("size"))).otherwise(F.slice("low", F.col("at") + 1, F.col("size")))
-    item = item.select("item_id", "part", "at", "size", "hash", F.size("raw").alias("whole"), window.alias("window"), F.slice("low", F.col("at") + 1, F.col("size")).alias("said"))
+    item = item.select("item_id", "part", (F.col("start") + F.col("at")).alias("at"), "size", "hash", F.size("raw").alias("whole"), window.alias("window"), F.slice("low", F.col("at") + 1, F.col("size")).alias("said"))
     item = common.cut(item).where("hash IS NOT NULL AND (part < 2 OR whole = size)").drop("whole")
     item = common.cut(item.where(F.size(F.filter("window", lambda x: x.startswith("<"))) <= slots).distinct())
     equal = F.col("part") > 0
     totals = item.groupBy("item_id", "at").agg(F.min(equal).alias("equal")).groupBy("item_id").agg(F.count_if(~F.col("equal")).alias("windows"), F.count(F.lit(1)).alias("all_windows"))
     n, held = item.agg(F.count(F.lit(1)), F.sum(64 + 2 * F.octet_length(F.array_join("said", "")) + 32 * F.col("size"))).first()
-    doc = hashes(tokens(docs, "doc_id"), words, short).select("doc_id", "raw", "kind", F.posexplode_outer("hashes").alias("n", "hash"))
+    doc = hashes(tokens(docs, "doc_id", words), words, short).select("doc_id", "start", "raw", "kind", F.posexplode_outer("hashes").alias("n", "hash"))
     met = doc.join(F.broadcast(item) if n <= most and (held or 0) <= most_bytes else item, "hash")
     own_part, pos = place(F.col("n"), words, short)
     seen = F.transform(F.slice("raw", pos + 1, F.col("size")), F.lower)
@@ -124,7 +142,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, slots: int
     met = met.where((own_part == F.col("part")) & (form == F.col("window")))
     pairs = F.filter(F.arrays_zip("window", F.col("said").alias("said"), seen.alias("seen")), lambda x: x["window"].startswith("<"))
     pairs = F.transform(pairs, lambda x: F.struct(x["said"].alias("said"), x["seen"].alias("seen")))
-    met = common.cut(met.select("doc_id", "item_id", equal.alias("equal"), "at", (pos - F.col("at")).alias("shift"), pairs.alias("slots")))
+    met = common.cut(met.select("doc_id", "item_id", equal.alias("equal"), "at", (F.col("start") + pos - F.col("at")).alias("shift"), pairs.alias("slots")))
     along = ["doc_id", "item_id", "shift"]
     differs = F.exists("slots", lambda x: x["said"] != x["seen"])
     filled = met.where(differs).select(*along, F.explode("slots").alias("slot")).groupBy(*along, "slot.said").agg(F.min("slot.seen").alias("low"), F.max("slot.seen").alias("high"))

@@ -45,6 +45,14 @@ def test_leaks_match_sql(leaky):
     assert {(20, 10), (20, 1), (21, 0), (21, 11), (22, 0)} <= {r[:2] for r in got}
 
 
+@pytest.mark.parametrize("piece", [1, 7, 60])
+def test_pieces_change_nothing(leaky, piece, monkeypatch):
+    docs, bench = leaky
+    want = rows_of(decontam.leaks(docs, bench))
+    monkeypatch.setattr(decontam.tokens, "__defaults__", (piece,))
+    assert rows_of(decontam.leaks(docs, bench)) == want
+
+
 def test_clean_documents_are_kept(leaky, none, odd):
     docs, bench = leaky
     assert Counter(r.doc_id for r in decontam.keep_clean(docs, bench).collect()) == Counter([1, 4, 5, 6, 7])
