@@ -35,20 +35,37 @@ def shorten(path: Column) -> Column:
 
 
 def is_test(path: Column) -> Column:
-    """Test files as the dependency graph sees them."""
-    return (
-        path.rlike(r"(^|/)(tests?|__tests__|e2e|playwright|cypress)/")
-        | basename(path).rlike(r"\.(test|spec|test-d)\.|\.tests?\.[^.]+$|^tests?\.[^.]+$|^test_.*\.py$|_test\.py$")
+    """Test files as the dependency graph sees them; folders in any case. Go's tests aren't among them."""
+    return path.rlike(
+        r"(?i:(^|/)(tests?|__tests__|e2e|playwright|cypress)/)|\.(test|spec|test-d)\.[^.]+$|(^|/)tests?\.[^.]+$|(^|/)test_[^/]+\.py$|[^/]+_test\.py$"
     )
 
 
 def is_test_for_tasks(path: Column) -> Column:
     """Test files as companion ranking sees them: spec folders and Go and Rust tests too."""
-    return is_test(path) | path.rlike(r"(^|/)spec/") | path.rlike(r"_test\.(py|go|rs)$")
+    return path.rlike(r"(?i:(^|/)(tests?|__tests__|e2e|spec)/)|[._](test|spec)\.[^.]+$|(^|/)test_[^/]+\.py$|[^/]+_test\.(py|go|rs)$")
 
 
 def is_example(path: Column) -> Column:
-    return path.rlike(r"(^|/)(examples?|demos?|samples?)/")
+    return path.rlike(r"(?i)(^|/)(examples?|demos?|samples?)/|(^|/)example[^/]*\.[^.]+$")
+
+
+def is_entry_point(path: Column) -> Column:
+    """Files that are run or read by name, so that nobody has to import them."""
+    return path.rlike(r"(?i:(^|/)(pages|app|apps|scripts|migrations|e2e|playwright|cypress)/)|\.(config|setup|workspace)\.[^.]+$")
+
+
+def is_production(path: Column) -> Column:
+    return ~is_test(path) & ~is_example(path)
+
+
+def is_source_for_pairs(path: Column) -> Column:
+    """The files whose changes are paired."""
+    return path.rlike(r"\.(ts|tsx|js|jsx|py|go|rs)$") & ~path.contains("node_modules")
+
+
+def is_source_for_tasks(path: Column) -> Column:
+    return F.lower(path).rlike(r"\.(ts|tsx|js|jsx|py|go|rs|rb|java|swift|kt)$")
 
 
 def language(path: Column) -> Column:
@@ -56,7 +73,7 @@ def language(path: Column) -> Column:
     # Extensions and names.
     names = {
         ".ts": "TypeScript", ".tsx": "TypeScript", ".js": "JavaScript", ".jsx": "JavaScript", ".py": "Python", ".go": "Go", ".rs": "Rust",
-        ".rb": "Ruby", ".java": "Java", ".kt": "Kotlin", ".swift": "Swift", ".cs": "C#", ".php": "PHP", ".vue": "Vue",
+        ".rb": "Ruby", ".java": "Java", ".swift": "Swift", ".kt": "Kotlin", ".css": "CSS", ".scss": "SCSS", ".html": "HTML",
     }
     table = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
     return F.element_at(table, extension(path))

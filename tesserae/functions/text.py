@@ -40,8 +40,10 @@ def words(text: Column, least: int = 3, stop: Sequence[str] = ()) -> Column:
 
 def ngrams(found: Column, n: int) -> Column:
     """Runs of n words joined by underscores."""
-    last = F.size(found) - n + 1
-    return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(found, i, n), "_"))).otherwise(F.array().cast("array<string>"))
+    out = found
+    for k in range(1, n):
+        out = F.zip_with(out, F.slice(found, k + 1, 2_000_000_000), lambda x, y: F.concat(x, F.lit("_"), y))
+    return F.slice(out, 1, F.greatest(F.size(found) - n + 1, F.lit(0)))
 
 
 def preview(text: Column, lines: int = 20) -> Column:

@@ -12,13 +12,13 @@ from . import report, rules
 
 # The order of sections in each output format.
 FORMATS = {
-    "claude": ("commands", "critical", "core", "stack", "conventions", "supplementary"),
-    "cursor": ("critical", "commands", "core", "conventions", "stack", "supplementary"),
-    "copilot": ("stack", "commands", "conventions", "critical", "core", "supplementary"),
-    "agents": ("commands", "critical", "core", "conventions", "stack", "supplementary"),
+    "claude": ("commands", "critical", "core_modules", "stack", "conventions", "supplementary"),
+    "cursor": ("critical", "commands", "core_modules", "conventions", "stack", "supplementary"),
+    "copilot": ("stack", "commands", "conventions", "critical", "core_modules", "supplementary"),
+    "agents": ("commands", "critical", "core_modules", "conventions", "stack", "supplementary"),
 }
 # Headers of sections.
-HEADERS = {"commands": "Commands", "critical": "Critical context", "core": "Core modules", "stack": "Stack", "conventions": "Conventions", "supplementary": "Also known"}
+HEADERS = {"commands": "Commands", "critical": "Critical context", "core_modules": "Core modules", "stack": "Stack", "conventions": "Conventions", "supplementary": "Also known"}
 
 
 def _lines(df: DataFrame, key: str, line: Column, order: Column) -> DataFrame:
@@ -46,7 +46,7 @@ def sections(findings: DataFrame, commands: DataFrame, ranked: DataFrame, stack:
     parts = [
         _lines(commands, "commands", F.concat_ws(": ", "name", "command"), F.col("name")),
         _lines(held.where("tier = 'critical'"), "critical", text, text),
-        _lines(core_modules(ranked), "core", F.col("node"), F.struct(-F.col("score"), "node")),
+        _lines(core_modules(ranked), "core_modules", F.col("node"), F.struct(-F.col("score"), "node")),
         _lines(stack, "stack", F.concat_ws(" ", "framework", "version"), F.col("framework")),
         _lines(high, "conventions", text, text),
         _lines(held.where("tier = 'supplementary'"), "supplementary", text, text),
@@ -66,7 +66,7 @@ def strength_label(score: Column) -> Column:
     return F.when(score >= 0.5, "high").when(score >= 0.3, "moderate").otherwise("low")
 
 
-def pressing(cycles: DataFrame, hubs: DataFrame, fragile: DataFrame, pairs: DataFrame, orphans: DataFrame) -> DataFrame:
+def pressing(cycles: DataFrame, hubs: DataFrame, fragile: DataFrame, pairs: DataFrame, orphans: DataFrame, reverts: DataFrame | None = None, tests: DataFrame | None = None) -> DataFrame:
     """(priority, question, n, example): what to look at first, most urgent on top; questions without cause are left out."""
 
     def ask(df: DataFrame, priority: int, question: str, example: Column, best: Column) -> DataFrame:
@@ -80,4 +80,19 @@ def pressing(cycles: DataFrame, hubs: DataFrame, fragile: DataFrame, pairs: Data
         ask(pairs, 4, "what changes together unseen", F.concat_ws(" + ", "a", "b"), F.struct(-F.col("strength"), "a", "b")),
         ask(orphans, 5, "what does nobody use", F.col("node"), F.col("node")),
     ]
+    if reverts is not None:
+        parts.append(reverts.select(F.lit(6).alias("priority"), F.lit("what was rolled back").alias("question"), F.col("total").alias("n"), F.get("named", F.lit(0)).alias("example")))
+    if tests is not None:
+        parts.append(ask(tests, 7, "what has a test that must change too", F.col("item"), F.col("item")))
     return reduce(DataFrame.unionByName, parts).orderBy("priority")
+
+
+def without_front_matter(text: Column) -> Column:
+    """A text without the block between two lines of dashes that it opens with."""
+    return F.regexp_replace(text, r"^(?s)---\n.*?\n---\n", "")
+
+
+def command_lines(commands: DataFrame, verbose: bool = False) -> DataFrame:
+    """(name, line) of commands (name, command) that are set and, unless verbose, aren't given away by the files."""
+    rows = commands.where(F.col("command").isNotNull() & (F.lit(verbose) | ~rules.told(F.col("command"))))
+    return rows.select("name", F.concat(F.lit("- "), "name", F.lit(": `"), "command", F.lit("`")).alias("line"))

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions.paths import basename, dirname, is_test_for_tasks, stem
 from ..functions.text import ngrams, words
 from .graph import fan_in
 
 # File names that say too little to be looked for in a text.
 GENERIC = ("index", "main", "utils", "types", "config", "constants", "helpers", "test", "mod", "lib", "app")
-TEMPLATES = ("{d}{s}.test{e}", "{d}{s}.spec{e}", "{d}__tests__/{s}{e}", "{d}__tests__/{s}.test{e}", "{d}test_{s}{e}", "tests/test_{s}{e}", "{d}{s}_test{e}")
 
 
 def _signal(df: DataFrame, stage: int, name: str, points: Column, gated: bool = False) -> DataFrame:
@@ -19,7 +19,11 @@ def _signal(df: DataFrame, stage: int, name: str, points: Column, gated: bool =
 
 
 def file_signals(primary: DataFrame, partners: DataFrame, edges: DataFrame, files: DataFrame) -> DataFrame:
-    """Signals of companions for primary (item): co-change, linked siblings, imports, importers, name prefixes."""
+    """Signals of companions for primary (item).
+
+    Co-change, linked siblings, imports, importers; and, only where those are silent, names that extend one another,
+    Go and Rust files of the same folder, and what a package's facade passes on beside the file.
+    """
     p = primary.select("item").distinct()
     e = edges.select("src", "dst").distinct()
     plain = lambda c: ~is_test_for_tasks(F.col(c)) & ~F.col(c).endswith("__init__.py")
@@ -33,7 +37,13 @@ def file_signals(primary: DataFrame, partners: DataFrame, edges: DataFrame, file
     back = e.select(F.col("dst").alias("item"), F.col("src").alias("companion")).join(p, "item", "left_semi").where(plain("companion")).join(wide, "companion", "left")
     four = _signal(back, 4, "imported by", F.lit(0.2) + F.coalesce("more", F.lit(0.0)))
     five = _signal(prefix_pairs(p, files), 5, "name prefix", F.lit(0.4), gated=True)
-    parts = one.unionByName(two).unionByName(three).unionByName(four).unionByName(five)
+    packaged = lambda c: F.col(c).rlike(r"\.(go|rs)$")
+    a, b = p.where(packaged("item")).select("item", dirname(F.col("item")).alias("dir")), files.where(packaged("path")).select(F.col("path").alias("companion"), dirname(F.col("path")).alias("dir"))
+    six = _signal(a.join(b, "dir").where(plain("companion")), 6, "same folder", F.lit(0.35), gated=True)
+    facade = e.where(F.col("src").endswith("__init__.py") & (dirname(F.col("src")) == dirname(F.col("dst"))))
+    beside = facade.select("src", F.col("dst").alias("item")).join(p, "item", "left_semi").join(facade.select("src", F.col("dst").alias("companion")), "src")
+    seven = _signal(beside.select("item", "companion").distinct(), 7, "facade", F.lit(0.3), gated=True)
+    parts = one.unionByName(two).unionByName(three).unionByName(four).unionByName(five).unionByName(six).unionByName(seven)
     return parts.where("item <> companion")
 
 
@@ -68,28 +78,22 @@ def mentioned(tasks: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def test_candidates(modified: DataFrame, files: DataFrame) -> DataFrame:
-    """(item, test, pos): the first existing test file of each modified (item), by name templates."""
-    d = F.when(dirname(F.col("item")) == ".", F.lit("")).otherwise(F.concat(dirname(F.col("item")), F.lit("/")))
+    """(item, test, pos): the first existing test file of each modified (item), by name templates; changed ones are passed over."""
+    d = dirname(F.col("item"))
     e = F.regexp_extract(basename(F.col("item")), r"(\.[^.]+)$", 1)
 
     def fill(template: str) -> Column:
         out = F.lit(template)
         for key, value in (("{d}", d), ("{s}", stem(F.col("item"))), ("{e}", e)):
             out = F.replace(out, F.lit(key), value)
-        return out
+        return F.regexp_replace(out, r"^\./", "")
 
-    rows = modified.select("item", F.posexplode(F.array(*map(fill, TEMPLATES))).alias("pos", "test"))
-    rows = rows.join(files.select(F.col("path").alias("test")), "test", "left_semi").where("item <> test")
+    rows = modified.select("item", F.posexplode(F.array(*map(fill, fixed.TEST_TEMPLATES))).alias("pos", "test"))
+    known = files.select(F.col("path").alias("test")).join(modified.select(F.col("item").alias("test")), "test", "left_anti")
+    rows = rows.join(known, "test", "left_semi")
     return rows.groupBy("item").agg(F.min_by("test", "pos").alias("test"), F.min("pos").alias("pos"))
 
 
-def relevant(task_words: Column, path: Column, generic: tuple[str, ...] = ()) -> Column:
-    """Whether a path shares enough words with a task: two, or one of a name of two words at most."""
-    own = words(F.regexp_replace(F.regexp_replace(path, "([a-z])([A-Z])", "$1 $2"), "[_/.-]", " "), stop=generic)
-    shared = F.size(F.array_intersect(task_words, own))
-    return (shared >= 2) | ((shared >= 1) & (F.size(own) <= 2))
-
-
 def file_context(path: str, ranks: DataFrame, hubs: DataFrame, edges: DataFrame) -> DataFrame:
     """One row about a file: its rank among all, whether it is a hub, and its distinct neighbours either way."""
     order = ranks.where(F.col("node") == path).select(F.col("score").alias("own"))

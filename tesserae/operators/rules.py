@@ -2,26 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions.paths import basename, dirname, extension, is_test, top_dir
+from .vote import stride
 
 # What a dependency tells.
 FRAMEWORKS = {
     "next": "Next.js", "expo": "Expo", "react": "React", "vite": "Vite", "@supabase/supabase-js": "Supabase", "tailwindcss": "Tailwind CSS",
     "express": "Express", "fastify": "Fastify", "typescript": "TypeScript",
 }
-# Purposes of top-level folders.
-PURPOSES = {
-    "src": "source", "app": "application", "pages": "routes", "components": "components", "lib": "library", "utils": "utilities", "hooks": "hooks",
-    "api": "API", "server": "server", "services": "services", "models": "models", "types": "types", "config": "configuration", "scripts": "scripts",
-    "tests": "tests", "test": "tests", "docs": "documentation", "public": "assets", "styles": "styles", "packages": "packages", "cmd": "commands",
-    "internal": "internal", "pkg": "packages", "migrations": "migrations",
-}
-CRITICAL_CATEGORIES = ("hidden dependencies", "circular dependencies", "fragile code", "core modules", "anti-patterns", "security", "authentication", "git history")
-CRITICAL_WORDS = r"(?i)hub|circular|fragile|breaks|never|must|deprecated|co-change|blast|revert|generated"
-HEADER = r"(?i)@generated|auto-?generated|do not edit|code generated by"
+HEADER = r"@generated|(?i:do not edit|auto-generated|this file is generated|generated by)"
 
 
 def is_graph_source(path: Column) -> Column:
@@ -44,7 +37,7 @@ def frameworks(dependencies: DataFrame, spark_names: dict[str, str] | None = Non
 
 def folders(files: DataFrame) -> DataFrame:
     """(dir, n, purpose) of the top-level folders of files (path); purpose is null where no rule names it."""
-    purpose = F.element_at(F.create_map(*(F.lit(x) for p in PURPOSES.items() for x in p)), F.lower("dir"))
+    purpose = F.element_at(F.create_map(*(F.lit(x) for p in fixed.PURPOSES.items() for x in p)), F.col("dir"))
     return files.where(F.contains(F.col("path"), F.lit("/"))).groupBy(top_dir(F.col("path")).alias("dir")).agg(F.count(F.lit(1)).alias("n")).withColumn("purpose", purpose)
 
 
@@ -91,8 +84,9 @@ def build_commands(manifests: DataFrame) -> DataFrame:
 
 def generated(files: DataFrame) -> DataFrame:
     """(path) of files that say so in their first 500 characters or by name."""
-    by_name = F.col("path").rlike(r"\.(generated|gen)\.[^/]+$|_pb2\.py$|\.pb\.go$|(^|/)(generated|__generated__)/")
-    return files.where(by_name | F.coalesce(F.substring("content", 1, 500).rlike(HEADER), F.lit(False))).select("path")
+    p = F.col("path")
+    by_name = p.contains(".generated.") | p.contains(".gen.") | (p.endswith(".d.ts") & p.contains("generated")) | p.contains("__generated__") | p.contains("codegen")
+    return files.where((by_name & ~p.contains("node_modules")) | F.coalesce(F.substring("content", 1, 500).rlike(HEADER), F.lit(False))).select("path")
 
 
 def conventions(files: DataFrame) -> DataFrame:
@@ -128,13 +122,14 @@ def edit_points(files: DataFrame, kind: str, most: int = 3) -> DataFrame:
 
 
 def is_critical(category: Column, description: Column) -> Column:
-    return F.lower(category).isin(*CRITICAL_CATEGORIES) | description.rlike(CRITICAL_WORDS)
+    words = "|".join(w.replace(".", r"\.") for w in fixed.CRITICAL_WORDS)
+    return category.isin(*fixed.CRITICAL_CATEGORIES) | F.lower(description).rlike(words)
 
 
 def tiers(findings: DataFrame) -> DataFrame:
     """findings (category, description, confidence) with tier: critical, important or supplementary; low ones go."""
     tier = F.when(F.col("confidence") == "high", F.when(is_critical(F.col("category"), F.col("description")), "critical").otherwise("important")).when(F.col("confidence") == "medium", "supplementary")
-    return findings.withColumn("tier", tier).where("tier IS NOT NULL")
+    return findings.withColumn("tier", tier).where(F.col("tier").isNotNull() & ~F.lower("description").contains("shallow clone"))
 
 
 def revised(findings: DataFrame) -> DataFrame:
@@ -152,22 +147,23 @@ def revised(findings: DataFrame) -> DataFrame:
 
 
 def section_priority(key: Column, mode: Column) -> Column:
-    """Priorities of report sections, by mode."""
-    # Library and other priorities.
-    table = {"commands": (95, 95), "critical": (90, 90), "core": (70, 60), "stack": (40, 50), "conventions": (60, 30), "structure": (30, 40), "supplementary": (20, 20)}
-    out = F.lit(0)
-    for k, (library, other) in table.items():
+    """Priorities of report sections, by mode; commands come before all that may be dropped."""
+    out = F.when(key == "commands", 95).otherwise(0)
+    for k, (library, other) in fixed.PRIORITIES.items():
         out = F.when(key == k, F.when(mode == "library", library).otherwise(other)).otherwise(out)
     return out
 
 
+def told(command: Column) -> Column:
+    """Whether the files give a command away."""
+    return command.isin(*fixed.STANDARD_COMMANDS)
+
+
 def sample(files: DataFrame, most: int, hints: DataFrame, churn: DataFrame) -> DataFrame:
     """(path, tier) of so many files: entry points, ten important ones, five of high churn, then an even stride."""
     entry = basename(F.col("path")).rlike(r"^(index|main|app|server|cli|mod|lib|__init__)\.[^.]+$")
     rows = files.select("path").distinct().join(hints.select("path", F.col("rank").alias("hint")), "path", "left").join(churn.select("path", F.col("rank").alias("churn")), "path", "left")
     tier = F.when(entry, 1).when(F.col("hint") <= 10, 2).when(F.col("churn") <= 5, 3).otherwise(4)
-    rows = rows.withColumn("tier", tier)
-    rest = Window.partitionBy("tier")
-    k, n = F.row_number().over(rest.orderBy("path")) - 1, F.count(F.lit(1)).over(rest)
-    rows = rows.withColumn("k", k).withColumn("step", F.when(F.col("tier") == 4, F.greatest(F.lit(1), F.floor(n / most))).otherwise(1))
-    return rows.where(F.col("k") % F.col("step") == 0).orderBy("tier", "path").limit(most).select("path", "tier")
+    rows = rows.select("path", tier.alias("tier"))
+    rest = stride(rows.where("tier = 4"), "path", most).withColumn("tier", F.lit(4))
+    return rows.where("tier < 4").orderBy("tier", "path").limit(most).unionByName(rest).orderBy("tier", "path").limit(most)
