@@ -18,11 +18,11 @@ def completeness(modified: DataFrame, partners: DataFrame, edges: DataFrame, tes
     """
     m = modified.select("item", "idx")
     strength = F.when(F.col("strength") >= 0.5, "high").when(F.col("strength") >= 0.3, "medium").otherwise("low")
-    one = partners.join(F.broadcast(m), "item").select(F.col("partner").alias("target"), "idx", F.lit(1).alias("sig"), F.lit("co-change").alias("signal"), strength.alias("confidence"), F.col("item").alias("cause"), (-F.col("strength")).alias("ord"))
+    one = partners.join(m, "item").select(F.col("partner").alias("target"), "idx", F.lit(1).alias("sig"), F.lit("co-change").alias("signal"), strength.alias("confidence"), F.col("item").alias("cause"), (-F.col("strength")).alias("ord"))
     wide = fan_in(edges).where(F.col("importers") >= least_fan_in).select(F.col("node").alias("item"))
-    two = edges.select(F.col("src").alias("target"), F.col("dst").alias("item")).distinct().join(wide, "item", "left_semi").join(F.broadcast(m), "item")
+    two = edges.select(F.col("src").alias("target"), F.col("dst").alias("item")).distinct().join(wide, "item", "left_semi").join(m, "item")
     two = two.select("target", "idx", F.lit(2).alias("sig"), F.lit("import").alias("signal"), F.lit("medium").alias("confidence"), F.col("item").alias("cause"), F.lit(0.0).alias("ord"))
-    three = tests.join(F.broadcast(m), "item").select(F.col("test").alias("target"), "idx", F.lit(3).alias("sig"), F.lit("test").alias("signal"), F.lit("medium").alias("confidence"), F.col("item").alias("cause"), F.col("pos").cast("double").alias("ord"))
+    three = tests.join(m, "item").select(F.col("test").alias("target"), "idx", F.lit(3).alias("sig"), F.lit("test").alias("signal"), F.lit("medium").alias("confidence"), F.col("item").alias("cause"), F.col("pos").cast("double").alias("ord"))
     found = reduce(DataFrame.unionByName, [one, two, three]).join(m.select(F.col("item").alias("target")), "target", "left_anti")
     first = F.row_number().over(Window.partitionBy("target").orderBy("idx", "sig", "ord", "cause"))
     return found.withColumn("r", first).where("r = 1").select("target", "signal", "confidence", "cause")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import cut
+
 
 def fan_in(edges: DataFrame) -> DataFrame:
     """(node, edges, importers): how many edges end at a node, and from how many nodes."""
@@ -28,18 +30,13 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 20, damping:
     Multi-edges are folded into weights m / out-degree once. Degrees count edges that leave the node set. Inputs are
     checkpointed, and the state's lineage is cut every fifth round.
     """
-    spark = nodes.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp())
-    nodes = nodes.select("node").distinct().checkpoint()
+    nodes = cut(nodes.select("node").distinct())
     n = nodes.count()
     if not n:
         return nodes.select("node", F.lit(0.0).alias("score"))
     degrees = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
     weights = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m")).join(degrees, "src").select("src", "dst", (F.col("m") / F.col("degree")).alias("w"))
-    weights = weights.join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").join(nodes.select(F.col("node").alias("src")), "src", "left_semi").checkpoint()
+    weights = cut(weights.join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").join(nodes.select(F.col("node").alias("src")), "src", "left_semi"))
     ranks = nodes.select("node", F.lit(1.0 / n).alias("score"))
     base = nodes.select("node", F.lit((1 - damping) / n).alias("score"))
     for k in range(iterations):
@@ -47,16 +44,17 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 20, damping:
         given = weights.join(ranks, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), (F.lit(damping) * F.col("w") * F.col("score")).alias("score"))
         ranks = given.unionByName(base).groupBy("node").agg(F.sum("score").alias("score"))
         if k % 5 == 4:
-            ranks = ranks.checkpoint()
+            ranks = cut(ranks)
     return ranks
 
 
 def cycles(edges: DataFrame, longest: int = 5) -> DataFrame:
     """(length, path) of every simple cycle up to a length, once each, from its smallest node.
 
-    A complete, order-free answer: walks start at a cycle's smallest node and never visit a smaller one.
+    A complete, order-free answer: walks start at a cycle's smallest node and never visit a smaller one. The walks of
+    each length are cut, so that none is walked twice.
     """
-    e = edges.select("src", "dst").distinct()
+    e = cut(edges.select("src", "dst").distinct())
     walks = e.where("src <= dst").select(F.col("src").alias("start"), F.col("dst").alias("end"), F.array("src").alias("path"))
     found = []
     for k in range(1, longest + 1):
@@ -64,7 +62,7 @@ def cycles(edges: DataFrame, longest: int = 5) -> DataFrame:
         if k < longest:
             step = walks.where("start <> end").join(e, F.col("end") == F.col("src"))
             step = step.where((F.col("dst") >= F.col("start")) & ~F.array_contains(F.slice("path", 2, longest), F.col("dst")) & (F.col("dst") != F.col("end")))
-            walks = step.select("start", F.col("dst").alias("end"), F.concat("path", F.array("end")).alias("path"))
+            walks = cut(step.select("start", F.col("dst").alias("end"), F.concat("path", F.array("end")).alias("path")))
     return reduce(DataFrame.unionByName, found)
 
 
@@ -85,10 +83,20 @@ def facades(edges: DataFrame, hub_nodes: DataFrame, is_facade: Column, folder: C
     return rows.groupBy(F.col("src").alias("node")).agg(F.array_sort(F.collect_list("dst")).alias("members"))
 
 
-def two_hops(edges: DataFrame) -> DataFrame:
-    """(src, dst, ways): nodes reached over one other, not directly and not themselves."""
+def two_hops(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(src, dst, ways): nodes reached over one other, not directly and not themselves.
+
+    As many rows as there are ways go through a node, in-edges times out-edges: give `most` to leave out middle nodes of
+    more ways than that, as utilities that everything passes through say nothing about a pair.
+    """
     e = edges.select("src", "dst").distinct()
-    far = e.alias("x").join(e.alias("y"), F.col("x.dst") == F.col("y.src")).select(F.col("x.src").alias("src"), F.col("y.dst").alias("dst")).where("src <> dst")
+    if most is not None:
+        ins, outs = e.groupBy(F.col("dst").alias("mid")).agg(F.count(F.lit(1)).alias("i")), e.groupBy(F.col("src").alias("mid")).agg(F.count(F.lit(1)).alias("o"))
+        fit = ins.join(outs, "mid").where(F.col("i") * F.col("o") <= most)
+        first = e.join(fit.select(F.col("mid").alias("dst")), "dst", "left_semi").select("src", "dst")
+    else:
+        first = e
+    far = first.alias("x").join(e.alias("y"), F.col("x.dst") == F.col("y.src")).select(F.col("x.src").alias("src"), F.col("y.dst").alias("dst")).where("src <> dst")
     return far.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("ways")).join(e, ["src", "dst"], "left_anti")
 
 

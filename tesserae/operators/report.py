@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import windows
+
 
 def budget(sections: DataFrame, limit: int, keep: int = 90) -> DataFrame:
     """sections(pos, priority, tokens) that fit: the least important are dropped while the total is over the limit.
@@ -18,13 +20,10 @@ def budget(sections: DataFrame, limit: int, keep: int = 90) -> DataFrame:
 
 
 def budget_by_priority(sections: DataFrame, limit: int, keep: int = 90) -> DataFrame:
-    """As budget(), for sections in any number: sums per priority first, then a window within the one that is cut."""
-    by = sections.groupBy("priority").agg(F.sum("tokens").alias("t"))
-    before = F.coalesce(F.sum("t").over(Window.orderBy("priority").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    by = by.select("priority", before.alias("base"), F.sum("t").over(Window.partitionBy()).alias("total"))
-    inner = F.coalesce(F.sum("tokens").over(Window.partitionBy("priority").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = sections.withColumn("inner", inner).join(F.broadcast(by), "priority")
-    return rows.where((F.col("total") - F.col("base") - F.col("inner") <= limit) | (F.col("priority") >= keep)).drop("inner", "base", "total")
+    """As budget(), for sections in any number: running sums by ranges of the order, no window over all of them."""
+    rows = windows.running(sections, ["priority", "pos"], F.col("tokens"), "before")
+    total = sections.agg(F.sum("tokens")).first()[0] or 0
+    return rows.where((F.lit(total) - F.col("before") <= limit) | (F.col("priority") >= keep)).drop("before")
 
 
 def sections(df: DataFrame, key: str, text: str, header: str = r"## ") -> DataFrame:
@@ -59,7 +58,7 @@ def topics(df: DataFrame, text: str, keywords: dict[str, list[str]]) -> DataFram
 
     def points(words: list[str]) -> Column:
         low = F.lower(F.coalesce(F.col(text), F.lit("")))
-        return sum((F.when(low.rlike(rf"\b{w}\b"), 2).when(F.contains(low, F.lit(w)), 1).otherwise(0) for w in words), F.lit(0))
+        return sum((F.when(low.rlike(rf"(?<![A-Za-z0-9_]){w}(?![A-Za-z0-9_])"), 2).when(F.contains(low, F.lit(w)), 1).otherwise(0) for w in words), F.lit(0))
 
     rows = df.withColumn("t", F.explode(F.array(*(F.struct(F.lit(n).alias("topic"), points(w).alias("points")) for n, w in keywords.items()))))
     return rows.select(*df.columns, "t.topic", "t.points").where("points > 0")

@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def since(df: DataFrame, ts: str, days: int) -> Column | None:
+    """The midnight after which the last so many days of the table begin, as a literal of the column's type; none for no rows."""
+    newest = df.agg(F.max(F.to_date(ts))).first()[0]
+    if newest is None:
+        return None
+    return F.lit((newest - timedelta(days=days - 1)).isoformat()).cast(df.schema[ts].dataType)
+
+
 def recent(df: DataFrame, ts: str, days: int) -> DataFrame:
-    """The rows of the last so many days of the table."""
-    newest = df.agg(F.max(ts).alias("_newest"))
-    return df.crossJoin(F.broadcast(newest)).where(F.datediff(F.col("_newest"), F.col(ts)) < days).drop("_newest")
+    """The rows of the last so many days of the table. The bound is a literal, so it reaches the scan."""
+    start = since(df, ts, days)
+    return df.where(F.lit(False)) if start is None else df.where(F.col(ts) >= start)
 
 
 def top_counts(df: DataFrame, key: str, k: int, least: int = 1) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import windows
+
 
 def tally(texts: DataFrame, text: str, patterns: list[tuple[str, str, str]], by: list[str] | None = None) -> DataFrame:
     """(by, family, name, n): how many texts match each (family, name, regex), all in one scan."""
@@ -36,7 +38,8 @@ def confidence_order(confidence: Column) -> Column:
 
 
 def stride(df: DataFrame, key: str, slots: int) -> DataFrame:
-    """Every n-th row by key, so many at most. Ranks are global: use it on keys, not on whole records."""
-    rows = df.select(key).distinct().withColumn("i", F.row_number().over(Window.orderBy(key)) - 1)
-    step = F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(Window.partitionBy()) / slots))
-    return rows.withColumn("step", step).where(F.col("i") % F.col("step") == 0).orderBy("i").limit(slots).select(key)
+    """Every n-th distinct key, so many at most."""
+    keys = df.select(key).where(F.col(key).isNotNull()).distinct()
+    rows = windows.running(keys, [key], F.lit(1), "i")
+    step = max(1, rows.count() // slots)
+    return rows.where(F.col("i") % step == 0).orderBy("i").limit(slots).select(key)

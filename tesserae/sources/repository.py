@@ -72,3 +72,20 @@ def runs(spark: SparkSession, folder: str, schema: str, since: str | None = None
     fixed = F.regexp_replace("value", r'("issue_title":\s*),', r'$1"",')
     rows = raw.select(F.from_json(fixed, schema + ", error string, timestamp string").alias("r")).select("r.*").where("error IS NULL")
     return rows if since is None else rows.where(F.substring("timestamp", 1, 10) >= since)
+
+
+def listing(files: DataFrame, most: int = 25) -> DataFrame:
+    """(dir, entry): what stands in each top-level folder of files (path), folders with a slash, the first 25 of each by name."""
+    from pyspark.sql import Window
+
+    parts = F.split("path", "/")
+    entry = F.when(F.size(parts) > 2, F.concat(parts[1], F.lit("/"))).otherwise(F.get(parts, F.lit(1)))
+    rows = files.where(F.contains("path", F.lit("/"))).select(parts[0].alias("dir"), entry.alias("entry")).distinct()
+    return rows.withColumn("r", F.row_number().over(Window.partitionBy("dir").orderBy("entry"))).where(F.col("r") <= most).drop("r")
+
+
+def inside(paths: DataFrame, root: str) -> DataFrame:
+    """The rows of paths (path) that stay below a folder once their dots are resolved; others can't be read."""
+    kept = F.aggregate(F.split("path", "/"), F.lit(0), lambda depth, p: F.when(depth < 0, -1).when(p == "..", depth - 1).when((p == "") | (p == "."), depth).otherwise(depth + 1))
+    below = ~F.col("path").startswith("/") | F.col("path").startswith(root.rstrip("/") + "/")
+    return paths.where(below & (kept >= 0) & (~F.contains("path", F.lit("..")) | ~F.col("path").startswith("/")))
