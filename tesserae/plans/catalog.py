@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
-from ..operators import assoc, briefing, changes, context, extract, graph, report, rules, timewin, vote
+from ..operators import assoc, changes, context, extract, graph, report, resolve, rules, timewin, vote
 from ..streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,18 +156,6 @@ def trade(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst"))
 
 
-def top_trade(spark: SparkSession, d: str) -> DataFrame:
-    """Each nation's two foremost suppliers."""
-    from pyspark.sql import Window
-
-    n = trade(spark, d).groupBy("src", "dst").count()
-    r = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("count"), "dst"))
-    return n.withColumn("r", r).where("r <= 2").select("src", "dst")
-
-
-TOP_TRADE = f"SELECT src, dst FROM (SELECT src, dst, count(*) AS n FROM ({TRADE}) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) <= 2"
-
-
 @query(f"""
 WITH RECURSIVE e AS MATERIALIZED ({TRADE}), o AS (SELECT src, count(*) AS deg FROM e GROUP BY 1),
 w AS MATERIALIZED (SELECT e.src, dst, count(*) / any_value(deg)::DOUBLE AS w FROM e JOIN o ON e.src = o.src GROUP BY e.src, dst),
@@ -181,38 +169,13 @@ def pagerank(spark, d):
     return graph.pagerank(nodes, trade(spark, d)).select("node", F.round("score", 6).alias("score"))
 
 
-def _cycles_sql() -> str:
-    parts = []
-    for k in range(1, 6):
-        joins = " ".join(f"JOIN e e{j} ON e{j}.src = e{j - 1}.dst" for j in range(1, k))
-        distinct = " ".join(f"AND e{i}.src <> e{j}.src" for i in range(k) for j in range(i))
-        least = " ".join(f"AND e0.src <= e{j}.src" for j in range(1, k))
-        path = " || '>' || ".join(f"e{j}.src::VARCHAR" for j in range(k))
-        parts.append(f"SELECT {k} AS length, {path} AS path FROM e e0 {joins} WHERE e{k - 1}.dst = e0.src {distinct} {least}")
-    return f"WITH e AS MATERIALIZED ({TOP_TRADE}) " + " UNION ALL ".join(parts)
-
-
-@query(_cycles_sql())
-def cycles(spark, d):
-    return graph.cycles(top_trade(spark, d))
-
-
 @query("""
 SELECT p_partkey AS node FROM part WHERE p_partkey NOT IN
-(SELECT l_partkey FROM lineitem WHERE l_shipdate >= (SELECT max(l_shipdate) FROM lineitem) - INTERVAL 60 DAY AND l_partkey IS NOT NULL)""")
+(SELECT l_partkey FROM lineitem WHERE datediff('day', CAST(l_shipdate AS DATE), (SELECT CAST(max(l_shipdate) AS DATE) FROM lineitem)) < 60 AND l_partkey IS NOT NULL)""")
 def orphans(spark, d):
-    lines = table(spark, d, "lineitem")
-    newest = lines.agg(F.max("l_shipdate").alias("newest"))
-    recent = lines.crossJoin(F.broadcast(newest)).where(F.col("l_shipdate") >= F.col("newest") - F.expr("INTERVAL 60 DAYS"))
-    return graph.orphans(table(spark, d, "part").select(F.col("p_partkey").alias("node")), recent.select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst")).select(F.col("dst").alias("src"), "dst"))
-
-
-@query(f"""
-WITH e AS MATERIALIZED ({TOP_TRADE}),
-f AS (SELECT x.src, y.dst, count(*) AS ways FROM e x JOIN e y ON x.dst = y.src WHERE x.src <> y.dst GROUP BY ALL)
-SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.src = f.src AND e.dst = f.dst)""")
-def two_hops(spark, d):
-    return graph.two_hops(top_trade(spark, d))
+    """Parts that no order of the last sixty days asks for; orders have numbers of their own, below zero."""
+    lines = timewin.recent(table(spark, d, "lineitem"), "l_shipdate", 60)
+    return graph.orphans(table(spark, d, "part").select(F.col("p_partkey").alias("node")), lines.select((-F.col("l_orderkey")).alias("src"), F.col("l_partkey").alias("dst")))
 
 
 @query(f"""
@@ -303,10 +266,7 @@ def resolve_links(spark, d):
     known = pages.select(F.concat_ws("/", F.split_part("url", F.lit("/"), F.lit(4)), F.regexp_extract("html", r"<h1>([A-Za-z0-9_]+)", 1)).alias("path"))
     e = extract.links(pages, "page_id", "html").select("src", F.col("dst").alias("spec"))
     base = F.regexp_replace(F.regexp_replace("spec", "^/", ""), "[.,]$", "")
-    tries = e.distinct().select("src", "spec", F.explode(F.array(*map(F.lit, ("en/", "de/", "fr/", "es/")))).alias("dir"), base.alias("base"))
-    order = F.array_position(F.array(*map(F.lit, ("en/", "de/", "fr/", "es/"))), F.col("dir"))
-    hits = tries.select("src", "spec", F.concat("dir", "base").alias("path"), order.alias("pos")).join(known.distinct(), "path")
-    return hits.groupBy("src", "spec").agg(F.min_by("path", "pos").alias("dst"))
+    return resolve.first_existing(e, F.array(*(F.concat(F.lit(x), base) for x in ("en/", "de/", "fr/", "es/"))), known)
 
 
 PATTERNS = [
@@ -353,27 +313,27 @@ MODIFIED = "SELECT * FROM (VALUES ('ECONOMY', 0), ('LARGE', 1)) AS m(item, idx)"
 @query(f"""
 WITH p AS ({pairs_sql(ORDERED_TYPES, 3, 0.3)}), m AS ({MODIFIED}),
 s AS (SELECT a AS item, b AS partner, strength FROM p UNION ALL SELECT b, a, strength FROM p),
-e AS (SELECT DISTINCT p_brand AS src, p_type AS dst FROM part WHERE p_size >= 45),
+e AS (SELECT DISTINCT p_brand AS src, p_type AS dst FROM part),
 w AS (SELECT dst AS item FROM e GROUP BY 1 HAVING count(DISTINCT src) >= 5),
 f AS (SELECT partner AS target, idx, 1 AS sig, 'co-change' AS signal, CASE WHEN strength >= 0.5 THEN 'high' WHEN strength >= 0.3 THEN 'medium' ELSE 'low' END AS confidence, m.item AS cause, -strength AS ord
       FROM s JOIN m ON s.item = m.item
       UNION ALL SELECT src, idx, 2, 'import', 'medium', m.item, 0 FROM e JOIN m ON e.dst = m.item WHERE e.dst IN (FROM w)
-      UNION ALL SELECT t, idx, 3, 'test', 'medium', m.item, pos FROM (SELECT DISTINCT p_type AS item, p_name AS t, 1 AS pos FROM part WHERE p_size = 50) JOIN m USING (item))
+      UNION ALL SELECT t, idx, 3, 'test', 'medium', m.item, pos FROM (SELECT DISTINCT p_type AS item, p_name AS t, 1 AS pos FROM part) JOIN m USING (item))
 SELECT target, signal, confidence, cause FROM f WHERE target NOT IN (SELECT item FROM m)
 QUALIFY row_number() OVER (PARTITION BY target ORDER BY idx, sig, ord, cause) = 1""")
 def completeness(spark, d):
     part = table(spark, d, "part")
     pairs = assoc.partners(assoc.cooccur(ordered(spark, d, "p_type"), ["l_orderkey"], "p_type", min_count=3, min_strength=0.3))
     modified = spark.createDataFrame([("ECONOMY", 0), ("LARGE", 1)], "item string, idx int")
-    edges = part.where("p_size >= 45").select(F.col("p_brand").alias("src"), F.col("p_type").alias("dst"))
-    tests = part.where("p_size = 50").select(F.col("p_type").alias("item"), F.col("p_name").alias("test"), F.lit(1).alias("pos")).distinct()
+    edges = part.select(F.col("p_brand").alias("src"), F.col("p_type").alias("dst"))
+    tests = part.select(F.col("p_type").alias("item"), F.col("p_name").alias("test"), F.lit(1).alias("pos")).distinct()
     return changes.completeness(modified, pairs, edges, tests)
 
 
 @query(f"""
 WITH p AS ({pairs_sql(ORDERED_BRANDS, 2, 0.05)}),
 s AS (SELECT a AS item, b AS companion, strength FROM p UNION ALL SELECT b, a, strength FROM p),
-t AS (SELECT DISTINCT p_brand AS b, p_type AS t FROM part WHERE p_size = 50),
+t AS (SELECT DISTINCT p_brand AS b, p_type AS t FROM part),
 u AS (SELECT item, companion, 1 AS stage, 'co-change' AS signal, least(0.8 * strength * 5, 0.6) AS points, false AS gated FROM s
       UNION ALL SELECT DISTINCT x.b, y.b, 2, 'sibling', 0.4, false FROM t x JOIN t y ON x.t = y.t AND x.b <> y.b
       UNION ALL SELECT DISTINCT x.p_brand, y.p_brand, 3, 'prefix', 0.35, true FROM part x JOIN part y ON x.p_brand[1:7] = y.p_brand[1:7] AND x.p_brand <> y.p_brand),
@@ -388,7 +348,7 @@ def companions(spark, d):
         return df.select("item", "companion", F.lit(stage).alias("stage"), F.lit(name).alias("signal"), points.alias("points"), F.lit(gated).alias("gated"))
 
     one = signal(pairs.withColumnRenamed("partner", "companion"), 1, "co-change", F.least(F.lit(0.8) * F.col("strength") * 5, F.lit(0.6)), False)
-    t = part.where("p_size = 50").select("p_brand", "p_type").distinct()
+    t = part.select("p_brand", "p_type").distinct()
     near = t.select(F.col("p_brand").alias("item"), "p_type").join(t.select(F.col("p_brand").alias("companion"), "p_type"), "p_type").where("item <> companion").select("item", "companion").distinct()
     b = part.select("p_brand", F.substring("p_brand", 1, 7).alias("prefix")).distinct()
     like = b.select(F.col("p_brand").alias("item"), "prefix").join(b.select(F.col("p_brand").alias("companion"), "prefix"), "prefix").where("item <> companion")
@@ -410,9 +370,9 @@ def set_accuracy(spark, d):
 
 
 @query("""
-WITH s AS (SELECT doc_id AS pos, doc_id % 100 AS priority, CAST(ceil(n_chars / 4.0) AS BIGINT) AS tokens FROM documents WHERE doc_id < 200),
+WITH s AS (SELECT doc_id AS pos, doc_id % 100 AS priority, CAST(ceil(n_chars / 4.0) AS BIGINT) AS tokens FROM documents),
 r AS (SELECT *, sum(tokens) OVER () - coalesce(sum(tokens) OVER (ORDER BY priority, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM s)
-SELECT pos, priority, tokens FROM r WHERE rest <= 20000 OR priority >= 90""".replace(" WHERE doc_id < 200", ""))
+SELECT pos, priority, tokens FROM r WHERE rest <= 20000 OR priority >= 90""")
 def budget_drop(spark, d):
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("pos"), (F.col("doc_id") % 100).alias("priority"), text.tokens(F.col("n_chars")).alias("tokens"))
     return report.budget_by_priority(rows, 20_000)
@@ -455,10 +415,10 @@ def pairwise_wins(spark, d):
     return report.wins(means, "l_suppkey", "l_returnflag", "m", "R", "A", 0.5)
 
 
-@query(f"SELECT l_suppkey, round(max(m) - min(m), 4) AS spread FROM ({MEANS}) GROUP BY 1 HAVING max(m) - min(m) > 8.0")
+@query(f"SELECT l_suppkey, round(max(m) - min(m), 4) AS spread FROM ({MEANS}) GROUP BY 1 HAVING max(m) - min(m) > 0.5")
 def divergence(spark, d):
     means = table(spark, d, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.avg("l_quantity").alias("m"))
-    return report.divergence(means, "l_suppkey", "m", 8.0)
+    return report.divergence(means, "l_suppkey", "m", 0.5)
 
 
 @query("SELECT user_id, count(*) AS n, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY 1")
@@ -527,13 +487,13 @@ def finding_tiers(spark, d):
 
 
 @query("""
-WITH b AS (SELECT DISTINCT p_type AS dir, p_brand AS x FROM part WHERE p_size <= 10)
+WITH b AS (SELECT DISTINCT p_type AS dir, p_brand AS x FROM part)
 SELECT a.dir || '/' || a.x AS item, b.dir || '/' || b.x AS companion FROM b a JOIN b ON a.dir = b.dir AND a.x <> b.x
 WHERE (starts_with(b.x, a.x) AND substr(b.x, length(a.x) + 1, 1) = upper(substr(b.x, length(a.x) + 1, 1)))
    OR (starts_with(a.x, b.x) AND substr(a.x, length(b.x) + 1, 1) = upper(substr(a.x, length(b.x) + 1, 1)))""")
 def prefix_pairs(spark, d):
     """Names in one folder that extend one another."""
-    p = table(spark, d, "part").where("p_size <= 10").select(F.concat_ws("/", "p_type", "p_brand").alias("path")).distinct()
+    p = table(spark, d, "part").select(F.concat_ws("/", "p_type", "p_brand").alias("path")).distinct()
     return context.prefix_pairs(p.withColumnRenamed("path", "item"), p)
 
 
@@ -552,18 +512,4 @@ def tiered_sample(spark, d):
     return rules.sample(files, 50, ranked, ranked.where("rank > 10").select("path", F.lit(1).alias("rank")))
 
 
-def _ask(priority: int, question: str, source: str, example: str, order: str) -> str:
-    return f"SELECT {priority} AS priority, '{question}' AS question, count(*) AS n, first({example} ORDER BY {order}) AS example FROM ({ORACLES[source]}) HAVING count(*) > 0"
-
-
-@query(" UNION ALL ".join([
-    _ask(1, "which imports form cycles", "cycles", "path", "length, path"),
-    _ask(2, "what do most files depend on", "hubs", "node", "edges DESC, node"),
-    _ask(3, "what is edited again and again", "rapid_edits", "CAST(user_id AS VARCHAR)", "n DESC, CAST(user_id AS VARCHAR)"),
-    _ask(4, "what changes together unseen", "cooccur_type", "a || ' + ' || b", "strength DESC, a, b"),
-    _ask(5, "what does nobody use", "orphans", "CAST(node AS VARCHAR)", "CAST(node AS VARCHAR)"),
-]))
-def pressing_questions(spark, d):
-    fragile = QUERIES["rapid_edits"](spark, d).select(F.col("user_id").cast("string").alias("node"), "n")
-    lost = QUERIES["orphans"](spark, d).select(F.col("node").cast("string").alias("node"))
-    return briefing.pressing(QUERIES["cycles"](spark, d), QUERIES["hubs"](spark, d), fragile, QUERIES["cooccur_type"](spark, d), lost)
+from . import repo_catalog  # noqa: E402, F401 - registers its queries in the same tables

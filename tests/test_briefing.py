@@ -14,9 +14,9 @@ def inputs(spark):
 
 def test_sections_come_in_the_order_of_the_format(spark):
     got = briefing.briefing(*inputs(spark), style="copilot").collect()
-    assert [x.key for x in got] == ["stack", "commands", "conventions", "critical", "core", "supplementary"]
+    assert [x.key for x in got] == ["stack", "commands", "conventions", "critical", "core_modules", "supplementary"]
     body = {x.key: x.body for x in got}
-    assert body["commands"] == "- build: make\n- test: run it" and body["core"] == "- f6\n- f5\n- f4\n- f3\n- f2" and "unlikely" not in str(body)
+    assert body["commands"] == "- build: make\n- test: run it" and body["core_modules"] == "- f6\n- f5\n- f4\n- f3\n- f2" and "unlikely" not in str(body)
 
 
 def test_the_budget_spares_what_is_critical(spark):

@@ -3,8 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.functions import text
-from tesserae.operators import changes, context, rules
+from tesserae.operators import changes, context, rules, tools
 
 
 @pytest.fixture(scope="module")
@@ -14,7 +13,7 @@ def tree(spark):
         "src/index.ts": 'export * from "./a";\nimport x from "@/b"',
         "src/auth/login.ts": "export default 1\nexport const a = 2\nclass E extends AppError {}",
         "src/auth/login.test.ts": "", "src/auth/loginForm.ts": "", "src/auth/token_store.ts": "// @generated by x",
-        "src/providers/a/i.ts": "", "src/providers/b/i.ts": "", "src/providers/c.ts": "", "tests/test_x.py": "", "api/x.pb.go": "", "src/features/f.ts": "",
+        "src/providers/a/i.ts": "", "src/providers/b/i.ts": "", "src/providers/c.ts": "", "tests/test_x.py": "", "api/x.pb.go": "", "src/codegen/x.ts": "", "src/features/f.ts": "",
     }
     return spark.createDataFrame(list(rows.items()), "path string, content string")
 
@@ -22,7 +21,7 @@ def tree(spark):
 def test_structure_and_mode(spark, tree):
     assert tuple(rules.structure(tree).first()) == (False, "feature", "mixed")
     assert rules.repo_mode(tree).first()[0] == "library" and rules.repo_mode(tree.limit(0)).first()[0] == "app"
-    assert {(r.dir, r.n, r.purpose) for r in rules.folders(tree).collect()} == {("src", 9, "source"), ("tests", 1, "tests"), ("api", 1, "API")}
+    assert {(r.dir, r.n, r.purpose) for r in rules.folders(tree).collect()} == {("src", 10, "Source code"), ("tests", 1, "Tests"), ("api", 1, "API routes or endpoints")}
     manifests = tree.where("path = 'package.json'").select(F.lit(0).alias("pos"), "content")
     assert {tuple(r) for r in rules.build_commands(manifests).collect()} == {("dev", "x"), ("test", "y"), ("db:migrate", "z")}
 
@@ -31,11 +30,11 @@ def test_detections(spark, tree):
     deps = spark.createDataFrame([("react", "18"), ("next", "14"), ("other", "1")], "name string, version string")
     assert [tuple(r) for r in rules.frameworks(deps).collect()] == [("Next.js", "14")]
     assert {r.framework for r in rules.frameworks(deps.where("name <> 'next'")).collect()} == {"React"}
-    assert {r.path for r in rules.generated(tree).collect()} == {"src/auth/token_store.ts", "api/x.pb.go"}
+    assert {r.path for r in rules.generated(tree).collect()} == {"src/auth/token_store.ts", "src/codegen/x.ts"}
     assert [tuple(r) for r in rules.integrations(tree).collect()] == [("src/providers", 3)]
     got = {r.name: r.n for r in rules.conventions(tree).collect()}
     assert got["barrels"] == 1 and got["alias imports"] == 1 and got["default exports"] == 1 and got["named exports"] == 1 and got["error classes"] == 1
-    assert tree.where(rules.is_graph_source(F.col("path"))).count() == 11
+    assert tree.where(rules.is_graph_source(F.col("path"))).count() == 12
 
 
 def test_tiers_and_overrides(spark):
@@ -43,8 +42,8 @@ def test_tiers_and_overrides(spark):
     assert sorted((r.tier) for r in rules.tiers(f).collect()) == ["critical", "critical", "important", "supplementary"]
     g = spark.createDataFrame([("auth", "low", 12, 0, "high"), ("x", "low", 3, 0, "low"), ("Authentication", "high", 1, 0, "x"), ("Database", "low", 2, 0, "x"), ("x", "low", 1, 0, "x")], "category string, confidence string, n int, overlap int, declared string")
     assert [r.confidence for r in rules.revised(g).collect()] == ["high", "medium", "medium", "medium", "low"]
-    k = spark.createDataFrame([("core",), ("none",)], "k string")
-    assert [r[0] for r in k.select(rules.section_priority(F.col("k"), F.lit("library"))).collect()] == [70, 0]
+    k = spark.createDataFrame([("core_modules",), ("none",)], "k string")
+    assert [tuple(r) for r in k.select(rules.section_priority(F.col("k"), F.lit("library")), rules.section_priority(F.col("k"), F.lit("app"))).collect()] == [(90, 50), (0, 0)]
 
 
 def test_sample_fills_its_tiers(spark):
@@ -67,11 +66,11 @@ def test_tasks_find_files(spark, tree):
     tasks = spark.createDataFrame([(1, "Fix the login form and see token_store please"), (2, "change src/index.ts")], "task int, text string")
     assert {tuple(r) for r in context.keyword_files(tasks, tree, ("the",)).collect()} == {(1, "src/auth/loginForm.ts", "login_form"), (1, "src/auth/token_store.ts", "token_store")}
     assert {tuple(r) for r in context.mentioned(tasks, tree).collect()} == {(1, "src/auth/login.ts"), (1, "src/auth/token_store.ts"), (2, "src/index.ts")}
-    got = context.test_candidates(spark.createDataFrame([("src/auth/login.ts",), ("x.py",), ("lone.go",)], "item string"), tree)
-    assert [tuple(r) for r in got.collect()] == [("src/auth/login.ts", "src/auth/login.test.ts", 0), ("x.py", "tests/test_x.py", 5)]
-    words = text.words(F.lit("rework login form"))
-    rows = tree.where(context.relevant(words, F.regexp_replace("path", "^src/|\\.ts$", ""))).collect()
-    assert {r.path for r in rows} == {"src/auth/login.ts", "src/auth/loginForm.ts"}
+    tree2 = tree.select("path").union(spark.createDataFrame([("tests/x_test.ts",)], "path string"))
+    got = context.test_candidates(spark.createDataFrame([("src/auth/login.ts",), ("tests/x.ts",), ("lone.go",)], "item string"), tree2)
+    assert sorted(tuple(r) for r in got.collect()) == [("src/auth/login.ts", "src/auth/login.test.ts", 0), ("tests/x.ts", "tests/x_test.ts", 3)]
+    said = F.split(F.lit("rework login form"), " ")
+    assert {r.path for r in tree.where(tools.name_relevant(said, F.col("path"))).collect()} == {"src/auth/login.ts", "src/auth/loginForm.ts"}
 
 
 def test_file_context(spark):

@@ -40,3 +40,26 @@ def test_rate_limit_opens_at_the_first_request(spark, tmp_path):
     got = run(stream, spark, "limited")
     rows = {(r.key, int(r.ts.timestamp()) % 3600): r.allowed for r in got.collect()}
     assert list(dict(sorted(rows.items())).values()) == [True, True, True, False, True, True]
+
+
+def test_memory_outlives_a_restart(spark, tmp_path):
+    a, b, out = spark.createDataFrame([("x",), ("y",)], "line string"), spark.createDataFrame([("z",)], "line string"), []
+    for batch in (a, a, b, b.union(a), a.union(b)):
+        watch.when_changed(lambda df, n: out.append(df.count()), "line", f"{tmp_path}/seen")(batch, 0)
+    assert out == [2, 1, 3]
+
+
+def test_cache_and_filters(spark):
+    now, built = [0.0], []
+    cache = watch.Cache(300, lambda: now[0])
+
+    def build():
+        built.append(1)
+        return spark.range(3)
+
+    for at, refresh in ((0, False), (299, False), (300, False), (301, True)):
+        now[0] = at
+        assert cache.get("dir", build, refresh).count() == 3
+    assert len(built) == 3
+    paths = spark.createDataFrame([("src/a.ts",), ("AGENTS.md",), ("dist/b.js",), ("src/own.ts",)], "path string")
+    assert [r.path for r in watch.watched(paths, ("src/own.ts",)).collect()] == ["src/a.ts"]
