@@ -6,8 +6,9 @@ times its own; what is over is reshared by weight among the rest until none is a
 source's demand that is due by t, and the inverse of that integral gives a document, which stands at some share of
 its source's words, its training position. Documents are range-sorted by position.
 
-Running sums over a source don't gather it: words are summed per source and cell (of the md5 of the id), the cell
-sums are accumulated, and only the rows of one cell meet in a task.
+Running sums over a source don't gather it: words are summed per source and cell (the first digits of the md5 of the
+id, as many as keep a cell of all rows near CELL_ROWS), the cell sums are accumulated, and only the rows of one cell
+meet in a task. The order is that of the md5, so the number of cells changes no result.
 
 Units: "words" takes floor differences of the running demand, so a source's taken words are its target but for
 rounding (the last pass over a document may be a part of it); "documents" takes whole documents, copies of each by
@@ -20,6 +21,7 @@ count in "documents"; an empty table gives no rows; columns other than doc_id, s
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-WEIGHTS, CAP, SLOPES = (5, 2, 1), 3, (0.5, 0.0, -0.5)
+WEIGHTS, CAP, SLOPES, CELL_ROWS = (5, 2, 1), 3, (0.5, 0.0, -0.5), 20_000
 
 
 def targets(rows: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, slopes: Sequence[float] = SLOPES) -> DataFrame:
@@ -75,15 +77,16 @@ def mix(docs: DataFrame, unit: str = "words", weights: Sequence[int] = WEIGHTS,
     """(doc_id, size, source, source_size, target, taken, copies, position) of each row of docs, sorted by position."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("long").alias("size"))
     rows = common.cut(rows)
+    digits = max(3, math.ceil(math.log(max(1, rows.count() / CELL_ROWS), 16)))
     by = targets(rows, weights, cap, slopes)
     rows = rows.withColumn("key", order_key())
-    rows = running(rows, F.substring("key", 1, 3), [F.col("key"), F.col("size")], F.col("size"), "before")
+    rows = running(rows, F.substring("key", 1, digits), [F.col("key"), F.col("size")], F.col("size"), "before")
     by = by.withColumnRenamed("source", "s").withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     rate = F.col("rate")
     if unit == "documents":
         # Cells by size, falling, in steps of an eighth of a power of two, then by key: neighbours are of like size.
         step = F.lpad(F.lit(999) - F.floor(F.log2(F.col("size") + 1) * 8), 3, "0")
-        rows = running(rows, F.concat(step, F.substring("key", 1, 2)), [F.col("key"), F.col("size")], F.lit(1), "index")
+        rows = running(rows, F.concat(step, F.substring("key", 1, digits - 1)), [F.col("key"), F.col("size")], F.lit(1), "index")
         at = F.col("index")
         copies = (F.floor(rate * (at + 1) + 0.5) - F.floor(rate * at + 0.5)).cast("long")  # centred: no bias to the small
         taken = copies * F.col("size")
