@@ -105,6 +105,12 @@ def test_mix_takes_its_targets(odd, odd_rows):
     assert mixing.mix(odd.coalesce(1)).collect() == rows
 
 
+def test_more_cells_change_nothing(odd, monkeypatch):
+    want = [rows_of(mixing.mix(odd, u)) for u in ("words", "documents")]
+    monkeypatch.setattr(mixing, "CELL_ROWS", 0.001)
+    assert [rows_of(mixing.mix(odd, u)) for u in ("words", "documents")] == want
+
+
 def test_mix_of_nothing(none, spark):
     assert mixing.mix(none).collect() == [] and mixing.mixed(none).collect() == []
     empty = spark.createDataFrame([(1, None, "a"), (2, " ", None)], "doc_id long, text string, source string")
@@ -195,3 +201,90 @@ def test_pipeline(spark, odd, leaky, tmp_path):
         at = spark.read.parquet(f"{tmp_path}/{k}")
     got, again = rows_of(at), rows_of(corpus_pipeline.run(spark, str(tmp_path)))
     assert got == again and sum(got.values()) > 10
+
+
+def plain_targets(size):
+    """Of the sizes of sources: weights 5, 2, 1 in turn, capped at three times a source's size, the excess reshared."""
+    names = sorted(size, key=lambda s: (s is None, s or ""))
+    weight, capped = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}, set()
+    while True:
+        rest = sum(size.values()) - sum(3 * size[s] for s in capped)
+        free = sum(w for s, w in weight.items() if s not in capped)
+        over = {s for s in names if s not in capped and free and weight[s] * rest / free > 3 * size[s]}
+        if not over:
+            return {s: 3.0 * size[s] if s in capped else weight[s] * rest / free for s in names}
+        capped |= over
+
+
+def test_each_stage_against_a_plain_version(spark, odd, odd_rows, leaky, tmp_path):
+    """Language, near-duplicates, leaks, copies and shards, each worked out again from the rows its predecessor kept."""
+    import hashlib
+    import math
+    import re
+
+    import zstandard
+    from pyspark.sql import functions as F
+
+    from tesserae.llm import langid
+
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars").where("doc_id IS NOT NULL AND doc_id <> 305").coalesce(1)
+    docs = docs.unionByName(leaky[0].where("doc_id = 3").select((F.col("doc_id") + 900).alias("doc_id"), "text", F.lit("en").alias("lang"), F.lit("a").alias("source"), F.lit(1).cast("long").alias("n_chars")))
+    leaky[1].write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    at = docs.collect()
+
+    def run(name, rows):
+        return stages[name](spark, spark.createDataFrame(rows, docs.schema), str(tmp_path)).collect()
+
+    content = langid.dictionaries(docs, F.lit(True))
+    packers = langid.packers(content)
+
+    def margin(text):
+        seen = dict.fromkeys("".join(c if c.isalpha() else " " for c in (text or "").lower()).split())
+        if not seen:
+            return -1.0
+        a, b = sorted(len(p.compress((" " + " ".join(seen) + " ").encode() * 8)) for p in packers)[:2]
+        return (b - a) / b
+
+    assert zstandard and len(content) >= 2
+    kept = run("language", at)
+    assert Counter(r.doc_id for r in kept) == Counter(r.doc_id for r in at if margin(r.text) >= langid.MARGIN)
+
+    def shingles(text):
+        w = (text or "").encode().lower().split()
+        return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(r.text) for r in kept]
+    root = list(range(len(kept)))
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for i in range(len(kept)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    first = {}
+    for i, r in enumerate(kept):
+        first[find(i)] = min(first.get(find(i), r.doc_id), r.doc_id)
+    single = run("near_duplicates", kept)
+    assert sorted(r.doc_id for r in single) == sorted(first.values())
+    leaked = {r[0] for r in duck(decontam.SQL, documents=spark.createDataFrame(single, docs.schema), benchmark=leaky[1])}
+    clean = run("decontaminate", single)
+    assert leaked == {903} and sorted(r.doc_id for r in clean) == sorted(r.doc_id for r in single if r.doc_id not in leaked)
+
+    size = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in clean}
+    held = Counter()
+    for r in clean:
+        held[r.source] += size[r.doc_id]
+    target, want = plain_targets(held), Counter()
+    for source in held:
+        key = lambda r: (999 - math.floor(math.log2(size[r.doc_id] + 1) * 8), hashlib.md5(str(r.doc_id).encode()).hexdigest())
+        rate = target[source] / held[source]
+        for k, r in enumerate(sorted((r for r in clean if r.source == source), key=key)):
+            want[r.doc_id] += math.floor(rate * (k + 1) + 0.5) - math.floor(rate * k + 0.5)
+    mixed = run("mix", clean)
+    assert Counter(r.doc_id for r in mixed) == +want
+    got = run("shards", mixed)
+    assert Counter((r.doc_id, r["size"]) for r in got) == Counter((r.doc_id, len(r.text.encode()) + 1) for r in mixed)
+    assert all(len(x) == 1 for x in (lambda d: [d[r.text_crc32].add(r.shard) or d[r.text_crc32] for r in got])(defaultdict(set)))
