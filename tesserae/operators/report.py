@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from . import windows
 
 
@@ -33,10 +36,17 @@ def sections(df: DataFrame, key: str, text: str, header: str = r"## ") -> DataFr
     return parts.select(key, "pos", F.trim(head).alias("header"), F.trim(body).alias("body")).where("pos > 0 OR body <> ''")
 
 
-def merge(generated: DataFrame, existing: DataFrame, known: list[str]) -> DataFrame:
-    """(header, body, ord): the generated sections, then those of existing that nobody generates."""
-    manual = existing.where((F.col("header") != "") & ~F.col("header").isin(known)).join(generated.select("header"), "header", "left_anti")
-    return generated.select("header", "body", F.col("pos").cast("double").alias("ord")).unionByName(manual.select("header", "body", (F.col("pos") + 0.5 + 1e6).alias("ord")))
+def manual(sections: DataFrame, known: Sequence[str] = fixed.OWN_HEADERS) -> DataFrame:
+    """The sections (header) that were written by hand."""
+    return sections.where((F.col("header") != "") & ~F.col("header").isin(*known))
+
+
+def merge(generated: DataFrame, existing: DataFrame, known: Sequence[str] = fixed.OWN_HEADERS, marker: str = fixed.MARKER) -> DataFrame:
+    """(header, body, ord): the generated sections with those of existing that nobody generates, before the marker or at the end."""
+    own = manual(existing, known).join(generated.select("header"), "header", "left_anti")
+    at = generated.agg(F.coalesce(F.min(F.when(F.col("header") == marker, F.col("pos"))), F.max("pos") + 1, F.lit(0)).alias("at"))
+    own = own.crossJoin(F.broadcast(at)).select("header", "body", (F.col("at") - 0.5 + F.col("pos") * 1e-6).alias("ord"))  # one row
+    return generated.select("header", "body", F.col("pos").cast("double").alias("ord")).unionByName(own)
 
 
 def new_lines(new: DataFrame, old: DataFrame, text: str) -> DataFrame:

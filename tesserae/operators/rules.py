@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.paths import basename, dirname, extension, is_test, top_dir
+from ..functions.paths import basename, dirname, extension, top_dir
 from .vote import stride
 
 # What a dependency tells.
@@ -43,20 +43,68 @@ def folders(files: DataFrame) -> DataFrame:
 
 def structure(files: DataFrame) -> DataFrame:
     """One row: monorepo, layout (feature, layer or null), and where tests are (colocated, separate, mixed or none)."""
-    p = F.col("path")
+    p, top = F.col("path"), F.when(F.contains(F.col("path"), F.lit("/")), top_dir(F.col("path")))
     has = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
     row = files.agg(
-        has(p.rlike(r"^(packages|apps)/[^/]+/package\.json$|^(pnpm-workspace\.yaml|turbo\.json|lerna\.json|nx\.json)$")).alias("monorepo"),
-        has(p.rlike(r"(^|/)(features|modules)/")).alias("feature"),
-        has(p.rlike(r"(^|/)(controllers|services|models|repositories)/")).alias("layer"),
-        has(is_test(p) & ~p.rlike(r"(^|/)(tests?|__tests__|e2e)/")).alias("near"),
-        has(p.rlike(r"(^|/)(tests?|__tests__|e2e)/")).alias("apart"),
+        has(p.isin("pnpm-workspace.yaml", "lerna.json") | top.isin("packages", "apps")).alias("monorepo"),
+        has(top.isin("features", "modules")).alias("feature"),
+        has(top == "components").alias("components"),
+        has(top.isin("services", "utils")).alias("beside"),
+        has(p.contains(".test.") | p.contains(".spec.")).alias("near"),
+        has(top.isin("test", "tests", "__tests__")).alias("apart"),
     )
-    layout = F.when(F.col("feature"), "feature").when(F.col("layer"), "layer")
+    layout = F.when(F.col("feature"), "feature").when(F.col("components") & F.col("beside"), "layer")
     tests = F.when(F.col("near") & F.col("apart"), "mixed").when(F.col("near"), "colocated").when(F.col("apart"), "separate").otherwise("none")
     return row.select("monorepo", layout.alias("layout"), tests.alias("tests"))
 
 
+def entry_points(files: DataFrame) -> DataFrame:
+    """(path) of the files that programs start at."""
+    return files.where(F.col("path").isin(*fixed.ENTRIES)).select("path")
+
+
+def language_stack(files: DataFrame) -> DataFrame:
+    """(framework) of Python and Go: by manifests at the root, Python only with five primary files of its own.
+
+    FastAPI needs three files that import it; Flask and the rest need none. Go's are told by the module file.
+    """
+    p, c = F.col("path"), F.coalesce(F.col("content"), F.lit(""))
+    at = lambda name: F.max(F.when(p == name, F.lower(c)))
+    primary = p.endswith(".py") & ~p.rlike(r"(test[s_]?/|bench/|scripts?/|docs[_/]|examples?/|fixtures?/)") & ~p.startswith(".")
+    row = files.agg(
+        at("pyproject.toml").alias("project"), at("requirements.txt").alias("requirements"), F.coalesce(F.bool_or(p == "setup.py"), F.lit(False)).alias("setup"), at("go.mod").alias("go"),
+        F.count_if(primary).alias("primary"), F.count_if(primary & c.rlike(r"from fastapi|import fastapi|FastAPI\(")).alias("fast"),
+    )
+    deps = F.coalesce("project", "requirements", F.lit(""))
+    python = F.when(deps.contains("django"), "Django").when(deps.contains("fastapi"), F.when(F.col("fast") >= 3, "FastAPI").otherwise("Python")).when(deps.contains("flask"), "Flask").otherwise("Python")
+    python = F.when((F.col("project").isNotNull() | F.col("requirements").isNotNull() | F.col("setup")) & (F.col("primary") >= 5), python)
+    go = F.when(F.col("go").contains("github.com/gin-gonic/gin"), "Go + Gin").when(F.col("go").contains("github.com/labstack/echo"), "Go + Echo").when(F.col("go").contains("github.com/gofiber/fiber"), "Go + Fiber").when(F.col("go").isNotNull(), "Go")
+    return row.select(F.explode(F.filter(F.array(python, go), lambda x: x.isNotNull())).alias("framework"))
+
+
+def fallback_commands(files: DataFrame, commands: DataFrame) -> DataFrame:
+    """commands (name, command), and for names without one what other build files at the root offer; the first offer wins.
+
+    A single program under cmd/ is what is run in development, whatever else is offered.
+    """
+    p = F.col("path")
+    has = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    program = F.regexp_extract(p, r"^cmd/([^/]+)", 1)
+    row = files.agg(
+        has(p == "Makefile").alias("make"), has((p == "pyproject.toml") & F.contains(F.coalesce("content", F.lit("")), F.lit("[tool.poetry.scripts]"))).alias("poetry"), has(p == "go.mod").alias("go"),
+        has(p == "requirements.txt").alias("requirements"), F.countDistinct(F.when(program != "", program)).alias("programs"), F.min(F.when(program != "", program)).alias("program"),
+    )
+    offers = [
+        (F.col("go") & (F.col("programs") == 1), -1, "dev", F.concat(F.lit("go run ./cmd/"), "program")),
+        (F.col("make"), 1, "build", F.lit("make")), (F.col("poetry"), 2, "dev", F.lit("poetry run dev")), (F.col("poetry"), 2, "test", F.lit("poetry run pytest")),
+        (F.col("go"), 3, "build", F.lit("go build ./...")), (F.col("go"), 3, "test", F.lit("go test ./...")), (F.col("go") & (F.col("programs") == 0), 3, "dev", F.lit("go run .")),
+        (F.col("requirements"), 4, "test", F.lit("pytest")),
+    ]
+    table = F.filter(F.array(*(F.when(c, F.struct(F.lit(rank).alias("rank"), F.lit(name).alias("name"), command.alias("command"))) for c, rank, name, command in offers)), lambda x: x.isNotNull())
+    rows = row.select(F.explode(table).alias("r")).select("r.*").unionByName(commands.where("command IS NOT NULL").select(F.lit(0).alias("rank"), "name", "command"))
+    return rows.groupBy("name").agg(F.min_by("command", "rank").alias("command"))
+
+
 def repo_mode(files: DataFrame) -> DataFrame:
     """One row: monorepo, library or app, by the first rule that holds for files (path, content)."""
     p, root = F.col("path"), F.col("path") == "package.json"

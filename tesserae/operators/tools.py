@@ -43,6 +43,11 @@ def conventions(findings: DataFrame, about: str | None = None) -> DataFrame:
     return rows if about is None else rows.where(c.contains(about.lower()))
 
 
+def hidden(findings: DataFrame) -> DataFrame:
+    """The findings that reading the files wouldn't give away (discoverable is false)."""
+    return findings.where(~F.col("discoverable"))
+
+
 def history(findings: DataFrame) -> DataFrame:
     return findings.where(F.col("category").isin(*HISTORY))
 

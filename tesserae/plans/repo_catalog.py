@@ -418,12 +418,16 @@ def topic_answers(spark, d):
     return tools.answers(rows, repo.findings(spark, d), "conv_id", "text").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {FINDINGS}, w AS (SELECT DISTINCT item_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 3 AND x NOT IN ({STOP}))) AS word FROM benchmark),
+ASKS = "'Where is the ' || CASE s_nationkey % 4 WHEN 0 THEN 'red widget' WHEN 1 THEN 'hidden gear' WHEN 2 THEN 'auth session' ELSE 'unknown' END || ' of ' || s_suppkey"
+
+
+@query(f"""WITH {FINDINGS}, w AS (SELECT DISTINCT s_suppkey, unnest(list_filter(string_split_regex(lower({ASKS}), '[^a-z0-9]+'), lambda x: length(x) >= 3 AND x NOT IN ({STOP}))) AS word FROM supplier),
 v AS (SELECT DISTINCT id, unnest(list_filter(string_split_regex(lower(category || ' ' || description), '[^a-z0-9]+'), lambda x: length(x) >= 3)) AS word FROM f)
-SELECT item_id, count(DISTINCT id) AS n FROM w JOIN v USING (word) GROUP BY 1""")
+SELECT s_suppkey, count(DISTINCT id) AS n FROM w JOIN v USING (word) GROUP BY 1""")
 def keyword_answers(spark, d):
-    """How many findings share a word with each benchmark item: what is searched where no topic fits."""
-    return tools.fallback(table(spark, d, "benchmark"), repo.findings(spark, d), "item_id", "text").groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+    """How many findings share a word with each supplier's question: what is searched where no topic fits."""
+    asks = table(spark, d, "supplier").selectExpr("s_suppkey", f"{ASKS} AS text")
+    return tools.fallback(asks, repo.findings(spark, d), "s_suppkey", "text").groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("n"))
 
 
 #: A task for each order: it names one file by its path and speaks of another's name.
@@ -549,9 +553,9 @@ def framework_votes(spark, d):
     return rules.frameworks(repository.dependencies(table(spark, d, "supplier").selectExpr("s_suppkey AS pos", f"{content} AS content")))
 
 
-@query(rf"""WITH {FILES}, t AS (SELECT path, regexp_matches(path, '(^|/)(tests?|__tests__|e2e)/') AS apart, regexp_matches(path, '\.(test|spec|test-d)\.[^.]+$|[^/]+_test\.py$') AS test FROM files)
-SELECT bool_or(regexp_matches(path, '^(packages|apps)/[^/]+/package\.json$')) AS monorepo, CASE WHEN bool_or(regexp_matches(path, '(^|/)(features|modules)/')) THEN 'feature' WHEN bool_or(regexp_matches(path, '(^|/)(controllers|services|models|repositories)/')) THEN 'layer' ELSE 'none' END AS layout,
- CASE WHEN bool_or(test AND NOT apart) AND bool_or(apart) THEN 'mixed' WHEN bool_or(test AND NOT apart) THEN 'colocated' WHEN bool_or(apart) THEN 'separate' ELSE 'none' END AS tests FROM t""")
+@query(rf"""WITH {FILES}, t AS (SELECT path, CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) END AS top FROM files)
+SELECT bool_or(path IN ('pnpm-workspace.yaml', 'lerna.json') OR coalesce(top IN ('packages', 'apps'), false)) AS monorepo, CASE WHEN bool_or(top IN ('features', 'modules')) THEN 'feature' WHEN bool_or(top = 'components') AND bool_or(top IN ('services', 'utils')) THEN 'layer' ELSE 'none' END AS layout,
+ CASE WHEN bool_or(contains(path, '.test.') OR contains(path, '.spec.')) AND bool_or(top IN ('test', 'tests', '__tests__')) THEN 'mixed' WHEN bool_or(contains(path, '.test.') OR contains(path, '.spec.')) THEN 'colocated' WHEN bool_or(top IN ('test', 'tests', '__tests__')) THEN 'separate' ELSE 'none' END AS tests FROM t""")
 def project_structure(spark, d):
     return rules.structure(repo.files(spark, d)).fillna("none", ["layout"])
 
@@ -616,3 +620,38 @@ def pressing_questions(spark, d):
     lost = QUERIES["orphans"](spark, d).select(F.col("node").cast("string").alias("node"))
     e = QUERIES["cycles"](spark, d)
     return briefing.pressing(e, QUERIES["hubs"](spark, d), fragile, QUERIES["cooccur_type"](spark, d), lost, history.reverts(repo.commits(spark, d)), QUERIES["test_files"](spark, d))
+
+
+@query(rf"""WITH {FILES}, p AS (SELECT count(*) AS n FROM files WHERE path LIKE '%.py' AND NOT regexp_matches(path, '(test[s_]?/|bench/|scripts?/|docs[_/]|examples?/|fixtures?/)')), f AS (SELECT count(*) AS n FROM files WHERE path LIKE '%.py' AND contains(content, 'FastAPI('))
+SELECT CASE WHEN f.n >= 3 THEN 'FastAPI' ELSE 'Python' END AS framework FROM p, f WHERE p.n >= 5 UNION ALL SELECT 'Go + Echo'""")
+def language_stack(spark, d):
+    """What the files use, next to two manifests."""
+    manifests = spark.createDataFrame([("pyproject.toml", 'dependencies = ["fastapi"]'), ("go.mod", "module example.org/m\nrequire github.com/labstack/echo v4")], "path string, content string")
+    return rules.language_stack(repo.files(spark, d).unionByName(manifests))
+
+
+@query(rf"""WITH {FILES} SELECT * FROM (VALUES ('build', 'make'), ('test', 'go test ./...'), ('dev', 'run ' || (SELECT min_by(s_nationkey, s_suppkey) FROM supplier))) AS t(name, command) WHERE (SELECT count(*) FROM files) > 0
+UNION ALL SELECT 'db:migrate' || s_nationkey, arg_min('m' || s_suppkey, s_suppkey) FROM supplier GROUP BY s_nationkey""".replace("min_by(", "arg_min("))
+def all_commands(spark, d):
+    """The scripts of manifests, and what a Makefile and a module file add to them."""
+    content = """concat('{"scripts": {"dev": "run ', s_nationkey, '", "db:migrate', s_nationkey, '": "m', s_suppkey, '", "other": "x"}}')"""
+    own = rules.build_commands(table(spark, d, "supplier").selectExpr("s_suppkey AS pos", f"{content} AS content"))
+    more = spark.createDataFrame([("Makefile", "all:"), ("go.mod", "module m"), ("requirements.txt", "x")], "path string, content string")
+    return rules.fallback_commands(repo.files(spark, d).unionByName(more), own)
+
+
+@query(f"WITH f AS ({ORACLES['build_commands']}) SELECT name, '- ' || name || ': `' || command || '`' AS line FROM f WHERE command NOT IN ({', '.join(map(_quote, fixed.STANDARD_COMMANDS))})")
+def command_lines(spark, d):
+    return briefing.command_lines(QUERIES["build_commands"](spark, d))
+
+
+@query(f"SELECT id, p_size % 2 = 0 AS discoverable FROM ({repo.FINDINGS_SQL}) f JOIN part ON p_partkey = id WHERE p_size % 2 = 1")
+def hidden_findings(spark, d):
+    rows = repo.findings(spark, d).join(table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 2 == 0).alias("discoverable")), "id")
+    return tools.hidden(rows).select("id", "discoverable")
+
+
+@query(f"SELECT doc_id, count(*) AS n FROM ({ORACLES['text_sections']}) WHERE header <> '' AND header NOT IN ({', '.join(map(_quote, fixed.OWN_HEADERS))}) GROUP BY 1")
+def manual_sections(spark, d):
+    """How many sections of each document weren't generated."""
+    return report.manual(report.sections(table(spark, d, "documents"), "doc_id", "text", "The ")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..operators import assoc, changes, context, extract, graph, history, patterns, resolve, rules, timewin, tools
+from ..operators import assoc, changes, context, extract, graph, history, patterns, report, resolve, rules, timewin, tools
 
 LANGUAGES = {"script": (r"\.(tsx?|jsx?)$", extract.script_imports, resolve.script), "python": (r"\.py$", extract.python_imports, resolve.python), "rust": (r"\.rs$", extract.rust_imports, resolve.rust)}
 
@@ -71,3 +71,14 @@ def check(scan: dict[str, DataFrame], modified: DataFrame) -> DataFrame:
 def file_companions(scan: dict[str, DataFrame], primary: DataFrame) -> DataFrame:
     """The companions of files (item), by a scan."""
     return changes.companions(context.file_signals(primary, assoc.partners(scan["pairs"]), scan["edges"], scan["files"]))
+
+
+def update(fresh: DataFrame, existing: DataFrame) -> DataFrame:
+    """A report (header, body, pos) made anew, with the sections that were written into the old one by hand."""
+    return report.merge(fresh, existing)
+
+
+def difference(fresh: DataFrame, existing: DataFrame, text: str) -> DataFrame:
+    """(side, line, n): lines that only the new text has (+), and only the old one (-)."""
+    plus, minus = report.new_lines(fresh, existing, text), report.new_lines(existing, fresh, text)
+    return plus.select(F.lit("+").alias("side"), "line", "n").unionByName(minus.select(F.lit("-").alias("side"), "line", "n"))

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserae.functions import fixed, paths
-from tesserae.operators import briefing, extract, graph, history, patterns, resolve, tools, vote, windows
+from tesserae.operators import briefing, extract, graph, history, patterns, resolve, rules, tools, vote, windows
+from tesserae.plans import scan
 from tesserae.sources import repository
 
 
@@ -189,6 +190,28 @@ def test_silent_signals(spark):
     assert {(r.item, r.companion, r.score, r.signals) for r in changes.companions(signals).collect()} == {("svc/a.go", "svc/b.go", 0.35, "same folder"), ("pkg/x.py", "pkg/y.py", 0.3, "facade"), ("pkg/x.py", "pkg/__init__.py", 0.4, "linked sibling")}
 
 
+def test_stacks_and_commands(spark):
+    py = tree(spark, *(f"pkg/m{k}.py" for k in range(5)), content="from fastapi import x")
+    assert rows(rules.language_stack(py)) == [] and rows(rules.language_stack(py.union(tree(spark, "requirements.txt", content="FastAPI")))) == [("FastAPI",)]
+    assert rows(rules.language_stack(py.limit(4).union(tree(spark, "requirements.txt", content="django")))) == []
+    assert rows(rules.language_stack(tree(spark, "go.mod", content="require github.com/gin-gonic/gin"))) == [("Go + Gin",)] and rows(rules.language_stack(tree(spark, "go.mod"))) == [("Go",)]
+    none = spark.createDataFrame([], "name string, command string")
+    assert rows(rules.fallback_commands(tree(spark, "go.mod", "cmd/x/main.go"), none)) == [("build", "go build ./..."), ("dev", "go run ./cmd/x"), ("test", "go test ./...")]
+    assert rows(rules.fallback_commands(tree(spark, "go.mod", "Makefile"), spark.createDataFrame([("test", "mine")], "name string, command string"))) == [("build", "make"), ("dev", "go run ."), ("test", "mine")]
+    assert rows(rules.fallback_commands(tree(spark, "pyproject.toml", content="[tool.poetry.scripts]").union(tree(spark, "requirements.txt")), none)) == [("dev", "poetry run dev"), ("test", "poetry run pytest")]
+    assert rows(rules.structure(tree(spark, "components/a.ts", "utils/b.ts", "apps/x/c.spec.ts"))) == [(True, "layer", "colocated")]
+    assert rows(rules.entry_points(tree(spark, "src/index.ts", "src/x.ts", "server.ts"))) == [("server.ts",), ("src/index.ts",)]
+
+
+def test_updates_keep_what_was_written_by_hand(spark):
+    schema = "header string, body string, pos int"
+    old = spark.createDataFrame([("", "intro", 0), ("Mine", "m", 1), ("Commands", "old", 2), ("Also mine", "a", 3)], schema)
+    new = spark.createDataFrame([("Commands", "new", 0), ("What to Add Manually", "w", 1)], schema)
+    assert [r.header for r in scan.update(new, old).orderBy("ord").collect()] == ["Commands", "Mine", "Also mine", "What to Add Manually"]
+    assert [r.header for r in scan.update(new.limit(1), old).orderBy("ord").collect()] == ["Commands", "Mine", "Also mine"]
+    assert rows(scan.difference(new, old, "body")) == [("+", "new", 1), ("+", "w", 1), ("-", "a", 1), ("-", "intro", 1), ("-", "m", 1), ("-", "old", 1)]
+
+
 def test_running_sums(spark):
     df = spark.createDataFrame([(k, k % 7) for k in range(500)], "k int, v int").repartition(6)
     got = {r.k: r.s for r in windows.running(df, ["k"], F.col("v"), "s").collect()}
@@ -212,8 +235,6 @@ def test_small_pieces(spark):
 def test_a_repository_end_to_end(spark):
     """Files to imports, edges, hubs, patterns and a ranking, as a scan runs them."""
     f = files(spark, **{f"src/m{k}.ts": f'import {{ a }} from "./hub";\nexport const x = z.object({{}})\n// m{k}' for k in range(6)}, **{"src/hub.ts": "export const a = 1", "src/hub.test.ts": 'import "./x"\nimport { a } from "./hub"'})
-    from tesserae.plans import scan
-
     got = scan.project(f, spark.createDataFrame([("1", None, 'Revert "a"')], "commit_id string, ts timestamp, subject string").limit(0), spark.createDataFrame([], "commit_id string, ts timestamp, subject string, status string, path string"))
     assert rows(got["hubs"]) == [("src/hub.ts", 6, 1)] and ("schema", "Zod", 6) in rows(got["patterns"]) and got["edges"].count() == 7
     assert got["ranks"].orderBy(F.desc("score")).first().node == "src/hub.ts" and rows(got["languages"]) == [("TypeScript", 8)]

@@ -19,7 +19,7 @@ def tree(spark):
 
 
 def test_structure_and_mode(spark, tree):
-    assert tuple(rules.structure(tree).first()) == (False, "feature", "mixed")
+    assert tuple(rules.structure(tree).first()) == (False, None, "mixed")
     assert rules.repo_mode(tree).first()[0] == "library" and rules.repo_mode(tree.limit(0)).first()[0] == "app"
     assert {(r.dir, r.n, r.purpose) for r in rules.folders(tree).collect()} == {("src", 10, "Source code"), ("tests", 1, "Tests"), ("api", 1, "API routes or endpoints")}
     manifests = tree.where("path = 'package.json'").select(F.lit(0).alias("pos"), "content")
