@@ -456,9 +456,36 @@ def keyword_files(spark, d):
     return context.keyword_files(table(spark, d, "orders").selectExpr("o_orderkey AS task", f"{said} AS text"), repo.files(spark, d), tuple(fixed.STOP_WORDS))
 
 
-@query()
+_GENERIC = "'index', 'main', 'utils', 'types', 'config', 'constants', 'helpers', 'test', 'mod', 'lib', 'app'"
+_WORDS = "list_filter(string_split_regex({0}, '[^a-z0-9]+'), lambda x: length(x) >= {1}{2})"
+FITS = f"""(len(own) > 0 AND (len(list_filter(own, lambda w: w NOT IN ({', '.join(map(_quote, fixed.GENERIC_WORDS))}) AND list_contains(said, w))) >= 2
+  OR len(own) <= 2 AND len(list_filter(own, lambda w: w NOT IN ({', '.join(map(_quote, fixed.GENERIC_WORDS))}) AND list_contains(said, w))) >= 1))::INT
+  + (len(list_filter(string_split(dir, '/'), lambda s: length(s) >= 3 AND s NOT IN ({', '.join(map(_quote, fixed.GENERIC_FOLDERS))}) AND list_contains(said, s))) >= 2)::INT"""
+
+
+@query(rf"""WITH {EDGES}, t AS (SELECT o_orderkey AS task, {TASK} AS text FROM orders),
+w AS (SELECT task, {_WORDS.format("lower(text)", 3, "")} AS said FROM t),
+a AS (SELECT path, regexp_replace(split_part(path, '/', -1), '\.[^.]+$', '') AS stem, regexp_replace(path, '/[^/]*$', '') AS dir FROM files),
+o AS (SELECT path, dir, list_filter(string_split_regex(lower(regexp_replace(stem, '([a-z])([A-Z])', '\1_\2', 'g')), '[_-]+'), lambda x: length(x) >= 3) AS own FROM a),
+n AS (SELECT path, path AS s FROM a UNION SELECT path, split_part(path, '/', -1) FROM a WHERE length(stem) >= 4 AND lower(stem) NOT IN ({_GENERIC}) UNION SELECT path, stem FROM a WHERE length(stem) >= 4 AND lower(stem) NOT IN ({_GENERIC})),
+named AS MATERIALIZED (SELECT DISTINCT task, path AS item FROM (SELECT task, unnest(regexp_extract_all(text, '[\w./@-]*[\w]')) AS s FROM t) JOIN n USING (s)),
+e AS MATERIALIZED (SELECT DISTINCT src, dst FROM edges), wide AS (SELECT dst FROM edges GROUP BY 1 HAVING count(*) >= 5),
+outward AS MATERIALIZED (SELECT task, item, dst AS c FROM named JOIN e ON item = src), inward AS (SELECT task, item, src AS c FROM named JOIN e ON item = dst),
+g AS (SELECT task, {_WORDS.format("lower(text)", 3, f" AND x NOT IN ({STOP})")} AS v FROM t),
+p AS (SELECT task, unnest([v[i] || '_' || v[i + 1] || '_' || v[i + 2] FOR i IN range(1, len(v) - 1)] || [v[i] || '_' || v[i + 1] FOR i IN range(1, len(v))]) AS phrase FROM g),
+m AS (SELECT path, {_WORDS.format(r"lower(regexp_replace(stem, '([a-z])([A-Z])', '\1_\2', 'g'))", 1, "")} AS v FROM a WHERE regexp_matches(lower(path), '\.(ts|tsx|js|jsx|py|go|rs|rb|java|swift|kt)$')),
+k AS (SELECT path, unnest([v[i] || '_' || v[i + 1] || '_' || v[i + 2] FOR i IN range(1, len(v) - 1)] || [v[i] || '_' || v[i + 1] FOR i IN range(1, len(v))]) AS phrase FROM m),
+raw AS (SELECT task, c, 1 AS stage, 'co-change' AS signal FROM outward UNION ALL SELECT task, c, 2, 'linked sibling' FROM (FROM outward UNION ALL FROM inward) WHERE regexp_replace(item, '/[^/]*$', '') = regexp_replace(c, '/[^/]*$', '')
+  UNION ALL SELECT task, c, 3, 'imported by' FROM inward UNION ALL SELECT task, c, 4, 'imports' FROM outward UNION ALL SELECT task, path, 5, 'keyword' FROM p JOIN k USING (phrase)
+  UNION ALL SELECT task, e.dst, 6, 'two steps' FROM outward JOIN e ON c = e.src),
+d AS (SELECT DISTINCT * FROM raw WHERE (task, c) NOT IN (SELECT (task, item) FROM named)),
+f AS (SELECT d.*, c IN (SELECT dst FROM wide) AS wide, {FITS} AS fits FROM d JOIN w USING (task) JOIN o ON o.path = c),
+q AS (SELECT task, c, stage, signal, CASE stage WHEN 1 THEN 0.3 WHEN 2 THEN 0.3 WHEN 3 THEN CASE WHEN fits > 0 THEN 0.2 ELSE 0.15 END + CASE WHEN wide THEN 0.1 ELSE 0 END WHEN 4 THEN CASE WHEN fits > 1 THEN 0.4 WHEN fits > 0 THEN 0.2 ELSE 0.1 END
+  WHEN 5 THEN 0.35 ELSE CASE WHEN fits > 1 THEN 0.25 WHEN fits > 0 THEN 0.1 ELSE 0.05 END END::DOUBLE AS points FROM f),
+s AS (SELECT task, c AS companion, round(least(sum(points), 1.0), 6)::DOUBLE AS score, string_agg(signal, ',' ORDER BY stage) AS signals FROM q GROUP BY ALL)
+SELECT *, CAST(row_number() OVER (PARTITION BY task ORDER BY score DESC, companion LIKE '%\_\_init\_\_.py' ESCAPE '\', companion) AS INTEGER) AS rank FROM s WHERE score >= 0.25 QUALIFY rank <= 5""")
 def task_companions(spark, d):
-    """What each task is likely to touch besides the files that it names; six signals, held to a plain version in the tests."""
+    """What each task is likely to touch besides the files that it names, by six signals."""
     e = script_edges(spark, d)
     tasks = table(spark, d, "orders").selectExpr("o_orderkey AS task", f"{TASK} AS text")
     pairs = e.select(F.col("src").alias("item"), F.col("dst").alias("partner"), F.lit(0.5).alias("strength"))
