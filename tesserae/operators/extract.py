@@ -1,18 +1,15 @@
-"""Imports and links out of texts, and their resolution against known paths."""
+"""Imports and links out of texts."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.paths import dirname
-
 SCRIPT = (
     r"""(?m)(?:import|export)[^\n]*?from\s+['"]([^'"\n]+)['"]""",
     r"""import\(\s*['"]([^'"\n]+)['"]\s*\)""",
     r"""require\(\s*['"]([^'"\n]+)['"]\s*\)""",
 )
-SUFFIXES = ("", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")
 
 
 def found(text: Column, *patterns: str) -> Column:
@@ -51,19 +48,3 @@ def normalise(path: Column) -> Column:
     parts = F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))
     kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, p: F.when(p == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(p))))
     return F.array_join(kept, "/")
-
-
-def script_base(spec: Column, importer: Column) -> Column:
-    """The path that a module name means, before suffixes: aliases start at src/, others at the importer's folder."""
-    aliased = F.concat(F.lit("src/"), F.substring(spec, 3, 10_000))
-    joined = normalise(F.when(spec.rlike("^[@~]/"), aliased).otherwise(F.concat_ws("/", dirname(importer), spec)))
-    return F.regexp_replace(joined, r"\.jsx?$", "")
-
-
-def resolve(edges: DataFrame, base: Column, paths: DataFrame, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
-    """(src, spec, dst): the first existing path among base + suffix, for edges(src, spec) and paths(path)."""
-    rows = edges.select("src", "spec", base.alias("base")).distinct()
-    tries = rows.select("src", "spec", F.posexplode(F.array(*(F.concat("base", F.lit(x)) for x in suffixes))).alias("pos", "path"))
-    hits = tries.join(paths.select("path").distinct(), "path")
-    first = F.row_number().over(Window.partitionBy("src", "spec").orderBy("pos"))
-    return hits.withColumn("r", first).where("r = 1").select("src", "spec", F.col("path").alias("dst"))

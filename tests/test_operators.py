@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tesserae.functions import paths, text
-from tesserae.operators import assoc, changes, extract, graph, report, timewin, vote
+from tesserae.operators import assoc, changes, extract, graph, report, resolve, timewin, vote
 
 
 def column(spark, values, expression):
@@ -50,7 +50,7 @@ def test_imports(spark):
 def test_resolution_takes_the_first_candidate(spark):
     edges = spark.createDataFrame([("src/a/x.ts", "./y"), ("src/a/x.ts", "../z.js"), ("src/a/x.ts", "@/lib/q"), ("x.ts", "./none")], "src string, spec string")
     known = spark.createDataFrame([("src/a/y.tsx",), ("src/a/y/index.ts",), ("src/z.ts",), ("src/lib/q/index.js",)], "path string")
-    got = extract.resolve(edges, extract.script_base(F.col("spec"), F.col("src")), known)
+    got = resolve.script(edges, known)
     assert {(r.spec, r.dst) for r in got.collect()} == {("./y", "src/a/y.tsx"), ("../z.js", "src/z.ts"), ("@/lib/q", "src/lib/q/index.js")}
 
 
