@@ -76,17 +76,25 @@ def rolled(rows: DataFrame, hashes: str, n: int) -> tuple[DataFrame, str]:
     return rows, name
 
 
+def pieces(words: int, size: int) -> Column:
+    """Pieces of so many tokens of (start, before, raw), each with the words - 1 that follow and the one before, if there is one."""
+    last = F.greatest(F.lit(0), F.floor((F.size("raw") - F.col("before") - words) / size)).cast("int")
+
+    def cut(k: Column) -> Column:
+        before = F.when((k > 0) | (F.col("before") > 0), 1).otherwise(0)  # the token before tells a unit
+        return F.struct((F.col("start") + k * size).alias("start"), before.alias("before"), F.slice("raw", F.col("before") + k * size + 1 - before, before + size + words - 1).alias("raw"))
+
+    return F.when(last == 0, F.array(F.struct("start", "before", "raw"))).otherwise(F.transform(F.sequence(F.lit(0), last), cut))
+
+
 def tokens(rows: DataFrame, key: str, words: int, piece: int = PIECE) -> DataFrame:
     """(key, start, raw, kind, said): pieces of the tokens from the one numbered start, their slots, and their words' hashes."""
     raw = F.regexp_extract_all(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(TOKEN), F.lit(0))
     rows = rows.select(F.col(key).cast("long").alias(key), raw.alias("raw"))
-    last = F.greatest(F.lit(0), F.floor((F.size("raw") - words) / piece)).cast("int")
-
-    def cut(k: Column) -> Column:
-        before = F.when(k > 0, 1).otherwise(0)  # the token before tells a unit
-        return F.struct((k * piece).alias("start"), before.alias("before"), F.slice("raw", k * piece + 1 - before, before + piece + words - 1).alias("raw"))
-
-    rows = rows.select(key, F.explode_outer(F.transform(F.sequence(F.lit(0), last), cut)).alias("p")).select(key, "p.*")
+    rows = rows.select(key, F.lit(0).alias("start"), F.lit(0).alias("before"), "raw")
+    # A slice copies the array it is taken from: long ones are cut down in steps, so that this stays linear.
+    for size in (piece * 256, piece * 16, piece):
+        rows = rows.select(key, F.explode_outer(pieces(words, size)).alias("p")).select(key, "p.*")
     rows = rows.withColumn("kind", kinds(F.col("raw")))
     rest = lambda c: F.slice(c, F.col("before") + 1, 2_000_000_000).alias(c)
     return rows.select(key, "start", rest("raw"), rest("kind")).withColumn("said", F.transform("raw", lambda x: F.xxhash64(F.lower(x))))
