@@ -9,20 +9,17 @@ of templates is not. An item value that stands for several document values takes
 differ from the item; case never makes a difference.
 
 Windows are also joined by their lower-case words, slot-heavy ones included: these count wherever they meet, so a copy
-in capitals, in lower case, or of an item of numbers or in capitals, is found. An item of fewer tokens than a window is
-one window of all its tokens. An item is leaked into a document where matched windows cover `coverage` of those that
-may match by template, or windows of either kind `coverage` of all. (So an item of slots only is found verbatim, in any
-case, but not under other numbers: such a template says nothing.)
-
-A text's tokens are cut into pieces that overlap by a window less one token, so that what is held at a time doesn't grow
-with the text. Each token is hashed once and a window's hash is combined from its tokens'; templates and words are
-compared only where hashes meet. The document side is streamed through the join without a shuffle while the benchmark's windows are fewer
-than `most` and their bytes under `most_bytes` (both counted); beyond that both sides are shuffled by hash, where AQE
-splits a hot one. Only matched windows are grouped.
-
-Defined cases: null or empty texts have no windows; rows that share a doc_id, null ids included, are judged as one
-document; repeated items count once for each item_id; an empty table on either side gives no rows; other columns are
-ignored.
+in capitals, in lower case, or of an item of numbers or in capitals, is found. An item is leaked into a document where
+matched windows cover `coverage` of those that may match by template, or windows of either kind `coverage` of all. (So
+an item of slots only is found verbatim, in any case, but not under other numbers: such a template says nothing.)
+
+The document side is streamed through the join without a shuffle while the benchmark's windows are fewer than `most`
+and their bytes under `most_bytes` (both counted); beyond that both sides are shuffled by hash, where AQE splits a hot
+one. Only matched windows are grouped.
+
+Defined cases: null or empty texts have no windows; items with fewer tokens than a window can't be matched; rows
+that share a doc_id, null ids included, are judged as one document; repeated items count once for each item_id; an
+empty table on either side gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,125 +29,70 @@ from pyspark.sql import functions as F
 
 from . import common
 
-WORDS, SLOTS, COVERAGE, MOST, MOST_BYTES, PIECE = 5, 2, 0.8, 500_000, 128 << 20, 4096
+WORDS, SLOTS, COVERAGE, MOST, MOST_BYTES = 5, 2, 0.8, 500_000, 128 << 20
 TOKEN = r"\p{N}+(?:[.,]\p{N}+)*|\p{L}[\p{L}\p{M}]*|[%$€£°]"
 # The units that are recognised after a number.
 UNITS = "mm cm m km g kg mg t lb lbs oz in ft yd mi mph kmh s sec min h hr hrs ms l ml gal % $ € £ ° c f k usd eur gbp dollars euros cents percent inches feet yards miles meters metres kilometers kilometres grams kilograms pounds ounces liters litres seconds minutes hours days weeks months years degrees".split()
 
 
-SLOT = ("<num>", "<unit>", "<name>")
-
+def canonical(raw: Column) -> Column:
+    """The template of an array of tokens."""
 
-def kinds(raw: Column) -> Column:
-    """The slot that each of an array of tokens is (1 to 3, as in SLOT), or null for a literal one."""
-
-    def kind(token: Column, at: Column) -> Column:
+    def form(token: Column, at: Column) -> Column:
         first = F.substring(token, 1, 1)
         previous = F.substring(F.get(raw, at - 1), 1, 1)
+        low = F.lower(token)
         return (
-            F.when(first.between("0", "9"), 1)
-            .when((at > 0) & previous.between("0", "9") & F.lower(token).isin(UNITS), 2)
-            .when(first != F.lower(first), 3)
+            F.when(first.between("0", "9"), "<num>")
+            .when((at > 0) & previous.between("0", "9") & low.isin(UNITS), "<unit>")
+            .when(first != F.lower(first), "<name>")
+            .otherwise(low)
         )
 
-    return F.transform(raw, kind)
-
-
-def template(low: Column, kind: Column) -> Column:
-    return F.zip_with(low, kind, lambda x, k: F.when(k == 1, SLOT[0]).when(k == 2, SLOT[1]).when(k == 3, SLOT[2]).otherwise(x))
-
-
-def rolled(rows: DataFrame, hashes: str, n: int) -> tuple[DataFrame, str]:
-    """rows with a column of the combined hashes of each run of n hashes (what starts too late has to be cut off), and its name.
-
-    Each doubling is a column of its own: as one expression, it would be worked out again wherever it is used.
-    """
-    if n == 1:
-        return rows, hashes
-    rows, half = rolled(rows, hashes, n // 2)
-    name = f"{hashes}_{n}"
-    out = F.zip_with(half, F.slice(half, n // 2 + 1, 2_000_000_000), lambda x, y: F.xxhash64(x, y))
-    rows = rows.withColumn(f"{name}_even" if n % 2 else name, out)
-    if n % 2:
-        rows = rows.withColumn(name, F.zip_with(f"{name}_even", F.slice(hashes, n, 2_000_000_000), lambda x, y: F.xxhash64(x, y)))
-    return rows, name
-
-
-def pieces(words: int, size: int) -> Column:
-    """Pieces of so many tokens of (start, before, raw), each with the words - 1 that follow and the one before, if there is one."""
-    last = F.greatest(F.lit(0), F.floor((F.size("raw") - F.col("before") - words) / size)).cast("int")
-
-    def cut(k: Column) -> Column:
-        before = F.when((k > 0) | (F.col("before") > 0), 1).otherwise(0)  # the token before tells a unit
-        return F.struct((F.col("start") + k * size).alias("start"), before.alias("before"), F.slice("raw", F.col("before") + k * size + 1 - before, before + size + words - 1).alias("raw"))
-
-    return F.when(last == 0, F.array(F.struct("start", "before", "raw"))).otherwise(F.transform(F.sequence(F.lit(0), last), cut))
+    return F.transform(raw, form)
 
 
-def tokens(rows: DataFrame, key: str, words: int, piece: int = PIECE) -> DataFrame:
-    """(key, start, raw, kind, said): pieces of the tokens from the one numbered start, their slots, and their words' hashes."""
-    raw = F.regexp_extract_all(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(TOKEN), F.lit(0))
-    rows = rows.select(F.col(key).cast("long").alias(key), raw.alias("raw"))
-    rows = rows.select(key, F.lit(0).alias("start"), F.lit(0).alias("before"), "raw")
-    # A slice copies the array it is taken from: long ones are cut down in steps, so that this stays linear.
-    for size in (piece * 256, piece * 16, piece):
-        rows = rows.select(key, F.explode_outer(pieces(words, size)).alias("p")).select(key, "p.*")
-    rows = rows.withColumn("kind", kinds(F.col("raw")))
-    rest = lambda c: F.slice(c, F.col("before") + 1, 2_000_000_000).alias(c)
-    return rows.select(key, "start", rest("raw"), rest("kind")).withColumn("said", F.transform("raw", lambda x: F.xxhash64(F.lower(x))))
-
-
-def hashes(rows: DataFrame, words: int, short: list[int]) -> DataFrame:
-    """rows of tokens() with an array of the hashes of all windows: by template, by words, then of each short length.
+def windows(rows: DataFrame, key: str, words: int) -> DataFrame:
+    """(key, raw, template, hashes): hashes[i] is that of the window that starts at token i; null if there is none.
 
+    The hashes of the windows of lower-case tokens follow, and template goes on with those tokens.
     Explode these with the outer form: a filter that Catalyst infers for the inner one, or any filter here, would be
     pushed below the projections and work out the tokens again inside every step of the lambdas.
     """
-    rows, names = rows.withColumn("formed", F.zip_with("said", "kind", lambda h, k: F.coalesce(k.cast("long"), h))), []
-    for column, n in (("formed", words), ("said", words), *(("said", n) for n in short)):
-        rows, name = rolled(rows, column, n)
-        names.append((F.slice(name, 1, F.greatest(F.size("raw") - n + 1, F.lit(0)))))
-
-    def salted(part: Column, k: int) -> Column:
-        return F.transform(part, lambda h: F.xxhash64(h, F.lit(k)))
-
-    return rows.withColumn("hashes", F.concat(names[0], *(salted(x, k + 1) for k, x in enumerate(names[1:]))))
+    rows = rows.select(F.col(key).cast("long").alias(key), F.regexp_extract_all(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(TOKEN), F.lit(0)).alias("raw"))
+    rows = rows.withColumn("template", canonical(F.col("raw")))
+    last = F.size("raw") - words + 1
+    starts = F.sequence(F.lit(1), last)
+    rows = rows.withColumn("template", F.concat("template", F.transform("raw", F.lower)))
+    starts = F.concat(starts, F.transform(starts, lambda i: i + F.size("raw")))
+    return rows.withColumn("hashes", F.when(last > 0, F.transform(starts, lambda i: F.xxhash64(F.slice("template", i, words)))))
 
 
-def place(at: Column, words: int, short: list[int]) -> tuple[Column, Column]:
-    """Of the hash numbered at: the part it is in, and its window's first token."""
-    part, first, begin = F.lit(0), at, F.lit(0)
-    for k, n in enumerate([words, words, *short]):
-        part, first = F.when(at >= begin, k).otherwise(part), F.when(at >= begin, at - begin).otherwise(first)
-        begin = begin + F.greatest(F.size("raw") - n + 1, F.lit(0))
-    return part, first
+def place(at: str, words: int) -> tuple[Column, Column, Column]:
+    """Of the hash numbered at: whether it is of lower-case tokens, its window's token, and that token's place in template."""
+    last = F.size("raw") - words + 1
+    equal = F.col(at) >= last
+    return equal, F.when(equal, F.col(at) - last).otherwise(F.col(at)), F.when(equal, F.col(at) + words - 1).otherwise(F.col(at))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, slots: int = SLOTS, coverage: float = COVERAGE, most: int = MOST, most_bytes: int = MOST_BYTES) -> DataFrame:
     """(doc_id, item_id, matched, windows, coverage, reworded): each item leaked into each document."""
-    item = common.cut(tokens(benchmark, "item_id", words))
-    short = sorted(r[0] for r in item.select(F.size("raw").alias("n")).where(F.col("n").between(1, words - 1)).distinct().collect())  # words - 1 lengths at most
-    low = F.transform("raw", F.lower)
-    item = hashes(item, words, short).select("item_id", "start", "raw", low.alias("low"), template(low, F.col("kind")).alias("template"), F.posexplode_outer("hashes").alias("n", "hash"))
-    part, at = place(F.col("n"), words, short)
-    size = F.element_at(F.array(*map(F.lit, [words, words, *short])), F.col("part") + 1)
-    item = item.select("item_id", "start", "raw", "low", "template", part.alias("part"), at.alias("at"), "hash").withColumn("size", size)
-    window = F.when(F.col("part") == 0, F.slice("template", F.col("at") + 1, F.col("size"))).otherwise(F.slice("low", F.col("at") + 1, F.col("size")))
-    item = item.select("item_id", "part", (F.col("start") + F.col("at")).alias("at"), "size", "hash", F.size("raw").alias("whole"), window.alias("window"), F.slice("low", F.col("at") + 1, F.col("size")).alias("said"))
-    item = common.cut(item).where("hash IS NOT NULL AND (part < 2 OR whole = size)").drop("whole")
+    item = windows(benchmark, "item_id", words)
+    item = item.select("item_id", "raw", "template", F.posexplode_outer("hashes").alias("n", "hash"))
+    equal, at, start = place("n", words)
+    item = item.select("item_id", equal.alias("equal"), at.alias("at"), "hash", F.slice("template", start + 1, words).alias("window"), F.slice("raw", at + 1, words).alias("said"))
+    item = common.cut(item).where("hash IS NOT NULL")
     item = common.cut(item.where(F.size(F.filter("window", lambda x: x.startswith("<"))) <= slots).distinct())
-    equal = F.col("part") > 0
-    totals = item.groupBy("item_id", "at").agg(F.min(equal).alias("equal")).groupBy("item_id").agg(F.count_if(~F.col("equal")).alias("windows"), F.count(F.lit(1)).alias("all_windows"))
-    n, held = item.agg(F.count(F.lit(1)), F.sum(64 + 2 * F.octet_length(F.array_join("said", "")) + 32 * F.col("size"))).first()
-    doc = hashes(tokens(docs, "doc_id", words), words, short).select("doc_id", "start", "raw", "kind", F.posexplode_outer("hashes").alias("n", "hash"))
+    totals = item.groupBy("item_id", "at").agg(F.min("equal").alias("equal")).groupBy("item_id").agg(F.count_if(~F.col("equal")).alias("windows"), F.count(F.lit(1)).alias("all_windows"))
+    doc = windows(docs, "doc_id", words)
+    doc = doc.select("doc_id", "raw", "template", F.posexplode_outer("hashes").alias("n", "hash"))
+    n, held = item.agg(F.count(F.lit(1)), F.sum(64 + 2 * F.octet_length(F.array_join("said", "")) + 32 * words)).first()
     met = doc.join(F.broadcast(item) if n <= most and (held or 0) <= most_bytes else item, "hash")
-    own_part, pos = place(F.col("n"), words, short)
-    seen = F.transform(F.slice("raw", pos + 1, F.col("size")), F.lower)
-    form = F.when(equal, seen).otherwise(template(seen, F.slice("kind", pos + 1, F.col("size"))))
-    met = met.where((own_part == F.col("part")) & (form == F.col("window")))
-    pairs = F.filter(F.arrays_zip("window", F.col("said").alias("said"), seen.alias("seen")), lambda x: x["window"].startswith("<"))
-    pairs = F.transform(pairs, lambda x: F.struct(x["said"].alias("said"), x["seen"].alias("seen")))
-    met = common.cut(met.select("doc_id", "item_id", equal.alias("equal"), "at", (F.col("start") + pos - F.col("at")).alias("shift"), pairs.alias("slots")))
+    _, pos, start = place("n", words)
+    met = met.where(F.slice("template", start + 1, words) == F.col("window"))
+    pairs = F.arrays_zip("window", F.col("said").alias("said"), F.slice("raw", pos + 1, words).alias("seen"))
+    pairs = F.filter(pairs, lambda x: x["window"].startswith("<"))
+    met = common.cut(met.select("doc_id", "item_id", "equal", "at", (pos - F.col("at")).alias("shift"), F.transform(pairs, lambda x: F.struct(F.lower(x["said"]).alias("said"), F.lower(x["seen"]).alias("seen"))).alias("slots")))
     along = ["doc_id", "item_id", "shift"]
     differs = F.exists("slots", lambda x: x["said"] != x["seen"])
     filled = met.where(differs).select(*along, F.explode("slots").alias("slot")).groupBy(*along, "slot.said").agg(F.min("slot.seen").alias("low"), F.max("slot.seen").alias("high"))
@@ -188,14 +130,11 @@ def _side(table: str, key: str) -> str:
 
 SQL = f"""
 WITH {_side("documents", "doc_id")}, {_side("benchmark", "item_id")},
-short AS (SELECT DISTINCT len(low) AS n FROM item_id_tok WHERE len(low) BETWEEN 1 AND {WORDS - 1}),
 item AS (SELECT DISTINCT item_id, pos AS place, false AS equal, template[pos + 1 : pos + {WORDS}] AS win, low[pos + 1 : pos + {WORDS}] AS said FROM item_id_pos
          WHERE len([x FOR x IN template[pos + 1 : pos + {WORDS}] IF x[1] = '<']) <= {SLOTS}
-         UNION SELECT item_id, pos, true, low[pos + 1 : pos + {WORDS}], low[pos + 1 : pos + {WORDS}] FROM item_id_pos
-         UNION SELECT item_id, 0, true, low, low FROM item_id_tok WHERE len(low) BETWEEN 1 AND {WORDS - 1}),
+         UNION SELECT item_id, pos, true, low[pos + 1 : pos + {WORDS}], low[pos + 1 : pos + {WORDS}] FROM item_id_pos),
 win AS (SELECT doc_id, pos, false AS equal, template[pos + 1 : pos + {WORDS}] AS win, low[pos + 1 : pos + {WORDS}] AS seen FROM doc_id_pos
-        UNION ALL SELECT doc_id, pos, true, low[pos + 1 : pos + {WORDS}], low[pos + 1 : pos + {WORDS}] FROM doc_id_pos
-        UNION ALL SELECT doc_id, pos, true, low[pos + 1 : pos + n], low[pos + 1 : pos + n] FROM (SELECT *, unnest(range(0, len(low) - n + 1)) AS pos FROM doc_id_tok, short WHERE len(low) >= n)),
+        UNION ALL SELECT doc_id, pos, true, low[pos + 1 : pos + {WORDS}], low[pos + 1 : pos + {WORDS}] FROM doc_id_pos),
 met AS MATERIALIZED (SELECT DISTINCT d.doc_id, i.item_id, i.place, d.pos - i.place AS shift, i.equal, i.win, i.said, d.seen,
         NOT i.equal AND i.said <> d.seen AS differs FROM win d JOIN item i ON d.equal = i.equal AND d.win = i.win),
 slot AS (SELECT doc_id, item_id, shift, said[k] AS said, min(seen[k]) AS low, max(seen[k]) AS high
