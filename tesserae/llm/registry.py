@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, katz, langid, mixing, search, sharding, simhash, substrings, suffixes, toxicity
+from . import alignment, decontam, fim, katz, langid, mixing, quality, search, sharding, simhash, substrings, suffixes, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,5 +60,17 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(found).alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_katz, op3_substrings, op4_toxicity, op5_shards, op6_suffixes, op7_top_k, op8_decontaminate, op9_mix, op10_language)}
-ORACLES: dict[str, str] = {"op3_substrings": substrings.SQL, "op7_top_k": search.SQL, "op8_decontaminate": decontam.SQL, "op9_mix": mixing.SQL}
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.formed(table(spark, sf_dir, "documents"))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_katz, op3_substrings, op4_toxicity, op5_shards, op6_suffixes, op7_top_k, op8_decontaminate, op9_mix, op10_language, op11_align, op12_fim, op13_quality)}
+ORACLES: dict[str, str] = {"op3_substrings": substrings.SQL, "op7_top_k": search.SQL, "op8_decontaminate": decontam.SQL, "op9_mix": mixing.SQL, "op12_fim": fim.SQL, "op13_quality": quality.SQL}
