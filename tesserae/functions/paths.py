@@ -68,6 +68,31 @@ def is_source_for_tasks(path: Column) -> Column:
     return F.lower(path).rlike(r"\.(ts|tsx|js|jsx|py|go|rs|rb|java|swift|kt)$")
 
 
+DOCS, EXAMPLES, BENCHMARKS = r"(?i)(^|/)docs?([_-][^/]+)?/", r"(?i)(^|/)examples?([_-][^/]+)?/", r"(?i)(^|/)benchmarks?/"
+
+
+def is_program(path: Column) -> Column:
+    """The files that may be read for conventions: six extensions, no declarations, nothing below docs."""
+    return path.rlike(r"\.(ts|tsx|js|jsx|py|go)$") & ~path.endswith(".d.ts") & ~path.rlike(r"(?i)(^|/)docs?/")
+
+
+def is_sampled(path: Column) -> Column:
+    """The files that samples are drawn from, whatever their extension: no declarations, documentation, examples or benchmarks."""
+    return ~path.endswith(".d.ts") & ~path.rlike(DOCS) & ~path.rlike(EXAMPLES) & ~path.rlike(BENCHMARKS)
+
+
+def is_voted(path: Column) -> Column:
+    """The files that vote on dominant patterns: programs without documentation, examples and tests of any kind."""
+    named = path.contains(".test.") | path.contains(".spec.") | path.rlike(r"(?i)(^|/)tests?/") | path.rlike(r"(^|/)test_[^/]+\.py$|[^/]_test\.py$")
+    return is_program(path) & ~path.rlike(DOCS) & ~path.rlike(EXAMPLES) & ~path.contains("node_modules") & ~named
+
+
+def is_read_for_tests(path: Column) -> Column:
+    """The files that vote on how tests are written: those named so, and voting files whose path speaks of tests."""
+    named = path.contains(".test.") | path.contains(".spec.") | path.contains("_test.go") | path.contains("test_")
+    return (path.contains("test") | path.contains("spec")) & (named | is_voted(path))
+
+
 def language(path: Column) -> Column:
     """The language of a source file by extension; null for others."""
     # Extensions and names.

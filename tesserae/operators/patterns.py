@@ -5,23 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fixed, text
+from ..functions import fixed, paths, text
 from . import vote
 
 
-def hits(name_or_scope: tuple[str, str, str, str], path: Column, content: Column) -> Column:
-    _, _, regex, scope = name_or_scope
-    found = F.coalesce(content, F.lit("")).rlike(regex)
-    return found & path.rlike(scope) if scope else found
+def hits(files: DataFrame, family: str | None = None) -> DataFrame:
+    """(family, name, path): the patterns that each file (path, content) shows, comments left out; one scan for all.
+
+    Files vote only in the sets of paths.is_voted and is_read_for_tests. A text meets one alternation a family first, and the
+    patterns one by one only where that holds; files without a match leave no row.
+    """
+    p, c = F.col("path"), F.col("content")
+    rules: dict[str, list[tuple[str, str, str]]] = {}
+    for f, name, regex, scope in fixed.PATTERNS:
+        if family in (None, f):
+            rules.setdefault(f, []).append((name, regex, scope))
+    rows = files.select("path", F.when(paths.is_voted(p) | paths.is_read_for_tests(p), text.strip_comments(F.coalesce(c, F.lit("")))).alias("content"))
+    none = F.array().cast("array<struct<family:string,name:string>>")
+    found = []
+    for f, of in rules.items():
+        each = F.array(*(F.when(c.rlike(regex) & (p.rlike(scope) if scope else F.lit(True)), F.struct(F.lit(f).alias("family"), F.lit(name).alias("name"))) for name, regex, scope in of))
+        read = paths.is_read_for_tests(p) if f == "test" else paths.is_voted(p)
+        found.append(F.when(read & c.rlike("|".join(f"(?:{regex})" for _, regex, _ in of)), F.filter(each, lambda x: x.isNotNull())).otherwise(none))
+    return rows.select("path", F.explode(F.concat(*found)).alias("v")).select("v.*", "path")
 
 
 def tally(files: DataFrame, family: str | None = None) -> DataFrame:
-    """(family, name, n): how many of files (path, content) show each pattern, comments left out; one scan for all."""
-    rules = [p for p in fixed.PATTERNS if family in (None, p[0])]
-    rows = files.select("path", text.strip_comments(F.col("content")).alias("content"))
-    sums = rows.agg(*(F.count_if(hits(p, F.col("path"), F.col("content"))).alias(f"c{k}") for k, p in enumerate(rules)))
-    long = F.explode(F.array(*(F.struct(F.lit(f).alias("family"), F.lit(n).alias("name"), F.col(f"c{k}").alias("n")) for k, (f, n, *_) in enumerate(rules))))
-    return sums.select(long.alias("v")).select("v.*")
+    """(family, name, n): how many of files (path, content) show each pattern that any shows."""
+    return hits(files, family).groupBy("family", "name").agg(F.count(F.lit(1)).alias("n"))
 
 
 def corroborated(files: DataFrame) -> DataFrame:
@@ -47,14 +58,14 @@ def runner(files: DataFrame) -> DataFrame:
     return row.select(out.alias("runner"))
 
 
-def dominant(files: DataFrame, mode: str = "app", family: str | None = None) -> DataFrame:
+def dominant(files: DataFrame, mode: str = "app", family: str | None = None, counts: DataFrame | None = None) -> DataFrame:
     """(family, name, n): the pattern most files show in each family that has enough of them; ties go to the smaller name.
 
     A bare t("...") needs corroboration; script tests take their runner's name and go without one; pytest needs five
-    primary Python files. A family without a winner hinders no other.
+    primary Python files. A family without a winner hinders no other. counts: those of tally(), if they are at hand.
     """
     least = fixed.LEAST | ({"router": fixed.LIBRARY_ROUTERS} if mode == "library" else {})
-    counts = tally(files, family)
+    counts = tally(files, family) if counts is None else counts
     if family in (None, "i18n"):
         counts = counts.crossJoin(F.broadcast(corroborated(files))).where((F.col("name") != 't("key")') | F.col("local")).drop("local")
     best = vote.dominant(counts, least)
@@ -106,17 +117,19 @@ def go_module(content: Column) -> Column:
     return F.when(name != "", name)
 
 
-def decisions(counts: DataFrame) -> DataFrame:
-    """(convention) that counts (name, n) of conventions decide: aliases, barrels, errors, export style, wrapped errors."""
+def decisions(counts: DataFrame, mode: str = "app") -> DataFrame:
+    """(convention) that counts (name, n) of conventions decide; libraries choose their exports, so these say nothing there."""
     row = counts.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("name", "n"))).alias("m"))  # a handful of names
     n = lambda name: F.coalesce(F.col("m")[name], F.lit(0))
     exports = n("default exports") + n("named exports")
     rules = [
         ("imports by alias", (n("alias imports") + n("relative imports") > 10) & (n("alias imports") > 2 * n("relative imports"))),
-        ("barrel files", n("barrels") >= 3),
+        ("barrel files", (n("index files") >= 3) & (n("barrels") >= 3)),
         ("error classes", n("error classes") >= 2),
-        ("named exports", (exports > 10) & (n("named exports") > 3 * n("default exports"))),
-        ("default exports", (exports > 10) & (n("default exports") > 2 * n("named exports"))),
-        ("wrapped errors", (n("wrapped errors") > 5) & (n("wrapped errors") > 0.3 * n("error checks"))),
+        ("named exports", F.lit(mode != "library") & (exports > 10) & (n("named exports") > 3 * n("default exports"))),
+        ("default exports", F.lit(mode != "library") & (exports > 10) & (n("default exports") > 2 * n("named exports"))),
+        ("package barrels", (n("python files") >= 3) & (n("package barrels") >= 3)),
+        ("wrapped errors", (n("go files") >= 3) & (n("wrapped errors") > 5) & (n("wrapped errors") > 0.3 * n("error checks"))),
+        ("interfaces first", (n("go files") >= 3) & (n("interfaces") >= 5)),
     ]
     return row.select(F.explode(F.filter(F.array(*(F.when(c, F.lit(x)) for x, c in rules)), lambda x: x.isNotNull())).alias("convention"))

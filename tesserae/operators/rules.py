@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.paths import basename, dirname, extension, top_dir
+from ..functions.paths import basename, is_program, is_sampled, top_dir
+from ..functions.text import strip_comments
+from . import windows
 from .vote import stride
 
 # What a dependency tells.
@@ -105,22 +107,49 @@ def fallback_commands(files: DataFrame, commands: DataFrame) -> DataFrame:
     return rows.groupBy("name").agg(F.min_by("command", "rank").alias("command"))
 
 
-def repo_mode(files: DataFrame) -> DataFrame:
-    """One row: monorepo, library or app, by the first rule that holds for files (path, content)."""
-    p, root = F.col("path"), F.col("path") == "package.json"
-    field = lambda name: F.get_json_object("content", f"$.{name}").isNotNull()
+def repo_mode(files: DataFrame, frameworks: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
+    """(by, mode): monorepo, library or app, by the first rule that holds for files (by, path, content).
+
+    frameworks (by, framework) are those that were found; some make an app of what would be a library. The root manifest is
+    read as a VARIANT, so that fields of unlike types, and malformed manifests, hinder nothing.
+    """
+    by = by or []
+    p = F.col("path")
+    m = F.max(F.when(p == "package.json", F.coalesce("content", F.lit("")))).alias("m")
     has = lambda c: F.coalesce(F.bool_or(F.coalesce(c, F.lit(False))), F.lit(False))
-    row = files.agg(
+    row = files.groupBy(*by).agg(
+        m,
         has(p.isin("pnpm-workspace.yaml", "turbo.json", "lerna.json", "nx.json")).alias("mono"),
-        has(root & field("workspaces")).alias("workspaces"),
-        has(root & (field("exports") | field("files") | field("main"))).alias("published"),
         has(p.rlike(r"^(src/)?(app|pages)/")).alias("app"),
-        has(p.isin("pyproject.toml", "setup.py", "setup.cfg")).alias("python"),
-        has(p.rlike(r"^(src/[^/]+|[^/]+)/__init__\.py$")).alias("package"),
-        has(p.rlike(r"^lib/")).alias("lib"),
+        has(p.contains("/components/")).alias("components"),
+        has(p == "pyproject.toml").alias("project"),
+        has(p.rlike(r"^src/.*\.py$")).alias("inside"),
+        has(p.rlike(r"^(?!(?:test|tests|docs|examples|scripts|tools|benchmarks|\.github)/)[^/]+/__init__\.py$")).alias("package"),
+        has(p.isin("setup.py", "setup.cfg")).alias("setup"),
+        has(p.rlike(r"^(src/)?lib/")).alias("lib"),
     )
-    mode = F.when(F.col("mono") | F.col("workspaces"), "monorepo").when(F.col("published") & ~F.col("app"), "library").when(F.col("python") & F.col("package"), "library").when(F.col("lib") & ~F.col("app"), "library").otherwise("app")
-    return row.select(mode.alias("mode"))
+    if frameworks is not None:
+        known = frameworks.groupBy(*by).agg(has(F.col("framework").isin(*fixed.APP_FRAMEWORKS)).alias("framed"))
+        row = row.join(known, by, "left") if by else row.crossJoin(F.broadcast(known))  # one row each
+        row = row.withColumn("framed", F.coalesce("framed", F.lit(False)))
+    else:
+        row = row.withColumn("framed", F.lit(False))
+    row = row.withColumn("m", F.try_parse_json("m"))
+    field = lambda path, kind="string": F.try_variant_get("m", f"$.{path}", kind)
+    given = lambda path: F.coalesce(F.schema_of_variant(F.try_variant_get("m", f"$.{path}", "variant")) != "VOID", F.lit(False))
+    listed = F.coalesce(F.size(field("files", "array<variant>")) > 0, F.lit(False))
+    work = given("workspaces") & ~F.coalesce(field("workspaces").isin("false", "0", ""), F.lit(False))
+    bare = ~F.col("app") & ~F.col("framed")
+    mode = (
+        F.when(F.col("mono") | work, "monorepo")
+        .when((listed | given("exports")) & bare, "library")
+        .when((field("type") == "module") & bare & ~F.col("components"), "library")
+        .when(F.col("project") & (F.col("inside") | F.col("package")) & ~F.col("app"), "library")
+        .when(F.col("setup") & ~F.col("app") & ~F.col("components"), "library")
+        .when(F.col("lib") & bare & ~F.col("components"), "library")
+        .otherwise("app")
+    )
+    return row.select(*by, mode.alias("mode"))
 
 
 def build_commands(manifests: DataFrame) -> DataFrame:
@@ -138,35 +167,55 @@ def generated(files: DataFrame) -> DataFrame:
 
 
 def conventions(files: DataFrame) -> DataFrame:
-    """(name, n): how often files (path, content) show import, export, error and barrel conventions."""
-    c = F.coalesce("content", F.lit(""))
-    n = lambda regex: F.coalesce(F.sum(F.regexp_count(c, F.lit(regex))), F.lit(0))
+    """(name, n): how often the programs among files (path, content) show import, export, error and package conventions.
+
+    Comments are left out. Index files are counted over all files; error classes, barrels and packages count files.
+    """
+    p, c = F.col("path"), F.col("content")
+    rows = files.select("path", F.when(is_program(p) & is_sampled(p), strip_comments(F.coalesce(c, F.lit("")))).alias("content"))
+    n = lambda regex, where=F.lit(True): F.coalesce(F.sum(F.when(where & c.isNotNull(), F.regexp_count(c, F.lit(regex)))), F.lit(0))
+    go, py, index = p.endswith(".go"), p.endswith(".py"), basename(p).startswith("index.") & ~p.contains("node_modules")
     counts = {
-        "alias imports": n(r"from\s+['\"][@~]/"),
-        "relative imports": n(r"from\s+['\"]\.\.?/"),
-        "default exports": n(r"(?m)^export default"),
-        "named exports": n(r"(?m)^export (?:const|function|class|interface|type|enum)"),
-        "error classes": n(r"class\s+\w+\s+extends\s+\w*Error\b"),
-        "wrapped errors": n(r"fmt\.Errorf\([^)]*%w"),
-        "error checks": n(r"err != nil"),
-        "barrels": F.count_if(F.col("path").rlike(r"(^|/)index\.[jt]sx?$") & c.rlike(r"(?m)^export \* from|^export \{")),
+        "alias imports": n(r"from\s+['\"][@~]/[^'\"]*['\"]"),
+        "relative imports": n(r"from\s+['\"]\.[^'\"]*['\"]"),
+        "default exports": n(r"export\s+default\s"),
+        "named exports": n(r"export\s+(?:const|function|class|type|interface)\s"),
+        "error classes": F.count_if(c.rlike(r"class\s+\w+Error\s+extends\s+(?:Error|BaseError)")),
+        "go files": F.count_if(c.isNotNull() & go),
+        "wrapped errors": n(r"fmt\.Errorf\(.*%w", go),
+        "error checks": n(r"if\s+err\s*!=\s*nil", go),
+        "interfaces": n(r"type\s+\w+\s+interface\s*\{", go),
+        "python files": F.count_if(c.isNotNull() & py),
+        "package barrels": F.count_if(p.endswith("__init__.py") & (F.length(F.trim(c)) > 10)),
+        "index files": F.count_if(index),
+        "barrels": F.count_if(index & c.rlike(r"export\s+\{.*\}\s+from|export\s+\*\s+from")),
     }
-    row = files.agg(*(v.alias(f"c{k}") for k, v in enumerate(counts.values())))
+    row = rows.agg(*(v.alias(f"c{k}") for k, v in enumerate(counts.values())))
     return row.select(F.explode(F.array(*(F.struct(F.lit(x).alias("name"), F.col(f"c{k}").cast("long").alias("n")) for k, x in enumerate(counts)))).alias("v")).select("v.*")
 
 
-def integrations(files: DataFrame, names: tuple[str, ...] = ("integrations", "providers", "adapters", "connectors", "plugins"), least: int = 3) -> DataFrame:
-    """(dir, n): the folder with the most distinct children among folders of such names."""
-    pattern = rf"^((?:.*/)?(?:{'|'.join(names)}))/([^/]+)"
-    rows = files.select(F.regexp_extract("path", pattern, 1).alias("dir"), F.regexp_extract("path", pattern, 2).alias("child")).where("dir <> ''")
-    return rows.groupBy("dir").agg(F.countDistinct("child").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "dir").limit(1)
+def integrations(files: DataFrame, names: tuple[str, ...] = fixed.INTEGRATIONS, least: int = 3) -> DataFrame:
+    """(dir, n): of the folders of such names, below another one, that whose children have the most distinct names."""
+    p, found = F.col("path"), None
+    for k, name in enumerate(names):
+        pattern = rf"^(.*?/{name})/([^/]+)/"
+        part = F.struct(F.lit(k).alias("k"), F.regexp_extract(p, pattern, 1).alias("dir"), F.regexp_extract(p, pattern, 2).alias("child"))
+        found = F.array(part) if found is None else F.concat(found, F.array(part))
+    rows = files.where(~p.contains("node_modules")).select(F.explode(found).alias("v")).select("v.*").where((F.col("dir") != "") & ~F.col("child").startswith("_"))
+    best = rows.groupBy("k").agg(F.countDistinct("child").alias("n"), F.min("dir").alias("dir")).where(F.col("n") >= least)
+    return best.orderBy(F.desc("n"), "k").limit(1).select("dir", "n")
 
 
 def edit_points(files: DataFrame, kind: str, most: int = 3) -> DataFrame:
-    """(dir, n): the folders with the most route or component files."""
-    names = {"route": r"(^|/)(routes?|pages|api|app)/", "component": r"(^|/)components?/"}
-    rows = files.where(F.col("path").rlike(names[kind]) & extension(F.col("path")).isin(".ts", ".tsx", ".js", ".jsx", ".py", ".vue"))
-    return rows.groupBy(dirname(F.col("path")).alias("dir")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dir").limit(most)
+    """(dir): the first folders, by name, that hold routes or components."""
+    p = F.col("path")
+    if kind == "route":
+        wanted = p.rlike(r"routes|routers|api/") & ~p.rlike(r"node_modules|\.test\.|\.spec\.|tests?/|__test|fixture|mock") & p.rlike(r"\.(ts|js|py|go)$")
+        found = F.regexp_extract(p, r"^(.*)/[^/]*$", 1)
+    else:
+        wanted = p.rlike(r"/(components|ui)/") & ~p.rlike(r"node_modules|\.test\.") & p.rlike(r"\.(tsx|jsx|vue|svelte)$")
+        found = F.regexp_extract(p, r"^(.*/(?:components|ui))/", 1)
+    return files.where(wanted).select(found.alias("dir")).where("dir <> ''").distinct().orderBy("dir").limit(most)
 
 
 def is_critical(category: Column, description: Column) -> Column:
@@ -181,17 +230,17 @@ def tiers(findings: DataFrame) -> DataFrame:
 
 
 def revised(findings: DataFrame) -> DataFrame:
-    """findings (category, confidence, n, overlap, declared) after the overrides that follow scoring, in order."""
-    c = F.col("confidence")
-    auth, data = F.lower("category") == "authentication", F.lower("category") == "database"
-    return findings.withColumn(
-        "confidence",
-        F.when((F.col("declared") == "high") & (F.col("n") >= 10), "high")
-        .when((c == "low") & (F.col("n") >= 3), "medium")
-        .when(auth & (c == "high") & (F.col("overlap") == 0) & (F.col("n") <= 1), "medium")
-        .when(data & (F.col("n") <= 2) & (F.col("overlap") == 0), "medium")
-        .otherwise(c),
-    )
+    """findings (description, confidence, n, dirs, overlap, declared) after the overrides that follow scoring, in order.
+
+    Overwhelming numbers keep a declared high; three files keep anything from being low; authentication in one folder, without a
+    ranked file, is medium at most; a database in two files, without a ranked one, is medium whatever it was.
+    """
+    about = lambda word: F.col("description").contains(word) | F.col("description").contains(word.lower())
+    c = F.when((F.col("declared") == "high") & (F.col("n") >= 10), "high").otherwise(F.col("confidence"))
+    c = F.when((c == "low") & (F.col("n") >= 3), "medium").otherwise(c)
+    c = F.when(about("Auth") & (F.col("dirs") <= 1) & (F.col("overlap") == 0) & (c == "high"), "medium").otherwise(c)
+    c = F.when(about("Database") & (F.col("n") <= 2) & (F.col("overlap") == 0), "medium").otherwise(c)
+    return findings.withColumn("confidence", c)
 
 
 def section_priority(key: Column, mode: Column) -> Column:
@@ -207,11 +256,25 @@ def told(command: Column) -> Column:
     return command.isin(*fixed.STANDARD_COMMANDS)
 
 
-def sample(files: DataFrame, most: int, hints: DataFrame, churn: DataFrame) -> DataFrame:
-    """(path, tier) of so many files: entry points, ten important ones, five of high churn, then an even stride."""
-    entry = basename(F.col("path")).rlike(r"^(index|main|app|server|cli|mod|lib|__init__)\.[^.]+$")
-    rows = files.select("path").distinct().join(hints.select("path", F.col("rank").alias("hint")), "path", "left").join(churn.select("path", F.col("rank").alias("churn")), "path", "left")
-    tier = F.when(entry, 1).when(F.col("hint") <= 10, 2).when(F.col("churn") <= 5, 3).otherwise(4)
-    rows = rows.select("path", tier.alias("tier"))
-    rest = stride(rows.where("tier = 4"), "path", most).withColumn("tier", F.lit(4))
-    return rows.where("tier < 4").orderBy("tier", "path").limit(most).unionByName(rest).orderBy("tier", "path").limit(most)
+def sample(files: DataFrame, most: int, hints: DataFrame, churn: DataFrame, imported: int = 10, changed: int = 5) -> DataFrame:
+    """(path, tier) of so many files: entry points, ten that many import, five that change much, then an even stride.
+
+    hints and churn (path, rank) are short lists. Files that samples aren't drawn from take no part; where all others fit, all are
+    taken (tier 0). What a tier may take is what those before it have left: counts of the tiers are a handful of numbers,
+    and no window is laid over all files.
+    """
+    p = F.col("path")
+    rows = files.where(is_sampled(p)).select("path").distinct()
+    if rows.limit(most + 1).count() <= most:
+        return rows.select("path", F.lit(0).alias("tier"))
+    entry = p.rlike(r"index\.|config\.|app\.|layout\.|middleware\.") | basename(p).isin("__init__.py", "main.py")
+    others = lambda table, k: table.where(~entry).join(rows, "path", "left_semi").orderBy("rank", "path").limit(k)
+    second = others(hints, imported).select("path", F.lit(2).alias("tier"))
+    third = others(churn.join(second, "path", "left_anti"), changed).select("path", F.lit(3).alias("tier"))
+    chosen = rows.where(entry).select("path", F.lit(1).alias("tier")).unionByName(second).unionByName(third).orderBy("tier", "path").limit(most)
+    chosen = windows.cut(chosen)  # at most `most` rows
+    left = most - chosen.count()
+    if left <= 0:
+        return chosen
+    rest = rows.where(~entry).join(F.broadcast(chosen.where("tier > 1").select("path")), "path", "left_anti")
+    return chosen.unionByName(stride(rest, "path", left).withColumn("tier", F.lit(4)))

@@ -502,7 +502,7 @@ WITH f AS (SELECT DISTINCT 'p/' || p_partkey || '.ts' AS path FROM part),
 h AS (SELECT 'p/' || l_partkey || '.ts' AS path, row_number() OVER (ORDER BY count(*) DESC, l_partkey) AS r FROM lineitem GROUP BY l_partkey),
 t AS (SELECT f.path, CASE WHEN r <= 10 THEN 2 WHEN r <= 15 THEN 3 ELSE 4 END AS tier FROM f LEFT JOIN h USING (path)),
 k AS (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY path) - 1 AS k, count(*) OVER (PARTITION BY tier) AS n FROM t)
-SELECT path, tier FROM k WHERE k % (CASE WHEN tier = 4 THEN greatest(1, n // 50) ELSE 1 END) = 0 ORDER BY tier, path LIMIT 50""")
+SELECT path, tier FROM k WHERE k % (CASE WHEN tier = 4 THEN greatest(1, n // 35) ELSE 1 END) = 0 ORDER BY tier, path LIMIT 50""")
 def tiered_sample(spark, d):
     files = table(spark, d, "part").select(F.concat(F.lit("p/"), "p_partkey", F.lit(".ts")).alias("path"))
     top = table(spark, d, "lineitem").groupBy("l_partkey").count().orderBy(F.desc("count"), "l_partkey").limit(15)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed, paths, text
-from ..operators import assoc, briefing, context, extract, graph, history, patterns, report, resolve, rules, timewin, tools, vote
+from ..operators import assoc, briefing, context, extract, findings, graph, history, patterns, report, resolve, rules, timewin, tools, vote, windows
 from ..sources import repository
 from . import repo
 from .catalog import ORACLES, ORDERED_BRANDS, QUERIES, ordered, pairs_sql, query, table
@@ -91,7 +91,16 @@ def resolve_rust(spark, d):
     return resolve.rust(specs(spark, d, r"\.rs$", extract.rust_imports), repo.files(spark, d))
 
 
+DOCS = r"regexp_matches(path, '(?i)(^|/)docs?([_-][^/]+)?/')"
+PROGRAM = r"regexp_matches(path, '\.(ts|tsx|js|jsx|py|go)$') AND path NOT LIKE '%.d.ts' AND NOT regexp_matches(path, '(?i)(^|/)docs?/')"
+SAMPLED = rf"path NOT LIKE '%.d.ts' AND NOT {DOCS} AND NOT regexp_matches(path, '(?i)(^|/)(examples?([_-][^/]+)?|benchmarks?)/')"
+VOTED = rf"{PROGRAM} AND NOT {DOCS} AND NOT regexp_matches(path, '(?i)(^|/)(examples?([_-][^/]+)?|tests?)/') AND NOT regexp_matches(path, 'node_modules|\.test\.|\.spec\.|(^|/)test_[^/]+\.py$|[^/]_test\.py$')"
+TESTED = rf"regexp_matches(path, 'test|spec') AND (regexp_matches(path, '\.test\.|\.spec\.|_test\.go|test_') OR {VOTED})"
 FILE_KINDS = {
+    "program": (paths.is_program, PROGRAM),
+    "sampled": (paths.is_sampled, SAMPLED),
+    "voted": (paths.is_voted, VOTED),
+    "read_for_tests": (paths.is_read_for_tests, TESTED),
     "graph_source": (rules.is_graph_source, r"(regexp_matches(path, '\.(tsx?|jsx?)$') AND path NOT LIKE '%.d.ts' OR path LIKE '%.py') AND NOT regexp_matches(path, '(^|/)(docs[^/]*|examples[^/]*|benchmarks)/') OR path LIKE '%.go' AND NOT regexp_matches(path, '_test\.go$|(^|/)(vendor|testdata)/') OR path LIKE '%.rs' AND NOT regexp_matches(path, '(^|/)(target|tests)/')"),
     "test": (paths.is_test, r"regexp_matches(path, '(?i)(^|/)(tests?|__tests__|e2e|playwright|cypress)/') OR regexp_matches(path, '\.(test|spec|test-d)\.[^.]+$|(^|/)tests?\.[^.]+$|(^|/)test_[^/]+\.py$|[^/]+_test\.py$')"),
     "task_test": (paths.is_test_for_tasks, r"regexp_matches(path, '(?i)(^|/)(tests?|__tests__|e2e|spec)/') OR regexp_matches(path, '[._](test|spec)\.[^.]+$|(^|/)test_[^/]+\.py$|[^/]+_test\.(py|go|rs)$')"),
@@ -125,16 +134,21 @@ def _quote(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def _vote_sql(family: str) -> str:
-    """Votes of one family: a count for each pattern, the largest that suffices, with the special cases of its family."""
+def _hits_sql(family: str | None = None) -> str:
+    """(family, name, path) of each pattern in the stripped texts s of the files that vote on it."""
     parts = []
     for f, name, regex, scope in fixed.PATTERNS:
-        if f == family:
+        if family in (None, f):
             inside = f" AND regexp_matches(path, {_quote(scope)})" if scope and scope != fixed.NOT_TESTS else ""
             inside += r" AND NOT regexp_matches(path, '\.(test|spec)\.[jt]sx?$|__tests__|/test/')" if scope == fixed.NOT_TESTS else ""
-            parts.append(f"SELECT {_quote(f)} AS family, {_quote(name)} AS name, count(*) FILTER (regexp_matches(c, {_quote(regex)}){inside}) AS n FROM s")
+            parts.append(f"SELECT {_quote(f)} AS family, {_quote(name)} AS name, path FROM s WHERE regexp_matches(c, {_quote(regex)}) AND {TESTED if f == 'test' else VOTED}{inside}")
+    return " UNION ALL ".join(parts)
+
+
+def _vote_sql(family: str) -> str:
+    """Votes of one family: a count for each pattern, the largest that suffices, with the special cases of its family."""
     extra = """ AND (name <> 't("key")' OR EXISTS (SELECT 1 FROM files WHERE regexp_matches(path, 'locale|i18n|translations|messages/')))""" if family == "i18n" else ""
-    out = f"WITH {FILES}, {STRIPPED}, v AS ({' UNION ALL '.join(parts)}), w AS (SELECT * FROM v WHERE n >= {fixed.LEAST[family]}{extra} QUALIFY row_number() OVER (ORDER BY n DESC, name) = 1)"
+    out = f"WITH {FILES}, {STRIPPED}, v AS (SELECT family, name, count(*) AS n FROM ({_hits_sql(family)}) GROUP BY ALL), w AS (SELECT * FROM v WHERE n >= {fixed.LEAST[family]}{extra} QUALIFY row_number() OVER (ORDER BY n DESC, name) = 1)"
     return out + (" SELECT family, CASE WHEN name = 'script tests' THEN 'Vitest' ELSE name END AS name, n FROM w" if family == "test" else " SELECT * FROM w")
 
 
@@ -502,30 +516,103 @@ def folder_purposes(spark, d):
     return rules.folders(repo.files(spark, d))
 
 
-@query(rf"""WITH {FILES}, c AS (SELECT path, content AS c FROM files),
-n AS (SELECT sum(len(regexp_extract_all(c, 'from\s+[''"][@~]/'))) AS alias, sum(len(regexp_extract_all(c, 'from\s+[''"]\.\.?/'))) AS rel, sum(len(regexp_extract_all(c, '(?m)^export default'))) AS def,
- sum(len(regexp_extract_all(c, '(?m)^export (?:const|function|class|interface|type|enum)'))) AS named, sum(len(regexp_extract_all(c, 'class\s+\w+\s+extends\s+\w*Error\b'))) AS errors,
- sum(len(regexp_extract_all(c, 'fmt\.Errorf\([^)]*%w'))) AS wrapped, sum(len(regexp_extract_all(c, 'err != nil'))) AS checks,
- count(*) FILTER (regexp_matches(path, '(^|/)index\.[jt]sx?$') AND regexp_matches(c, '(?m)^export \* from|^export \{{')) AS barrels FROM c)
-SELECT unnest(['alias imports', 'relative imports', 'default exports', 'named exports', 'error classes', 'wrapped errors', 'error checks', 'barrels']) AS name, CAST(unnest([alias, rel, def, named, errors, wrapped, checks, barrels]) AS BIGINT) AS n FROM n""")
+def _count(regex: str, where: str = "true") -> str:
+    return f"coalesce(sum(len(regexp_extract_all(c, {_quote(regex)}))) FILTER ({where}), 0)"
+
+
+GO, PY, INDEX = "path LIKE '%.go'", "path LIKE '%.py'", "starts_with(split_part(path, '/', -1), 'index.') AND NOT contains(path, 'node_modules')"
+CONVENTION_COUNTS = {
+    "alias imports": _count(r"""from\s+['"][@~]/[^'"]*['"]"""), "relative imports": _count(r"""from\s+['"]\.[^'"]*['"]"""),
+    "default exports": _count(r"export\s+default\s"), "named exports": _count(r"export\s+(?:const|function|class|type|interface)\s"),
+    "error classes": r"count(*) FILTER (regexp_matches(c, 'class\s+\w+Error\s+extends\s+(?:Error|BaseError)'))", "go files": f"count(c) FILTER ({GO})", "wrapped errors": _count(r"fmt\.Errorf\(.*%w", GO),
+    "error checks": _count(r"if\s+err\s*!=\s*nil", GO), "interfaces": _count(r"type\s+\w+\s+interface\s*\{", GO), "python files": f"count(c) FILTER ({PY})",
+    "package barrels": "count(*) FILTER (path LIKE '%\\_\\_init\\_\\_.py' ESCAPE '\\' AND length(trim(c)) > 10)", "index files": f"count(*) FILTER ({INDEX})",
+    "barrels": f"count(*) FILTER ({INDEX} AND regexp_matches(c, " + r"'export\s+\{.*\}\s+from|export\s+\*\s+from'))",
+}
+CONVENTIONS = f"""p AS MATERIALIZED (SELECT path, CASE WHEN {PROGRAM} AND {SAMPLED} THEN c END AS c FROM s),
+n AS MATERIALIZED ({" UNION ALL ".join(f"SELECT {_quote(k)} AS name, CAST({v} AS BIGINT) AS n FROM p" for k, v in CONVENTION_COUNTS.items())})"""
+N = {k: f"(SELECT n FROM n WHERE name = {_quote(k)})" for k in CONVENTION_COUNTS}
+DECISIONS = {
+    "imports by alias": f"{N['alias imports']} + {N['relative imports']} > 10 AND {N['alias imports']} > 2 * {N['relative imports']}",
+    "barrel files": f"{N['index files']} >= 3 AND {N['barrels']} >= 3",
+    "error classes": f"{N['error classes']} >= 2",
+    "named exports": f"{N['default exports']} + {N['named exports']} > 10 AND {N['named exports']} > 3 * {N['default exports']}",
+    "default exports": f"{N['default exports']} + {N['named exports']} > 10 AND {N['default exports']} > 2 * {N['named exports']}",
+    "package barrels": f"{N['python files']} >= 3 AND {N['package barrels']} >= 3",
+    "wrapped errors": f"{N['go files']} >= 3 AND {N['wrapped errors']} > 5 AND {N['wrapped errors']} > 0.3 * {N['error checks']}",
+    "interfaces first": f"{N['go files']} >= 3 AND {N['interfaces']} >= 5",
+}
+DECIDED = " UNION ALL ".join(f"SELECT {_quote(k)} AS convention WHERE {v}" for k, v in DECISIONS.items())
+
+
+@query(f"WITH {FILES}, {STRIPPED}, {CONVENTIONS} SELECT * FROM n")
 def convention_counts(spark, d):
     return rules.conventions(repo.files(spark, d))
 
 
-@query(rf"""WITH {FILES}, n AS (SELECT sum(len(regexp_extract_all(content, 'from\s+[''"][@~]/'))) AS alias, sum(len(regexp_extract_all(content, 'from\s+[''"]\.\.?/'))) AS rel, sum(len(regexp_extract_all(content, '(?m)^export default'))) AS def,
- sum(len(regexp_extract_all(content, '(?m)^export (?:const|function|class|interface|type|enum)'))) AS named, sum(len(regexp_extract_all(content, 'class\s+\w+\s+extends\s+\w*Error\b'))) AS errors,
- sum(len(regexp_extract_all(content, 'fmt\.Errorf\([^)]*%w'))) AS wrapped, sum(len(regexp_extract_all(content, 'err != nil'))) AS checks,
- count(*) FILTER (regexp_matches(path, '(^|/)index\.[jt]sx?$') AND regexp_matches(content, '(?m)^export \* from|^export \{{')) AS barrels FROM files)
-SELECT 'imports by alias' AS convention FROM n WHERE alias + rel > 10 AND alias > 2 * rel UNION ALL SELECT 'barrel files' FROM n WHERE barrels >= 3 UNION ALL SELECT 'error classes' FROM n WHERE errors >= 2
-UNION ALL SELECT 'named exports' FROM n WHERE def + named > 10 AND named > 3 * def UNION ALL SELECT 'default exports' FROM n WHERE def + named > 10 AND def > 2 * named
-UNION ALL SELECT 'wrapped errors' FROM n WHERE wrapped > 5 AND wrapped > 0.3 * checks""")
+@query(f"WITH {FILES}, {STRIPPED}, {CONVENTIONS} {DECIDED}")
 def convention_calls(spark, d):
     return patterns.decisions(rules.conventions(repo.files(spark, d)))
 
 
-@query(rf"""WITH {FILES} SELECT regexp_replace(path, '/[^/]*$', '') AS dir, count(*) AS n FROM files WHERE regexp_matches(path, '(^|/)(routes?|pages|api|app)/') AND regexp_matches(path, '\.(ts|tsx|js|jsx|py|vue)$') GROUP BY 1 ORDER BY n DESC, 1 LIMIT 3""")
+ROUTES = r"""SELECT DISTINCT regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM files WHERE regexp_matches(path, 'routes|routers|api/') AND NOT regexp_matches(path, 'node_modules|\.test\.|\.spec\.|tests?/|__test|fixture|mock')
+ AND regexp_matches(path, '\.(ts|js|py|go)$') AND contains(path, '/') ORDER BY 1 LIMIT 3"""
+
+
+@query(f"WITH files AS (SELECT replace(path, 'app/', 'api/') AS path FROM ({repo.FILES_SQL})) {ROUTES}")
 def edit_points(spark, d):
-    return rules.edit_points(repo.files(spark, d), "route")
+    """Where routes are added, in a tree whose app folders hold an interface."""
+    return rules.edit_points(repo.files(spark, d).select(F.replace("path", F.lit("app/"), F.lit("api/")).alias("path")), "route")
+
+
+# What a scan finds in contents and names, judged by ranks and activity.
+INNER = f"""nodes AS MATERIALIZED (SELECT path AS node FROM files WHERE regexp_matches(path, '\\.(tsx?|jsx?)$') AND NOT ({FILE_KINDS["test"][1]}) AND NOT ({FILE_KINDS["example"][1]})),
+inner_edges AS MATERIALIZED (SELECT src, dst FROM edges WHERE src IN (FROM nodes) AND dst IN (FROM nodes)),
+w AS MATERIALIZED (SELECT src, dst, count(*) / (sum(count(*)) OVER (PARTITION BY src))::DOUBLE AS w FROM inner_edges GROUP BY src, dst),
+r0 AS MATERIALIZED (SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS score FROM nodes)""" + "".join(
+    f""",
+r{k + 1} AS MATERIALIZED (SELECT n.node, 0.15::DOUBLE / (SELECT count(*) FROM nodes) + 0.85::DOUBLE * coalesce(x.s, 0) AS score FROM nodes n LEFT JOIN (SELECT w.dst, sum(w.w * r.score) AS s FROM w JOIN r{k} r ON r.node = w.src GROUP BY 1) x ON x.dst = n.node)"""
+    for k in range(20)
+)
+SAID = ", ".join(f"({_quote(k)}, {_quote(v)}, {fixed.LEAST[k]})" for k, v in findings.SAID.items())
+HELD = ", ".join(f"({_quote(k)}, {', '.join(map(_quote, v))})" for k, v in findings.CONVENTIONS.items())
+GENERATED_SQL = r"regexp_matches(path, '\.generated\.|\.gen\.|__generated__|codegen') OR regexp_matches(substr(content, 1, 500), '@generated') OR regexp_matches(substr(content, 1, 500), '(?i)do not edit|auto-generated|this file is generated|generated by')"
+
+
+@query(rf"""WITH {EDGES}, {STRIPPED}, {INNER}, {CONVENTIONS},
+top AS (SELECT node FROM (SELECT node, round(score, 12) AS score FROM r20) ORDER BY score DESC, node LIMIT 20),
+h AS MATERIALIZED ({_hits_sql()}),
+v AS (SELECT family, name, count(*) AS n, list_sort(list(path))[1:20] AS paths FROM h GROUP BY ALL),
+best AS (SELECT v.*, said FROM v JOIN (VALUES {SAID}) AS t(family, said, least) USING (family) WHERE n >= least AND (name <> 't("key")' OR EXISTS (SELECT 1 FROM files WHERE regexp_matches(path, 'locale|i18n|translations|messages/')))
+  QUALIFY row_number() OVER (PARTITION BY family ORDER BY n DESC, name) = 1),
+place AS (SELECT coalesce(min(path) FILTER (regexp_matches(path, 'en[/.]')), min(path)) AS place FROM files WHERE regexp_matches(path, 'locale|i18n|translations|messages') AND regexp_matches(path, '\.(json|ts|js)$')),
+env AS (SELECT DISTINCT unnest(list_concat(regexp_extract_all(content, 'process\.env\.([A-Za-z0-9_]+)', 1), regexp_extract_all(content, 'import\.meta\.env\.([A-Za-z0-9_]+)', 1))) AS name FROM files WHERE {PROGRAM}),
+e AS (SELECT count(*) AS n, count(*) FILTER (regexp_matches(name, '^(NEXT_PUBLIC_|VITE_|EXPO_PUBLIC_)')) AS open, count(*) FILTER (NOT regexp_matches(name, '^(NEXT_PUBLIC_|VITE_|EXPO_PUBLIC_|NODE_ENV)')) AS shut FROM env),
+g AS (SELECT count(*) AS n, list_sort(list(path))[1:20] AS paths FROM files WHERE {GENERATED_SQL}),
+f AS (SELECT 'Dominant patterns' AS category, family AS name, said || ' ' || name || CASE WHEN family = 'i18n' THEN coalesce('; see ' || (FROM place), '') ELSE '' END AS description, 'high' AS declared, n, CASE family WHEN 'test' THEN [] WHEN 'i18n' THEN paths[1:3] ELSE paths END AS paths FROM best
+  WHERE family <> 'test' OR name NOT IN ('script tests', 'pytest')
+ UNION ALL SELECT category, convention, said, sure, 0, [] FROM ({DECIDED}) JOIN (VALUES {HELD}) AS t(convention, category, said, sure) USING (convention)
+ UNION ALL SELECT 'Environment', 'variables', n || ' variables, of which browsers see ' || open, 'medium', 0, [] FROM e WHERE open > 0 AND shut > 0
+ UNION ALL SELECT 'Critical constraints', 'generated', 'Generated files, do not edit: ' || array_to_string(paths[1:5], ', '), 'high', n, paths FROM g WHERE n >= 2
+ UNION ALL SELECT 'Dominant patterns', 'route folders', 'Routes are defined in ' || string_agg(dir, ', ' ORDER BY dir), 'high', 0, [] FROM ({ROUTES}) HAVING count(*) > 0 AND EXISTS (SELECT 1 FROM best WHERE family = 'router')),
+m AS (SELECT f.*, len(list_filter(paths, lambda p: list_contains(tops, p))) AS overlap, len(list_distinct(list_transform(paths, lambda p: regexp_replace(p, '/[^/]*$', '')))) AS dirs, len(list_filter(paths, lambda p: starts_with(p, 'src/'))) > 0 AS active, len(paths) AS k FROM f, (SELECT list(node) AS tops FROM top)),
+q AS (SELECT *, CASE WHEN k >= 7 THEN 3 WHEN k >= 5 THEN 2 WHEN k >= 3 THEN 1 ELSE 0 END + least(overlap, 2) + active::INT AS points FROM m),
+c1 AS (SELECT *, CASE WHEN declared = 'high' AND k >= 10 OR points >= 3 THEN 'high' WHEN points = 2 OR k >= 3 THEN 'medium' ELSE 'low' END AS c FROM q),
+c2 AS (SELECT *, CASE WHEN regexp_matches(description, 'Database|database') AND k <= 2 AND overlap = 0 OR regexp_matches(description, 'Auth|auth') AND dirs <= 1 AND overlap = 0 AND c = 'high' THEN 'medium' ELSE c END AS d FROM c1)
+SELECT category, name, description, CASE WHEN k = 0 THEN declared ELSE d END AS confidence, n, array_to_string(paths, ' ') AS paths, declared, overlap, dirs, active FROM c2""")
+def scan_findings(spark, d):
+    """What the contents and names of all files tell, judged by the ranks of scripts and by recent commits."""
+    files = windows.cut(repo.files(spark, d))  # a repository's files, read in several ways
+    p = F.col("path")
+    scripts = files.where(p.rlike(r"\.(tsx?|jsx?)$"))
+    e = windows.cut(resolve.script(scripts.select(p.alias("src"), F.explode(extract.script_imports(F.col("content"))).alias("spec")), files))
+    nodes = scripts.where(paths.is_production(p)).select(p.alias("node"))
+    ends = lambda c: nodes.select(F.col("node").alias(c))
+    inner = e.join(ends("src"), "src", "left_semi").join(ends("dst"), "dst", "left_semi").select("src", "dst")
+    ranks = graph.pagerank(nodes, inner).select("node", F.round("score", 12).alias("score"))
+    recent = timewin.recent(repo.commit_files(spark, d), "ts", 30)
+    areas = timewin.top_counts(recent.select(paths.top_dir(p).alias("dir")), "dir", 5)
+    return findings.validated(findings.of_patterns(files), ranks, areas).withColumn("paths", F.array_join("paths", " "))
 
 
 @query(rf"""WITH {FILES}, l AS (SELECT path, string_split(content, chr(10)) AS l FROM files) SELECT path, array_to_string(l[1:20], chr(10)) AS preview FROM l""")

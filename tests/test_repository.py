@@ -89,7 +89,7 @@ def test_runners(spark):
 
 def test_patterns_of_a_whole_tree(spark):
     """No family hinders another, even where a runner can't be told."""
-    all_ = tree(spark, *(f"src/f{k}.test.ts" for k in range(3)), content="describe('x'); jwt.sign(x); prisma.user")
+    all_ = tree(spark, *(f"src/f{k}.test.ts" for k in range(3)), content="describe('x')").union(tree(spark, *(f"src/g{k}.ts" for k in range(3)), content="jwt.sign(x); prisma.user"))
     assert rows(patterns.dominant(all_)) == [("auth", "JWT (jsonwebtoken)", 3), ("database", "Prisma", 3)]
 
 

@@ -9,7 +9,7 @@ from tesserae.operators import changes, context, rules, tools
 @pytest.fixture(scope="module")
 def tree(spark):
     rows = {
-        "package.json": '{"workspaces": null, "scripts": {"dev": "x", "test": "y", "db:migrate": "z", "foo": "q"}, "main": "i.js"}',
+        "package.json": '{"workspaces": null, "scripts": {"dev": "x", "test": "y", "db:migrate": "z", "foo": "q"}, "main": "i.js", "exports": "./i.js"}',
         "src/index.ts": 'export * from "./a";\nimport x from "@/b"',
         "src/auth/login.ts": "export default 1\nexport const a = 2\nclass E extends AppError {}",
         "src/auth/login.test.ts": "", "src/auth/loginForm.ts": "", "src/auth/token_store.ts": "// @generated by x",
@@ -26,34 +26,42 @@ def test_structure_and_mode(spark, tree):
     assert {tuple(r) for r in rules.build_commands(manifests).collect()} == {("dev", "x"), ("test", "y"), ("db:migrate", "z")}
 
 
+@pytest.mark.parametrize("files, frameworks, want", [
+    ({"src/index.ts": ""}, [], "app"), ({"pnpm-workspace.yaml": "", "packages/a/index.ts": ""}, [], "monorepo"), ({"turbo.json": ""}, [], "monorepo"), ({"lerna.json": ""}, [], "monorepo"), ({"nx.json": ""}, [], "monorepo"),
+    ({"src/index.ts": "", "app/page.tsx": ""}, ["Next.js"], "app"), ({"pyproject.toml": "", "pydantic/__init__.py": "", "tests/test_main.py": ""}, [], "library"), ({"pyproject.toml": "", "tests/__init__.py": ""}, [], "app"),
+    ({"pyproject.toml": "", "src/mylib/__init__.py": "", "src/mylib/core.py": ""}, [], "library"), ({"package.json": '{"type": "module"}'}, [], "library"), ({"package.json": '{"main": "i.js"}'}, [], "app"),
+    ({"package.json": '{"exports": {".": "./i.js"}}'}, ["Next.js"], "app"), ({"package.json": '{"exports": "./i.js"}'}, ["React"], "library"), ({"package.json": '{"files": []}'}, [], "app"), ({"package.json": '{"files": ["dist"]}'}, [], "library"),
+    ({"package.json": '{"workspaces": ["a/*"]}'}, [], "monorepo"), ({"package.json": "{"}, [], "app"), ({"package.json": '{"type": "module"}', "src/components/a.tsx": ""}, [], "app"), ({"setup.py": ""}, [], "library"), ({"setup.py": "", "app/a.py": ""}, [], "app"),
+    ({"src/lib/a.ts": ""}, [], "library"), ({"lib/a.ts": "", "x/components/a.ts": ""}, [], "app"), ({"pyproject.toml": "", "scripts/__init__.py": ""}, [], "app"),
+])
+def test_modes(spark, files, frameworks, want):
+    rows = spark.createDataFrame(list(files.items()), "path string, content string")
+    known = spark.createDataFrame([(f,) for f in frameworks], "framework string")
+    assert rules.repo_mode(rows, known).first()[0] == want
+
+
 def test_detections(spark, tree):
     deps = spark.createDataFrame([("react", "18"), ("next", "14"), ("other", "1")], "name string, version string")
     assert [tuple(r) for r in rules.frameworks(deps).collect()] == [("Next.js", "14")]
     assert {r.framework for r in rules.frameworks(deps.where("name <> 'next'")).collect()} == {"React"}
     assert {r.path for r in rules.generated(tree).collect()} == {"src/auth/token_store.ts", "src/codegen/x.ts"}
-    assert [tuple(r) for r in rules.integrations(tree).collect()] == [("src/providers", 3)]
+    shops = spark.createDataFrame([(f"src/{x}/i.ts",) for x in ("plugins/a", "plugins/b", "plugins/_c", "addons/a", "addons/b", "addons/c", "providers/a", "providers/b", "providers/c", "providers/d")], "path string")
+    assert [tuple(r) for r in rules.integrations(shops).collect()] == [("src/addons", 3)] and rules.integrations(tree).collect() == []
     got = {r.name: r.n for r in rules.conventions(tree).collect()}
-    assert got["barrels"] == 1 and got["alias imports"] == 1 and got["default exports"] == 1 and got["named exports"] == 1 and got["error classes"] == 1
+    assert got["barrels"] == 1 and got["alias imports"] == 1 and got["default exports"] == 1 and got["named exports"] == 1 and got["error classes"] == 0
     assert tree.where(rules.is_graph_source(F.col("path"))).count() == 12
 
 
 def test_tiers_and_overrides(spark):
     f = spark.createDataFrame([("Core modules", "x", "high"), ("Style", "never do", "high"), ("Style", "plain", "high"), ("Style", "y", "medium"), ("Style", "z", "low")], "category string, description string, confidence string")
     assert sorted((r.tier) for r in rules.tiers(f).collect()) == ["critical", "critical", "important", "supplementary"]
-    g = spark.createDataFrame([("auth", "low", 12, 0, "high"), ("x", "low", 3, 0, "low"), ("Authentication", "high", 1, 0, "x"), ("Database", "low", 2, 0, "x"), ("x", "low", 1, 0, "x")], "category string, confidence string, n int, overlap int, declared string")
-    assert [r.confidence for r in rules.revised(g).collect()] == ["high", "medium", "medium", "medium", "low"]
+    rows = [("plain", "low", 12, 3, 0, "high"), ("plain", "low", 3, 1, 0, "low"), ("Auth uses x", "high", 7, 1, 0, "high"), ("Auth uses x", "high", 7, 2, 0, "high"), ("a Database", "low", 2, 2, 0, "high"), ("plain", "low", 1, 1, 0, "high")]
+    g = spark.createDataFrame(rows, "description string, confidence string, n int, dirs int, overlap int, declared string")
+    assert [r.confidence for r in rules.revised(g).collect()] == ["high", "medium", "medium", "high", "medium", "low"]
     k = spark.createDataFrame([("core_modules",), ("none",)], "k string")
     assert [tuple(r) for r in k.select(rules.section_priority(F.col("k"), F.lit("library")), rules.section_priority(F.col("k"), F.lit("app"))).collect()] == [(90, 50), (0, 0)]
 
 
-def test_sample_fills_its_tiers(spark):
-    files = spark.createDataFrame([(f"src/f{k:02}.ts",) for k in range(40)] + [("src/index.ts",)], "path string")
-    hints = spark.createDataFrame([("src/f07.ts", 1), ("src/f08.ts", 11)], "path string, rank int")
-    churn = spark.createDataFrame([("src/f09.ts", 5)], "path string, rank int")
-    got = rules.sample(files, 10, hints, churn).collect()
-    assert len(got) == 10 and [tuple(r) for r in got[:3]] == [("src/index.ts", 1), ("src/f07.ts", 2), ("src/f09.ts", 3)]
-
-
 def test_signals_rank_companions(spark, tree):
     edges = spark.createDataFrame([("src/auth/login.ts", "src/auth/token_store.ts"), ("src/index.ts", "src/auth/login.ts"), ("src/auth/login.test.ts", "src/auth/login.ts")], "src string, dst string")
     partners = spark.createDataFrame([("src/auth/login.ts", "src/index.ts", 0.5)], "item string, partner string, strength double")
