@@ -29,12 +29,16 @@ def is_graph_source(path: Column) -> Column:
 
 
 def frameworks(dependencies: DataFrame, spark_names: dict[str, str] | None = None) -> DataFrame:
-    """(framework, version) of dependencies (name, version); React by itself only without those that bring it along."""
+    """(framework, version) of dependencies (name, version). React is named by itself only without what brings it along, and together
+    with Vite where that builds it; Vite alone is no framework."""
     table = spark_names or FRAMEWORKS
     known = F.element_at(F.create_map(*(F.lit(x) for p in table.items() for x in p)), F.col("name"))
     rows = dependencies.select(known.alias("framework"), "version").where("framework IS NOT NULL")
-    bringing = rows.agg(F.coalesce(F.bool_or(F.col("framework").isin("Next.js", "Expo")), F.lit(False)).alias("brought"))
-    return rows.crossJoin(F.broadcast(bringing)).where(~(F.col("brought") & (F.col("framework") == "React"))).drop("brought")
+    facts = rows.agg(F.coalesce(F.bool_or(F.col("framework").isin("Next.js", "Expo")), F.lit(False)).alias("brought"), F.max(F.when(F.col("framework") == "Vite", F.col("version"))).alias("vite"))
+    react = F.col("framework") == "React"
+    rows = rows.crossJoin(F.broadcast(facts)).where(~(F.col("brought") & react) & (F.col("framework") != "Vite"))  # one row
+    built = react & F.col("vite").isNotNull()
+    return rows.select(F.when(built, "Vite + React").otherwise(F.col("framework")).alias("framework"), F.when(built, F.col("vite")).otherwise(F.col("version")).alias("version"))
 
 
 def folders(files: DataFrame) -> DataFrame:
@@ -122,7 +126,7 @@ def repo_mode(files: DataFrame, frameworks: DataFrame | None = None, by: list[st
         has(p.isin("pnpm-workspace.yaml", "turbo.json", "lerna.json", "nx.json")).alias("mono"),
         has(p.rlike(r"^(src/)?(app|pages)/")).alias("app"),
         has(p.contains("/components/")).alias("components"),
-        has(p == "pyproject.toml").alias("project"),
+        has(p == "pyproject.toml").alias("pyproject"),
         has(p.rlike(r"^src/.*\.py$")).alias("inside"),
         has(p.rlike(r"^(?!(?:test|tests|docs|examples|scripts|tools|benchmarks|\.github)/)[^/]+/__init__\.py$")).alias("package"),
         has(p.isin("setup.py", "setup.cfg")).alias("setup"),
@@ -144,7 +148,7 @@ def repo_mode(files: DataFrame, frameworks: DataFrame | None = None, by: list[st
         F.when(F.col("mono") | work, "monorepo")
         .when((listed | given("exports")) & bare, "library")
         .when((field("type") == "module") & bare & ~F.col("components"), "library")
-        .when(F.col("project") & (F.col("inside") | F.col("package")) & ~F.col("app"), "library")
+        .when(F.col("pyproject") & (F.col("inside") | F.col("package")) & ~F.col("app"), "library")
         .when(F.col("setup") & ~F.col("app") & ~F.col("components"), "library")
         .when(F.col("lib") & bare & ~F.col("components"), "library")
         .otherwise("app")

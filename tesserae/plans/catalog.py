@@ -512,4 +512,4 @@ def tiered_sample(spark, d):
     return rules.sample(files, 50, ranked, ranked.where("rank > 10").select("path", F.lit(1).alias("rank")))
 
 
-from . import repo_catalog  # noqa: E402, F401 - registers its queries in the same tables
+from . import projects, repo_catalog  # noqa: E402, F401 - register their queries in the same tables

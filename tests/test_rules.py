@@ -44,6 +44,8 @@ def test_detections(spark, tree):
     deps = spark.createDataFrame([("react", "18"), ("next", "14"), ("other", "1")], "name string, version string")
     assert [tuple(r) for r in rules.frameworks(deps).collect()] == [("Next.js", "14")]
     assert {r.framework for r in rules.frameworks(deps.where("name <> 'next'")).collect()} == {"React"}
+    vite = spark.createDataFrame([("vite", "5")], "name string, version string")
+    assert [tuple(r) for r in rules.frameworks(deps.where("name = 'react'").union(vite)).collect()] == [("Vite + React", "5")] and rules.frameworks(vite).collect() == []
     assert {r.path for r in rules.generated(tree).collect()} == {"src/auth/token_store.ts", "src/codegen/x.ts"}
     shops = spark.createDataFrame([(f"src/{x}/i.ts",) for x in ("plugins/a", "plugins/b", "plugins/_c", "addons/a", "addons/b", "addons/c", "providers/a", "providers/b", "providers/c", "providers/d")], "path string")
     assert [tuple(r) for r in rules.integrations(shops).collect()] == [("src/addons", 3)] and rules.integrations(tree).collect() == []
