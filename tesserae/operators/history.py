@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.paths import dirname, is_source_for_pairs, top_dir
 from ..functions.text import commit_scope
-from . import timewin
+from . import assoc, timewin
 
 
 def reverted(subject: Column) -> Column:
@@ -47,6 +48,39 @@ def enough(commits: DataFrame, shallow: bool, least: int = 50) -> bool:
     return not shallow or commits.limit(least).count() >= least
 
 
+def rapid(commit_files: DataFrame, days: int = 92, commits: int = 300, parts: list[str] | None = None) -> DataFrame:
+    """(path, start, n): source files edited five times within a week, of the newest commits; documents and configuration don't count."""
+    rows = timewin.recent(timewin.newest(commit_files, commits, parts=parts), "ts", days)
+    return timewin.rapid_edits(rows.where(~F.col("path").rlike(fixed.CHURN_NOISE) & ~F.col("path").contains("node_modules")), "path", "ts")
+
+
+def churn(commit_files: DataFrame, days: int = 92, commits: int = 500, k: int = 20, parts: list[str] | None = None) -> DataFrame:
+    """(path, n) of the files that the newest commits changed most, deletions apart."""
+    rows = timewin.recent(timewin.newest(commit_files, commits, parts=parts), "ts", days)
+    return timewin.top_counts(rows.where(F.col("status").isin("A", "M", "R", "C") & ~F.col("path").contains("node_modules")), "path", k)
+
+
+def pairs(commit_files: DataFrame, days: int = 183, commits: int = 200, parts: list[str] | None = None, **how) -> DataFrame:
+    """(a, b, cnt, strength) of source files that the newest commits changed together."""
+    rows = timewin.recent(timewin.newest(commit_files, commits, parts=parts), "ts", days)
+    return assoc.cooccur(rows.where(is_source_for_pairs(F.col("path"))), ["commit_id"], "path", **how)
+
+
+def coupling(commit_files: DataFrame, edges: DataFrame | None = None, days: int = 183, commits: int = 200, k: int = 5, parts: list[str] | None = None) -> DataFrame:
+    """The strongest pairs of files of unlike folders that change together, three times or more; pairs that import each other are no secret."""
+    found = pairs(commit_files, days, commits, parts, min_count=3, min_strength=0.3, group=dirname(F.col("item")))
+    if edges is not None:
+        known = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+        found = found.join(known, ["a", "b"], "left_anti")
+    return found.orderBy(F.desc("strength"), "a", "b").limit(k)
+
+
+def areas(commit_files: DataFrame, days: int = 30, k: int = 5) -> DataFrame:
+    """(dir, n) of the top-level folders with the most recent changes; files at the root have none."""
+    rows = timewin.recent(commit_files, "ts", days).where(F.col("status").isin("A", "M", "R", "C") & F.col("path").contains("/") & ~F.col("path").contains("node_modules"))
+    return timewin.top_counts(rows.select(top_dir(F.col("path")).alias("dir")), "dir", k)
+
+
 def modified(changed: DataFrame, extensions: str = r"\.(ts|tsx|js|jsx|py|go|rs|rb|java|swift|kt)$") -> DataFrame:
     """(item, idx) of changed source files (path, idx), each once, by where it is first named: a branch's, or staged and unstaged."""
     return changed.where(F.lower("path").rlike(extensions)).groupBy(F.col("path").alias("item")).agg(F.min("idx").alias("idx"))

@@ -22,6 +22,17 @@ def recent(df: DataFrame, ts: str, days: int) -> DataFrame:
     return df.where(F.lit(False)) if start is None else df.where(F.col(ts) >= start)
 
 
+def newest(df: DataFrame, n: int, key: str = "commit_id", ts: str = "ts", parts: list[str] | None = None) -> DataFrame:
+    """The rows of the n newest keys (ties by key). These are found first, in a scan of two columns, and broadcast: n rows at most.
+
+    parts are columns that the table is partitioned by: named in the join, they prune the partitions that hold none of the keys
+    when the query runs, so that old history isn't read.
+    """
+    on = [*(parts or []), ts, key]
+    keys = df.select(*on).where(F.col(key).isNotNull() & F.col(ts).isNotNull()).distinct().orderBy(F.desc(ts), key).limit(n)
+    return df.join(F.broadcast(keys), on, "left_semi")
+
+
 def top_counts(df: DataFrame, key: str, k: int, least: int = 1) -> DataFrame:
     """(key, n) of the k most frequent values; ties by key."""
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), key).limit(k)

@@ -207,6 +207,37 @@ def reverts(spark, d):
     return history.reverts(repo.commits(spark, d))
 
 
+def _newest(n: int, days: int) -> str:
+    return f"""f AS MATERIALIZED ({repo.COMMIT_FILES_SQL}), k AS (SELECT DISTINCT ts, commit_id FROM f ORDER BY ts DESC, commit_id LIMIT {n}),
+m AS MATERIALIZED (SELECT f.* FROM f JOIN k USING (ts, commit_id)), w AS MATERIALIZED (SELECT * FROM m WHERE datediff('day', CAST(ts AS DATE), (SELECT CAST(max(ts) AS DATE) FROM m)) < {days})"""
+
+
+def history_files(spark, d):
+    """Changed files of all commits, of which every eighth is a note that doesn't count as an edit."""
+    return repo.commit_files(spark, d).withColumn("path", F.regexp_replace("path", r"0\.ts$", "0.md"))
+
+
+@query(f"""WITH {_newest(3000, 600)}, e AS (SELECT regexp_replace(path, '[0-9]\\.ts$', '.ts') AS path, CAST(ts AS DATE) AS start FROM w WHERE NOT regexp_matches(regexp_replace(path, '0\\.ts$', '0.md'), {_quote(fixed.CHURN_NOISE)})),
+c AS (SELECT *, count(*) OVER (PARTITION BY path ORDER BY start RANGE BETWEEN CURRENT ROW AND INTERVAL 7 DAY FOLLOWING) AS n FROM e)
+SELECT * FROM c WHERE n >= 5 QUALIFY row_number() OVER (PARTITION BY path ORDER BY start, n DESC) = 1""")
+def rapid_files(spark, d):
+    """Modules of ten files that the newest 3,000 commits edited again and again; notes among them don't count."""
+    rows = history_files(spark, d).withColumn("path", F.regexp_replace("path", r"[0-9]\.ts$", ".ts"))
+    return history.rapid(rows, 600, 3000)
+
+
+@query(f"WITH {_newest(500, 92)} SELECT path, count(*) AS n FROM w WHERE status IN ('A', 'M', 'R', 'C') GROUP BY 1 ORDER BY n DESC, path LIMIT 20")
+def churn_newest(spark, d):
+    """The files that the newest 500 commits of three months changed most."""
+    return history.churn(repo.commit_files(spark, d))
+
+
+@query(f"WITH {_newest(200, 183)} SELECT * FROM ({pairs_sql('SELECT commit_id AS txn, path AS item FROM w', 1, 0.2)})")
+def pairs_newest(spark, d):
+    """The files that the newest 200 commits changed together."""
+    return history.pairs(repo.commit_files(spark, d), min_count=1)
+
+
 @query(f"""WITH f AS (SELECT * FROM ({repo.COMMIT_FILES_SQL})),
 g AS (SELECT commit_id, count(*) AS n, max(ts) AS ts FROM f WHERE status = 'D' AND NOT regexp_matches(subject, {_quote(fixed.DELETION_NOISE)})
       AND datediff('day', CAST(ts AS DATE), (SELECT CAST(max(ts) AS DATE) FROM f)) < 183 GROUP BY 1 HAVING count(*) >= 3),

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserae.functions import fixed, paths
-from tesserae.operators import briefing, extract, graph, history, patterns, resolve, rules, tools, vote, windows
+from tesserae.operators import briefing, configs, extract, graph, history, patterns, resolve, rules, timewin, tools, vote, windows
 from tesserae.plans import scan
 from tesserae.sources import repository
 
@@ -241,3 +241,31 @@ def test_a_repository_end_to_end(spark):
     warned = scan.check(got, spark.createDataFrame([("src/hub.ts", 0)], "item string, idx int"))
     assert {(r.target, r.signal) for r in warned.collect()} >= {("src/hub.test.ts", "import"), ("src/m0.ts", "import")}
     assert extract.script_imports is not None
+
+
+def test_a_scan_tells_its_findings(spark):
+    """Configurations, contents, imports and history in one table; a shallow copy says so instead of telling history."""
+    f = files(spark, **{f"src/m{k}.ts": f'import {{ a }} from "./hub";\nexport const x = z.object({{}})\n// m{k}' for k in range(8)}, **{"src/hub.ts": "export const a = 1", "tsconfig.json": '{"compilerOptions": {"strict": false}}', "package.json": '{"type": "module", "devDependencies": {"typescript": "5"}}'})
+    log = [(str(k), k, 'Revert "feat: a"' if k < 3 else "fix(core): b") for k in range(1, 9)]
+    commits = spark.createDataFrame(log, "commit_id string, k int, subject string").withColumn("ts", F.expr("make_timestamp(2024, 3, k, 10, 0, 0)")).drop("k")
+    changed = commits.crossJoin(spark.createDataFrame([("M", "src/m0.ts"), ("M", "lib/far.ts"), ("M", "docs/a.md")], "status string, path string"))
+    got = scan.project(f, commits, changed)
+    found = {(r.stage, r.category, r.name): r for r in got["findings"].collect()}
+    assert {("configuration", "TypeScript", "strict"), ("mode", "Project structure", "library"), ("contents", "Dominant patterns", "schema"), ("imports", "Core modules", "hubs"), ("history", "Git history", "reverts"),
+            ("history", "Fragile code", "src/m0.ts"), ("history", "Hidden dependencies", "lib/far.ts + src/m0.ts"), ("history", "Commit conventions", "scopes"), ("history", "Active development", "areas")} <= set(found)
+    assert found["contents", "Dominant patterns", "schema"].confidence == "high" and not any(k[1:] == ("Fragile code", "docs/a.md") for k in found)
+    assert rows(got["mode"]) == [("library",)] and {r.framework for r in got["frameworks"].collect()} == {"TypeScript"}
+    few = scan.told(got, configs.facts(f.withColumn("_scan", F.lit(0)), ["_scan"]), "library", history.enough(commits, shallow=True)).where("stage = 'history'")
+    assert [(r.category, r.name) for r in few.collect()] == [("Git history", "shallow")] and rules.tiers(few).collect() == []
+
+
+def test_the_newest_commits_prune_partitions(spark, tmp_path):
+    rows_ = spark.range(2000).selectExpr("id AS commit_id", "timestamp'2020-01-01' + make_interval(0, 0, 0, CAST(id AS INT)) AS ts", "'M' AS status", "concat('src/f', id % 7, '.ts') AS path", "'s' AS subject")
+    rows_.withColumn("month", F.date_format("ts", "yyyy-MM")).repartition(1).write.partitionBy("month").parquet(f"{tmp_path}/log")
+    table = spark.read.parquet(f"{tmp_path}/log")
+    newest = timewin.newest(table, 40, parts=["month"])
+    assert sorted(r.commit_id for r in newest.collect()) == list(range(1960, 2000))
+    plan = newest._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan.lower()
+    assert rows(history.churn(table, commits=40, parts=["month"])) == rows(history.churn(table, commits=40))
+    assert sum(r.n for r in history.churn(table, commits=40).collect()) == 40 and timewin.newest(table.limit(0), 5).collect() == []
