@@ -50,19 +50,19 @@ def enough(commits: DataFrame, shallow: bool, least: int = 50) -> bool:
 
 def rapid(commit_files: DataFrame, days: int = 92, commits: int = 300, parts: list[str] | None = None) -> DataFrame:
     """(path, start, n): source files edited five times within a week, of the newest commits; documents and configuration don't count."""
-    rows = timewin.recent(timewin.newest(commit_files, commits, parts=parts), "ts", days)
+    rows = timewin.newest(timewin.recent(commit_files, "ts", days), commits, parts=parts)
     return timewin.rapid_edits(rows.where(~F.col("path").rlike(fixed.CHURN_NOISE) & ~F.col("path").contains("node_modules")), "path", "ts")
 
 
 def churn(commit_files: DataFrame, days: int = 92, commits: int = 500, k: int = 20, parts: list[str] | None = None) -> DataFrame:
     """(path, n) of the files that the newest commits changed most, deletions apart."""
-    rows = timewin.recent(timewin.newest(commit_files, commits, parts=parts), "ts", days)
+    rows = timewin.newest(timewin.recent(commit_files, "ts", days), commits, parts=parts)
     return timewin.top_counts(rows.where(F.col("status").isin("A", "M", "R", "C") & ~F.col("path").contains("node_modules")), "path", k)
 
 
 def pairs(commit_files: DataFrame, days: int = 183, commits: int = 200, parts: list[str] | None = None, **how) -> DataFrame:
     """(a, b, cnt, strength) of source files that the newest commits changed together."""
-    rows = timewin.recent(timewin.newest(commit_files, commits, parts=parts), "ts", days)
+    rows = timewin.newest(timewin.recent(commit_files, "ts", days), commits, parts=parts)
     return assoc.cooccur(rows.where(is_source_for_pairs(F.col("path"))), ["commit_id"], "path", **how)
 
 

@@ -26,7 +26,7 @@ def newest(df: DataFrame, n: int, key: str = "commit_id", ts: str = "ts", parts:
     """The rows of the n newest keys (ties by key). These are found first, in a scan of two columns, and broadcast: n rows at most.
 
     parts are columns that the table is partitioned by: named in the join, they prune the partitions that hold none of the keys
-    when the query runs, so that old history isn't read.
+    when the query runs, so that old history isn't read (Spark does so where a bound, such as that of recent(), is given).
     """
     on = [*(parts or []), ts, key]
     keys = df.select(*on).where(F.col(key).isNotNull() & F.col(ts).isNotNull()).distinct().orderBy(F.desc(ts), key).limit(n)

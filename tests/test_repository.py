@@ -263,7 +263,7 @@ def test_the_newest_commits_prune_partitions(spark, tmp_path):
     rows_ = spark.range(2000).selectExpr("id AS commit_id", "timestamp'2020-01-01' + make_interval(0, 0, 0, CAST(id AS INT)) AS ts", "'M' AS status", "concat('src/f', id % 7, '.ts') AS path", "'s' AS subject")
     rows_.withColumn("month", F.date_format("ts", "yyyy-MM")).repartition(1).write.partitionBy("month").parquet(f"{tmp_path}/log")
     table = spark.read.parquet(f"{tmp_path}/log")
-    newest = timewin.newest(table, 40, parts=["month"])
+    newest = timewin.newest(timewin.recent(table, "ts", 700), 40, parts=["month"])
     assert sorted(r.commit_id for r in newest.collect()) == list(range(1960, 2000))
     plan = newest._jdf.queryExecution().executedPlan().toString()
     assert "dynamicpruning" in plan.lower()

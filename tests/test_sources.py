@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tesserae.operators import assoc
 from tesserae.sinks import report as sink
-from tesserae.sources import repository
+from tesserae.sources import repository, tree
 
 
 def test_files_leave_out_ignored_folders(spark, tmp_path):
@@ -44,3 +44,52 @@ def test_sinks(spark, tmp_path):
     sink.json_lines(s, str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).count() == 2
     assert (sink.exit_code(s), sink.exit_code(s.limit(0))) == (1, 0)
+
+
+@pytest.fixture
+def work(tmp_path):
+    files = {
+        "src/a.ts": "x", "src/deep/er/still/b.py": "é", ".github/workflows/ci.yml": "on: push", ".env": "A=1", "_private/x.ts": "u", "src/_base.ts": "", "node_modules/m/i.js": "no", "lib/package-lock.json": "{}",
+        "dist/o.js": "", "yarn.lock": "", ".claude/x.md": "", "packages/a/node_modules/z/i.js": "no", "a b/c%20d.ts": "odd", "README.md": "top",
+    }
+    for name, body in files.items():
+        (tmp_path / "repo" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "repo" / name).write_text(body)
+    (tmp_path / "repo/src/bin.ts").write_bytes(b"\xff\xfea\x00")
+    (tmp_path / "outside.ts").write_text("secret")
+    (tmp_path / "repo/link.ts").symlink_to(tmp_path / "outside.ts")
+    (tmp_path / "repo/loop").symlink_to(tmp_path / "repo")
+    return tmp_path / "repo"
+
+
+WANTED = {"src/a.ts", "src/deep/er/still/b.py", ".github/workflows/ci.yml", ".env", "_private/x.ts", "src/_base.ts", "a b/c%20d.ts", "README.md", "src/bin.ts"}
+
+
+@pytest.mark.parametrize("options", [{}, {"depth": 0}, {"depth": 9, "slices": 3}, {"depth": 1, "slices": 1}])
+def test_the_tree_lists_every_file(spark, work, options):
+    got = {r.path: (r.size, r.content) for r in tree.files(spark, str(work), **options).collect()}
+    assert set(got) == WANTED and tree.files(spark, f"file://{work}", **options).count() == len(WANTED)
+    assert got["src/deep/er/still/b.py"] == (2, "é") and got[".env"] == (3, "A=1") and got["src/bin.ts"][1] == "��a\x00" and got["src/_base.ts"] == (0, "")
+
+
+def test_the_tree_reads_what_it_may(spark, work):
+    assert {r.content for r in tree.files(spark, str(work), contents=False).collect()} == {None}
+    assert {r.path for r in tree.files(spark, str(work), most=2).where("content IS NULL").collect()} == {"src/bin.ts", ".github/workflows/ci.yml", ".env", "a b/c%20d.ts", "README.md"}
+    (work / "empty").mkdir()
+    assert tree.files(spark, str(work / "empty")).collect() == []
+    with pytest.raises(Exception, match="FileNotFoundError|nowhere"):
+        tree.files(spark, str(work / "nowhere")).collect()
+
+
+def test_slices_share_the_folders(work):
+    reader = tree.TreeReader({"path": str(work), "depth": "2", "slices": "4"})
+    slices = reader.partitions()
+    folders = [f for s in slices for f, _ in s.folders]
+    assert len(slices) == 4 and len(folders) == len(set(folders)) and not any("node_modules" in f or f.startswith((".git/", "dist", "loop")) for f in folders)
+
+
+def test_a_tree_feeds_a_scan(spark, work):
+    from tesserae.operators import rules
+
+    files = tree.files(spark, str(work))
+    assert {r.path for r in rules.sample(files, 50, files.selectExpr("path", "1 AS rank").limit(0), files.selectExpr("path", "1 AS rank").limit(0)).collect()} == WANTED
