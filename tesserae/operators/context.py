@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.paths import basename, dirname, is_test_for_tasks, stem
+from ..functions.paths import basename, dirname, is_source_for_tasks, is_test_for_tasks, stem
 from ..functions.text import ngrams, words
 from .graph import fan_in
 
+# Files that pass on what lies beside them.
+FACADES = ("__init__.py", "mod.rs", "index.ts", "index.js")
 # File names that say too little to be looked for in a text.
 GENERIC = ("index", "main", "utils", "types", "config", "constants", "helpers", "test", "mod", "lib", "app")
 
@@ -19,42 +23,56 @@ def _signal(df: DataFrame, stage: int, name: str, points: Column, gated: bool =
 
 
 def file_signals(primary: DataFrame, partners: DataFrame, edges: DataFrame, files: DataFrame) -> DataFrame:
-    """Signals of companions for primary (item).
+    """Signals of companions for primary (item). Tests are no companions.
 
     Co-change, linked siblings, imports, importers; and, only where those are silent, names that extend one another,
-    Go and Rust files of the same folder, and what a package's facade passes on beside the file.
+    Go and Rust files of the same folder, and what a facade that the file imports passes on from its own folder.
     """
     p = primary.select("item").distinct()
     e = edges.select("src", "dst").distinct()
-    plain = lambda c: ~is_test_for_tasks(F.col(c)) & ~F.col(c).endswith("__init__.py")
-    both = e.select(F.col("src").alias("item"), F.col("dst").alias("companion")).unionByName(e.select(F.col("dst").alias("item"), F.col("src").alias("companion"))).distinct()
-    one = _signal(partners.join(p, "item", "left_semi").withColumnRenamed("partner", "companion"), 1, "co-change", F.least(F.col("strength") * 0.8, F.lit(0.6)))
-    near = both.join(p, "item", "left_semi").where(dirname(F.col("item")) == dirname(F.col("companion")))
+    plain = lambda c: ~is_test_for_tasks(F.col(c)) & (basename(F.col(c)) != "__init__.py")
+    sibling = is_source_for_tasks(F.col("companion")) & ~is_test_for_tasks(F.col("companion"))
+    outward = e.select(F.col("src").alias("item"), F.col("dst").alias("companion")).join(p, "item", "left_semi")
+    inward = e.select(F.col("dst").alias("item"), F.col("src").alias("companion")).join(p, "item", "left_semi")
+    one = _signal(partners.join(p, "item", "left_semi").withColumnRenamed("partner", "companion").where(~is_test_for_tasks(F.col("companion"))), 1, "co-change", F.least(F.col("strength") * 0.8, F.lit(0.6)))
+    near = outward.unionByName(inward).distinct().where((dirname(F.col("item")) == dirname(F.col("companion"))) & sibling)
     two = _signal(near, 2, "linked sibling", F.lit(0.4))
-    out = e.select(F.col("src").alias("item"), F.col("dst").alias("companion")).join(p, "item", "left_semi").where(plain("companion"))
-    three = _signal(out, 3, "imports", F.lit(0.25))
+    three = _signal(outward.where(plain("companion")), 3, "imports", F.lit(0.25))
     wide = fan_in(edges).where("edges >= 5").select(F.col("node").alias("companion"), F.lit(0.1).alias("more"))
-    back = e.select(F.col("dst").alias("item"), F.col("src").alias("companion")).join(p, "item", "left_semi").where(plain("companion")).join(wide, "companion", "left")
-    four = _signal(back, 4, "imported by", F.lit(0.2) + F.coalesce("more", F.lit(0.0)))
-    five = _signal(prefix_pairs(p, files), 5, "name prefix", F.lit(0.4), gated=True)
-    packaged = lambda c: F.col(c).rlike(r"\.(go|rs)$")
-    a, b = p.where(packaged("item")).select("item", dirname(F.col("item")).alias("dir")), files.where(packaged("path")).select(F.col("path").alias("companion"), dirname(F.col("path")).alias("dir"))
-    six = _signal(a.join(b, "dir").where(plain("companion")), 6, "same folder", F.lit(0.35), gated=True)
-    facade = e.where(F.col("src").endswith("__init__.py") & (dirname(F.col("src")) == dirname(F.col("dst"))))
-    beside = facade.select("src", F.col("dst").alias("item")).join(p, "item", "left_semi").join(facade.select("src", F.col("dst").alias("companion")), "src")
+    four = _signal(inward.where(plain("companion")).join(wide, "companion", "left"), 4, "imported by", F.lit(0.2) + F.coalesce("more", F.lit(0.0)))
+    five = _signal(prefix_pairs(p, files).where(sibling), 5, "name prefix", F.lit(0.4), gated=True)
+    packaged = lambda c: F.lower(c).rlike(r"\.(go|rs)$")
+    a, b = p.where(packaged("item")).select("item", dirname(F.col("item")).alias("dir")), files.select(F.col("path").alias("companion"), dirname(F.col("path")).alias("dir"))
+    six = _signal(a.join(b, "dir").where(sibling), 6, "same folder", F.lit(0.35), gated=True)
+    facade = outward.where(basename(F.col("companion")).isin(*FACADES)).withColumnRenamed("companion", "front")
+    passed = e.where(basename(F.col("src")).isin(*FACADES) & (dirname(F.col("src")) == dirname(F.col("dst")))).select(F.col("src").alias("front"), F.col("dst").alias("companion"))
+    beside = facade.join(passed, "front").where(~is_test_for_tasks(F.col("companion")))
     seven = _signal(beside.select("item", "companion").distinct(), 7, "facade", F.lit(0.3), gated=True)
-    parts = one.unionByName(two).unionByName(three).unionByName(four).unionByName(five).unionByName(six).unionByName(seven)
-    return parts.where("item <> companion")
-
-
-def prefix_pairs(primary: DataFrame, files: DataFrame) -> DataFrame:
-    """(item, companion) in one folder whose names extend one another at a word boundary."""
-    a = primary.select("item", dirname(F.col("item")).alias("dir"), stem(F.col("item")).alias("x"))
-    b = files.select(F.col("path").alias("companion"), dirname(F.col("path")).alias("dir"), stem(F.col("path")).alias("y"))
-    rows = a.join(b, "dir").where("item <> companion")
-    short, long = F.when(F.length("x") <= F.length("y"), F.col("x")).otherwise(F.col("y")), F.when(F.length("x") <= F.length("y"), F.col("y")).otherwise(F.col("x"))
-    after = F.substr(long, F.length(short) + 1, F.lit(1))
-    return rows.where((F.length(short) >= 4) & F.startswith(long, short) & ((after == "_") | (after == F.upper(after)))).select("item", "companion")
+    return reduce(DataFrame.unionByName, [one, two, three, four, five, six, seven]).where("item <> companion")
+
+
+def _named(paths: DataFrame, path: str, name: str) -> DataFrame:
+    return paths.select(F.col(path).alias(name), dirname(F.col(path)).alias("dir"), stem(F.col(path)).alias("stem"))
+
+
+def _prefixes(named: DataFrame, least: int) -> DataFrame:
+    """named with a row for each prefix of its stem that ends at a boundary: before `_` or before what is its own capital."""
+    s = F.col("stem")
+    after = lambda n: F.substr(s, n + 1, F.lit(1))
+    ends = F.filter(F.sequence(F.lit(least), F.greatest(F.length(s), F.lit(least))), lambda n: (n <= F.length(s)) & ((after(n) == "_") | (after(n) == F.upper(after(n)))))
+    return named.withColumn("stem", F.explode(F.transform(ends, lambda n: F.substr(s, F.lit(1), n))))
+
+
+def prefix_pairs(primary: DataFrame, files: DataFrame, least: int = 4) -> DataFrame:
+    """(item, companion) in one folder whose names extend one another at a word boundary.
+
+    Names are cut into their prefixes, a few each, and meet other names by equality on (folder, name); files of a folder are
+    never paired with all others. Both ways round: the item's name is the longer one, or the companion's.
+    """
+    a, b = _named(primary.distinct(), "item", "item"), _named(files.select("path").distinct(), "path", "companion")
+    longer = _prefixes(a, least).join(b, ["dir", "stem"]).select("item", "companion")
+    shorter = a.join(_prefixes(b, least), ["dir", "stem"]).select("item", "companion")
+    return longer.unionByName(shorter).where("item <> companion").distinct()
 
 
 def keyword_files(tasks: DataFrame, files: DataFrame, stop: tuple[str, ...] = ()) -> DataFrame:

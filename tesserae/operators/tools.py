@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.paths import basename, dirname, is_source_for_tasks, stem
+from ..functions.paths import basename, dirname, is_source_for_tasks, is_test_for_tasks, stem
 from ..functions.text import snake_case, words
-from . import context, graph, report, vote
+from . import context, graph, report, vote, windows
 
 # Categories of conventions and of history.
 CONVENTIONS = (
@@ -168,20 +168,41 @@ def failures(runs: DataFrame) -> DataFrame:
 
 def asked(questions: DataFrame, question: str) -> DataFrame:
     """questions with each topic they touch and its points: two for a keyword as a word of its own, one within a word."""
-    keywords = {t: [w.replace("-", " ") for w in words_.split()] for t, (words_, _) in fixed.TOPICS.items()}
-    return report.topics(questions, question, keywords)
+    return report.topics(questions, question, {t: list(keywords) for t, (keywords, _) in fixed.TOPICS.items()})
 
 
 def answers(topics: DataFrame, findings: DataFrame, key: str, text: str) -> DataFrame:
     """(key, id, confidence): the findings of the categories of the topics touched, each once, surest first by order().
 
-    Dominant patterns answer only where they hold a word of the question. Without a topic, see fallback().
+    Dominant patterns answer only where they hold a keyword of a touched topic: each finding is told its topics once, so
+    that no question meets its text. Of findings (id, category, description, confidence) that say the same, the one of the
+    least id answers. Without a topic, see fallback().
     """
     table = topics.sparkSession.createDataFrame([(t, c) for t, (_, cs) in fixed.TOPICS.items() for c in cs], "topic string, category string")
-    rows = topics.select(key, text, "topic").join(F.broadcast(table), "topic").select(key, text, "category").distinct()  # some forty rows
-    rows = rows.join(findings.select("id", "category", "description", "confidence"), "category")
-    said = F.filter(words(F.col(text), stop=fixed.STOP_WORDS), lambda w: F.contains(F.lower("description"), w))
-    return rows.where((F.col("category") != "Dominant patterns") | (F.size(said) > 0)).select(key, "id", "confidence").distinct()
+    mine = topics.groupBy(key, text).agg(F.collect_set("topic").alias("mine"))  # sixteen at most
+    rows = mine.select(key, text, "mine", F.explode("mine").alias("topic")).join(F.broadcast(table), "topic").select(key, text, "mine", "category").distinct()  # some forty rows
+    said = F.lower("description")
+    told = F.filter(F.array(*(F.when(F.exists(F.array(*map(F.lit, keywords)), lambda w: F.contains(said, w)), F.lit(t)) for t, (keywords, _) in fixed.TOPICS.items())), lambda t: t.isNotNull())
+    unlike = findings.groupBy("description").agg(F.min_by(F.struct("id", "category", "confidence"), "id").alias("f")).select("description", "f.*")
+    rows = rows.join(unlike.select("id", "category", "confidence", told.alias("told")), "category")
+    return rows.where((F.col("category") != "Dominant patterns") | F.arrays_overlap("mine", "told")).select(key, "id", "confidence").distinct()
+
+
+def question_folders(topics: DataFrame, folders: DataFrame, key: str) -> DataFrame:
+    """(key, dir, purpose): the top-level folders (dir, purpose) whose names hold what folders of a touched topic are called."""
+    table = topics.sparkSession.createDataFrame([(t, n) for t, ns in fixed.TOPIC_FOLDERS.items() for n in ns], "topic string, part string")
+    named = F.explode(F.filter(F.array(*map(F.lit, sorted({n for ns in fixed.TOPIC_FOLDERS.values() for n in ns}))), lambda n: F.contains(F.lower("dir"), n))).alias("part")
+    held = folders.where("purpose IS NOT NULL").select("dir", "purpose", named)
+    return topics.select(key, "topic").join(F.broadcast(table), "topic").select(key, "part").distinct().join(held, "part").select(key, "dir", "purpose").distinct()
+
+
+def answer_confidence(topics: DataFrame, answered: DataFrame, questions: DataFrame, key: str) -> DataFrame:
+    """(key, confidence): high with a topic and two findings, medium with any finding, else low."""
+    touched = topics.select(key).distinct().withColumn("touched", F.lit(True))
+    n = answered.groupBy(key).agg(F.countDistinct("id").alias("n"))
+    rows = questions.select(key).distinct().join(touched, key, "left").join(n, key, "left")
+    sure = F.when(F.col("touched") & (F.col("n") >= 2), "high").when(F.col("n") > 0, "medium").otherwise("low")
+    return rows.select(key, sure.alias("confidence"))
 
 
 def fallback(questions: DataFrame, findings: DataFrame, key: str, text: str) -> DataFrame:
@@ -212,34 +233,41 @@ def name_relevant(task_words: Column, path: Column) -> Column:
 def analyse(tasks: DataFrame, files: DataFrame, edges: DataFrame, partners: DataFrame, least: float = 0.25, k: int = 5) -> DataFrame:
     """(task, companion, score, signals, rank): files that a task (task, text) is likely to need besides those it names.
 
-    Six signals: partners of named files, linked siblings, importers, imports (more if their name or folders fit the
-    text), files named by a phrase of the text, and what is two steps away (more if it fits).
+    For each file that the text names: partners in change; siblings linked by imports; importers, those of the same module (the
+    first three parts of a path) and those that many import counting more; imports, package markers counting least and those
+    whose name or folders fit the text most. Then files named by a phrase of the text, and what companions so far import in
+    their own folders. Points add up; tests are no companions. Ties go to what fits the text, then to what is no marker.
     """
     said = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: F.length(w) >= 3))
-    named = context.mentioned(tasks, files).join(tasks.select("task", said.alias("said")), "task").select("task", "said", F.col("path").alias("item"))
-    e = edges.select("src", "dst").distinct()
-    fits = lambda c: name_relevant(F.col("said"), F.col(c)).cast("int") + path_relevant(F.col("said"), F.col(c)).cast("int")
-    fan = graph.fan_in(edges).select(F.col("node").alias("companion"), (F.col("edges") >= 5).alias("wide"))
-
-    def signal(df: DataFrame, stage: int, name: str, points: Column) -> DataFrame:
-        return df.select("task", F.col("companion"), F.lit(stage).alias("stage"), F.lit(name).alias("signal"), points.alias("points"))
-
-    out = named.join(e.select(F.col("src").alias("item"), F.col("dst").alias("companion")), "item")
-    back = named.join(e.select(F.col("dst").alias("item"), F.col("src").alias("companion")), "item")
-    near = out.unionByName(back).where(dirname(F.col("item")) == dirname(F.col("companion"))).distinct()
-    parts = [
-        signal(named.join(partners.select("item", F.col("partner").alias("companion"), "strength"), "item"), 1, "co-change", F.least(F.col("strength") * 0.6, F.lit(0.5))),
+    words_of = tasks.select("task", said.alias("said"))
+    named = windows.cut(context.mentioned(tasks, files).select("task", F.col("path").alias("item")))
+    e = windows.cut(edges.select("src", "dst").distinct())
+    fits = name_relevant(F.col("said"), F.col("companion")) | path_relevant(F.col("said"), F.col("companion"))
+    marker = basename(F.col("companion")) == "__init__.py"
+    wide = graph.fan_in(edges).where("edges >= 5").select(F.col("node").alias("companion"), F.lit(0.1).alias("more"))
+    mine = named.select("task", F.col("item").alias("companion"))
+    allowed = lambda df: df.where(~is_test_for_tasks(F.col("companion"))).join(mine, ["task", "companion"], "left_anti")
+    module = lambda c: F.array_join(F.slice(F.split(c, "/"), 1, 3), "/")
+
+    def signal(df: DataFrame, stage: int, name: str, points: Column, fit: Column | None = None) -> DataFrame:
+        return df.select("task", "companion", F.lit(stage).alias("stage"), F.lit(name).alias("signal"), points.cast("double").alias("points"), (F.lit(False) if fit is None else fit).alias("fit"))
+
+    out = allowed(named.join(e.select(F.col("src").alias("item"), F.col("dst").alias("companion")), "item"))
+    back = allowed(named.join(e.select(F.col("dst").alias("item"), F.col("src").alias("companion")), "item"))
+    near = out.unionByName(back).where((dirname(F.col("item")) == dirname(F.col("companion"))) & is_source_for_tasks(F.col("companion")) & (F.col("item") != F.col("companion"))).distinct()
+    other = allowed(named.join(partners.select("item", F.col("partner").alias("companion"), "strength"), "item"))
+    spoken = context.keyword_files(tasks, files.where(is_source_for_tasks(F.col("path"))), tuple(fixed.STOP_WORDS)).withColumnRenamed("path", "companion")
+    first = windows.cut(reduce(DataFrame.unionByName, [
+        signal(other, 1, "co-change", F.least(F.col("strength") * 0.6, F.lit(0.5))),
         signal(near, 2, "linked sibling", F.lit(0.3)),
-        signal(back.join(fan, "companion", "left"), 3, "imported by", F.when(fits("companion") > 0, 0.2).otherwise(0.15) + F.when(F.coalesce("wide", F.lit(False)), 0.1).otherwise(0.0)),
-        signal(out, 4, "imports", F.when(fits("companion") > 1, 0.4).when(fits("companion") > 0, 0.2).otherwise(0.1)),
-        signal(context.keyword_files(tasks, files.where(is_source_for_tasks(F.col("path"))), tuple(fixed.STOP_WORDS)).withColumnRenamed("path", "companion"), 5, "keyword", F.lit(0.35)),
-    ]
-    two = out.select("task", "said", F.col("companion").alias("item")).distinct().join(e.select(F.col("src").alias("item"), F.col("dst").alias("companion")), "item").select("task", "said", "companion").distinct()
-    parts.append(signal(two, 6, "two steps", F.when(fits("companion") > 1, 0.25).when(fits("companion") > 0, 0.1).otherwise(0.05)))
-    # Of each signal the strongest counts once.
-    rows = reduce(DataFrame.unionByName, parts).groupBy("task", "companion", "stage", "signal").agg(F.max("points").alias("points"))
-    rows = rows.join(named.select("task", F.col("item").alias("companion")).distinct(), ["task", "companion"], "left_anti")
-    scored = rows.groupBy("task", "companion").agg(F.round(F.least(F.sum("points"), F.lit(1.0)), 6).alias("score"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("stage", "signal"))), lambda s: s["signal"]), ",").alias("signals"))
-    marker = F.col("companion").endswith("__init__.py")
-    rank = F.row_number().over(Window.partitionBy("task").orderBy(F.desc("score"), marker, "companion"))
-    return scored.where(F.col("score") >= least).withColumn("rank", rank).where(F.col("rank") <= k)
+        signal(back.join(wide, "companion", "left"), 3, "imported by", F.when(module(F.col("item")) == module(F.col("companion")), 0.2).otherwise(0.15) + F.coalesce("more", F.lit(0.0))),
+        signal(out.join(words_of, "task"), 4, "imports", F.when(marker, 0.1).when(fits, 0.4).otherwise(0.2), fits),
+        signal(allowed(spoken), 5, "keyword", F.lit(0.35), F.lit(True)),
+    ]))
+    via = first.select("task", F.col("companion").alias("via")).distinct()
+    two = allowed(via.join(e.select(F.col("src").alias("via"), F.col("dst").alias("companion")), "via").where(dirname(F.col("via")) == dirname(F.col("companion"))))
+    rows = first.unionByName(signal(two.join(words_of, "task"), 6, "two steps", F.when(marker, 0.05).when(fits, 0.25).otherwise(0.1)))
+    told = F.transform(F.array_sort(F.collect_set(F.struct("stage", "signal"))), lambda s: s["signal"])
+    scored = rows.groupBy("task", "companion").agg(F.round(F.least(F.sum("points"), F.lit(1.0)), 6).alias("score"), F.array_join(told, ",").alias("signals"), F.bool_or("fit").alias("fit"))
+    rank = F.row_number().over(Window.partitionBy("task").orderBy(F.desc("score"), F.desc("fit"), marker, "companion"))
+    return scored.where(F.col("score") >= least).withColumn("rank", rank).where(F.col("rank") <= k).drop("fit")

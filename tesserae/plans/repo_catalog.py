@@ -433,9 +433,8 @@ def mean_intervals(spark, d):
     return report.ci95(rows).select("user_id", "n", "half_width")
 
 
-def _topic_points(words_: str) -> str:
-    ws = [w.replace("-", " ") for w in words_.split()]
-    return " + ".join(f"CASE WHEN regexp_matches(t, '\\b{w}\\b') THEN 2 WHEN contains(t, '{w}') THEN 1 ELSE 0 END" for w in ws)
+def _topic_points(words_: tuple[str, ...]) -> str:
+    return " + ".join(f"CASE WHEN regexp_matches(t, '\\b{w}\\b') THEN 2 WHEN contains(t, '{w}') THEN 1 ELSE 0 END" for w in words_)
 
 
 ASKED = "topics AS MATERIALIZED (WITH q AS (SELECT conv_id, turn, text, lower(coalesce(text, '')) AS t FROM conversations WHERE role = 'user') " + " UNION ALL ".join(f"SELECT conv_id, turn, text, '{n}' AS topic, {_topic_points(w)} AS points FROM q WHERE {_topic_points(w)} > 0" for n, (w, _) in fixed.TOPICS.items()) + ")"
@@ -449,13 +448,15 @@ def question_topics(spark, d):
 
 
 _CATEGORIES = ", ".join(f"('{t}', '{c}')" for t, (_, cs) in fixed.TOPICS.items() for c in cs)
+_KEYWORDS = ", ".join(f"('{t}', '{w}')" for t, (ws, _) in fixed.TOPICS.items() for w in ws)
 STOP = ", ".join(f"'{w}'" for w in fixed.STOP_WORDS)
 
 
 @query(f"""WITH {ASKED}, {FINDINGS}, m(topic, category) AS (VALUES {_CATEGORIES}),
 a AS (SELECT DISTINCT conv_id, text, category FROM topics JOIN m USING (topic)),
-w AS (SELECT *, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 3 AND x NOT IN ({STOP})) AS w FROM a),
-hit AS (SELECT DISTINCT conv_id, f.category, f.id FROM w JOIN f ON w.category = f.category WHERE f.category <> 'Dominant patterns' OR len(list_filter(w.w, lambda x: contains(lower(f.description), x))) > 0)
+k(topic, keyword) AS (VALUES {_KEYWORDS}), u AS (SELECT description, arg_min(f, id) AS f FROM f GROUP BY 1),
+hit AS (SELECT DISTINCT a.conv_id, u.f.id AS id FROM a JOIN u ON a.category = u.f.category
+  WHERE a.category <> 'Dominant patterns' OR EXISTS (SELECT 1 FROM topics t JOIN k USING (topic) WHERE t.conv_id = a.conv_id AND t.text = a.text AND contains(lower(u.description), k.keyword)))
 SELECT conv_id, count(*) AS n FROM hit GROUP BY 1""")
 def topic_answers(spark, d):
     """How many findings answer the questions of each conversation."""
@@ -520,21 +521,26 @@ g AS (SELECT task, {_WORDS.format("lower(text)", 3, f" AND x NOT IN ({STOP})")}
 p AS (SELECT task, unnest([v[i] || '_' || v[i + 1] || '_' || v[i + 2] FOR i IN range(1, len(v) - 1)] || [v[i] || '_' || v[i + 1] FOR i IN range(1, len(v))]) AS phrase FROM g),
 m AS (SELECT path, {_WORDS.format(r"lower(regexp_replace(stem, '([a-z])([A-Z])', '\1_\2', 'g'))", 1, "")} AS v FROM a WHERE regexp_matches(lower(path), '\.(ts|tsx|js|jsx|py|go|rs|rb|java|swift|kt)$')),
 k AS (SELECT path, unnest([v[i] || '_' || v[i + 1] || '_' || v[i + 2] FOR i IN range(1, len(v) - 1)] || [v[i] || '_' || v[i + 1] FOR i IN range(1, len(v))]) AS phrase FROM m),
-raw AS (SELECT task, c, 1 AS stage, 'co-change' AS signal FROM outward UNION ALL SELECT task, c, 2, 'linked sibling' FROM (FROM outward UNION ALL FROM inward) WHERE regexp_replace(item, '/[^/]*$', '') = regexp_replace(c, '/[^/]*$', '')
-  UNION ALL SELECT task, c, 3, 'imported by' FROM inward UNION ALL SELECT task, c, 4, 'imports' FROM outward UNION ALL SELECT task, path, 5, 'keyword' FROM p JOIN k USING (phrase)
-  UNION ALL SELECT task, e.dst, 6, 'two steps' FROM outward JOIN e ON c = e.src),
-d AS (SELECT DISTINCT * FROM raw WHERE (task, c) NOT IN (SELECT (task, item) FROM named)),
-f AS (SELECT d.*, c IN (SELECT dst FROM wide) AS wide, {FITS} AS fits FROM d JOIN w USING (task) JOIN o ON o.path = c),
-q AS (SELECT task, c, stage, signal, CASE stage WHEN 1 THEN 0.3 WHEN 2 THEN 0.3 WHEN 3 THEN CASE WHEN fits > 0 THEN 0.2 ELSE 0.15 END + CASE WHEN wide THEN 0.1 ELSE 0 END WHEN 4 THEN CASE WHEN fits > 1 THEN 0.4 WHEN fits > 0 THEN 0.2 ELSE 0.1 END
-  WHEN 5 THEN 0.35 ELSE CASE WHEN fits > 1 THEN 0.25 WHEN fits > 0 THEN 0.1 ELSE 0.05 END END::DOUBLE AS points FROM f),
-s AS (SELECT task, c AS companion, round(least(sum(points), 1.0), 6)::DOUBLE AS score, string_agg(signal, ',' ORDER BY stage) AS signals FROM q GROUP BY ALL)
-SELECT *, CAST(row_number() OVER (PARTITION BY task ORDER BY score DESC, companion LIKE '%\_\_init\_\_.py' ESCAPE '\', companion) AS INTEGER) AS rank FROM s WHERE score >= 0.25 QUALIFY rank <= 5""")
+ok AS (SELECT path, dir FROM a WHERE NOT ({FILE_KINDS["task_test"][1]})),
+one AS MATERIALIZED (SELECT * FROM (SELECT task, item, c, 1 AS stage, 'co-change' AS signal FROM outward
+  UNION ALL SELECT DISTINCT task, item, c, 2, 'linked sibling' FROM (FROM outward UNION ALL FROM inward) WHERE item <> c AND regexp_replace(item, '/[^/]*$', '') = regexp_replace(c, '/[^/]*$', '')
+  UNION ALL SELECT task, item, c, 3, 'imported by' FROM inward UNION ALL SELECT task, item, c, 4, 'imports' FROM outward UNION ALL SELECT DISTINCT task, '', path, 5, 'keyword' FROM p JOIN k USING (phrase))
+  WHERE c IN (SELECT path FROM ok) AND (task, c) NOT IN (SELECT (task, item) FROM named)),
+two AS (SELECT v.task, via AS item, e.dst AS c, 6 AS stage, 'two steps' AS signal FROM (SELECT DISTINCT task, c AS via FROM one) v JOIN e ON via = e.src JOIN ok x ON x.path = via JOIN ok y ON y.path = e.dst
+  WHERE x.dir = y.dir AND (v.task, e.dst) NOT IN (SELECT (task, item) FROM named)),
+f AS (SELECT d.*, c IN (SELECT dst FROM wide) AS wide, {FITS} > 0 AS fits FROM (FROM one UNION ALL FROM two) d JOIN w USING (task) JOIN o ON o.path = c),
+q AS (SELECT task, c, stage, signal, stage = 4 AND fits OR stage = 5 AS fit, CASE stage WHEN 1 THEN 0.3 WHEN 2 THEN 0.3
+  WHEN 3 THEN CASE WHEN string_split(item, '/')[1:3] = string_split(c, '/')[1:3] THEN 0.2 ELSE 0.15 END + CASE WHEN wide THEN 0.1 ELSE 0 END
+  WHEN 4 THEN CASE WHEN c LIKE '%/\_\_init\_\_.py' ESCAPE '\' THEN 0.1 WHEN fits THEN 0.4 ELSE 0.2 END WHEN 5 THEN 0.35 ELSE CASE WHEN c LIKE '%/\_\_init\_\_.py' ESCAPE '\' THEN 0.05 WHEN fits THEN 0.25 ELSE 0.1 END END::DOUBLE AS points FROM f),
+s AS (SELECT task, c AS companion, round(least(sum(points), 1.0), 6)::DOUBLE AS score, array_to_string(list_transform(list_sort(list_distinct(list(stage || signal))), lambda x: x[2:]), ',') AS signals, bool_or(fit) AS fit FROM q GROUP BY ALL)
+SELECT * EXCLUDE (fit), CAST(row_number() OVER (PARTITION BY task ORDER BY score DESC, fit DESC, companion LIKE '%\_\_init\_\_.py' ESCAPE '\', companion) AS INTEGER) AS rank FROM s WHERE score >= 0.25 QUALIFY rank <= 5""")
 def task_companions(spark, d):
     """What each task is likely to touch besides the files that it names, by six signals."""
-    e = script_edges(spark, d)
+    files = windows.cut(repo.files(spark, d))
+    e = windows.cut(resolve.script(files.where(F.col("path").rlike(r"\.(tsx?|jsx?)$")).select(F.col("path").alias("src"), F.explode(extract.script_imports(F.col("content"))).alias("spec")), files))
     tasks = table(spark, d, "orders").selectExpr("o_orderkey AS task", f"{TASK} AS text")
     pairs = e.select(F.col("src").alias("item"), F.col("dst").alias("partner"), F.lit(0.5).alias("strength"))
-    return tools.analyse(tasks, repo.files(spark, d), e, pairs)
+    return tools.analyse(tasks, files, e, pairs)
 
 
 @query(rf"""WITH {FILES} SELECT path FROM files WHERE regexp_matches(path, '\.generated\.|\.gen\.|__generated__|codegen') OR regexp_matches(substr(content, 1, 500), '@generated') OR regexp_matches(substr(content, 1, 500), '(?i)do not edit|auto-generated|this file is generated|generated by')""")

@@ -177,7 +177,69 @@ def test_analysis_of_a_task(spark):
     partners = spark.createDataFrame([("src/core/login.ts", "src/ui/loginForm.ts", 0.7)], "item string, partner string, strength double")
     tasks = spark.createDataFrame([(1, "Mend src/core/login.ts and the user guide"), (2, "nothing")], "task int, text string")
     got = {r.companion: (r.score, r.signals, r.rank) for r in tools.analyse(tasks, tree(spark, *names), edges, partners).collect()}
-    assert got == {"src/core/store.ts": (0.4, "linked sibling,imports", 2), "src/ui/loginForm.ts": (0.42, "co-change", 1), "deep/galaxy/collection/user_guide.py": (0.35, "keyword", 3)}
+    assert got == {"src/core/store.ts": (0.5, "linked sibling,imports", 1), "src/ui/loginForm.ts": (0.42, "co-change", 2), "deep/galaxy/collection/user_guide.py": (0.35, "keyword", 3)}
+
+
+def test_tasks_weigh_importers_imports_and_neighbours(spark):
+    """Points add up over named files; tests never come in; relevance, markers and modules decide the weights."""
+    names = ["lib/galaxy/api/proxy.py", "lib/galaxy/api/__init__.py", "lib/galaxy/api/token.py", "lib/galaxy/api/test_proxy.py", "lib/galaxy/other.py", "lib/net/http.py", "lib/net/pool.py", "web/page.py", "lib/galaxy/collection/meta.py"]
+    e = [("lib/galaxy/api/proxy.py", "lib/net/http.py"), ("lib/galaxy/api/proxy.py", "lib/galaxy/api/__init__.py"), ("lib/galaxy/api/__init__.py", "lib/galaxy/api/token.py"), ("lib/net/http.py", "lib/net/pool.py"), ("web/page.py", "lib/galaxy/api/proxy.py"),
+         ("lib/galaxy/api/test_proxy.py", "lib/galaxy/api/proxy.py"), ("lib/galaxy/api/proxy.py", "lib/galaxy/collection/meta.py"), ("lib/galaxy/other.py", "lib/galaxy/api/proxy.py")]
+    edges = spark.createDataFrame(e + [(f"x{k}.py", "web/page.py") for k in range(5)], "src string, dst string")
+    partners = spark.createDataFrame([("lib/galaxy/api/proxy.py", "lib/galaxy/api/test_proxy.py", 0.9)], "item string, partner string, strength double")
+    tasks = spark.createDataFrame([(1, "Galaxy collection: mend lib/galaxy/api/proxy.py")], "task int, text string")
+    got = {r.companion: (r.score, r.signals) for r in tools.analyse(tasks, tree(spark, *names), edges, partners, least=0.0, k=99).collect()}
+    assert got == {
+        "lib/galaxy/api/__init__.py": (0.4, "linked sibling,imports"), "lib/net/http.py": (0.2, "imports"), "lib/galaxy/collection/meta.py": (0.4, "imports"), "web/page.py": (0.25, "imported by"), "lib/galaxy/other.py": (0.15, "imported by"),
+        "lib/galaxy/api/token.py": (0.1, "two steps"), "lib/net/pool.py": (0.1, "two steps"),
+    }
+    first = tools.analyse(tasks, tree(spark, *names), edges, partners).collect()
+    assert [r.companion for r in sorted(first, key=lambda r: r.rank)] == ["lib/galaxy/collection/meta.py", "lib/galaxy/api/__init__.py", "web/page.py"], "what fits the task goes first among equals"
+
+
+def test_what_a_facade_passes_on(spark):
+    names = ["a/main.py", "b/__init__.py", "b/impl.py", "b/test_impl.py", "c/index.ts", "c/part.ts", "a/page.ts", "b/far.py"]
+    e = [("a/main.py", "b/__init__.py"), ("b/__init__.py", "b/impl.py"), ("b/__init__.py", "b/test_impl.py"), ("b/__init__.py", "a/main.py"), ("a/page.ts", "c/index.ts"), ("c/index.ts", "c/part.ts"), ("b/impl.py", "b/far.py")]
+    from tesserae.operators import changes, context
+
+    none = spark.createDataFrame([], "item string, partner string, strength double")
+    signals = context.file_signals(spark.createDataFrame([("a/main.py",), ("a/page.ts",)], "item string"), none, spark.createDataFrame(e, "src string, dst string"), tree(spark, *names))
+    got = {(r.item, r.companion): (r.score, r.signals) for r in changes.companions(signals, least=0.0).collect()}
+    assert got == {("a/main.py", "b/impl.py"): (0.3, "facade"), ("a/page.ts", "c/part.ts"): (0.3, "facade"), ("a/page.ts", "c/index.ts"): (0.25, "imports")}
+    tests = spark.createDataFrame([("a/main.py", "b/test_impl.py", 0.9), ("a/main.py", "b/far.py", 0.5)], "item string, partner string, strength double")
+    near = context.file_signals(spark.createDataFrame([("a/main.py",)], "item string"), tests, spark.createDataFrame([], "src string, dst string"), tree(spark, *names))
+    assert {r.companion for r in changes.companions(near).collect()} == {"b/far.py"}
+
+
+def test_names_that_extend_one_another(spark):
+    """As a comparison of all names of a folder would find them, but by equality of prefixes."""
+    from tesserae.operators import context
+
+    stems = ["node", "node_plan", "nodePlan", "nodeplan", "node2", "node-x", "node_plan_instance", "nod", "nod_e", "Node", "plan", "node_", "üblich", "üblich_x"]
+    names = [f"{d}/{s}.{x}" for d in ("a", "b/c") for s in stems for x in ("go", "ts")] + ["node.go", "node_top.go"]
+    got = {(r.item, r.companion) for r in context.prefix_pairs(spark.createDataFrame([(n,) for n in names], "item string"), tree(spark, *names)).collect()}
+
+    def fits(x, y):
+        (dx, _, nx), (dy, _, ny) = x.rpartition("/"), y.rpartition("/")
+        short, long = sorted((nx.rsplit(".", 1)[0], ny.rsplit(".", 1)[0]), key=len)
+        after = long[len(short) : len(short) + 1]
+        return x != y and dx == dy and len(short) >= 4 and long.startswith(short) and (after == "_" or after == after.upper())
+
+    assert got == {(x, y) for x in names for y in names if fits(x, y)}
+    plan = context.prefix_pairs(spark.createDataFrame([(n,) for n in names], "item string"), tree(spark, *names))._jdf.queryExecution().optimizedPlan().toString()
+    assert all("stem" in line for line in plan.splitlines() if "Join" in line)
+
+
+def test_questions_have_folders_and_confidence(spark):
+    q = spark.createDataFrame([(1, "Where do route tests live?"), (2, "zebra"), (3, "how is auth done?"), (4, "zebra stripes")], "k int, text string")
+    topics = tools.asked(q, "text")
+    folders = spark.createDataFrame([("tests", "Tests"), ("api", "API routes or endpoints"), ("src", "Source code"), ("routes", None)], "dir string, purpose string")
+    assert rows(tools.question_folders(topics, folders, "k")) == [(1, "api", "API routes or endpoints"), (1, "tests", "Tests")]
+    f = spark.createDataFrame([(1, "Testing", "apart", "high"), (2, "Testing", "apart", "low"), (3, "Dominant patterns", "routes by x", "high"), (4, "Dominant patterns", "zebra", "low")], "id int, category string, description string, confidence string")
+    found = tools.answers(topics, f, "k", "text")
+    assert rows(found) == [(1, 1, "high"), (1, 3, "high")], "patterns answer by the keywords of topics; what says the same answers once"
+    more = found.unionByName(tools.fallback(q.where("k = 4"), f, "k", "text"))
+    assert rows(tools.answer_confidence(topics, more, q, "k")) == [(1, "high"), (2, "low"), (3, "low"), (4, "medium")]
 
 
 def test_silent_signals(spark):
@@ -187,7 +249,7 @@ def test_silent_signals(spark):
     from tesserae.operators import changes, context
 
     signals = context.file_signals(spark.createDataFrame([("svc/a.go",), ("pkg/x.py",)], "item string"), none, edges, tree(spark, *names))
-    assert {(r.item, r.companion, r.score, r.signals) for r in changes.companions(signals).collect()} == {("svc/a.go", "svc/b.go", 0.35, "same folder"), ("pkg/x.py", "pkg/y.py", 0.3, "facade"), ("pkg/x.py", "pkg/__init__.py", 0.4, "linked sibling")}
+    assert {(r.item, r.companion, r.score, r.signals) for r in changes.companions(signals).collect()} == {("svc/a.go", "svc/b.go", 0.35, "same folder"), ("pkg/x.py", "pkg/__init__.py", 0.4, "linked sibling")}
 
 
 def test_stacks_and_commands(spark):

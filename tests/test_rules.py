@@ -69,7 +69,7 @@ def test_signals_rank_companions(spark, tree):
     partners = spark.createDataFrame([("src/auth/login.ts", "src/index.ts", 0.5)], "item string, partner string, strength double")
     signals = context.file_signals(spark.createDataFrame([("src/auth/login.ts",)], "item string"), partners, edges, tree)
     got = {r.companion: (r.score, r.signals) for r in changes.companions(signals).collect()}
-    assert got == {"src/auth/token_store.ts": (0.65, "linked sibling,imports"), "src/index.ts": (0.6, "co-change,imported by"), "src/auth/login.test.ts": (0.4, "linked sibling"), "src/auth/loginForm.ts": (0.4, "name prefix")}
+    assert got == {"src/auth/token_store.ts": (0.65, "linked sibling,imports"), "src/index.ts": (0.6, "co-change,imported by"), "src/auth/loginForm.ts": (0.4, "name prefix")}
 
 
 def test_tasks_find_files(spark, tree):
