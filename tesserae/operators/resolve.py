@@ -54,14 +54,30 @@ def python(edges: DataFrame, files: DataFrame) -> DataFrame:
     return first_existing(edges, F.when(rest == "", F.array(under(base, F.lit("__init__.py")))).otherwise(F.array(*names)), files)
 
 
-def go(edges: DataFrame, files: DataFrame, module: str) -> DataFrame:
-    """Go: a package is a folder of the module; its file of the folder's own name stands for it, else the first by name."""
+def go_modules(files: DataFrame) -> DataFrame:
+    """(module, root): the modules that files (path, content) named go.mod declare, and their folders, "" at the top."""
+    rows = files.where(basename(F.col("path")) == "go.mod").select(F.regexp_extract("content", r"(?m)^module\s+(\S+)", 1).alias("module"), F.array_join(parts_of(F.col("path")), "/").alias("root"))
+    return rows.where("module <> ''").groupBy("module").agg(F.min("root").alias("root"))
+
+
+def go(edges: DataFrame, files: DataFrame, modules: DataFrame | str) -> DataFrame:
+    """Go: a package is a folder of a module; its file of the folder's own name stands for it, else the first by name.
+
+    modules (module, root), or the name of one at the top. A specifier belongs to the module with the longest name that begins it
+    at a slash: it is cut into its beginnings, these meet modules by equality, and the longest wins.
+    """
+    if isinstance(modules, str):
+        modules = edges.sparkSession.createDataFrame([(modules, "")], "module string, root string")
     packages = files.where(F.col("path").endswith(".go") & ~F.col("path").endswith("_test.go")).select("path", F.array_join(parts_of(F.col("path")), "/").alias("dir"))
     named = basename(F.col("path")) != F.concat(basename(F.col("dir")), F.lit(".go"))
     best = packages.groupBy("dir").agg(F.min(F.struct(named, "path")).alias("r")).select("dir", F.col("r.path").alias("dst"))
-    rows = edges.select("src", "spec").distinct().where(F.startswith(F.col("spec"), F.lit(module)))
-    rows = rows.withColumn("dir", F.regexp_replace(F.substring(F.col("spec"), len(module) + 1, 1_000_000), "^/", ""))
-    return rows.join(best, "dir").select("src", "spec", "dst")
+    parts = F.split("spec", "/")
+    begun = F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(n.alias("n"), F.array_join(F.slice(parts, F.lit(1), n), "/").alias("module"), F.slice(parts, n + 1, F.size(parts)).alias("rest")))).alias("b")
+    rows = edges.select("src", "spec").distinct()
+    specs = rows.select("spec").distinct().select("spec", begun).select("spec", "b.*").join(modules, "module")
+    owned = specs.groupBy("spec").agg(F.max_by(F.struct("root", "rest"), "n").alias("o"))
+    dirs = owned.select("spec", F.array_join(F.concat(F.filter(F.array("o.root"), lambda r: r != ""), "o.rest"), "/").alias("dir"))
+    return rows.join(dirs.join(best, "dir"), "spec").select("src", "spec", "dst")
 
 
 def rust(edges: DataFrame, files: DataFrame, depth: int = 10) -> DataFrame:

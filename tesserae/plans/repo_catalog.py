@@ -78,6 +78,22 @@ def resolve_go(spark, d):
     return resolve.go(specs(spark, d, r"\.go$", extract.go_imports), repo.files(spark, d), "example.org/m")
 
 
+#: Each area's folder holds the module that is named after the next one; the rest belongs to the module at the top.
+NEXT_AREA = "CASE split_part(path, '/', 2) WHEN 'app' THEN 'auth' WHEN 'auth' THEN 'db' WHEN 'db' THEN 'locales' WHEN 'locales' THEN 'core' ELSE 'app' END"
+
+
+@query(rf"""WITH {SPECS}, m AS (SELECT DISTINCT 'example.org/m/svc/' || {NEXT_AREA} AS module, 'svc/' || split_part(path, '/', 2) AS root FROM files WHERE path LIKE 'svc/%.go' UNION SELECT 'example.org/m', ''),
+o AS (SELECT DISTINCT spec, module, root FROM go JOIN m ON spec = module OR starts_with(spec, module || '/') QUALIFY row_number() OVER (PARTITION BY spec ORDER BY length(module) DESC) = 1),
+g AS (SELECT regexp_replace(path, '/[^/]*$', '') AS dir, arg_min(path, (split_part(path, '/', -1) <> split_part(regexp_replace(path, '/[^/]*$', ''), '/', -1) || '.go')::INT || path) AS dst
+      FROM files WHERE path LIKE '%.go' AND path NOT LIKE '%\_test.go' ESCAPE '\' GROUP BY 1)
+SELECT DISTINCT src, go.spec, dst FROM go JOIN o ON go.spec = o.spec JOIN g ON dir = ltrim(root || substr(o.spec, length(module) + 1), '/')""")
+def resolve_go_nested(spark, d):
+    """Imports of Go where modules lie within modules: the longest name that begins a specifier owns it."""
+    top = spark.createDataFrame([("go.mod", "module example.org/m\n")], "path string, content string")
+    inner = only(spark, d, r"^svc/.*\.go$").selectExpr("'svc/' || split_part(path, '/', 2) || '/go.mod' AS path", f"'module example.org/m/svc/' || {NEXT_AREA} || chr(10) AS content").distinct()
+    return resolve.go(specs(spark, d, r"\.go$", extract.go_imports), repo.files(spark, d), resolve.go_modules(inner.unionByName(top)))
+
+
 @query(rf"""WITH {SPECS}, r AS (SELECT DISTINCT src, spec, array_to_string({DIR}, '/') AS dir FROM rust),
 m AS (SELECT src, spec, [dir || '/' || spec[6:] || '.rs', dir || '/' || spec[6:] || '/mod.rs'] AS names FROM r WHERE starts_with(spec, 'mod::')
       UNION ALL SELECT src, spec, [concat_ws('/', nullif(regexp_replace(dir, '(^|/)[^/]*$', ''), ''), split_part(spec, '::', 2) || '.rs'), concat_ws('/', nullif(regexp_replace(dir, '(^|/)[^/]*$', ''), ''), split_part(spec, '::', 2), 'mod.rs')]
@@ -182,10 +198,10 @@ def path_aliases(spark, d):
     return patterns.path_aliases(table(spark, d, "customer").select(config.alias("content")))
 
 
-@query("SELECT s_suppkey, 'example.org/' || s_name AS module FROM supplier WHERE NOT contains(s_name, ' ')")
+@query("SELECT s_suppkey, 'example.org/' || split_part(s_name, ' ', 1) AS module FROM supplier")
 def go_modules(spark, d):
     content = F.concat(F.lit("// a module\nmodule example.org/"), "s_name", F.lit("\n\ngo 1.22\n"))
-    return table(spark, d, "supplier").where(~F.contains("s_name", F.lit(" "))).select("s_suppkey", patterns.go_module(content).alias("module"))
+    return table(spark, d, "supplier").select("s_suppkey", patterns.go_module(content).alias("module"))
 
 
 COMMITS = f"c AS MATERIALIZED ({repo.COMMITS_SQL})"

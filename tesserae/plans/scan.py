@@ -14,7 +14,7 @@ LANGUAGES = {"script": (r"\.(tsx?|jsx?)$", extract.script_imports, resolve.scrip
 
 
 def import_edges(files: DataFrame, module: str | None = None) -> DataFrame:
-    """(src, dst) of all imports between files (path, content); Go's need the name of the module."""
+    """(src, dst) of all imports between files (path, content); the modules of Go are those that files declare, or the one named."""
     sources = files.where(rules.is_graph_source(F.col("path")))
 
     def specs(pattern: str, found) -> DataFrame:
@@ -24,9 +24,7 @@ def import_edges(files: DataFrame, module: str | None = None) -> DataFrame:
     for pattern, found, to in LANGUAGES.values():
         part = to(specs(pattern, found), sources).select("src", "dst")
         out = part if out is None else out.unionByName(part)
-    if module:
-        out = out.unionByName(resolve.go(specs(r"\.go$", extract.go_imports), sources, module).select("src", "dst"))
-    return out
+    return out.unionByName(resolve.go(specs(r"\.go$", extract.go_imports), sources, module or resolve.go_modules(files)).select("src", "dst"))
 
 
 def project(files: DataFrame, commits: DataFrame, commit_files: DataFrame, module: str | None = None, mode: str | None = None, shallow: bool = False) -> dict[str, DataFrame]:

@@ -331,3 +331,12 @@ def test_the_newest_commits_prune_partitions(spark, tmp_path):
     assert "dynamicpruning" in plan.lower()
     assert rows(history.churn(table, commits=40, parts=["month"])) == rows(history.churn(table, commits=40))
     assert sum(r.n for r in history.churn(table, commits=40).collect()) == 40 and timewin.newest(table.limit(0), 5).collect() == []
+
+
+def test_nested_go_modules(spark):
+    """The longest module that begins a specifier at a slash owns it."""
+    f = files(spark, **{"go.mod": "module ex.org/m", "a/x.go": "", "sub/go.mod": "// c\nmodule ex.org/m/sub\n", "sub/deep/deep.go": "", "sub/deep/a.go": "", "sub/y.go": "", "elsewhere/go.mod": "module ex.org/m/a/far", "elsewhere/z.go": "", "subway/w.go": "", "bad/go.mod": "nothing"})
+    assert rows(resolve.go_modules(f)) == [("ex.org/m", ""), ("ex.org/m/a/far", "elsewhere"), ("ex.org/m/sub", "sub")]
+    specs = [("a/x.go", s) for s in ("ex.org/m/sub/deep", "ex.org/m/sub", "ex.org/m/a", "ex.org/m/a/far", "ex.org/m/subway", "ex.org/mother/a", "fmt", "ex.org/m/none", "ex.org/m")]
+    got = resolve.go(spark.createDataFrame(specs, "src string, spec string"), f, resolve.go_modules(f))
+    assert {(r.spec, r.dst) for r in got.collect()} == {("ex.org/m/sub/deep", "sub/deep/deep.go"), ("ex.org/m/sub", "sub/y.go"), ("ex.org/m/a", "a/x.go"), ("ex.org/m/a/far", "elsewhere/z.go"), ("ex.org/m/subway", "subway/w.go")}
