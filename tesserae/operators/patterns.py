@@ -9,25 +9,34 @@ from ..functions import fixed, paths, text
 from . import vote
 
 
-def hits(files: DataFrame, family: str | None = None) -> DataFrame:
-    """(family, name, path): the patterns that each file (path, content) shows, comments left out; one scan for all.
+def shown(path: Column, body: Column, family: str | None = None) -> Column:
+    """The (family, name) of the patterns that a text without comments shows, as an array; none where body is null.
 
     Files vote only in the sets of paths.is_voted and is_read_for_tests. A text meets one alternation a family first, and the
-    patterns one by one only where that holds; files without a match leave no row.
+    patterns one by one only where that holds.
     """
-    p, c = F.col("path"), F.col("content")
     rules: dict[str, list[tuple[str, str, str]]] = {}
     for f, name, regex, scope in fixed.PATTERNS:
         if family in (None, f):
             rules.setdefault(f, []).append((name, regex, scope))
-    rows = files.select("path", F.when(paths.is_voted(p) | paths.is_read_for_tests(p), text.strip_comments(F.coalesce(c, F.lit("")))).alias("content"))
     none = F.array().cast("array<struct<family:string,name:string>>")
     found = []
     for f, of in rules.items():
-        each = F.array(*(F.when(c.rlike(regex) & (p.rlike(scope) if scope else F.lit(True)), F.struct(F.lit(f).alias("family"), F.lit(name).alias("name"))) for name, regex, scope in of))
-        read = paths.is_read_for_tests(p) if f == "test" else paths.is_voted(p)
-        found.append(F.when(read & c.rlike("|".join(f"(?:{regex})" for _, regex, _ in of)), F.filter(each, lambda x: x.isNotNull())).otherwise(none))
-    return rows.select("path", F.explode(F.concat(*found)).alias("v")).select("v.*", "path")
+        each = F.array(*(F.when(body.rlike(regex) & (path.rlike(scope) if scope else F.lit(True)), F.struct(F.lit(f).alias("family"), F.lit(name).alias("name"))) for name, regex, scope in of))
+        read = paths.is_read_for_tests(path) if f == "test" else paths.is_voted(path)
+        found.append(F.when(read & body.rlike("|".join(f"(?:{regex})" for _, regex, _ in of)), F.filter(each, lambda x: x.isNotNull())).otherwise(none))
+    return F.concat(*found)
+
+
+def body(path: Column, content: Column) -> Column:
+    """The text that votes: without comments; null for files that have no vote. Give it a projection of its own before shown()."""
+    return F.when(paths.is_voted(path) | paths.is_read_for_tests(path), text.strip_comments(F.coalesce(content, F.lit(""))))
+
+
+def hits(files: DataFrame, family: str | None = None) -> DataFrame:
+    """(family, name, path): the patterns that each file (path, content) shows; one scan for all, and no row without a match."""
+    rows = files.select("path", body(F.col("path"), F.col("content")).alias("body"))
+    return rows.select("path", F.explode(shown(F.col("path"), F.col("body"), family)).alias("v")).select("v.*", "path")
 
 
 def tally(files: DataFrame, family: str | None = None) -> DataFrame:
