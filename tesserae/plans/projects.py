@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import configs
+from ..functions import fixed
+from ..operators import configs, formats
 from ..operators.windows import cut
 from .catalog import query, table
 
@@ -126,3 +127,38 @@ def project_modes(spark, d):
 def framework_counts(spark, d):
     """How many projects use each framework."""
     return project_frameworks(spark, d).groupBy("framework").agg(F.count(F.lit(1)).alias("projects"))
+
+
+LIMIT = 110
+_critical = "|".join(w.replace(".", r"\.") for w in fixed.CRITICAL_WORDS).replace("'", "''")
+_layout = ", ".join(f"('{s.format}', {k}, '{s.key}', '{s.header}', {s.priority if s.priority is not None else fixed.PRIORITIES[s.key][1]}, '{s.style}')" for k, s in enumerate(x for x in formats.LAYOUT if x.told))
+
+
+@query(f"""WITH {BASE}, told AS ({_rules()}),
+i AS MATERIALIZED (SELECT project, CASE confidence WHEN 'high' THEN CASE WHEN category IN ({", ".join(f"'{c}'" for c in fixed.CRITICAL_CATEGORIES)}) OR regexp_matches(lower(description), '{_critical}') THEN 'critical' ELSE 'conventions' END ELSE 'supplementary' END AS key,
+   category AS name, description AS text, category || chr(31) || description AS o FROM told
+ UNION ALL SELECT {K}, 'commands', 'dev', 'run ' || {K}, '1dev' FROM customer WHERE {K} % 2 = 0 UNION ALL SELECT {K}, 'commands', 'seed', 's' || {K}, '9seed' FROM customer WHERE {K} % 3 = 0
+ UNION ALL SELECT project, 'stack', NULL, framework, framework FROM w UNION ALL SELECT project, 'core_modules', NULL, path, '01' FROM f WHERE path = 'src/m.ts'),
+l(format, pos, key, header, priority, style) AS (VALUES {_layout}),
+s AS (SELECT DISTINCT project, key FROM i), c(key, text, o) AS (VALUES {", ".join(f"('{k}', '{v}', '{n}')" for n, (k, v) in enumerate(formats.CHECKS.items()))}),
+a AS (SELECT project, key, name, text, o FROM i UNION ALL SELECT project, 'check', NULL, text, o FROM s JOIN c USING (key) WHERE project IN (SELECT project FROM s WHERE key IN ('core_modules', 'conventions'))),
+n AS (SELECT project, format, pos, key, header, priority, style, name, o, CASE style WHEN 'bold command' THEN '- **' || CASE name WHEN 'dev' THEN 'Dev' ELSE name END || ':** `' || text || '`' WHEN 'command' THEN '- ' || CASE name WHEN 'dev' THEN 'Dev' ELSE name END || ': `' || text || '`'
+  WHEN 'known command' THEN CASE name WHEN 'dev' THEN '- Dev: `' || text || '`' END WHEN 'bold' THEN '- **' || name || ':** ' || text WHEN 'plain' THEN '- ' || text WHEN 'code' THEN '- `' || text || '`' ELSE text END AS line FROM a JOIN l USING (key)),
+g AS (SELECT project, format, pos, key, header, priority, style, name AS o, CASE WHEN count(*) = 1 THEN '- **' || name || ':** ' || any_value(line) ELSE '- **' || name || ':**' || chr(10) || string_agg('  - ' || line, chr(10) ORDER BY o) END AS line
+  FROM (SELECT * EXCLUDE (o), o FROM n WHERE style = 'grouped') GROUP BY project, format, pos, key, header, priority, style, name),
+b AS (SELECT project, format, pos, header, priority, CASE style WHEN 'list' THEN string_agg(line, ', ' ORDER BY o, line) ELSE string_agg(line, chr(10) ORDER BY o, line) END AS body FROM (SELECT project, format, pos, header, priority, style, o, line FROM n WHERE style <> 'grouped' AND line IS NOT NULL UNION ALL SELECT project, format, pos, header, priority, style, o, line FROM g) GROUP BY project, format, pos, header, priority, style
+ UNION ALL SELECT project, format, pos, header, priority, CASE key WHEN 'header' THEN '{formats.SAYS["header"]}' ELSE '{formats.SAYS["footer"]}' END FROM (SELECT DISTINCT project FROM i), l WHERE style = 'fixed'),
+t AS (SELECT *, CAST(ceil((length(header) + length(body) + 3) / 4.0) AS BIGINT) AS tokens FROM b),
+k AS (SELECT * FROM t QUALIFY priority >= 90 OR sum(tokens) OVER (PARTITION BY project, format) - coalesce(sum(tokens) OVER (PARTITION BY project, format ORDER BY priority, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) <= {LIMIT})
+SELECT project, format, string_agg(header || chr(10) || chr(10) || body || chr(10), chr(10) ORDER BY pos) AS text FROM k GROUP BY ALL""")
+def instruction_files(spark, d):
+    """The instruction files of each project in four formats, within a budget that drops sections."""
+    by = ["project"]
+    known = cut(configs.facts(files(spark, d), by))
+    customers = table(spark, d, "customer")
+    command = lambda name, text, every: customers.where(F.col(K) % every == 0).select(F.col(K).alias("project"), F.lit(name).alias("name"), F.concat(F.lit(text), F.col(K).cast("string")).alias("command"))
+    commands = command("dev", "run ", 2).unionByName(command("seed", "s", 3)).unionByName(customers.select(F.col(K).alias("project"), F.lit("test").alias("name"), F.lit("pytest").alias("command")))
+    ranked = customers.where(F.col(K) % 5 > 0).select(F.col(K).alias("project"), F.lit("src/m.ts").alias("node"), F.lit(1.0).alias("score"))
+    folders = customers.limit(0).select(F.col(K).alias("project"), F.lit("x").alias("dir"), F.lit("x").alias("purpose"))
+    told = cut(formats.items(configs.findings(known, by), commands, configs.frameworks(known, by), ranked, folders, by))
+    return formats.texts(formats.fitting(formats.sections(told, by), by, LIMIT), by)
