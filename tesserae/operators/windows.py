@@ -4,20 +4,26 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a checkpoint in the folder that the session names; in local mode a new one if it names none."""
-    context = df.sparkSession.sparkContext
+def shared(spark: SparkSession) -> str:
+    """The folder that the session names for checkpoints, set for its context; in local mode a new one if it names none."""
+    context = spark.sparkContext
+    name = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if name is None and context.master.split("[")[0] == "local":
+        name = "file://" + tempfile.mkdtemp(prefix="tesserae-")
+    if name is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if context.getCheckpointDir() is None:
-        name = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if name is None and context.master.split("[")[0] == "local":
-            name = "file://" + tempfile.mkdtemp(prefix="tesserae-")
-        if name is None:
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(name)
+    return name
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a checkpoint in the shared folder."""
+    shared(df.sparkSession)
     return df.checkpoint()
 
 

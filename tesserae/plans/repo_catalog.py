@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed, paths, text
-from ..operators import assoc, briefing, context, extract, findings, graph, history, patterns, report, resolve, rules, timewin, tools, vote, windows
+from ..operators import assoc, briefing, context, extract, findings, graph, history, patterns, report, resolve, retrieve, rules, timewin, tools, vote, windows
 from ..sources import repository
 from . import repo
 from .catalog import ORACLES, ORDERED_BRANDS, QUERIES, ordered, pairs_sql, query, table
@@ -822,3 +823,22 @@ def hidden_findings(spark, d):
 def manual_sections(spark, d):
     """How many sections of each document weren't generated."""
     return report.manual(report.sections(table(spark, d, "documents"), "doc_id", "text", "The ")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id, lang, source FROM documents WHERE contains(lower(text), 'all rights') OR contains(lower(source), 'all rights')")
+def search_index(spark, d):
+    """The same as a search of all texts, by an index of pieces that is built beside them."""
+    docs = table(spark, d, "documents")
+    path = f"{windows.shared(spark).rstrip('/')}/tesserae/index-{uuid.uuid4().hex}"
+    retrieve.build(docs, "doc_id", ["text", "source"], path)
+    return retrieve.search(docs, "doc_id", "All Rights", ["text", "source"], path).select("doc_id", "lang", "source")
+
+
+@query(f"""WITH {FILES}, {FINDINGS}, t AS (SELECT split_part(path, '/', 1) AS dir, CASE split_part(path, '/', 1) WHEN 'src' THEN 'Source code' WHEN 'lib' THEN 'Library code' WHEN 'docs' THEN 'Documentation' END AS purpose FROM files GROUP BY 1),
+a AS (SELECT 'finding' AS kind, category AS name, description AS text FROM f WHERE contains(lower(category), 'code') OR contains(lower(description), 'code') UNION ALL SELECT 'folder', dir, purpose FROM t WHERE contains(lower(purpose), 'code') OR purpose IS NOT NULL AND contains(dir, 'code')
+ UNION ALL SELECT DISTINCT 'framework', 'n' || n_name, NULL FROM nation WHERE contains(lower('n' || n_name), 'code'))
+SELECT *, count(*) OVER () AS total FROM a""")
+def search_everywhere(spark, d):
+    """Findings, folders and frameworks that speak of code, and how many."""
+    frameworks = table(spark, d, "nation").select(F.concat(F.lit("n"), "n_name").alias("framework"))
+    return retrieve.everywhere("Code", repo.findings(spark, d), rules.folders(repo.files(spark, d)), frameworks)

@@ -1,6 +1,9 @@
 """Briefings within a budget, and standing questions."""
 
-from tesserae.operators import briefing
+import pytest
+from pyspark.sql import functions as F
+
+from tesserae.operators import briefing, retrieve
 from tesserae.sinks import report as sink
 
 
@@ -38,3 +41,32 @@ def test_pressing_questions(spark):
     got = briefing.pressing(one, hubs, none, pairs, spark.createDataFrame([("o",)], "node string")).collect()
     assert [(r.priority, r.n, r.example) for r in got] == [(1, 2, "a>b"), (2, 2, "g"), (4, 2, "c + d"), (5, 1, "o")]
     assert [r[0] for r in pairs.orderBy("strength").select(briefing.strength_label(pairs.strength)).collect()] == ["moderate", "high"]
+
+
+@pytest.mark.parametrize("query", ["needle", "NEEDLE in", "é日本x", "a.b(c", "zzzz", "ab", "", "a\nb", "abcabd", "100%_x"])
+def test_an_index_finds_what_a_scan_finds(spark, tmp_path, query):
+    texts = ["a Needle in hay", "needl e", "needle", "xé日本X", "a.b(c)", "aab", None, "", "A\nB", "abcXbcabd bcabca", "abcabd", "100%_X 100", "needle " * 5000]
+    df = spark.createDataFrame([(k, t, "needle" if k == 6 else "s") for k, t in enumerate(texts)], "id int, text string, source string")
+    retrieve.build(df, "id", ["text", "source"], f"{tmp_path}/i", parts=8)
+    got = retrieve.search(df, "id", query, ["text", "source"], f"{tmp_path}/i", parts=8)
+    assert sorted(r.id for r in got.collect()) == [k for k, t in enumerate(texts) if query.lower() in (t or "\x00").lower() or query.lower() in ("needle" if k == 6 else "s")]
+
+
+def test_a_search_reads_the_partitions_of_its_pieces(spark, tmp_path):
+    df = spark.range(2000).selectExpr("id", "md5(cast(id as string)) AS text")
+    retrieve.build(df, "id", ["text"], f"{tmp_path}/i")
+    key = df.select(F.col("id").alias("key"))
+    plan = retrieve.candidates(key, "3a7f", f"{tmp_path}/i")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [part" in plan and "PushedFilters: [In(gram" in plan
+    sizes = {p.parent.name: p.stat().st_size for p in (tmp_path / "i").rglob("*.parquet")}
+    read = sum(sizes[f"part={k}"] for k in {r[0] for r in spark.createDataFrame([(g,) for g in retrieve.pieces("3a7f")], "g string").select(retrieve.part(F.col("g"), retrieve.PARTS)).collect()})
+    assert 0 < read < sum(sizes.values()) / 10
+    assert retrieve.search(df, "id", "3a7f", ["text"], f"{tmp_path}/i").count() == df.where("contains(text, '3a7f')").count()
+
+
+def test_search_tells_folders_frameworks_and_the_total(spark):
+    f = spark.createDataFrame([("Routing", "by files"), ("Style", "tabs")], "category string, description string")
+    d = spark.createDataFrame([("routes", "Routes"), ("x", "Routing table"), ("routed", None)], "dir string, purpose string")
+    w = spark.createDataFrame([("Expo Router",), ("React",)], "framework string")
+    got = {tuple(r) for r in retrieve.everywhere("ROUT", f, d, w).collect()}
+    assert got == {("finding", "Routing", "by files", 4), ("folder", "routes", "Routes", 4), ("folder", "x", "Routing table", 4), ("framework", "Expo Router", None, 4)}
