@@ -7,17 +7,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.paths import top_dir
 from ..functions.text import tokens
 from . import report, rules
 
-# The order of sections in each output format.
+# The order of sections of a short briefing by style, our own; whole files in the formats' orders are made by formats.
 FORMATS = {
     "claude": ("commands", "critical", "core_modules", "stack", "conventions", "supplementary"),
     "cursor": ("critical", "commands", "core_modules", "conventions", "stack", "supplementary"),
     "copilot": ("stack", "commands", "conventions", "critical", "core_modules", "supplementary"),
     "agents": ("commands", "critical", "core_modules", "conventions", "stack", "supplementary"),
 }
-# Headers of sections.
+# Headers of a briefing's sections.
 HEADERS = {"commands": "Commands", "critical": "Critical context", "core_modules": "Core modules", "stack": "Stack", "conventions": "Conventions", "supplementary": "Also known"}
 
 
@@ -87,6 +88,28 @@ def pressing(cycles: DataFrame, hubs: DataFrame, fragile: DataFrame, pairs: Data
     return reduce(DataFrame.unionByName, parts).orderBy("priority")
 
 
+def file_questions(asked: DataFrame, findings: DataFrame, matches: DataFrame) -> DataFrame:
+    """(item, priority, question, n, example): what to know before a file (item) is edited, most urgent on top.
+
+    findings (id, category, description), matches (id, path) of findings and the files that they speak of. Four kinds
+    need a finding about the file; anti-patterns and conventions concern every file; activity concerns a top-level folder.
+    Of each kind the finding of the least id is the example.
+    """
+    about = {"Core modules": (1, "is it a hub"), "Circular dependencies": (2, "is it part of a cycle"), "Fragile code": (3, "is it hard to get right"), "Hidden dependencies": (4, "what changes with it unseen")}
+    items = asked.select("item").distinct()
+    table = F.create_map(*(F.lit(x) for c, v in about.items() for x in (c, F.struct(F.lit(v[0]).alias("priority"), F.lit(v[1]).alias("question")))))
+    own = findings.where(F.col("category").isin(*about)).join(matches.select("id", F.col("path").alias("item")).distinct(), "id").join(items, "item", "left_semi")
+    own = own.withColumn("q", F.element_at(table, F.col("category"))).groupBy("item", "q.priority", "q.question").agg(F.count(F.lit(1)).alias("n"), F.min_by("description", "id").alias("example"))
+    c = F.col("category")
+    everywhere = [(c == "Anti-patterns", 5, "what was tried and given up"), (c.rlike("[cC]onvention|Import|TypeScript|[pP]attern") & (c != "Anti-patterns"), 6, "which conventions hold")]
+    sums = [findings.where(w).agg(F.count(F.lit(1)).alias("n"), F.min_by("description", "id").alias("example")).where("n > 0").select(F.lit(p).alias("priority"), F.lit(q).alias("question"), "n", "example") for w, p, q in everywhere]
+    general = items.crossJoin(F.broadcast(reduce(DataFrame.unionByName, sums)))  # two rows at most
+    busy = findings.where(c == "Active development").select("id", "description", F.explode(F.array_distinct(F.regexp_extract_all("description", F.lit(r"[\w.@-]+"), F.lit(0)))).alias("top"))
+    active = items.withColumn("top", top_dir(F.col("item"))).join(busy, "top").groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.min_by("description", "id").alias("example"))
+    active = active.select("item", F.lit(7).alias("priority"), F.lit("is its folder in motion").alias("question"), "n", "example")
+    return own.unionByName(general.select("item", "priority", "question", "n", "example")).unionByName(active)
+
+
 def without_front_matter(text: Column) -> Column:
     """A text without the block between two lines of dashes that it opens with."""
     return F.regexp_replace(text, r"^(?s)---\n.*?\n---\n", "")

@@ -148,10 +148,13 @@ def of_graph(hubs: DataFrame, cycles: DataFrame, orphans: DataFrame, facades: Da
     return reduce(DataFrame.unionByName, out)
 
 
-def of_history(reverts: DataFrame, deleted: DataFrame, scopes: DataFrame, areas: DataFrame, rapid: DataFrame, pairs: DataFrame) -> DataFrame:
+def of_history(reverts: DataFrame, given_up: DataFrame, scopes: DataFrame, areas: DataFrame, rapid: DataFrame, pairs: DataFrame) -> DataFrame:
     """What the history tells: reverts, deletions, conventions of commits, active areas, fragile files, hidden coupling."""
     out = [reverts.select(*finding("Git history", F.lit("reverts"), F.concat(F.col("total").cast("string"), F.lit(" reverted commits; approaches to avoid: "), F.array_join(F.slice("named", 1, 3), "; ")), "high", F.col("total")))]
-    out.append(deleted.select(*finding("Anti-patterns", F.concat(F.lit("deletion "), "label"), F.concat(F.lit("Deleted together: "), F.col("n").cast("string"), F.lit(" files ("), "label", F.lit(")")), "medium", F.col("n"))))
+    rest = F.col("label") == "others"
+    tried = F.when(rest, F.concat(F.col("n").cast("string"), F.lit(" more approaches were reverted"))).otherwise(F.concat(F.lit("Tried and reverted: "), "label"))
+    gone = F.when(rest, F.concat(F.col("n").cast("string"), F.lit(" more deletions of several files"))).otherwise(F.concat(F.lit("Deleted together: "), F.col("n").cast("string"), F.lit(" files ("), "label", F.lit(")")))
+    out.append(given_up.select(*finding("Anti-patterns", F.concat("kind", F.lit(" "), "label"), F.when(F.col("kind") == "reverted", tried).otherwise(gone), F.col("confidence"), F.col("n"))))
     named = scopes.groupBy().agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("o"), "scope"))).alias("s"), F.max("share").alias("share")).where("size(s) > 0")
     out.append(named.select(*finding("Commit conventions", F.lit("scopes"), F.concat(F.lit("Conventional subjects; scopes: "), F.array_join(F.transform("s", lambda x: x["scope"]), ", ")), "high")))
     busy = areas.where("n >= 3").groupBy().agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("o"), "dir"))).alias("a")).where("size(a) >= 2")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -35,6 +35,20 @@ def deleted_batches(commit_files: DataFrame, days: int = 183, least: int = 3, k:
     return timewin.batches(gone, "commit_id", "ts", least, k)
 
 
+def anti_patterns(commits: DataFrame, commit_files: DataFrame, days: int = 365, most: int = 20, told: int = 2) -> DataFrame:
+    """(kind, label, n, confidence): what was tried and taken back, the two newest by name and the others by number, then deletions.
+
+    Reverts are the newest twenty of a year, without noise; deletions are those of deleted_batches().
+    """
+    newest = timewin.recent(commits, "ts", days).where(F.col("subject").startswith("Revert")).orderBy(F.desc("ts"), "commit_id").limit(most)
+    rows = newest.select("ts", "commit_id", reverted(F.col("subject")).alias("label")).where(F.col("label").isNotNull() & ~F.col("label").rlike(fixed.REVERT_NOISE))
+    rows = rows.withColumn("r", F.row_number().over(Window.orderBy(F.desc("ts"), "commit_id")))  # twenty at most
+    named = rows.where(F.col("r") <= told).select(F.lit("reverted").alias("kind"), "label", F.lit(1).cast("long").alias("n"), F.lit("high").alias("confidence"))
+    rest = rows.agg((F.count(F.lit(1)) - told).alias("n")).where("n > 0").select(F.lit("reverted").alias("kind"), F.lit("others").alias("label"), "n", F.lit("medium").alias("confidence"))
+    gone = deleted_batches(commit_files).select(F.lit("deleted").alias("kind"), "label", F.col("n").cast("long").alias("n"), F.lit("medium").alias("confidence"))
+    return named.unionByName(rest).unionByName(gone)
+
+
 def conventions(commits: DataFrame, k: int = 5) -> DataFrame:
     """(scope, n, share): the foremost scopes of conventional subjects, where these are over half of all."""
     rows = commits.select(commit_scope(F.col("subject")).alias("scope"))

@@ -255,6 +255,11 @@ def section_priority(key: Column, mode: Column) -> Column:
     return out
 
 
+def has_commands(commands: Column) -> Column:
+    """Whether a map of commands has any that is set."""
+    return F.coalesce(F.exists(F.map_values(commands), lambda v: v.isNotNull()), F.lit(False))
+
+
 def told(command: Column) -> Column:
     """Whether the files give a command away."""
     return command.isin(*fixed.STANDARD_COMMANDS)

@@ -385,9 +385,9 @@ def change_radius(spark, d):
 @query(f"""WITH {FILES}, s AS (SELECT path AS item FROM files WHERE regexp_matches(path, '^src/.*\\.js$') AND NOT contains(path, '.test.'))
 SELECT item, replace(item, '.js', '.test.js') AS test, 0 AS pos FROM s WHERE replace(item, '.js', '.test.js') IN (SELECT path FROM files)""")
 def test_files(spark, d):
-    """The test that stands beside each script."""
-    rows = repo.files(spark, d).where(F.col("path").rlike(r"^src/.*\.js$") & ~F.contains("path", F.lit(".test."))).select(F.col("path").alias("item"))
-    return context.test_candidates(rows, repo.files(spark, d))
+    """The test of each source file that has one."""
+    p, files = F.col("path"), windows.cut(repo.files(spark, d).select("path"))
+    return context.test_candidates(files.where(rules.is_graph_source(p) & ~paths.is_test(p)).select(p.alias("item")), files)
 
 
 @query(f"""WITH {EDGES}, g AS (SELECT path AS src, CASE WHEN regexp_matches(path, '\\.tsx?$') THEN 'TypeScript' WHEN path LIKE '%.py' THEN 'Python' WHEN path LIKE '%.go' THEN 'Go' WHEN path LIKE '%.rs' THEN 'Rust' ELSE 'JavaScript' END AS language
@@ -400,27 +400,29 @@ def graph_gates(spark, d):
     return tools.graph_gates(rows, script_edges(spark, d))
 
 
-@query(f"""WITH {EDGES}, o AS (SELECT path AS node FROM files WHERE path NOT IN (SELECT src FROM edges) AND path NOT IN (SELECT dst FROM edges) AND regexp_matches(path, '^svc/(core|db)/.*\\.go$')
-  AND NOT regexp_matches(path, '\\.(test|spec|test-d)\\.|\\.(config|setup|workspace)\\.[^.]+$'))
-SELECT node FROM o WHERE (SELECT count(*) FROM o) BETWEEN 3 AND 100""")
+@query(f"""WITH {EDGES} SELECT path AS node FROM files WHERE path NOT IN (SELECT src FROM edges) AND path NOT IN (SELECT dst FROM edges) AND ({FILE_KINDS["graph_source"][1]})
+ AND NOT ({FILE_KINDS["test"][1]}) AND NOT ({FILE_KINDS["example"][1]}) AND NOT ({FILE_KINDS["entry"][1]}) AND path NOT LIKE '%.d.ts'""")
 def dead_code(spark, d):
-    """Production files of two services that no script imports, unless they are too few or too many to be believed."""
+    """All production files that no script imports; where they are told, tools.gated_orphans() asks for three to a hundred."""
     p = F.col("node")
-    nodes = repo.files(spark, d).select(F.col("path").alias("node")).where(p.rlike(r"^svc/(core|db)/.*\.go$"))
+    files = windows.cut(repo.files(spark, d))
+    nodes = files.where(rules.is_graph_source(F.col("path"))).select(F.col("path").alias("node"))
+    scripts = files.where(F.col("path").rlike(r"\.(tsx?|jsx?)$")).select(F.col("path").alias("src"), F.explode(extract.script_imports(F.col("content"))).alias("spec"))
     excluded = ~paths.is_production(p) | paths.is_entry_point(p) | p.endswith(".d.ts")
-    return tools.gated_orphans(graph.orphans(nodes, script_edges(spark, d), excluded))
+    return graph.orphans(nodes, resolve.script(scripts, files), excluded)
 
 
 PAIRS = f"pairs AS MATERIALIZED ({pairs_sql(ORDERED_BRANDS, 2, 0.05)})"
 
 
 @query(f"""WITH {EDGES}, {HUBS}, {RANKS}, {FINDINGS}, fragile AS (SELECT DISTINCT 'src/app/m' || (id - id % 50) || '.ts' AS node FROM f WHERE category = 'Fragile code' AND confidence = 'high'),
-t AS (SELECT node FROM (SELECT node, row_number() OVER (ORDER BY edges DESC, node) AS r FROM fan WHERE edges >= 2) WHERE r <= 10), n AS (SELECT node FROM t UNION SELECT node FROM fragile)
+t AS (SELECT node FROM (SELECT node, row_number() OVER (ORDER BY edges DESC, node) AS r FROM fan WHERE edges >= 2) WHERE r <= 10), p AS (SELECT DISTINCT src, dst FROM edges ORDER BY 1, 2 LIMIT 5), n AS (SELECT node FROM t UNION SELECT node FROM fragile UNION SELECT src FROM p UNION SELECT dst FROM p)
 SELECT n.node, coalesce(edges, 0) AS edges, n.node IN (SELECT node FROM fragile) AS fragile, score FROM n LEFT JOIN fan USING (node) LEFT JOIN ranks USING (node)""")
 def map_nodes(spark, d):
     e = script_edges(spark, d)
     fragile = repo.findings(spark, d).where("category = 'Fragile code' AND confidence = 'high'").select(F.explode("evidence").alias("node")).distinct()
-    return tools.map_nodes(e, fragile, e.select(F.col("src").alias("a"), F.col("dst").alias("b")).limit(0), ranks(spark, d, e))
+    bound = e.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct().orderBy("a", "b").limit(5)
+    return tools.map_nodes(e, fragile, bound, ranks(spark, d, e))
 
 
 @query(f"""WITH {PAIRS}, {FINDINGS}
@@ -693,7 +695,7 @@ def any_command(spark, d):
     """Whether a map of commands has any value, over maps that each document gives."""
     m = F.create_map(F.concat(F.lit("k"), (F.col("doc_id") % 3).cast("string")), F.col("n_chars"))
     rows = table(spark, d, "documents").select(m.alias("m"))
-    return rows.agg(F.countDistinct(F.map_keys("m")[0]).alias("keys"), F.bool_or(F.exists(F.map_values("m"), lambda v: v.isNotNull())).alias("any_value"))
+    return rows.agg(F.countDistinct(F.map_keys("m")[0]).alias("keys"), F.bool_or(rules.has_commands(F.col("m"))).alias("any_value"))
 
 
 @query(r"""WITH s AS (SELECT conv_id, turn, text FROM conversations) SELECT conv_id, turn,
@@ -733,14 +735,45 @@ def repo_mode(spark, d):
     return rules.repo_mode(repo.files(spark, d))
 
 
-@query("""WITH s AS (SELECT doc_id, CASE WHEN starts_with(text, '---' || chr(10)) THEN text ELSE '---' || chr(10) || 'lang: ' || coalesce(lang, '') || chr(10) || '---' || chr(10) || text END AS t FROM documents WHERE text IS NOT NULL AND NOT contains(text, '---'))
-SELECT doc_id, text AS legacy FROM documents WHERE doc_id IN (SELECT doc_id FROM s)""")
+@query("SELECT doc_id, text AS legacy FROM documents WHERE text IS NOT NULL")
 def legacy_format(spark, d):
     """Documents with front matter put before them, and taken away as the legacy format does."""
-    rows = table(spark, d, "documents").where(F.col("text").isNotNull() & ~F.contains("text", F.lit("---")))
+    rows = table(spark, d, "documents").where(F.col("text").isNotNull())
     return rows.select("doc_id", briefing.without_front_matter(F.concat(F.lit("---\nlang: "), F.coalesce("lang", F.lit("")), F.lit("\n---\n"), "text")).alias("legacy"))
 
 
+@query(f"""WITH {COMMITS}, r AS (SELECT *, regexp_extract(subject, '^Revert "(.+)"', 1) AS what FROM (SELECT * FROM c WHERE starts_with(subject, 'Revert') AND datediff('day', CAST(ts AS DATE), (SELECT CAST(max(ts) AS DATE) FROM c)) < 365 ORDER BY ts DESC, commit_id LIMIT 20)),
+m AS (SELECT what, row_number() OVER (ORDER BY ts DESC, commit_id) AS k FROM r WHERE what <> '' AND NOT regexp_matches(what, {_quote(fixed.REVERT_NOISE)}))
+SELECT 'reverted' AS kind, what AS label, 1 AS n, 'high' AS confidence FROM m WHERE k <= 2 UNION ALL SELECT 'reverted', 'others', count(*) - 2, 'medium' FROM m HAVING count(*) > 2
+UNION ALL SELECT 'deleted', label, n, 'medium' FROM ({ORACLES["deleted_batches"]})""")
+def anti_patterns(spark, d):
+    """What was tried and taken back, and what was deleted, with the numbers of what isn't named."""
+    return history.anti_patterns(repo.commits(spark, d), repo.commit_files(spark, d))
+
+
+@query(f"""WITH {FILES}, a AS (SELECT 'r/' || path AS path FROM files), d AS (SELECT 'r/' || split_part(path, '/', 1) AS dir FROM files GROUP BY 1),
+t AS (SELECT DISTINCT dir, string_split(substr(path, length(dir) + 2), '/') AS p FROM a JOIN d ON starts_with(path, dir || '/')),
+e AS (SELECT dir, p[1] || CASE WHEN len(p) > 1 THEN '/' ELSE '' END AS one, CASE WHEN len(p) > 1 THEN p[2] || CASE WHEN len(p) > 2 THEN '/' ELSE '' END END AS two FROM t),
+f AS (SELECT * FROM (SELECT DISTINCT dir, one FROM e) QUALIFY row_number() OVER (PARTITION BY dir ORDER BY one) <= 25), b AS (SELECT * FROM (SELECT DISTINCT dir, one, two FROM e JOIN f USING (dir, one) WHERE two IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY dir, one ORDER BY two) <= 25),
+l AS (SELECT dir, one, '' AS two, one AS line FROM f UNION ALL SELECT dir, one, two, '  ' || two FROM b)
+SELECT dir, CAST(row_number() OVER (PARTITION BY dir ORDER BY one, two) AS INTEGER) AS pos, line FROM l QUALIFY pos <= 35""")
+def folder_tree(spark, d):
+    """Two levels of each top-level folder of a tree, thirty-five lines at most."""
+    rows = repo.files(spark, d).select(F.concat(F.lit("r/"), "path").alias("path"))
+    return repository.folder_tree(rows, rows.select(F.concat(F.lit("r/"), F.split_part("path", F.lit("/"), F.lit(2))).alias("dir")))
+
+
+@query(f"""WITH {FINDINGS}, i AS (SELECT DISTINCT 'src/app/m' || (p_partkey - p_partkey % 25) || '.ts' AS item FROM part), x AS (SELECT id, category, description, 'src/app/m' || (id - id % 50) || '.ts' AS item FROM f)
+SELECT item, CASE category WHEN 'Core modules' THEN 1 WHEN 'Circular dependencies' THEN 2 ELSE 3 END AS priority, CASE category WHEN 'Core modules' THEN 'is it a hub' WHEN 'Circular dependencies' THEN 'is it part of a cycle' ELSE 'is it hard to get right' END AS question,
+  count(*) AS n, arg_min(description, id) AS example FROM x JOIN i USING (item) WHERE category IN ('Core modules', 'Circular dependencies', 'Fragile code') GROUP BY ALL
+UNION ALL SELECT item, 6, 'which conventions hold', n, example FROM i, (SELECT count(*) AS n, arg_min(description, id) AS example FROM f WHERE regexp_matches(category, '[cC]onvention|Import|TypeScript|[pP]attern'))""")
+def file_questions(spark, d):
+    """What to know before each of some files is edited, by the findings whose evidence it is."""
+    f = repo.findings(spark, d)
+    asked = table(spark, d, "part").selectExpr("concat('src/app/m', p_partkey - p_partkey % 25, '.ts') AS item")
+    return briefing.file_questions(asked, f, f.select("id", F.explode("evidence").alias("path")))
+
+
 def _cycles_sql() -> str:
     parts = []
     for k in range(1, 6):

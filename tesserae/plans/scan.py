@@ -68,7 +68,7 @@ def project(files: DataFrame, commits: DataFrame, commit_files: DataFrame, modul
         "areas": history.areas(commit_files),
         "rapid": history.rapid(commit_files),
         "reverts": history.reverts(commits),
-        "deleted": history.deleted_batches(commit_files),
+        "given_up": history.anti_patterns(commits, commit_files),
         "scopes": history.conventions(commits),
     }
     tables["findings"] = told(tables, known, mode, history.enough(commits, shallow))
@@ -80,7 +80,7 @@ def told(scan: dict[str, DataFrame], known: DataFrame, mode: str, enough: bool)
     none = F.array().cast("array<string>")
     listed = configs.findings(known, ["_scan"]).select("category", "name", "description", "confidence", F.lit(0).cast("long").alias("n"), none.alias("paths"))
     busy = scan["areas"] if enough else scan["areas"].limit(0)
-    past = findings.of_history(scan["reverts"], scan["deleted"], scan["scopes"], scan["areas"], scan["rapid"], scan["coupling"]) if enough else findings.shallow(listed)
+    past = findings.of_history(scan["reverts"], scan["given_up"], scan["scopes"], scan["areas"], scan["rapid"], scan["coupling"]) if enough else findings.shallow(listed)
     front = graph.facades(scan["edges"], scan["hubs"], F.col("src").rlike(r"(^|/)__init__\.py$"), paths.dirname(F.col("node")))
     parts = {
         "configuration": listed,

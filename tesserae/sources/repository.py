@@ -84,6 +84,27 @@ def listing(files: DataFrame, most: int = 25) -> DataFrame:
     return rows.withColumn("r", F.row_number().over(Window.partitionBy("dir").orderBy("entry"))).where(F.col("r") <= most).drop("r")
 
 
+def folder_tree(files: DataFrame, folders: DataFrame, most: int = 25, total: int = 35) -> DataFrame:
+    """(dir, pos, line): what stands in each of folders (dir) and one level below, as an indented list of so many lines at most.
+
+    Of each level the first entries by name count, hidden and built ones among them, though these aren't shown.
+    """
+    from pyspark.sql import Window
+
+    parts = F.split("path", "/")
+    # A file lies below each of its folders: these meet the asked ones by equality.
+    at = F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.struct(F.array_join(F.slice(parts, F.lit(1), n), "/").alias("dir"), F.slice(parts, n + 1, F.lit(3)).alias("rest"))))
+    rows = files.where(F.contains("path", F.lit("/"))).select(at.alias("v")).select("v.*").join(folders.select("dir").distinct(), "dir", "left_semi")
+    name = lambda k: F.when(F.size("rest") > k + 1, F.concat(F.get("rest", F.lit(k)), F.lit("/"))).otherwise(F.get("rest", F.lit(k)))
+    rows = rows.select("dir", name(0).alias("one"), name(1).alias("two"))
+    shown = lambda c: ~F.col(c).startswith(".") & ~F.regexp_replace(c, "/$", "").isin("node_modules", "dist", "__pycache__")
+    first = rows.select("dir", "one").distinct().withColumn("r", F.row_number().over(Window.partitionBy("dir").orderBy("one"))).where((F.col("r") <= most) & shown("one")).drop("r")
+    below = rows.where("two IS NOT NULL").select("dir", "one", "two").distinct().join(first, ["dir", "one"], "left_semi")
+    below = below.withColumn("r", F.row_number().over(Window.partitionBy("dir", "one").orderBy("two"))).where((F.col("r") <= most) & shown("two")).drop("r")
+    lines = first.select("dir", "one", F.lit("").alias("two"), F.col("one").alias("line")).unionByName(below.select("dir", "one", "two", F.concat(F.lit("  "), "two").alias("line")))
+    return lines.withColumn("pos", F.row_number().over(Window.partitionBy("dir").orderBy("one", "two"))).where(F.col("pos") <= total).select("dir", "pos", "line")
+
+
 def inside(paths: DataFrame, root: str) -> DataFrame:
     """The rows of paths (path) that stay below a folder once their dots are resolved; others can't be read."""
     kept = F.aggregate(F.split("path", "/"), F.lit(0), lambda depth, p: F.when(depth < 0, -1).when(p == "..", depth - 1).when((p == "") | (p == "."), depth).otherwise(depth + 1))

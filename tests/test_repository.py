@@ -313,7 +313,7 @@ def test_a_scan_tells_its_findings(spark):
     changed = commits.crossJoin(spark.createDataFrame([("M", "src/m0.ts"), ("M", "lib/far.ts"), ("M", "docs/a.md")], "status string, path string"))
     got = scan.project(f, commits, changed)
     found = {(r.stage, r.category, r.name): r for r in got["findings"].collect()}
-    assert {("configuration", "TypeScript", "strict"), ("mode", "Project structure", "library"), ("contents", "Dominant patterns", "schema"), ("imports", "Core modules", "hubs"), ("history", "Git history", "reverts"),
+    assert {("configuration", "TypeScript", "strict"), ("mode", "Project structure", "library"), ("contents", "Dominant patterns", "schema"), ("imports", "Core modules", "hubs"), ("history", "Git history", "reverts"), ("history", "Anti-patterns", "reverted feat: a"),
             ("history", "Fragile code", "src/m0.ts"), ("history", "Hidden dependencies", "lib/far.ts + src/m0.ts"), ("history", "Commit conventions", "scopes"), ("history", "Active development", "areas")} <= set(found)
     assert found["contents", "Dominant patterns", "schema"].confidence == "high" and not any(k[1:] == ("Fragile code", "docs/a.md") for k in found)
     assert rows(got["mode"]) == [("library",)] and {r.framework for r in got["frameworks"].collect()} == {"TypeScript"}
@@ -340,3 +340,32 @@ def test_nested_go_modules(spark):
     specs = [("a/x.go", s) for s in ("ex.org/m/sub/deep", "ex.org/m/sub", "ex.org/m/a", "ex.org/m/a/far", "ex.org/m/subway", "ex.org/mother/a", "fmt", "ex.org/m/none", "ex.org/m")]
     got = resolve.go(spark.createDataFrame(specs, "src string, spec string"), f, resolve.go_modules(f))
     assert {(r.spec, r.dst) for r in got.collect()} == {("ex.org/m/sub/deep", "sub/deep/deep.go"), ("ex.org/m/sub", "sub/y.go"), ("ex.org/m/a", "a/x.go"), ("ex.org/m/a/far", "elsewhere/z.go"), ("ex.org/m/subway", "subway/w.go")}
+
+
+def test_anti_patterns_and_their_remainder(spark):
+    subjects = ['Revert "feat: a"', 'Revert "bump x"', 'Revert "feat: b"', "fix: c", 'Revert "feat: d"', 'Revert "feat: e"', "Revert badly"]
+    log = spark.createDataFrame([(k, s) for k, s in enumerate(subjects)], "commit_id int, subject string").withColumn("ts", F.expr("make_timestamp(2024, 3, commit_id + 1, 10, 0, 0)"))
+    changed = log.where("commit_id >= 3").crossJoin(spark.createDataFrame([("a",), ("b",), ("c",)], "path string")).withColumn("status", F.lit("D"))
+    assert rows(history.anti_patterns(log, changed.limit(0))) == [("reverted", "feat: d", 1, "high"), ("reverted", "feat: e", 1, "high"), ("reverted", "others", 2, "medium")]
+    assert rows(history.anti_patterns(log.where("commit_id < 3"), changed)) == [("deleted", "3", 3, "medium"), ("reverted", "feat: a", 1, "high"), ("reverted", "feat: b", 1, "high")]
+    assert rows(history.anti_patterns(log.limit(0), changed.limit(0))) == []
+
+
+def test_two_levels_of_a_folder(spark):
+    names = ["src/a.ts", "src/z/b.ts", "src/z/c/d.ts", "src/.hidden/x.ts", "src/node_modules/m/i.js", "src/z/.env", "other/a.ts", "top.md"] + [f"big/f{k:02}.ts" for k in range(60)] + [f"wide/d{k:02}/f{j}.ts" for k in range(20) for j in range(4)]
+    asked = spark.createDataFrame([("src",), ("src/z",), ("big",), ("wide",), ("none",)], "dir string")
+    got = {}
+    for r in repository.folder_tree(tree(spark, *names), asked).orderBy("dir", "pos").collect():
+        got.setdefault(r.dir, []).append(r.line)
+    assert got["src"] == ["a.ts", "z/", "  b.ts", "  c/"] and got["src/z"] == ["b.ts", "c/", "  d.ts"] and len(got["big"]) == 25 and len(got["wide"]) == 35 and got["wide"][:3] == ["d00/", "  f0.ts", "  f1.ts"] and "none" not in got
+
+
+def test_questions_about_a_file(spark):
+    f = [(1, "Core modules", "src/a.ts is a hub"), (2, "Circular dependencies", "a > b"), (3, "Fragile code", "other/x.ts"), (4, "Anti-patterns", "tried x"), (5, "Import conventions", "aliases"), (6, "Dominant patterns", "Zod"), (7, "Active development", "Most active: src, lib"), (8, "Style", "tabs")]
+    found = spark.createDataFrame(f, "id int, category string, description string")
+    matches = spark.createDataFrame([(1, "src/a.ts"), (2, "src/a.ts"), (2, "lib/b.ts"), (3, "other/x.ts")], "id int, path string")
+    asked = spark.createDataFrame([("src/a.ts",), ("docs/c.md",)], "item string")
+    got = {(r.item, r.priority): (r.n, r.example) for r in briefing.file_questions(asked, found, matches).collect()}
+    assert got == {("src/a.ts", 1): (1, "src/a.ts is a hub"), ("src/a.ts", 2): (1, "a > b"), ("src/a.ts", 5): (1, "tried x"), ("src/a.ts", 6): (2, "aliases"), ("src/a.ts", 7): (1, "Most active: src, lib"), ("docs/c.md", 5): (1, "tried x"), ("docs/c.md", 6): (2, "aliases")}
+    maps = spark.createDataFrame([({"a": None},), ({"a": None, "b": "x"},), ({},), (None,)], "m map<string,string>")
+    assert [r[0] for r in maps.select(rules.has_commands(F.col("m"))).collect()] == [False, True, False, False]
