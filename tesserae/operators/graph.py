@@ -15,10 +15,11 @@ def fan_in(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("src").alias("importers"))
 
 
-def hubs(edges: DataFrame, least: int = 5, python_least: int = 3, sizes: tuple[int, int] = (500, 100), limits: tuple[int, int, int] = (15, 10, 5)) -> DataFrame:
-    """(node, edges, rank): nodes of high fan-in, as many as the size of the graph allows."""
+def hubs(edges: DataFrame, least: int = 5, python_least: int = 3, sizes: tuple[int, int] = (500, 100), limits: tuple[int, int, int] = (15, 10, 5), sources: DataFrame | None = None) -> DataFrame:
+    """(node, edges, rank): nodes of high fan-in, as many as the number of sources allows; without sources, that of linked nodes."""
     counted = fan_in(edges).where(F.col("edges") >= F.when(F.col("node").endswith(".py"), python_least).otherwise(least))
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().agg(F.count(F.lit(1)).alias("n"))
+    linked = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct() if sources is None else sources
+    nodes = linked.agg(F.count(F.lit(1)).alias("n"))
     limit = F.when(F.col("n") > sizes[0], limits[0]).when(F.col("n") > sizes[1], limits[1]).otherwise(limits[2])
     top = counted.orderBy(F.desc("edges"), "node").limit(max(limits)).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("edges"), "node")))
     return top.crossJoin(F.broadcast(nodes)).where(F.col("rank") <= limit).select("node", "edges", "rank")

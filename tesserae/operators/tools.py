@@ -213,7 +213,7 @@ def fallback(questions: DataFrame, findings: DataFrame, key: str, text: str) ->
 
 
 def order(findings: DataFrame, relevant: Column | None = None) -> list[Column]:
-    """Surest first, then relevant ones, then files that aren't package markers, then by id."""
+    """Surest first, then relevant ones, then by id."""
     return [vote.confidence_order(F.col("confidence")), *([F.desc(relevant)] if relevant is not None else []), "id"]
 
 

@@ -51,7 +51,7 @@ def project(files: DataFrame, commits: DataFrame, commit_files: DataFrame, modul
         "frameworks": frameworks.drop("_scan"),
         "mode": files.sparkSession.range(1).select(F.lit(mode).alias("mode")),
         "edges": edges,
-        "hubs": graph.hubs(edges.join(sources.where(paths.is_test(p)).select(p.alias("src")), "src", "left_anti").select("src", "dst")),
+        "hubs": graph.hubs(edges.join(sources.where(paths.is_test(p)).select(p.alias("src")), "src", "left_anti").select("src", "dst"), sources=sources),
         "ranks": graph.pagerank(production, inner),
         "cycles": graph.cycles(inner),
         "orphans": lost,

@@ -369,3 +369,9 @@ def test_questions_about_a_file(spark):
     assert got == {("src/a.ts", 1): (1, "src/a.ts is a hub"), ("src/a.ts", 2): (1, "a > b"), ("src/a.ts", 5): (1, "tried x"), ("src/a.ts", 6): (2, "aliases"), ("src/a.ts", 7): (1, "Most active: src, lib"), ("docs/c.md", 5): (1, "tried x"), ("docs/c.md", 6): (2, "aliases")}
     maps = spark.createDataFrame([({"a": None},), ({"a": None, "b": "x"},), ({},), (None,)], "m map<string,string>")
     assert [r[0] for r in maps.select(rules.has_commands(F.col("m"))).collect()] == [False, True, False, False]
+
+
+def test_hubs_are_limited_by_the_number_of_sources(spark):
+    edges = spark.createDataFrame([(f"s{k}", f"h{j:02}") for j in range(12) for k in range(5)], "src string, dst string")
+    many = lambda n: spark.range(n).selectExpr("'f' || id AS path")
+    assert [graph.hubs(edges, sources=many(n)).count() for n in (100, 101, 501)] == [5, 10, 12] and graph.hubs(edges).count() == 5
