@@ -13,9 +13,12 @@ in capitals, in lower case, or of an item of numbers or in capitals, is found. A
 matched windows cover `coverage` of those that may match by template, or windows of either kind `coverage` of all. (So
 an item of slots only is found verbatim, in any case, but not under other numbers: such a template says nothing.)
 
-The document side is streamed through the join without a shuffle while the benchmark's windows are fewer than `most`
-and their bytes under `most_bytes` (both counted); beyond that both sides are shuffled by hash, where AQE splits a hot
-one. Only matched windows are grouped.
+A first pass joins hashes alone: a window is (doc_id, hash of the text, number, hash), an item's window a hash and three
+numbers. Items whose matched windows can't reach `coverage` in a document are left out there, as what follows only takes
+matches away. Texts are met again for the windows that remain, once a document, to hold tokens against tokens. The
+documents' windows stream through the first join while the items' are no more than `most` rows of fixed size (counted);
+beyond that both sides are shuffled by hash and one of `SALTS` salts, so that a hot window is dealt out. The windows to
+look at again are broadcast up to `most_bytes` (counted), else texts are shuffled once.
 
 Defined cases: null or empty texts have no windows; items with fewer tokens than a window can't be matched; rows
 that share a doc_id, null ids included, are judged as one document; repeated items count once for each item_id; an
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-WORDS, SLOTS, COVERAGE, MOST, MOST_BYTES = 5, 2, 0.8, 500_000, 128 << 20
+WORDS, SLOTS, COVERAGE, MOST, MOST_BYTES, SALTS = 5, 2, 0.8, 500_000, 128 << 20, 16
 TOKEN = r"\p{N}+(?:[.,]\p{N}+)*|\p{L}[\p{L}\p{M}]*|[%$€£°]"
 # The units that are recognised after a number.
 UNITS = "mm cm m km g kg mg t lb lbs oz in ft yd mi mph kmh s sec min h hr hrs ms l ml gal % $ € £ ° c f k usd eur gbp dollars euros cents percent inches feet yards miles meters metres kilometers kilometres grams kilograms pounds ounces liters litres seconds minutes hours days weeks months years degrees".split()
@@ -52,62 +55,99 @@ def canonical(raw: Column) -> Column:
     return F.transform(raw, form)
 
 
-def windows(rows: DataFrame, key: str, words: int) -> DataFrame:
-    """(key, raw, template, hashes): hashes[i] is that of the window that starts at token i; null if there is none.
+def tokens(rows: DataFrame) -> DataFrame:
+    """rows with raw, the tokens of text, and template, their canonical forms followed by their lower-case ones.
 
-    The hashes of the windows of lower-case tokens follow, and template goes on with those tokens.
-    Explode these with the outer form: a filter that Catalyst infers for the inner one, or any filter here, would be
-    pushed below the projections and work out the tokens again inside every step of the lambdas.
+    No filter may stand above this, or be inferred from a join or comparison there, but on what the outer form explodes:
+    Catalyst would push it below the projections and work out the tokens again inside every step of the lambdas.
     """
-    rows = rows.select(F.col(key).cast("long").alias(key), F.regexp_extract_all(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(TOKEN), F.lit(0)).alias("raw"))
+    rows = rows.withColumn("raw", F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(TOKEN), F.lit(0))).drop("text")
     rows = rows.withColumn("template", canonical(F.col("raw")))
+    return rows.withColumn("template", F.concat("template", F.transform("raw", F.lower)))
+
+
+def hashes(words: int) -> Column:
+    """Of each window of tokens(), that of the canonical tokens from each place and then of the lower-case ones, which also hash a mark; null if there is none."""
     last = F.size("raw") - words + 1
     starts = F.sequence(F.lit(1), last)
-    rows = rows.withColumn("template", F.concat("template", F.transform("raw", F.lower)))
-    starts = F.concat(starts, F.transform(starts, lambda i: i + F.size("raw")))
-    return rows.withColumn("hashes", F.when(last > 0, F.transform(starts, lambda i: F.xxhash64(F.slice("template", i, words)))))
+    canon = F.transform(starts, lambda i: F.xxhash64(F.slice("template", i, words)))
+    lower = F.transform(starts, lambda i: F.xxhash64(F.slice("template", i + F.size("raw"), words), F.lit(True)))
+    return F.when(last > 0, F.concat(canon, lower))
 
 
-def place(at: str, words: int) -> tuple[Column, Column, Column]:
-    """Of the hash numbered at: whether it is of lower-case tokens, its window's token, and that token's place in template."""
+def place(n: Column, words: int) -> tuple[Column, Column, Column]:
+    """Of the hash numbered n: whether it is of lower-case tokens, its window's token, and that token's place in template."""
     last = F.size("raw") - words + 1
-    equal = F.col(at) >= last
-    return equal, F.when(equal, F.col(at) - last).otherwise(F.col(at)), F.when(equal, F.col(at) + words - 1).otherwise(F.col(at))
+    equal = n >= last
+    return equal, F.when(equal, n - last).otherwise(n), F.when(equal, n + words - 1).otherwise(n)
+
+
+def renamed(right: DataFrame, keys: list[str]) -> tuple[DataFrame, Column]:
+    """right with the keys renamed, and the null-safe condition that joins them with another table's."""
+    match = F.lit(True)
+    for c in keys:
+        match = match & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return right.select(*(F.col(c).alias(f"_{c}" if c in keys else c) for c in right.columns)), match
+
+
+def covered(found: DataFrame, totals: DataFrame, coverage: float) -> DataFrame:
+    """(doc_id, item_id, best, reworded) of found (doc_id, item_id, at, equal, reworded) where enough of the item is covered."""
+    found = found.groupBy("doc_id", F.col("item_id").alias("_item"), "at").agg(F.min("equal").alias("equal"), F.max("reworded").alias("reworded"))
+    found = found.groupBy("doc_id", "_item").agg(F.count_if(~F.col("equal")).alias("matched"), F.count(F.lit(1)).alias("all_matched"), F.max("reworded").alias("reworded"))
+    found = found.join(totals, F.col("_item").eqNullSafe(F.col("item_id")))
+    # The better covered of the two: the windows that may match by template, and all.
+    sides = [F.struct(F.try_divide(m, w).alias("share"), F.col(m).alias("matched"), F.col(w).alias("windows")) for m, w in (("matched", "windows"), ("all_matched", "all_windows"))]
+    return found.select("doc_id", "item_id", F.greatest(*sides).alias("best"), "reworded").where(F.col("best.share") >= coverage)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, slots: int = SLOTS, coverage: float = COVERAGE, most: int = MOST, most_bytes: int = MOST_BYTES) -> DataFrame:
     """(doc_id, item_id, matched, windows, coverage, reworded): each item leaked into each document."""
-    item = windows(benchmark, "item_id", words)
-    item = item.select("item_id", "raw", "template", F.posexplode_outer("hashes").alias("n", "hash"))
-    equal, at, start = place("n", words)
+    text = F.col("text").cast("string").alias("text")
+    item = tokens(benchmark.select(F.col("item_id").cast("long").alias("item_id"), text))
+    item = item.select("item_id", "raw", "template", F.posexplode_outer(hashes(words)).alias("n", "hash"))
+    equal, at, start = place(F.col("n"), words)
     item = item.select("item_id", equal.alias("equal"), at.alias("at"), "hash", F.slice("template", start + 1, words).alias("window"), F.slice("raw", at + 1, words).alias("said"))
     item = common.cut(item).where("hash IS NOT NULL")
     item = common.cut(item.where(F.size(F.filter("window", lambda x: x.startswith("<"))) <= slots).distinct())
     totals = item.groupBy("item_id", "at").agg(F.min("equal").alias("equal")).groupBy("item_id").agg(F.count_if(~F.col("equal")).alias("windows"), F.count(F.lit(1)).alias("all_windows"))
-    doc = windows(docs, "doc_id", words)
-    doc = doc.select("doc_id", "raw", "template", F.posexplode_outer("hashes").alias("n", "hash"))
-    n, held = item.agg(F.count(F.lit(1)), F.sum(64 + 2 * F.octet_length(F.array_join("said", "")) + 32 * words)).first()
-    met = doc.join(F.broadcast(item) if n <= most and (held or 0) <= most_bytes else item, "hash")
-    _, pos, start = place("n", words)
-    met = met.where(F.slice("template", start + 1, words) == F.col("window"))
-    pairs = F.arrays_zip("window", F.col("said").alias("said"), F.slice("raw", pos + 1, words).alias("seen"))
-    pairs = F.filter(pairs, lambda x: x["window"].startswith("<"))
-    met = common.cut(met.select("doc_id", "item_id", "equal", "at", (pos - F.col("at")).alias("shift"), F.transform(pairs, lambda x: F.struct(F.lower(x["said"]).alias("said"), F.lower(x["seen"]).alias("seen"))).alias("slots")))
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_id"), text)
+    doc = tokens(rows).withColumn("hashes", hashes(words)).select("doc_id", "text_id", F.posexplode_outer("hashes").alias("n", "hash"))
+    keys = item.select("hash", "equal", "item_id", "at").distinct()
+    if keys.count() <= most:
+        met = doc.join(F.broadcast(keys), "hash")
+    else:
+        doc = doc.where("hash IS NOT NULL").withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_id", "n"), F.lit(SALTS)).cast("int"))
+        keys = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = doc.join(keys, ["hash", "salt"])
+    met = common.cut(met.select("doc_id", "text_id", "n", "hash", "equal", "item_id", "at").distinct())
+    likely, match = renamed(covered(met.withColumn("reworded", F.lit(False)), totals, coverage).select("doc_id", "item_id"), ["doc_id", "item_id"])
+    met = common.cut(met.join(likely, match, "left_semi"))
+
+    look = common.cut(met.groupBy("doc_id", "text_id").agg(F.collect_set("n").alias("places")))  # no more than the text has
+    held = look.agg(F.sum(64 + 8 * F.size("places"))).first()[0] or 0
+    look, match = renamed(look, ["doc_id", "text_id"])
+    seen = tokens(rows.join(F.broadcast(look) if held <= most_bytes else look, match).select("doc_id", "text_id", "text", "places"))
+
+    def window(n: Column) -> Column:
+        _, pos, start = place(n, words)
+        return F.struct(n.alias("n"), pos.alias("pos"), F.slice("raw", pos + 1, words).alias("seen"), F.slice("template", start + 1, words).alias("form"))
+
+    seen = seen.select("doc_id", "text_id", F.explode_outer(F.transform("places", window)).alias("w")).select("doc_id", "text_id", "w.*").distinct()
+    seen, match = renamed(seen, ["doc_id", "text_id", "n"])
+    met = met.join(seen, match)
+    side, match = renamed(item, ["hash", "equal", "item_id", "at"])
+    met = met.join(side, match).where(F.col("form") == F.col("window"))
+    pairs = F.filter(F.arrays_zip("window", "said", "seen"), lambda x: x["window"].startswith("<"))
+    met = common.cut(met.select("doc_id", "item_id", "equal", "at", (F.col("pos") - F.col("at")).alias("shift"), F.transform(pairs, lambda x: F.struct(F.lower(x["said"]).alias("said"), F.lower(x["seen"]).alias("seen"))).alias("slots")))
     along = ["doc_id", "item_id", "shift"]
     differs = F.exists("slots", lambda x: x["said"] != x["seen"])
     filled = met.where(differs).select(*along, F.explode("slots").alias("slot")).groupBy(*along, "slot.said").agg(F.min("slot.seen").alias("low"), F.max("slot.seen").alias("high"))
-    torn = filled.groupBy(*along).agg(F.collect_set(F.when(F.col("low") != F.col("high"), F.col("said"))).alias("torn"), F.max(F.col("low") != F.col("said")).alias("reworded")).select(*(F.col(c).alias(f"_{c}") for c in along), "torn", "reworded")
-    match = F.lit(True)
-    for c in along:
-        match = match & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    torn = filled.groupBy(*along).agg(F.collect_set(F.when(F.col("low") != F.col("high"), F.col("said"))).alias("torn"), F.max(F.col("low") != F.col("said")).alias("reworded"))
+    torn, match = renamed(torn, along)
     gone = differs & F.arrays_overlap(F.col("slots")["said"], "torn")
     met = met.join(torn, match, "left").where(~F.coalesce(gone, F.lit(False)))
-    found = met.groupBy("doc_id", F.col("item_id").alias("_item"), "at").agg(F.min("equal").alias("equal"), F.max(F.coalesce("reworded", F.lit(False)) & ~F.col("equal")).alias("reworded"))
-    found = found.groupBy("doc_id", "_item").agg(F.count_if(~F.col("equal")).alias("matched"), F.count(F.lit(1)).alias("all_matched"), F.max("reworded").alias("reworded"))
-    found = found.join(totals, F.col("_item").eqNullSafe(F.col("item_id")))
-    # The better covered of the two: the windows that may match by template, and all.
-    sides = [F.struct(F.try_divide(m, w).alias("share"), F.col(m).alias("matched"), F.col(w).alias("windows")) for m, w in (("matched", "windows"), ("all_matched", "all_windows"))]
-    found = found.select("doc_id", "item_id", F.greatest(*sides).alias("best"), "reworded").where(F.col("best.share") >= coverage)
+    found = covered(met.withColumn("reworded", F.coalesce("reworded", F.lit(False)) & ~F.col("equal")), totals, coverage)
     return found.select("doc_id", "item_id", "best.matched", "best.windows", F.round("best.share", 6).alias("coverage"), "reworded")
 
 

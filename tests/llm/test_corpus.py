@@ -62,6 +62,18 @@ def test_verbatim_copies_are_leaks_in_any_case(leaky, spark, most):
     assert {(r.doc_id, r.item_id, r.coverage) for r in decontam.leaks(more, shouted, most=most).collect()} == {(2, 0, 1.0), (None, 0, 1.0), (8, 0, 1.0), (9, 1, 1.0)}
 
 
+def test_leaks_in_a_text_of_many_windows(leaky, spark):
+    """20,000 tokens, an item in their midst and one at their end, and a window that repeats throughout; twice under one id."""
+    r = random.Random(5)
+    filler = [r.choice(["stone", "Rome", "12", "kg", "green"]) + str(r.randint(0, 99)) * r.randint(0, 1) for _ in range(9_000)] + ["over and over again he"] * 400
+    text = " ".join(filler[:5_000]) + " " + ITEM + " " + " ".join(filler[5_000:]) + " " + ITEM.replace("30", "31").upper()
+    docs = spark.createDataFrame([(1, text), (1, text), (2, text.lower()), (3, " ".join(filler))], "doc_id long, text string")
+    bench = leaky[1].union(spark.createDataFrame([(7, "over and over again he over and over again")], leaky[1].schema))
+    got = rows_of(decontam.leaks(docs, bench))
+    assert {r[:2] for r in got} == {(1, 0), (1, 7), (2, 0), (2, 7), (3, 7)}
+    assert got == rows_of(decontam.leaks(docs, bench, most=0, most_bytes=0))
+
+
 def test_pipeline_drops_shouted_copies(leaky, spark, tmp_path):
     leaky[1].write.parquet(f"{tmp_path}/benchmark.parquet")
     assert Counter(r.doc_id for r in corpus_pipeline.decontaminate(spark, leaky[0], str(tmp_path)).collect()) == Counter([1, 4, 5, 6, 7])
