@@ -66,12 +66,16 @@ def tokens(rows: DataFrame) -> DataFrame:
     return rows.withColumn("template", F.concat("template", F.transform("raw", F.lower)))
 
 
+def run(array: str, at: Column, words: int) -> list[Column]:
+    """The words elements of the array from at (0 is its first): a slice would copy the whole array for each window."""
+    return [F.get(F.col(array), at + k if k else at) for k in range(words)]
+
+
 def hashes(words: int) -> Column:
     """Of each window of tokens(), that of the canonical tokens from each place and then of the lower-case ones, which also hash a mark; null if there is none."""
     last = F.size("raw") - words + 1
-    starts = F.sequence(F.lit(1), last)
-    canon = F.transform(starts, lambda i: F.xxhash64(F.slice("template", i, words)))
-    lower = F.transform(starts, lambda i: F.xxhash64(F.slice("template", i + F.size("raw"), words), F.lit(True)))
+    canon = F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.xxhash64(*run("template", i, words)))
+    lower = F.transform(F.sequence(F.size("raw"), F.size("raw") + last - 1), lambda i: F.xxhash64(*run("template", i, words), F.lit(True)))
     return F.when(last > 0, F.concat(canon, lower))
 
 
@@ -106,7 +110,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, slots: int
     item = tokens(benchmark.select(F.col("item_id").cast("long").alias("item_id"), text))
     item = item.select("item_id", "raw", "template", F.posexplode_outer(hashes(words)).alias("n", "hash"))
     equal, at, start = place(F.col("n"), words)
-    item = item.select("item_id", equal.alias("equal"), at.alias("at"), "hash", F.slice("template", start + 1, words).alias("window"), F.slice("raw", at + 1, words).alias("said"))
+    item = item.select("item_id", equal.alias("equal"), at.alias("at"), "hash", F.array(*run("template", start, words)).alias("window"), F.array(*run("raw", at, words)).alias("said"))
     item = common.cut(item).where("hash IS NOT NULL")
     item = common.cut(item.where(F.size(F.filter("window", lambda x: x.startswith("<"))) <= slots).distinct())
     totals = item.groupBy("item_id", "at").agg(F.min("equal").alias("equal")).groupBy("item_id").agg(F.count_if(~F.col("equal")).alias("windows"), F.count(F.lit(1)).alias("all_windows"))
@@ -131,7 +135,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, slots: int
 
     def window(n: Column) -> Column:
         _, pos, start = place(n, words)
-        return F.struct(n.alias("n"), pos.alias("pos"), F.slice("raw", pos + 1, words).alias("seen"), F.slice("template", start + 1, words).alias("form"))
+        return F.struct(n.alias("n"), pos.alias("pos"), F.array(*run("raw", pos, words)).alias("seen"), F.array(*run("template", start, words)).alias("form"))
 
     seen = seen.select("doc_id", "text_id", F.explode_outer(F.transform("places", window)).alias("w")).select("doc_id", "text_id", "w.*").distinct()
     seen, match = renamed(seen, ["doc_id", "text_id", "n"])
