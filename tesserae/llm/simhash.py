@@ -7,11 +7,12 @@ one pair of tiles with numpy and returns a spanning forest of its links, never a
 comparisons is quadratic in the distinct fingerprints (the method is exact, without an index), but a task's
 memory and its share of the work are bounded by the tile.
 
-With a similarity (the pipeline's stage: five words, 0.8), fingerprints within a wider radius are candidates only, and a
-task links those whose shingle sets are that alike: each distinct fingerprint carries a sketch of its set, the least
-hash in each of BINS ranges (one-permutation min-hash), and the share of equal bins among those that either set fills
-estimates the Jaccard coefficient (standard error 0.035 at 0.8; all but exact for texts of a few shingles). So no pair
-leaves a task for a text to be fetched, and a group of near copies still sends a forest.
+The pipeline's stage (five words, a Jaccard coefficient of 0.8) doesn't compare all: a radius wide enough for it skips no
+tiles. Texts of one shingle set are folded first. A sketch of each set, the least hash in each of BINS ranges
+(one-permutation min-hash), is cut into bands, and only sets that share a band meet (at 0.8 some 5 of 100,000 pairs share
+none, fewer above). Bands of the same members meet once, bands of many members in pairs of tiles. Of what meets, SimHash
+fingerprints of the sets, sizes and sketches leave the pairs that can be alike, with wide margins, and the sets decide,
+so every link is exact (as equality of shingles is that of 32 bits of their hashes). A task sends a spanning forest.
 
 Defined cases: a null text counts as empty; a text without words has fingerprint zero and links like any other;
 fewer words than a shingle are one shingle; a null doc_id takes part in links but never names a component (a
@@ -29,10 +30,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, packs
 
 WORDS, SEED, RADIUS, TILE = 3, 42, 3, 24_576
-ALIKE_WORDS, ALIKE_RADIUS, SIMILARITY, BINS, EMPTY = 5, 13, 0.8, 128, 0xFFFF
+ALIKE_WORDS, SIMILARITY, BINS, EMPTY = 5, 0.8, 128, 0xFFFF
+BAND, BANDS = 5, 25  # a pair at 0.8 misses one band with 1 - 0.8 ** 5, all of them with 5e-5
+ALIKE_RADIUS, FEW = 24, 64  # five standard errors over the 10 bits of a pair at 0.8; sets of fewer shingles are met at any distance
+ALIKE_TILE, TILE_SHINGLES, BROADCAST = 8192, 4 << 20, 1_000_000
 CHUNK = 1 << 16  # shingles whose bits are unpacked at once
 
 
@@ -58,64 +62,71 @@ def fingerprint(h: np.ndarray) -> int:
     return int(np.packbits(total * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def sketch(h: np.ndarray) -> np.ndarray:
-    """The least 16 bits of the hashes in each bin of their upper seven; EMPTY where there are none."""
-    out = np.full(BINS, EMPTY, np.uint16)
-    np.minimum.at(out, (h >> np.uint64(57)).astype(np.int64), np.minimum((h >> np.uint64(41)) & np.uint64(0xFFFF), EMPTY - 1).astype(np.uint16))
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set of 32-bit hashes the least following 16 bits in each bin of the upper seven; EMPTY where there are none."""
+    out = np.full((len(sets), BINS), EMPTY, np.uint16)
+    if sets:
+        h = np.concatenate(sets)
+        of = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        np.minimum.at(out, (of, h >> np.uint32(25)), np.minimum((h >> np.uint32(9)) & np.uint32(0xFFFF), EMPTY - 1).astype(np.uint16))
     return out
 
 
-def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether the sketches in the rows of x and y are of sets that are so alike."""
-    same = ((x == y) & (x != EMPTY)).sum(axis=1)
-    filled = ((x != EMPTY) | (y != EMPTY)).sum(axis=1)
-    return same >= similarity * filled
+def bands(sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each band of each sketch, and whether the band has a filled bin: without one it says nothing."""
+    cut = sketch[:, : BAND * BANDS].reshape(len(sketch), BANDS, BAND)
+    h = np.broadcast_to(packs.mix(np.arange(1, BANDS + 1, dtype=np.uint64)), cut.shape[:2])
+    for k in range(BAND):
+        h = packs.mix(h ^ packs.mix(cut[:, :, k].astype(np.uint64) + np.uint64(1)))
+    return h.view(np.int64), (cut != EMPTY).any(axis=2)
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS, keys: Sequence[str] = ("doc_id",), sketched: bool = False) -> DataFrame:
-    """(keys as longs, fp) of each row, and its sketch if asked for; fp is the fingerprint as a signed long."""
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both)
+
+
+def fingerprints(docs: DataFrame, words: int = WORDS, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """(keys as longs, fp) of each row; fp is the fingerprint as a signed long."""
     n = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, rows in common.texts(batches):
-            hashes = [shingles(x, words) for x in rows]
-            fp = np.fromiter(map(fingerprint, hashes), np.uint64, len(rows)).view(np.int64)
-            more = [pa.array([sketch(h).tobytes() for h in hashes], pa.binary())] if sketched else []
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(fp), *more], [*keys, "fp", "sketch"][: n + 1 + len(more)])
+            fp = np.fromiter((fingerprint(shingles(x, words)) for x in rows), np.uint64, len(rows)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(fp)], [*keys, "fp"])
 
-    schema = ", ".join(f"`{k}` long" for k in keys) + ", fp long" + ", sketch binary" * sketched
+    schema = ", ".join(f"`{k}` long" for k in keys) + ", fp long"
     return docs.select(*(F.col(k).cast("long") for k in keys), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-def forest(x: np.ndarray, y: np.ndarray, radius: int, sides: tuple[np.ndarray, np.ndarray] | None = None, similarity: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+def united(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """root, which it changes, after the links (i, j)."""
+    while len(i):
+        ri, rj = root[i], root[j]
+        apart = ri != rj
+        i, j, ri, rj = i[apart], j[apart], ri[apart], rj[apart]
+        np.minimum.at(root, np.maximum(ri, rj), np.minimum(ri, rj))
+        while (root[root] != root).any():
+            root[:] = root[root]
+    return root
+
+
+def forest(x: np.ndarray, y: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links between tiles x and y (or within x, if y is x), as places in x followed by y."""
     root = np.arange(len(x) + len(y))
     step = max(1, (1 << 22) // max(1, len(y)))
     for at in range(0, len(x), step):
         near = np.bitwise_count(x[at : at + step, None] ^ y[None, :]) <= radius
         flat = np.flatnonzero(near)
-        i, j = flat // len(y) + at, flat % len(y)
-        if sides:
-            close = [alike(sides[0][i[k : k + CHUNK]], sides[1][j[k : k + CHUNK]], similarity) for k in range(0, len(i), CHUNK)]
-            close = np.concatenate(close) if close else np.empty(0, bool)
-            i, j = i[close], j[close]
-        j = j + len(x)
-        while len(i):
-            ri, rj = root[i], root[j]
-            apart = ri != rj
-            i, j, ri, rj = i[apart], j[apart], ri[apart], rj[apart]
-            np.minimum.at(root, np.maximum(ri, rj), np.minimum(ri, rj))
-            while (root[root] != root).any():
-                root = root[root]
+        united(root, flat // len(y) + at, flat % len(y) + len(x))
     child = np.flatnonzero(root != np.arange(len(root)))
     return child, root[child]
 
 
-def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE, similarity: float | None = None) -> DataFrame:
-    """Edges (a, b) of nodes whose components are those of all links between prints (node, fp, and sketch with a similarity)."""
+def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """Edges (a, b) of nodes whose components are those of all links between prints (node, fp)."""
     spark = prints.sparkSession
-    fields = ["node", "fp"] + ["sketch"] * (similarity is not None)
-    prints = prints.select(*fields, F.bit_count("fp").cast("int").alias("ones"))
+    prints = prints.select("node", "fp", F.bit_count("fp").cast("int").alias("ones"))
     held = dict(prints.groupBy("ones").count().collect())  # 65 rows at most
     if not held:
         return spark.createDataFrame([], "a long, b long")
@@ -124,7 +135,7 @@ def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE, similarity:
     split_col = F.array(*map(F.lit, split))
     tiles = (
         prints.groupBy("ones", F.pmod(F.xxhash64("node"), F.element_at(split_col, F.col("ones") + 1)).cast("int").alias("part"))
-        .agg(F.collect_list(F.struct(*fields)).alias("held"))
+        .agg(F.collect_list(F.struct("node", "fp")).alias("held"))
     )
 
     def others(sign: int):
@@ -145,10 +156,9 @@ def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE, similarity:
     low = tiles.select(others(1), own.alias("own"), "held").select(F.struct("own", "other").alias("pair"), F.lit(0).alias("side"), "held")
     high = tiles.select(others(-1), own.alias("own"), "held").select(F.struct(F.col("other").alias("own"), F.col("own").alias("other")).alias("pair"), F.lit(1).alias("side"), "held")
 
-    def read(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    def read(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
         node, fp = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("node", "fp"))
-        sketches = None if similarity is None else np.frombuffer(b"".join(rows.field("sketch").to_pylist()), np.uint16).reshape(-1, BINS)
-        return node, fp.view(np.uint64), sketches
+        return node, fp.view(np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting = pair = None
@@ -160,8 +170,7 @@ def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE, similarity:
                     continue
                 if pair != batch.column(0)[k].as_py():  # a tile that no row fell into
                     continue
-                sides = None if similarity is None else (waiting[2], tile_rows[2])
-                a, b = forest(waiting[1], tile_rows[1], radius, sides, similarity or 0.0)
+                a, b = forest(waiting[1], tile_rows[1], radius)
                 nodes = np.concatenate([waiting[0], tile_rows[0]])
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], ["a", "b"])
 
@@ -181,14 +190,113 @@ def near_dedup(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, tile:
     return rows.join(prints, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_same")
 
 
-def keep_one(docs: DataFrame, words: int = ALIKE_WORDS, radius: int = ALIKE_RADIUS, tile: int = TILE, similarity: float = SIMILARITY) -> DataFrame:
+def alike_forest(fp: np.ndarray, sets: list[np.ndarray], side: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs of alike sets: those on unlike sides, or all if there is one side."""
+    size, sketch, root = np.array([len(x) for x in sets]), sketches(sets), np.arange(len(sets))
+    one = (side == side[0]).all()
+    step = max(1, (1 << 20) // len(sets))
+    for at in range(0, len(sets), step):
+        rows = slice(at, at + step)
+        least, most = np.minimum(size[rows, None], size[None, :]), np.maximum(size[rows, None], size[None, :])
+        near = (least >= similarity * most) & ((np.bitwise_count(fp[rows, None] ^ fp[None, :]) <= ALIKE_RADIUS) | (least < FEW))
+        near &= np.arange(len(sets))[None, :] > np.arange(at, at + len(near))[:, None]
+        if not one:
+            near &= side[rows, None] != side[None, :]
+        i, j = np.nonzero(near)
+        i, guess = i + at, np.empty(len(i))
+        for k in range(0, len(i), CHUNK):
+            x, y = sketch[i[k : k + CHUNK]], sketch[j[k : k + CHUNK]]
+            filled = ((x != EMPTY) | (y != EMPTY)).sum(axis=1)
+            guess[k : k + CHUNK] = ((x == y) & (x != EMPTY)).sum(axis=1) / filled - similarity + 4 * np.sqrt(similarity * (1 - similarity) / filled)
+        order = np.argsort(-guess, kind="stable")[: int((guess >= 0).sum())]  # the likeliest first: they save others
+        for k in range(0, len(order), 256):
+            a, b = i[order[k : k + 256]], j[order[k : k + 256]]
+            apart = root[a] != root[b]
+            a, b = a[apart], b[apart]
+            sure = np.fromiter((jaccard(sets[x], sets[y]) >= similarity for x, y in zip(a.tolist(), b.tolist(), strict=True)), bool, len(a))
+            united(root, a[sure], b[sure])
+    child = np.flatnonzero(root != np.arange(len(root)))
+    return child, root[child]
+
+
+def short(h: np.ndarray) -> np.ndarray:
+    """The set of the upper 32 bits of hashes, in order."""
+    return np.unique((h >> np.uint64(32)).astype(np.uint32))
+
+
+def banded(docs: DataFrame, row: str, words: int) -> DataFrame:
+    """(row, doc_id, node, size, bands) of each row: its shingle set's hash, its size and the hashes of its bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, rows in common.texts(batches):
+            for k in range(0, len(rows), 1000):
+                sets = [short(shingles(x, words)) for x in rows[k : k + 1000]]
+                node = np.fromiter((xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets), np.uint64, len(sets)).view(np.int64)
+                h, filled = bands(sketches(sets))
+                ends = np.concatenate([[0], np.cumsum(filled.sum(axis=1))])
+                held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h[filled]))
+                columns = [*batch.slice(k, 1000).columns[:2], pa.array(node), pa.array([len(x) for x in sets], pa.int64()), held]
+                yield pa.RecordBatch.from_arrays(columns, [row, "doc_id", "node", "size", "bands"])
+
+    return docs.select(row, F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, f"`{row}` long, doc_id long, node long, size long, bands array<long>")
+
+
+def among(docs: DataFrame, rows: DataFrame, row: str, how: str) -> DataFrame:
+    """docs joined with rows, which are broadcast if they are BROADCAST at most (counted)."""
+    return docs.join(F.broadcast(rows) if rows.count() <= BROADCAST else rows, row, how)
+
+
+def alike_links(docs: DataFrame, prints: DataFrame, row: str, words: int, tile: int, similarity: float) -> DataFrame:
+    """Edges (a, b) of nodes whose components are those of all alike sets of prints (node, row, size, bands), made again from docs."""
+    spark = docs.sparkSession
+    members = prints.select("node", row, "size", F.explode("bands").alias("key"))
+    held = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y"))
+    held = held.where("n > 1").groupBy("n", "shingles", "x", "y").agg(F.min("key").alias("key"))  # bands of the same members once
+    split = F.ceil(F.greatest(F.col("n") / tile, F.col("shingles") / TILE_SHINGLES)).cast("int")
+    members = common.cut(members.join(held.select("key", split.alias("split")), "key").select("node", row, "key", "split"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, rows in common.texts(batches):
+            for k in range(0, len(rows), 1000):
+                hashes = [np.unique(shingles(x, words)) for x in rows[k : k + 1000]]
+                fp = np.fromiter(map(fingerprint, hashes), np.uint64, len(hashes)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1000), pa.array(fp), pa.array([short(h).tobytes() for h in hashes], pa.binary())], [row, "fp", "held"])
+
+    sets = among(docs, members.select(row).distinct(), row, "left_semi").select(row, F.col("text").cast("string")).mapInArrow(run, f"`{row}` long, fp long, held binary")
+    part = F.pmod(F.xxhash64("node"), F.col("split")).cast("int")
+    met = members.join(sets, row).select("key", "node", "fp", "held", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("split") - 1)).alias("other"))
+    met = met.select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node", "fp", "held")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, rows = None, []
+        for batch in batches:
+            for key, p, q, *r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if unit != (key, p, q):
+                    yield from found(rows)
+                    unit, rows = (key, p, q), []
+                rows.append(r)
+        yield from found(rows)
+
+    def found(rows: list[list]) -> Iterator[pa.RecordBatch]:
+        if len(rows) < 2:
+            return
+        side, nodes, fp, held = zip(*rows, strict=True)
+        nodes = np.array(nodes, np.int64)
+        a, b = alike_forest(np.array(fp, np.int64).view(np.uint64), [np.frombuffer(x, np.uint32) for x in held], np.array(side), similarity)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], ["a", "b"])
+
+    return met.repartition(common.partitions(spark), "key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(compare, "a long, b long")
+
+
+def keep_one(docs: DataFrame, words: int = ALIKE_WORDS, tile: int = ALIKE_TILE, similarity: float = SIMILARITY) -> DataFrame:
     """One row of docs of each component of alike texts: that of the smallest doc_id, null ids last; of equals, one."""
     row = common.prefix_for(docs) + "row"
     docs_ = common.stored(docs.withColumn(row, F.monotonically_increasing_id()))
-    rows = common.cut(fingerprints(docs_, words, (row, "doc_id"), True))
-    rows = rows.withColumn("node", F.xxhash64("fp", "sketch")).withColumn("rank", F.struct(F.col("doc_id").isNull(), "doc_id", row))
-    prints = common.cut(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.min("rank").alias("rank")))
-    roots = common.components(links(prints, radius, tile, similarity))
+    rows = common.stored(banded(docs_, row, words))
+    rank = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row)).alias("rank")
+    prints = common.cut(rows.groupBy("node").agg(rank, F.first("size").alias("size"), F.first("bands").alias("bands")))
+    roots = common.components(alike_links(docs_, prints.withColumn(row, F.col("rank")[row]), row, words, tile, similarity))
     prints = prints.select("node", "rank").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = prints.groupBy("root").agg(F.min("rank").alias("rank")).select(F.col("rank")[row].alias(row))
-    return docs_.join(kept, row, "left_semi").drop(row).select(*docs.columns)
+    dropped = common.cut(rows.select(row).join(kept, row, "left_anti"))
+    return among(docs_, dropped, row, "left_anti").drop(row).select(*docs.columns)

@@ -95,6 +95,43 @@ def test_near_copies_are_found_at_their_similarity(spark):
     assert len(near) > 30 and np.mean(near) >= 0.9 and len(far) > 20 and np.mean(far) <= 0.02
 
 
+def near_rows(n, words, shares, seed):
+    """Texts and copies of them with a share of their words changed: (2 i, text), (2 i + 1, copy)."""
+    import random
+
+    r = random.Random(seed)
+    rows, vocabulary = [], [f"w{k}" for k in range(500)]
+    for i in range(n):
+        w = [r.choice(vocabulary) for _ in range(r.randint(*words))]
+        rows.append((2 * i, " ".join(w)))
+        for k in r.sample(range(len(w)), max(1, int(len(w) * r.choice(shares)))):
+            w[k] = "x" + w[k]
+        rows.append((2 * i + 1, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("tile", [2, 1000])
+def test_near_copies_go_just_if_they_are_as_alike_as_asked(spark, tile, monkeypatch):
+    """Pairs on either side of 0.8 and close to it, short ones too; broadcast or not."""
+    monkeypatch.setattr(simhash, "BROADCAST", 0 if tile == 2 else 1000)
+    rows = near_rows(300, (60, 400), [0.01, 0.015, 0.02, 0.025, 0.03], 12) + [(i + 1000, t) for i, t in near_rows(100, (8, 40), [0.02], 13)]
+    kept = {x.doc_id for x in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), tile=tile).collect()}
+    degree = [alike(rows[k][1], rows[k + 1][1]) for k in range(0, len(rows), 2)]
+    assert sum(0.75 <= j < 0.8 for j in degree) > 20 and sum(0.8 <= j < 0.85 for j in degree) > 20
+    assert kept == {rows[k][0] for k in range(0, len(rows), 2)} | {rows[2 * k + 1][0] for k, j in enumerate(degree) if j < 0.8}
+
+
+def test_unlike_texts_do_not_meet(spark):
+    """Work of the near-duplicates stage: sets that share no band go to no tile, in a group of many each goes once."""
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i, t) for i, t in near_rows(200, (100, 200), [0.3], 14)], "doc_id long, text string").withColumn("_row", F.col("doc_id"))
+    prints = simhash.banded(docs, "_row", 5).cache()
+    assert prints.select("doc_id", F.explode("bands").alias("b")).groupBy("b").count().where("count > 1").count() < 20
+    assert simhash.alike_links(docs, prints, "_row", 5, 8, 0.8).count() == 0
+    prints.unpersist()
+
+
 def test_components_of_long_paths_and_stars(spark):
     import random
 
