@@ -100,5 +100,9 @@ def wins(means: DataFrame, key: str, side: str, value: str, a: str, b: str, tie:
 
 
 def divergence(means: DataFrame, key: str, value: str, least: float = 0.01) -> DataFrame:
-    """(key, spread): how far the means of a key lie apart, where that is more than least."""
-    return means.groupBy(key).agg(F.round(F.max(value) - F.min(value), 4).alias("spread")).where(F.col("spread") > least)
+    """(key, spread): how far the means of a key lie apart, where that is more than least before it is rounded.
+
+    Four digits are rounded as DuckDB does, by the product: F.round goes by the shortest decimal, and ties may fall apart.
+    """
+    apart = means.groupBy(key).agg((F.max(value) - F.min(value)).alias("spread")).where(F.col("spread") > least)
+    return apart.withColumn("spread", F.round(F.col("spread") * 10_000) / 10_000)

@@ -202,3 +202,14 @@ def test_retrieval(spark):
     assert [r.k for r in report.search(df, "AUTH", "q").collect()] == [1]
     assert {tuple(r)[2:] for r in report.topics(df, "q", {"tests": ["test"], "auth": ["auth", "login"]}).where("k = 1").collect()} == {("tests", 2), ("auth", 2)}
     assert [tuple(r)[2:] for r in report.topics(df, "q", {"tests": ["test"]}).where("k = 2").collect()] == [("tests", 1)]
+
+
+def test_divergence_is_judged_before_it_is_rounded(spark):
+    import duckdb
+
+    pairs = [0.5, 0.50002, 0.50006, 0.49998, 0.8422499999999999, 0.43674999999999997 + 0.5, None]
+    means = spark.createDataFrame([(k, v) for k, d in enumerate(pairs) for v in (0.0, d)], "k int, m double")
+    got = {tuple(r) for r in report.divergence(means, "k", "m", 0.5).collect()}
+    values = ", ".join(f"({k}, {v}::DOUBLE)" for k, d in enumerate(pairs) if d for v in (0.0, d))
+    assert got == set(duckdb.sql(f"SELECT k, round(max(m) - min(m), 4) FROM (VALUES {values}) t(k, m) GROUP BY 1 HAVING max(m) - min(m) > 0.5").fetchall())
+    assert (1, 0.5) in got and (4, 0.8423) in got and len(got) == 4
