@@ -78,21 +78,22 @@ def prefix_pairs(primary: DataFrame, files: DataFrame, least: int = 4) -> DataFr
 def keyword_files(tasks: DataFrame, files: DataFrame, stop: tuple[str, ...] = ()) -> DataFrame:
     """(task, path, phrase): files whose name holds a phrase of the task's text; three-word phrases come first.
 
-    Phrases are cut from the names as well, so this is an equality join.
+    Phrases are cut from the names as well, so this is an equality join. Neither side is broadcast: Spark takes exploded
+    rows for as small as what they are cut from.
     """
     w = words(F.col("text"), stop=stop)
     phrases = tasks.select("task", F.posexplode(F.concat(ngrams(w, 3), ngrams(w, 2))).alias("pos", "phrase"))
     parts = words(F.regexp_replace(F.regexp_replace(stem(F.col("path")), "([a-z])([A-Z])", "$1_$2"), "_", " "), least=1)
     named = files.select("path", F.explode(F.array_distinct(F.concat(ngrams(parts, 3), ngrams(parts, 2)))).alias("phrase"))
-    return phrases.join(named, "phrase").groupBy("task", "path").agg(F.min_by("phrase", "pos").alias("phrase"))
+    return phrases.hint("merge").join(named, "phrase").groupBy("task", "path").agg(F.min_by("phrase", "pos").alias("phrase"))
 
 
 def mentioned(tasks: DataFrame, files: DataFrame) -> DataFrame:
-    """(task, path): files that a text names by path, or by a telling base name as a word of its own."""
+    """(task, path): files that a text names by path, or by a telling base name as a word of its own; no side is broadcast."""
     said = F.explode(F.array_distinct(F.regexp_extract_all(F.col("text"), F.lit(r"[\w./@-]*[\w]"), F.lit(0)))).alias("said")
     spoken = tasks.select("task", said)
     name = F.when((F.length(stem(F.col("path"))) >= 4) & ~F.lower(stem(F.col("path"))).isin(*GENERIC), F.array("path", basename(F.col("path")), stem(F.col("path")))).otherwise(F.array("path"))
-    return spoken.join(files.select("path", F.explode(F.array_distinct(name)).alias("said")), "said").select("task", "path").distinct()
+    return spoken.hint("merge").join(files.select("path", F.explode(F.array_distinct(name)).alias("said")), "said").select("task", "path").distinct()
 
 
 def test_candidates(modified: DataFrame, files: DataFrame) -> DataFrame:
