@@ -221,3 +221,69 @@ def test_words_are_those_of_the_contract(texts):
     s, e, d = p.words()
     got = [(k, p.raw[a:b].decode()) for a, b, k in zip(s.tolist(), e.tolist(), d.tolist(), strict=True)]
     assert got == [(k, w) for k, t in enumerate(texts) for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
+
+
+def bandless(seed, words=404, changes=8):
+    """A text and a copy of it with a Jaccard coefficient of 0.8 at least whose sketches share no band: changed where most bands break."""
+    import random
+
+    r = random.Random(seed)
+    w = [f"w{r.randint(0, 10**6)}" for _ in range(words)]
+    bands_of = lambda x: simhash.bands(simhash.sketches([simhash.shingle_set(" ".join(x).encode(), 5)]))[0][0]
+    own, copy = bands_of(w), list(w)
+    for n in range(changes):
+        tries = [(j, f"x{n}{k}") for j in r.sample(range(5, words - 5), 40) for k in range(5) if all(v[0] != "x" for v in copy[j - 5 : j + 6])]
+        j, v = min(tries, key=lambda t: int((bands_of([*copy[: t[0]], t[1], *copy[t[0] + 1 :]]) == own).sum()))
+        copy[j] = v
+        if not (bands_of(copy) == own).any():
+            break
+    return " ".join(w), " ".join(copy), int((bands_of(copy) == own).sum())
+
+
+def test_links_without_a_common_band_are_found(spark):
+    """What sketches miss: the pair goes into one component, whatever stands between; a common line doesn't hide it."""
+    pairs = [bandless(seed) for seed in (1, 2, 3)]
+    assert all(alike(a, b) >= 0.8 for a, b, _ in pairs) and sum(not n for *_, n in pairs) >= 2
+    line = " said on every page of the site before anything else is said at all"
+    rows = [(10 * k + i, t + line) for k, (a, b, _) in enumerate(pairs) for i, t in enumerate((a, b))]
+    rows += [(10 * k + 5, t) for k, (a, *_) in enumerate(pairs) for t in (a, a)] + [(1000 + i, t + line) for i, t in near_rows(40, (30, 60), [0.3], 15)]
+    kept = {x.doc_id for x in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert kept == {i for i, _ in rows} - {1, 5, 11, 15, 21, 25}
+
+
+@pytest.mark.parametrize("one", [True, False])
+def test_forest_holds_all_links(one):
+    """Against all pairs, at and around 0.8 exactly, sets from one to thousands of shingles, with components that are known."""
+    r = np.random.default_rng(4)
+    sets = [np.unique(r.integers(0, 1 << 62, n).astype(np.uint64)) for n in (1, 4, 5, 9, 10, 45, 90, 500, 6000)]
+    sets += [x[: len(x) * 4 // 5] for x in sets if len(x) > 4] + [x[len(x) // 10 :] for x in sets[4:9]] + [x[: len(x) * 79 // 100] for x in sets[5:9]]
+    side, of = np.arange(len(sets)) % (1 if one else 2), np.arange(len(sets)) * 7
+    of[3] = of[4] = 5
+    a, b = simhash.alike_forest(sets, side, of, 0.8)
+    label = dict(enumerate(of.tolist()))
+
+    def union(x, y):
+        low, high = sorted((label[x], label[y]))
+        label.update({k: low for k, v in label.items() if v == high})
+
+    for x in range(len(sets)):
+        for y in range(x):
+            if (one or side[x] != side[y]) and 5 * len(np.intersect1d(sets[x], sets[y])) >= 4 * len(np.union1d(sets[x], sets[y])):
+                union(x, y)
+    want, label = label, dict(enumerate(of.tolist()))
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        union(x, y)
+    assert label == want and len(set(want.values())) < len(sets) - 5
+
+
+def test_prefixes_share_a_shingle_if_sets_are_alike():
+    r = np.random.default_rng(5)
+    vocabulary = np.unique(r.integers(0, 1 << 62, 400).astype(np.uint64))
+    often, place = vocabulary[::7], r.permutation(len(vocabulary[::7]))
+    for _ in range(200):
+        x = np.sort(r.choice(vocabulary, r.integers(1, 60), replace=False))
+        y = np.unique(np.concatenate([x[r.random(len(x)) < 0.9], r.choice(vocabulary, 2)]))
+        h, of = simhash.prefix_of([x, np.empty(0, np.uint64), y], often, place, 0.8)
+        assert len(h[of == 0]) == len(x) - -(-4 * len(x) // 5) + 1 and not (of == 1).any()
+        if simhash.jaccard(x, y) >= 0.8:
+            assert len(np.intersect1d(h[of == 0], h[of == 2]))
