@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,11 +12,37 @@ from ..functions import fixed, paths, text
 from . import vote
 
 
+def literals(regex: str) -> list[str] | None:
+    """Texts of which every match of a regular expression holds one: the longest plain run of each alternative; None if one has none."""
+    if "(?i" in regex:
+        return None
+    found, best, run, depth, k = [], "", "", 0, 0
+    while k <= len(regex):
+        c = regex[k : k + 1]
+        step = 2 if c == "\\" else 1
+        plain = regex[k + 1] if c == "\\" and not regex[k + 1].isalnum() else c if c and c not in "\\()[]{}.*+?|^$" else ""
+        if c == "[":
+            step = re.compile(r"\[\^?\]?(?:\\.|[^\]\\])*\]").match(regex, k).end() - k
+        elif c == "{":
+            step = regex.index("}", k) + 1 - k
+        depth += (c == "(") - (c == ")")
+        if plain and not depth:
+            run += plain
+        elif not depth or c == "(":
+            run = run[:-1] if c in ("?", "*", "{") else run
+            best, run = max(best, run, key=len), ""
+        if not depth and c in ("|", ""):
+            found.append(best)
+            best = ""
+        k += step
+    return sorted(set(found)) if all(found) else None
+
+
 def shown(path: Column, body: Column, family: str | None = None) -> Column:
     """The (family, name) of the patterns that a text without comments shows, as an array; none where body is null.
 
-    Files vote only in the sets of paths.is_voted and is_read_for_tests. A text meets one alternation a family first, and the
-    patterns one by one only where that holds.
+    Files vote only in the sets of paths.is_voted and is_read_for_tests. A text is searched for plain literals first, without which
+    no pattern of a family can match, then meets one alternation a family, and the patterns one by one only where that holds.
     """
     rules: dict[str, list[tuple[str, str, str]]] = {}
     for f, name, regex, scope in fixed.PATTERNS:
@@ -24,6 +53,9 @@ def shown(path: Column, body: Column, family: str | None = None) -> Column:
     for f, of in rules.items():
         each = F.array(*(F.when(body.rlike(regex) & (path.rlike(scope) if scope else F.lit(True)), F.struct(F.lit(f).alias("family"), F.lit(name).alias("name"))) for name, regex, scope in of))
         read = paths.is_read_for_tests(path) if f == "test" else paths.is_voted(path)
+        runs = [literals(regex) for _, regex, _ in of]
+        if all(runs):
+            read = read & reduce(Column.__or__, (F.contains(body, F.lit(x)) for x in sorted({x for run in runs for x in run})))
         found.append(F.when(read & body.rlike("|".join(f"(?:{regex})" for _, regex, _ in of)), F.filter(each, lambda x: x.isNotNull())).otherwise(none))
     return F.concat(*found)
 
